@@ -63,3 +63,9 @@ def prefix_condition(token: Column, prefixes: list[str]) -> Column:
     for p in sorted(set(prefixes)):
         cond = cond | token.startswith(p)
     return cond
+
+
+def tokenize_text(text: str) -> list[str]:
+    """``tokenize`` for one short driver-side string, such as a query."""
+    words = re.sub(r"[^a-z0-9\s_-]", " ", text.lower()).split()
+    return [w for w in words if len(w) > 1 and w not in P.TOKEN_STOPS]
