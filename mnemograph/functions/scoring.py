@@ -18,9 +18,13 @@ def as_time(as_of) -> Column:
 
 
 def rounded(x, digits: int = 4) -> Column:
-    """Half-up rounding in plain IEEE arithmetic."""
+    """Half-up rounding in plain IEEE arithmetic.
+
+    Decimal inputs make exact ties common, and the order of a distributed sum
+    moves its last bits, so what lies a hair below a tie rounds up as well.
+    """
     scale = 10.0 ** digits
-    return F.floor(x * F.lit(scale) + F.lit(0.5)) / F.lit(scale)
+    return F.floor(x * F.lit(scale) + F.lit(0.500001)) / F.lit(scale)
 
 
 def age_days(ts: Column, as_of) -> Column:
