@@ -590,7 +590,7 @@ def sql(select: str) -> str:
         visit(name)
     if not order:
         return select
-    recursive = {"c_fold", "p_fold", "t_fold", "lab_fold"}
+    recursive = {"c_fold", "p_fold", "t_fold", "lab_fold", "x_fold"}
     parts = [f"{n} AS {'' if n in recursive else 'MATERIALIZED '}({CTES[n]})" for n in order]
     return "WITH RECURSIVE " + ",\n".join(parts) + "\n" + select
 
@@ -976,5 +976,29 @@ WHERE section IS NOT NULL AND (type <> 'open_loop' OR unresolved = 1)
  AND (type <> 'reflection' OR newest <= 3)"""
 
 
+# Streaming results equal the batch results over the whole log.
+CTES["log_tok"] = f"SELECT seq, unnest({fts('text')}) AS term FROM log_text"
+_SELECTS["streaming_incremental_index"] = """SELECT term, count(DISTINCT seq) AS df,
+ count(*) AS tf FROM log_tok GROUP BY 1"""
+_SELECTS["streaming_late_close"] = """SELECT id, max(seq) AS last_open FROM log
+ WHERE type = 'open_loop' AND id IS NOT NULL
+ AND id NOT IN (SELECT id FROM log WHERE type = 'loop_closed' AND id IS NOT NULL) GROUP BY 1"""
+_SELECTS["streaming_thread_activity"] = f"""SELECT thread_id, count(*) AS n_events,
+ CASE WHEN ({NOW} - epoch_us(max(ts))) / 86400000000.0 > 14 THEN 'dormant' ELSE 'active' END
+  AS status
+FROM (SELECT ts, unnest(list_distinct(thread_ids)) AS thread_id FROM log) GROUP BY 1"""
+CTES["x_run"] = """
+ SELECT procedure_id AS pid, row_number() OVER (PARTITION BY procedure_id ORDER BY seq) AS j,
+  CASE WHEN lower(coalesce(outcome, 'success')) IN ('failure', 'fail', 'error', '0')
+   THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS target FROM log WHERE type = 'proc_executed'"""
+CTES["x_fold"] = """
+ SELECT pid, j, 0.5::DOUBLE + 0.25::DOUBLE * (target - 0.5::DOUBLE) AS s FROM x_run WHERE j = 1
+ UNION ALL
+ SELECT l.pid, l.j, f.s + 0.25::DOUBLE * (l.target - f.s) FROM x_fold f
+ JOIN x_run l ON l.pid = f.pid AND l.j = f.j + 1"""
+_SELECTS["streaming_ema"] = f"""SELECT pid AS procedure_id, {rnd('arg_max(s, j)')} AS score,
+ max(j) AS uses FROM x_fold GROUP BY 1"""
+
+
 def statements() -> dict[str, str]:
     return {name: sql(text) for name, text in _SELECTS.items()}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,9 +15,10 @@ from mnemograph.operators import attention as A
 from mnemograph.operators import digest, folds, log_ops, mining, retrieval
 from mnemograph.operators import graph as G
 from mnemograph.operators import relational as R
-from mnemograph.session import stage
+from mnemograph.session import stage, stage_root
 from mnemograph.sources import tables as T
 from mnemograph.sources.schema import conform
+from mnemograph.streaming import incremental as inc
 
 AS_OF = T.AS_OF
 QUERY = "deploy cache"
@@ -636,3 +638,51 @@ def reflect_counts(spark, sf):
 def thread_digest_lines(spark, sf):
     return digest.digest_lines(graph_of(spark, sf)).select(
         "thread_id", "section", "place", "line")
+
+
+# -- streaming ----------------------------------------------------------------------
+
+SLICES = 4
+
+
+def _streamed(spark, sf, job, name: str) -> str:
+    """Let the log arrive in four parts and resume the stream after each one."""
+    home = f"{stage_root(spark)}/{name}-{uuid.uuid4().hex}"
+    log = log_of(spark, sf)
+    top = log.agg(F.max("seq")).collect()[0][0]  # one number
+    for i in range(SLICES):
+        low, high = top * i // SLICES, top * (i + 1) // SLICES
+        log.filter((F.col("seq") > low) & (F.col("seq") <= high)).write.mode("append").parquet(
+            f"{home}/log")
+        job(inc.log_stream(spark, f"{home}/log"), f"{home}/data", f"{home}/checkpoint")
+    return f"{home}/data"
+
+
+@query
+def streaming_incremental_index(spark, sf):
+    out = _streamed(spark, sf, inc.index_postings, "postings")
+    return (spark.read.parquet(out).groupBy("term")
+            .agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf")))
+
+
+@query
+def streaming_late_close(spark, sf):
+    out = _streamed(spark, sf, inc.track_loops, "loops")
+    return (inc.newest(spark, out, "id")
+            .filter((F.col("opens") > 0) & (F.col("closes") == 0)).select("id", "last_open"))
+
+
+@query
+def streaming_thread_activity(spark, sf):
+    out = _streamed(spark, sf, inc.track_threads, "threads")
+    return inc.newest(spark, out, "thread_id").select(
+        "thread_id", "n_events",
+        F.when(S.is_dormant(F.col("last_ts"), AS_OF), "dormant").otherwise("active")
+        .alias("status"))
+
+
+@query
+def streaming_ema(spark, sf):
+    out = _streamed(spark, sf, inc.learn_scores, "scores")
+    return inc.latest_scores(spark, out).select(
+        "procedure_id", S.rounded(F.col("score")).alias("score"), "uses")
