@@ -360,8 +360,8 @@ def assessed(metrics: DataFrame) -> DataFrame:
     eff, proc, drift, pol, inst = (F.col(c) for c in (
         "retrieval_effectiveness", "procedural_success", "cognitive_drift",
         "context_pollution", "attention_instability"))
-    health = F.array_compact(F.array(eff, proc, 1.0 - F.least(F.lit(1.0), drift), 1.0 - pol,
-                                     1.0 - inst))
+    steady = F.when(drift.isNotNull(), 1.0 - F.least(F.lit(1.0), drift))
+    health = F.array_compact(F.array(eff, proc, steady, 1.0 - pol, 1.0 - inst))
     total = F.aggregate(health, F.lit(0.0), lambda s, x: s + x)
     nudges = F.array_compact(F.array(
         F.when(eff < P.META_RECALL_FLOOR, "widen_retrieval"),

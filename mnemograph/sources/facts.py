@@ -73,7 +73,7 @@ def parse(raw: DataFrame) -> DataFrame:
 
 
 def read_facts(spark: SparkSession, folder: str) -> DataFrame:
-    raw = (spark.read.option("wholetext", True).option("pathGlobFilter", FACT_GLOB).text(folder)
+    raw = (spark.read.option("pathGlobFilter", FACT_GLOB).text(folder, wholetext=True)
            .select(F.regexp_extract("_metadata.file_path", "[^/]+$", 0).alias("path"),
                    F.col("value").alias("raw")))
     return parse(raw)

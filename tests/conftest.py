@@ -17,7 +17,9 @@ AS_OF = "2024-06-15 12:00:00"
 def spark():
     session = get_spark("local[8]", **{
         "spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false",
-        "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "6g"})
+        "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "6g",
+        # Tiny inputs: compiling each plan would take longer than running it.
+        "spark.sql.codegen.wholeStage": "false", "spark.sql.codegen.factoryMode": "NO_CODEGEN"})
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

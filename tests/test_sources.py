@@ -53,7 +53,6 @@ def test_seq_follows_many_splits(spark, tmp_path):
     spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
     try:
         log = jsonl.read_log(spark, str(path))
-        assert log.rdd.getNumPartitions() > 1 or True
         got = log.select("seq", "msg").collect()
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
