@@ -14,15 +14,11 @@ ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
 PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
 
 
-def _words(values: list[str]) -> Column:
-    return F.array(*[F.lit(v) for v in values])
-
-
 def tokenize(text: Column) -> Column:
     """Lower-cased ``[a-z0-9_-]`` tokens of two or more characters, no stop words."""
-    cleaned = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^a-z0-9\s_-]", " ")
-    parts = F.split(cleaned, r"\s+")
-    return F.filter(parts, lambda w: (F.length(w) > 1) & ~w.isin(P.TOKEN_STOPS))
+    runs = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))),
+                                F.lit("[a-z0-9_-]{2,}"), 0)
+    return F.filter(runs, lambda w: ~w.isin(P.TOKEN_STOPS))
 
 
 def _term_list(body: Column) -> Column:
@@ -46,10 +42,24 @@ def slug(text: Column) -> Column:
     return F.regexp_replace(dashed, "^-+|-+$", "")
 
 
+def folded(text: Column) -> Column:
+    """Lower case without diacritics."""
+    return F.translate(F.lower(F.coalesce(text, F.lit(""))), ACCENTED, PLAIN)
+
+
 def fts_tokens(text: Column) -> Column:
-    """Full-text tokens: runs of letters and digits, lower case, no diacritics."""
-    folded = F.translate(F.lower(F.coalesce(text, F.lit(""))), ACCENTED, PLAIN)
-    return F.filter(F.split(folded, r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    """Full-text tokens: runs of letters and digits of the folded text."""
+    return F.filter(F.split(folded(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+
+
+def fts_length(text: Column) -> Column:
+    """Number of full-text tokens."""
+    return F.regexp_count(folded(text), F.lit(r"[\p{L}\p{N}]+"))
+
+
+def fts_hits(text: Column, prefix: str) -> Column:
+    """Number of full-text tokens a prefix starts; the prefix is alphanumeric."""
+    return F.regexp_count(folded(text), F.lit(r"(?<![\p{L}\p{N}])" + prefix))
 
 
 def fts_prefixes(query: str) -> list[str]:
@@ -58,13 +68,6 @@ def fts_prefixes(query: str) -> list[str]:
     return [t.lower().translate(table) for t in re.findall(r"[^\W_]+", query)]
 
 
-def prefix_condition(token: Column, prefixes: list[str]) -> Column:
-    cond = F.lit(False)
-    for p in sorted(set(prefixes)):
-        cond = cond | token.startswith(p)
-    return cond
-
-
 def tokenize_text(text: str) -> list[str]:
     """``tokenize`` for one short driver-side string, such as a query."""
     words = re.sub(r"[^a-z0-9\s_-]", " ", text.lower()).split()

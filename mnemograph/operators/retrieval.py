@@ -13,6 +13,7 @@ from mnemograph.functions import text as X
 from mnemograph.functions.scoring import truthy
 from mnemograph.operators import log_ops
 from mnemograph.operators import relational as R
+from mnemograph.session import stage
 
 
 # -- term statistics ------------------------------------------------------------
@@ -25,7 +26,9 @@ def term_counts(docs: DataFrame, key: str, text: Column) -> DataFrame:
 
 
 def document_frequency(counts: DataFrame) -> DataFrame:
-    return counts.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    # Counting ``tf`` keeps it in the plan below, so the exchange that made the
+    # counts is the same as their reader's and runs once.
+    return counts.groupBy("token").agg(F.count("tf").alias("df"))
 
 
 def idf(n: Column, df: Column) -> Column:
@@ -41,12 +44,15 @@ def token_bag(docs: DataFrame, text: Column) -> DataFrame:
             .groupBy("token").agg(F.count(F.lit(1)).alias("n")))
 
 
-def tfidf_vectors(docs: DataFrame, key: str, text: Column,
-                  counts: DataFrame | None = None) -> DataFrame:
+def tfidf_vectors(docs: DataFrame, key: str, text: Column) -> DataFrame:
     """L2-normalized sparse vectors in long form, weights rounded to six digits."""
-    counts = term_counts(docs, key, text) if counts is None else counts
+    counts = term_counts(docs, key, text)
     n = F.greatest(_count(docs), F.lit(1))
-    weighed = counts.join(document_frequency(counts), "token").select(
+    return _weighed(counts, document_frequency(counts), n, key)
+
+
+def _weighed(counts: DataFrame, df: DataFrame, n: Column, key: str) -> DataFrame:
+    weighed = counts.join(df, "token").select(
         key, "token", (F.col("tf") / F.col("total") * idf(n, F.col("df"))).alias("raw"))
     norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(key)))
     return (weighed.withColumn("norm", norm).filter(F.col("norm") > 0)
@@ -67,10 +73,19 @@ def query_vector(query: str, df: DataFrame, n: Column) -> DataFrame:
 def tfidf_search(docs: DataFrame, key: str, text: Column, query: str,
                  k: int = P.VECTOR_K) -> DataFrame:
     """Top documents by cosine over TF-IDF vectors."""
-    counts = term_counts(docs, key, text)
-    vectors = tfidf_vectors(docs, key, text, counts)
-    q = query_vector(query, document_frequency(counts), F.greatest(_count(docs), F.lit(1)))
-    return _top_similar(vectors.join(q, "token"), key, k)
+    words = sorted(set(X.tokenize_text(query)))
+    toks = docs.select(key, X.tokenize(text).alias("toks"))
+    # Frequencies need every document, but shuffle one count per token and task.
+    df = (toks.select(F.explode(F.array_distinct("toks")).alias("token"))
+          .groupBy("token").agg(F.count(F.lit(1)).alias("df")))
+    n = F.greatest(_count(docs), F.lit(1))
+    # Only documents sharing a word with the query need their vectors.
+    near = toks.filter(F.arrays_overlap(
+        "toks", F.array(*[F.lit(w) for w in words]).cast("array<string>")))
+    counts = (near.select(key, F.size("toks").alias("total"), F.explode("toks").alias("token"))
+              .groupBy(key, "token", "total").agg(F.count(F.lit(1)).alias("tf")))
+    vectors = _weighed(counts, df, n, key)
+    return _top_similar(vectors.join(query_vector(query, df, n), "token"), key, k)
 
 
 def _top_similar(matched: DataFrame, key: str, k: int) -> DataFrame:
@@ -113,15 +128,12 @@ def bm25_scores(docs: DataFrame, key: str, text: Column, query: str,
     document inside its row; only totals are exchanged.
     """
     prefixes = X.fts_prefixes(query)
-    toks = docs.select(key, *keep, X.fts_tokens(text).alias("toks"))
     if not prefixes:
-        return toks.select(key, *keep, F.lit(0.0).alias("rank")).filter(F.lit(False))
-
-    def hits(p: str) -> Column:
-        return F.size(F.filter("toks", lambda w: w.startswith(p)))
-
-    counted = toks.select(key, *keep, F.size("toks").alias("len"),
-                          *[hits(p).alias(f"f{i}") for i, p in enumerate(prefixes)])
+        return docs.select(key, *keep, F.lit(0.0).alias("rank")).filter(F.lit(False))
+    # A few integers per document, read twice; the text itself is scanned once.
+    counted = stage(docs.select(
+        key, *keep, X.fts_length(text).alias("len"),
+        *[X.fts_hits(text, p).alias(f"f{i}") for i, p in enumerate(prefixes)]), "bm25-counts")
     totals = counted.agg(
         F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len"),
         *[F.count_if(F.col(f"f{i}") > 0).alias(f"n{i}") for i in range(len(prefixes))])

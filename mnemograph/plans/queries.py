@@ -15,7 +15,7 @@ from mnemograph.operators import attention as A
 from mnemograph.operators import digest, folds, log_ops, mining, retrieval
 from mnemograph.operators import graph as G
 from mnemograph.operators import relational as R
-from mnemograph.session import stage, stage_root
+from mnemograph.session import stage, stage_root, widened
 from mnemograph.sources import tables as T
 from mnemograph.sources.schema import conform
 from mnemograph.streaming import incremental as inc
@@ -65,7 +65,7 @@ def attention_of(spark, sf_dir) -> A.Attention:
 
 
 def documents(spark, sf_dir) -> DataFrame:
-    return T.table(spark, sf_dir, "documents")
+    return widened(T.table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
 
 
 def _flag(col: str):
