@@ -7,7 +7,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from pyspark.sql import functions as F  # noqa: E402
 
-from mnemograph.session import get_spark  # noqa: E402
+from mnemograph.session import get_spark, stage  # noqa: E402
 from mnemograph.sources import schema  # noqa: E402
 
 AS_OF = "2024-06-15 12:00:00"
@@ -35,7 +35,8 @@ def make_log(spark):
             rows.append(tuple(i if c == "seq" else None if c == "ts" else e.get(c)
                               for c in schema.COLUMNS))
         ddl = ", ".join(f"`{n}` {k}" for n, k in schema.COLUMNS.items())
-        return spark.createDataFrame(rows, ddl).withColumn("ts", F.try_to_timestamp("t"))
+        log = spark.createDataFrame(rows, ddl).withColumn("ts", F.try_to_timestamp("t"))
+        return stage(log, "test-log")
     return make
 
 
