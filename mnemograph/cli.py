@@ -132,7 +132,7 @@ def main(argv: list[str] | None = None) -> int:
     elif a.verb == "reflect":
         print(s.reflect()["summary"])
     elif a.verb == "compress":
-        s.compress()
+        show(s.compress(), 10_000)
     elif a.verb == "digest":
         for row in s.digest(a.args).toLocalIterator():
             print(row["line"])

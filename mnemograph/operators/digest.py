@@ -68,10 +68,11 @@ def digest_headers(graph: Graph) -> DataFrame:
 
 
 def write_digests(graph: Graph, path: str) -> None:
-    """One folder per thread, its lines in order.
+    """All digests as one table of ordered lines.
 
-    A range partitioning over (thread, section, place) spreads a long thread
-    over several files instead of one task.
+    A range partitioning over (thread, section, place) keeps a thread's lines
+    together, yet spreads a long thread over several files. Reading one thread
+    skips the files outside its range.
     """
     lines = digest_headers(graph).unionByName(digest_lines(graph))
     headings = (digest_lines(graph).select("thread_id", "section").distinct()
@@ -83,11 +84,14 @@ def write_digests(graph: Graph, path: str) -> None:
     feet = graph.threads.select(
         "thread_id", F.lit(9).alias("section"), F.lit(0).cast("bigint").alias("place"),
         F.lit("\n" + FOOTER).alias("line"))
-    (lines.unionByName(feet)
-     .repartitionByRange("thread_id", "section", "place")
-     .sortWithinPartitions("thread_id", "section", "place")
-     .select("thread_id", F.col("line").alias("value"))
-     .write.mode("overwrite").partitionBy("thread_id").text(path))
+    order = ["thread_id", "section", "place"]
+    (lines.unionByName(feet).repartitionByRange(*order).sortWithinPartitions(*order)
+     .write.mode("overwrite").parquet(path))
+
+
+def stand_ins(graph: Graph) -> DataFrame:
+    """Cold threads, whose digest stands in for their events."""
+    return graph.threads.filter(F.col("status").isin("dormant", "merged")).select("thread_id")
 
 
 def digest_text(graph: Graph, thread_id: str) -> DataFrame:

@@ -145,11 +145,11 @@ def resonance(evidence: DataFrame, members: DataFrame) -> DataFrame:
     sets = stage(evidence.join(members, "event_id").select("concept_id", "thread_id").distinct(),
                  "concept-threads")
     width = sets.groupBy("thread_id").agg(F.count(F.lit(1)).alias("df"))
-    per_concept = Window.partitionBy("concept_id").orderBy(F.desc("df"), F.desc("thread_id"))
-    ranked = stage(sets.join(width, "thread_id").withColumn(
-        "rank", F.row_number().over(per_concept)), "concept-thread-ranks")
-    prefix = ranked.filter(F.col("rank") > 1).select("concept_id", "thread_id")
-    widest = ranked.filter(F.col("rank") == 1).select("concept_id", "thread_id")
+    widest = stage(
+        sets.join(width, "thread_id").groupBy("concept_id")
+        .agg(F.max(F.struct("df", "thread_id")).alias("top"))
+        .select("concept_id", F.col("top.thread_id").alias("thread_id")), "widest-threads")
+    prefix = sets.join(widest, ["concept_id", "thread_id"], "left_anti")
     pairs = (
         prefix.select(F.col("concept_id").alias("a"), "thread_id")
         .join(prefix.select(F.col("concept_id").alias("b"), "thread_id"), "thread_id")

@@ -64,8 +64,9 @@ def query_vector(query: str, df: DataFrame, n: Column) -> DataFrame:
     spark = df.sparkSession
     bag = Counter(X.tokenize_text(query))
     words = spark.createDataFrame(list(bag.items()), "token string, c bigint")
-    known = df.join(words, "token").select(
-        "token", (F.col("c") * idf(n, F.col("df"))).alias("raw"))  # a common factor cancels
+    known = stage(df.join(words, "token").select(
+        "token", (F.col("c") * idf(n, F.col("df"))).alias("raw")), "query-terms")
+    # Dividing by the token total would cancel in the norm.
     norm = known.agg(F.sqrt(F.sum(F.col("raw") * F.col("raw")))).scalar()
     return known.select("token", (F.col("raw") / norm).alias("q")).filter(F.col("q").isNotNull())
 
@@ -76,8 +77,8 @@ def tfidf_search(docs: DataFrame, key: str, text: Column, query: str,
     words = sorted(set(X.tokenize_text(query)))
     toks = docs.select(key, X.tokenize(text).alias("toks"))
     # Frequencies need every document, but shuffle one count per token and task.
-    df = (toks.select(F.explode(F.array_distinct("toks")).alias("token"))
-          .groupBy("token").agg(F.count(F.lit(1)).alias("df")))
+    df = stage(toks.select(F.explode(F.array_distinct("toks")).alias("token"))
+               .groupBy("token").agg(F.count(F.lit(1)).alias("df")), "document-frequency")
     n = F.greatest(_count(docs), F.lit(1))
     # Only documents sharing a word with the query need their vectors.
     near = toks.filter(F.arrays_overlap(
@@ -268,11 +269,12 @@ def drift(log: DataFrame, window: int = P.DRIFT_WINDOW) -> DataFrame:
     text = log_ops.search_body().alias("text")
     latest = mine.orderBy(F.desc("seq")).limit(3 * window).select("seq", text)
     everything = log.orderBy(F.desc("seq")).limit(3 * window).select("seq", text)
-    enough = _count(latest) > window
-    rows = (latest.withColumn("use", enough)
-            .unionByName(everything.withColumn("use", ~enough)).filter("use"))
-    place = F.row_number().over(Window.partitionBy("use").orderBy(F.desc("seq")))
-    rows = rows.withColumn("place", place)  # at most 3 * window rows
+    # Two short lists of rows; all that follows reads these.
+    ends = stage(latest.withColumn("mine", F.lit(True)).unionByName(
+        everything.withColumn("mine", F.lit(False))), "log-ends")
+    enough = ends.agg(F.count_if("mine")).scalar() > window
+    place = F.row_number().over(Window.partitionBy("mine").orderBy(F.desc("seq")))
+    rows = ends.withColumn("place", place).filter(F.col("mine") == enough)
     bags = rows.select((F.col("place") <= window).alias("recent"), "place",
                        F.explode(X.tokenize(F.col("text"))).alias("token"))
     scope = rows.agg(F.count(F.lit(1)).alias("n")).scalar()
@@ -324,7 +326,7 @@ def topic_cooccurrence(log: DataFrame) -> DataFrame:
 
 def linked_degree(log: DataFrame, block: int | None = None) -> DataFrame:
     """(seq, linked): sessions per artifact path, overridden by artifacts per session."""
-    pairs = artifact_sessions(log, block)
+    pairs = stage(artifact_sessions(log, block), "artifact-sessions")
     per_path = pairs.groupBy("path").agg(F.count(F.lit(1)).alias("by_path"))
     per_session = pairs.groupBy("session").agg(F.count(F.lit(1)).alias("by_session"))
     touched = (log.filter(F.col("type") == "artifact").select("seq", "path")

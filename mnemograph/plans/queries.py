@@ -15,7 +15,7 @@ from mnemograph.operators import attention as A
 from mnemograph.operators import digest, folds, log_ops, mining, retrieval
 from mnemograph.operators import graph as G
 from mnemograph.operators import relational as R
-from mnemograph.session import stage, stage_root, widened
+from mnemograph.session import stage, stage_all, stage_root, widened
 from mnemograph.sources import tables as T
 from mnemograph.sources.schema import conform
 from mnemograph.streaming import incremental as inc
@@ -356,7 +356,8 @@ def triggered_procedures(spark, sf):
 
 def _spread(spark, sf, hops):
     g = graph_of(spark, sf)
-    act = A.spread(A.seeds(g, AS_OF), A.adjacency(g.edges), hops)
+    nodes, adj = stage_all(seeds=A.seeds(g, AS_OF), adjacency=A.adjacency(g.edges))
+    act = A.spread(nodes, adj, hops)
     return act.select("event_id", S.rounded(F.col("activation")).alias("activation"))
 
 

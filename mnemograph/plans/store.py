@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import dataclasses
 import json
+import uuid
 from datetime import datetime, timezone
 
 from pyspark.errors import AnalysisException
@@ -29,7 +30,6 @@ class Store:
     def __init__(self, spark: SparkSession, root: str, as_of: str | None = None):
         self.spark, self.root, self._as_of = spark, root.rstrip("/"), as_of
         self.log_path = f"{self.root}/log"
-        self._graphs: dict[tuple, G.Graph] = {}
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 
     # -- log --------------------------------------------------------------------
@@ -57,14 +57,15 @@ class Store:
     def append_frame(self, events: DataFrame) -> None:
         """Append a batch; positions continue after the lines the log holds."""
         first = self.line_count() + 1
-        sinks.append(sinks.to_lines(events, first, self.now()), self.log_path, first)
+        batch = sinks.placed(events, first)
+        sinks.append(sinks.to_lines(batch, self.now()), self.log_path, first)
 
     def append(self, type_: str, **fields) -> dict:
         """Append one event; lists may be given as comma-separated strings."""
         if not type_ or not isinstance(type_, str):
             raise ValueError("an event needs a type")
-        row = {"ord": 0, "type": type_}
-        kinds = {"ord": "int", "type": "string"}
+        first = self.line_count() + 1
+        row, kinds = {"seq": first, "type": type_}, {"seq": "bigint", "type": "string"}
         for name, value in fields.items():
             name = "base" if name == "from" else name
             kind = schema.COLUMNS.get(name)
@@ -77,8 +78,7 @@ class Store:
             kinds[name] = kind
         frame = self.spark.createDataFrame(
             [tuple(row.values())], ", ".join(f"`{n}` {k}" for n, k in kinds.items()))
-        first = self.line_count() + 1
-        lines = sinks.to_lines(frame, first, self.now())
+        lines = sinks.to_lines(frame, self.now())
         out = json.loads(lines.collect()[0]["value"])  # the one event just made
         sinks.append(lines, self.log_path, first)
         return out
@@ -182,23 +182,26 @@ class Store:
         """
         log = self.log()
         mark = {"events": log.count(), "schema": SCHEMA_VERSION, "as_of": self._as_of or ""}
-        if not force and self._watermark(branch) == mark:
+        old = self._watermark(branch)
+        if not force and old and {k: old[k] for k in mark} == mark:
             return False
         main = stage(log_ops.for_branch(log, branch), "branch-log")
         graph = G.build(main, self.now())
-        home = f"{self.root}/graph/{branch}"
+        # A new folder per build; replacing the mark is what publishes it.
+        mark["home"] = f"{self.root}/graph/{branch}/v-{uuid.uuid4().hex}"
         for field in dataclasses.fields(graph):
-            sinks.write_table(getattr(graph, field.name), f"{home}/{field.name}")
-        sinks.write_json(self.spark.createDataFrame([tuple(mark.values())],
-                                                    "events bigint, schema bigint, as_of string"),
-                         f"{home}/mark")
+            sinks.write_table(getattr(graph, field.name), f"{mark['home']}/{field.name}")
+        sinks.write_json(
+            self.spark.createDataFrame([tuple(mark.values())],
+                                       "events bigint, schema bigint, as_of string, home string"),
+            f"{self.root}/graph/{branch}/mark")
         if branch == P.MAIN:
             sinks.export_threads(graph.threads, f"{self.root}/runtime/threads")
         return True
 
     def graph(self, branch: str = P.MAIN) -> G.Graph:
         self.build(branch)
-        home = f"{self.root}/graph/{branch}"
+        home = self._watermark(branch)["home"]
         return G.Graph(**{f.name: self.spark.read.parquet(f"{home}/{f.name}")
                           for f in dataclasses.fields(G.Graph)})
 
@@ -440,8 +443,10 @@ class Store:
             F.lit(message).alias("msg"), F.col("refs").alias("stale_threads")), "reflection"))
         return {"summary": message, "counts": c}
 
-    def compress(self) -> None:
+    def compress(self) -> DataFrame:
+        """Write every digest; returns the threads whose digest stands in for them."""
         digest.write_digests(self.graph(), f"{self.root}/threads")
+        return digest.stand_ins(self.graph())
 
     def digest(self, thread_id: str) -> DataFrame:
         return digest.digest_text(self.graph(), thread_id)

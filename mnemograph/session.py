@@ -24,6 +24,9 @@ def get_spark(master: str | None = None, **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+_local_roots: dict[str, str] = {}
+
+
 def stage_root(spark: SparkSession) -> str:
     """Shared folder for stage tables: ``spark.checkpoint.dir`` of the session.
 
@@ -33,12 +36,13 @@ def stage_root(spark: SparkSession) -> str:
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
-        return root
+        return root.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    root = "file://" + tempfile.mkdtemp(prefix="mnemograph-stages-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    app = spark.sparkContext.applicationId
+    if app not in _local_roots:
+        _local_roots[app] = "file://" + tempfile.mkdtemp(prefix="mnemograph-stages-")
+    return _local_roots[app]
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnemograph import params as P
 from mnemograph.functions import scoring as S
 from mnemograph.functions.scoring import truthy
+from mnemograph.operators.ordered import ordinals
+from mnemograph.session import stage
 from mnemograph.sources import schema
 
 # Column order of an appended line; absent fields are left out of the JSON.
@@ -17,15 +19,23 @@ LINE_ORDER = ["t", "type", *[f for f in schema.TEXT_FIELDS if f not in ("t", "ty
               *schema.LIST_FIELDS, *schema.INT_FIELDS, *schema.REAL_FIELDS, "metrics"]
 
 
-def to_lines(events: DataFrame, first_seq: int, now: str) -> DataFrame:
-    """(seq, value): one JSON line per event, ready to append.
+def placed(events: DataFrame, first_seq: int) -> DataFrame:
+    """Give a batch positions from ``first_seq`` on, in the order of ``ord``.
 
-    ``events`` holds canonical fields and an ``ord`` that ranks the batch. The
-    batch is what one caller appends, so its ranking is small.
+    The sorted batch is written once, so its order is fixed before it is counted.
     """
+    splits = stage(
+        events.repartitionByRange("ord").sortWithinPartitions("ord")
+        .withColumn("split", F.spark_partition_id())
+        .withColumn("local", F.monotonically_increasing_id()), "batch")
+    return ordinals(splits, ("split",), "local", "pos").withColumn(
+        "seq", F.col("pos") + F.lit(first_seq - 1))
+
+
+def to_lines(events: DataFrame, now: str) -> DataFrame:
+    """(seq, value): one JSON line per event with a ``seq``, ready to append."""
     have = set(events.columns)
-    rank = F.row_number().over(Window.orderBy("ord")) + F.lit(first_seq - 1)
-    rows = events.filter(truthy(F.col("type")).isNotNull()).withColumn("seq", rank)
+    rows = events.filter(truthy(F.col("type")).isNotNull())
     given = {c: F.col(c) for c in LINE_ORDER if c in have}
     given["t"] = F.coalesce(given.get("t", F.lit(None).cast("string")), F.lit(now))
     given["event_id"] = F.coalesce(
