@@ -7,9 +7,11 @@ import json
 import os
 import sys
 
+from pyspark.sql import SparkSession
+
 from mnemograph import params as P
 from mnemograph.plans.store import Store
-from mnemograph.session import get_spark
+from mnemograph.session import clear_stages, get_spark
 from mnemograph.sources import facts, sinks
 
 
@@ -69,6 +71,15 @@ def show(df, n: int = 50) -> None:
 
 def main(argv: list[str] | None = None) -> int:
     a = parser().parse_args(argv)
+    try:
+        return run(a)
+    finally:
+        spark = SparkSession.getActiveSession()
+        if spark is not None:
+            clear_stages(spark)
+
+
+def run(a: argparse.Namespace) -> int:
     if a.verb == "home":
         print(a.root)
         return 0

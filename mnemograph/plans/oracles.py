@@ -1000,5 +1000,78 @@ _SELECTS["streaming_ema"] = f"""SELECT pid AS procedure_id, {rnd('arg_max(s, j)'
  max(j) AS uses FROM x_fold GROUP BY 1"""
 
 
+# Query hits over node bodies, and the full window of one agent built on them.
+CTES["n_tok"] = f"SELECT event_id, unnest({tokens('body')}) AS token FROM nodes"
+CTES["n_tf"] = "SELECT event_id, token, count(*) AS tf FROM n_tok GROUP BY 1, 2"
+CTES["n_df"] = "SELECT token, count(*) AS df FROM n_tf GROUP BY 1"
+CTES["n_n"] = "SELECT count(*)::DOUBLE AS n FROM nodes"
+CTES["n_raw"] = """
+ SELECT f.event_id, token, tf / total::DOUBLE * (ln(n / (df + 1)) + 1) AS raw FROM n_tf f
+ JOIN (SELECT event_id, sum(tf) AS total FROM n_tf GROUP BY 1) l ON l.event_id = f.event_id
+ JOIN n_df USING (token), n_n"""
+CTES["n_vec"] = f"""
+ SELECT r.event_id, token, {rnd('raw / norm', 6)} AS weight FROM n_raw r JOIN (
+  SELECT event_id, sqrt(sum(raw * raw)) AS norm FROM n_raw GROUP BY 1) q
+ ON q.event_id = r.event_id WHERE norm > 0"""
+CTES["nq_raw"] = f"""
+ SELECT token, c * (ln(n / (df + 1)) + 1) AS raw FROM (SELECT token, count(*) AS c FROM (
+  SELECT unnest({tokens("'" + QUERY + "'")}) AS token) GROUP BY 1) JOIN n_df USING (token), n_n"""
+CTES["n_hits"] = f"""
+ SELECT event_id, 0.6::DOUBLE + 0.4::DOUBLE * similarity AS q FROM (
+  SELECT event_id, {rnd('least(1.0, greatest(0.0, sum(weight * raw / norm)))')} AS similarity
+  FROM n_vec JOIN nq_raw USING (token), (SELECT sqrt(sum(raw * raw)) AS norm FROM nq_raw)
+  GROUP BY 1) WHERE similarity > 0 ORDER BY similarity DESC, event_id LIMIT 8"""
+_SELECTS["seed_query_hits"] = f"SELECT event_id, {rnd('q')} AS q FROM n_hits"
+CTES["w_fired"] = f"""
+ SELECT DISTINCT procedure_id, outcome_score FROM
+  (SELECT procedure_id, outcome_score, lower(trim(unnest(string_split(trigger_, ',')))) AS term
+   FROM proc WHERE trigger_ <> '') p
+ JOIN (SELECT DISTINCT lower(body) AS hay FROM nodes WHERE unresolved = 1
+   UNION SELECT lower('{QUERY}')) h ON contains(h.hay, p.term)"""
+CTES["w_seeded"] = f"""
+ SELECT n.event_id, b.act AS base, coalesce(greatest(CASE WHEN n.cold = 0 THEN greatest(
+   CASE WHEN p.f IS NULL AND r.x IS NULL AND m.n IS NULL THEN NULL
+    ELSE coalesce(p.f, 0.0) + coalesce(r.x, 0.0) + 0.65::DOUBLE * coalesce(m.n, 0) END, h.q) END,
+   0.5::DOUBLE * l.lift), 0.0) AS seed
+ FROM nodes n JOIN base_act b ON b.event_id = n.event_id
+ LEFT JOIN (SELECT event_id, max(f) AS f FROM (SELECT event_id, f FROM floors
+   UNION ALL SELECT procedure_id, 0.6::DOUBLE * outcome_score FROM w_fired) GROUP BY 1) p
+  ON p.event_id = n.event_id
+ LEFT JOIN n_hits h ON h.event_id = n.event_id LEFT JOIN lifts l ON l.event_id = n.event_id
+ LEFT JOIN (SELECT event_id, 0.55::DOUBLE AS x FROM nodes
+   WHERE type IN ({strings(P.ROLE_TYPES['coder'])})) r ON r.event_id = n.event_id
+ LEFT JOIN (SELECT event_id, count(*) AS n FROM mem WHERE thread_id IN ({strings(LANE)})
+   GROUP BY 1) m ON m.event_id = n.event_id"""
+CTES["w0"] = "SELECT event_id, base + seed AS act FROM w_seeded"
+for _i in (1, 2):
+    CTES[f"w{_i}"] = f"""
+ SELECT s.event_id, 0.6::DOUBLE * base + 0.3::DOUBLE * coalesce(r.x, 0.0) + seed AS act
+ FROM w_seeded s LEFT JOIN (SELECT v, sum(w * act) AS x FROM adj JOIN w{_i - 1} a
+  ON a.event_id = adj.u GROUP BY 1) r ON r.v = s.event_id"""
+inhibit_from("w2", "winh")
+CTES["w_mix"] = """
+ SELECT i.event_id, 0.7::DOUBLE * i.act + (1 - 0.7::DOUBLE) * coalesce(a.activation, 0.0) AS act
+ FROM winh4 i LEFT JOIN acted a ON a.event_id = i.event_id"""
+CTES["w_peaks"] = "SELECT thread_id, max(act) AS p FROM mem JOIN w_mix USING (event_id) GROUP BY 1"
+CTES["w_first"] = "SELECT thread_id, p FROM w_peaks ORDER BY p DESC, thread_id LIMIT 1"
+CTES["w_second"] = "SELECT thread_id FROM w_peaks ORDER BY p DESC, thread_id LIMIT 1 OFFSET 1"
+CTES["w_osc"] = """
+ SELECT x.event_id, x.act * CASE WHEN w.event_id IS NULL THEN 1.0::DOUBLE ELSE 0.75::DOUBLE END
+  + CASE WHEN r.event_id IS NULL THEN 0.0::DOUBLE ELSE 0.2::DOUBLE * f.p END AS act
+ FROM w_mix x LEFT JOIN (SELECT event_id FROM mem JOIN w_first USING (thread_id)) w
+  ON w.event_id = x.event_id
+ LEFT JOIN (SELECT event_id FROM mem JOIN w_second USING (thread_id)) r
+  ON r.event_id = x.event_id
+ CROSS JOIN (SELECT p FROM w_first) f"""
+CTES["w_woken"] = """
+ SELECT thread_id FROM mem JOIN w_osc USING (event_id) JOIN thr USING (thread_id)
+ WHERE status = 'dormant' GROUP BY 1 HAVING max(act) > 0.4"""
+_SELECTS["attend_agent_window"] = f"""SELECT o.event_id, s.base, {rnd('s.seed')} AS seed,
+ {rnd('o.act + 0.125::DOUBLE * coalesce(u.n, 0)')} AS activation
+FROM w_osc o JOIN w_seeded s ON s.event_id = o.event_id
+LEFT JOIN (SELECT event_id, count(*) AS n FROM mem JOIN w_woken USING (thread_id) GROUP BY 1) u
+ ON u.event_id = o.event_id"""
+
+
 def statements() -> dict[str, str]:
     return {name: sql(text) for name, text in _SELECTS.items()}

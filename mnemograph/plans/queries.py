@@ -15,7 +15,7 @@ from mnemograph.operators import attention as A
 from mnemograph.operators import digest, folds, log_ops, mining, retrieval
 from mnemograph.operators import graph as G
 from mnemograph.operators import relational as R
-from mnemograph.session import stage, stage_all, stage_root, widened
+from mnemograph.session import stage, stage_all, stage_folder, widened
 from mnemograph.sources import tables as T
 from mnemograph.sources.schema import conform
 from mnemograph.streaming import incremental as inc
@@ -648,7 +648,7 @@ SLICES = 4
 
 def _streamed(spark, sf, job, name: str) -> str:
     """Let the log arrive in four parts and resume the stream after each one."""
-    home = f"{stage_root(spark)}/{name}-{uuid.uuid4().hex}"
+    home = f"{stage_folder(spark)}/{name}-{uuid.uuid4().hex}"
     log = log_of(spark, sf)
     top = log.agg(F.max("seq")).collect()[0][0]  # one number
     for i in range(SLICES):

@@ -54,9 +54,26 @@ class Store:
     def line_count(self) -> int:
         return jsonl.line_count(self.spark, self.log_path) if self.exists() else 0
 
+    def next_position(self) -> int:
+        """One past the last line, counting only the newest appended folder.
+
+        A folder's name holds its first position. A log without such folders,
+        as when files were copied in, is counted whole.
+        """
+        if not self.exists():
+            return 1
+        files = (self.spark.read.option("recursiveFileLookup", True).text(self.log_path)
+                 .inputFiles())
+        named = [(int(m.group(1)), f) for f in files if (m := sinks.FOLDER.search(f))]
+        if not named:
+            return self.line_count() + 1
+        first = max(n for n, _ in named)
+        newest = [f for n, f in named if n == first]
+        return first + jsonl.line_count(self.spark, *newest)
+
     def append_frame(self, events: DataFrame) -> None:
         """Append a batch; positions continue after the lines the log holds."""
-        first = self.line_count() + 1
+        first = self.next_position()
         batch = sinks.placed(events, first)
         sinks.append(sinks.to_lines(batch, self.now()), self.log_path, first)
 
@@ -64,7 +81,7 @@ class Store:
         """Append one event; lists may be given as comma-separated strings."""
         if not type_ or not isinstance(type_, str):
             raise ValueError("an event needs a type")
-        first = self.line_count() + 1
+        first = self.next_position()
         row, kinds = {"seq": first, "type": type_}, {"seq": "bigint", "type": "string"}
         for name, value in fields.items():
             name = "base" if name == "from" else name
@@ -181,7 +198,7 @@ class Store:
         ``as_of`` when one is fixed, under this schema.
         """
         log = self.log()
-        mark = {"events": log.count(), "schema": SCHEMA_VERSION, "as_of": self._as_of or ""}
+        mark = {"events": self.next_position() - 1, "schema": SCHEMA_VERSION, "as_of": self._as_of or ""}
         old = self._watermark(branch)
         if not force and old and {k: old[k] for k in mark} == mark:
             return False

@@ -45,6 +45,17 @@ def stage_root(spark: SparkSession) -> str:
     return _local_roots[app]
 
 
+def stage_folder(spark: SparkSession) -> str:
+    """The folder of this application's stage tables."""
+    return f"{stage_root(spark)}/{spark.sparkContext.applicationId}"
+
+
+def clear_stages(spark: SparkSession) -> None:
+    """Delete this application's stage tables, once no DataFrame needs them."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(stage_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared stage folder and read it back.
 
@@ -52,7 +63,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     executors, and the read-back scan prunes columns and pushes filters.
     """
     spark = df.sparkSession
-    path = f"{stage_root(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{stage_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

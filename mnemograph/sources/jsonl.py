@@ -75,10 +75,11 @@ def fields(v: Column) -> dict[str, Column]:
     return out
 
 
-def raw_lines(spark: SparkSession, path: str) -> DataFrame:
+def raw_lines(spark: SparkSession, *paths: str) -> DataFrame:
     """Non-blank lines with their split and a number growing by one inside it."""
     return (
-        spark.read.option("lineSep", "\n").option("recursiveFileLookup", True).text(path)
+        spark.read.option("lineSep", "\n").option("recursiveFileLookup", True)
+        .text(list(paths))
         .select("value", F.col("_metadata.file_path").alias("file"),
                 F.col("_metadata.file_block_start").alias("start"))
         .filter(F.trim("value") != ""))
@@ -105,6 +106,6 @@ def malformed_lines(spark: SparkSession, path: str) -> DataFrame:
         ~F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))).select("value")
 
 
-def line_count(spark: SparkSession, path: str) -> int:
+def line_count(spark: SparkSession, *paths: str) -> int:
     """Non-blank lines, malformed ones included: the base of event id allocation."""
-    return raw_lines(spark, path).count()
+    return raw_lines(spark, *paths).count()

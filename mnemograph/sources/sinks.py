@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,6 +20,10 @@ LINE_ORDER = ["t", "type", *[f for f in schema.TEXT_FIELDS if f not in ("t", "ty
               *schema.LIST_FIELDS, *schema.INT_FIELDS, *schema.REAL_FIELDS, "metrics"]
 
 
+# Fixed value: an appended folder is named by its first position.
+FOLDER = re.compile(r"/part-(\d{20})-")
+
+
 def placed(events: DataFrame, first_seq: int) -> DataFrame:
     """Give a batch positions from ``first_seq`` on, in the order of ``ord``.
 

@@ -101,3 +101,22 @@ def test_working_context_respects_its_budget():
     loops = [{"salience": 0.5, "msg": "x" * 60}] * lens.LOOP_LINES
     text = lens.working_context(state, loops, None, None, NOW)
     assert len(text) == 6000 + len(lens.TRUNCATED) and "(no objective recorded)" in text
+
+
+def test_command_line_round_trip(spark, tmp_path, capsys):
+    from mnemograph import cli
+
+    def run(*args):
+        code = cli.run(cli.parser().parse_args(
+            ["--root", str(tmp_path / "home"), "--as-of", NOW, *args]))
+        return code, capsys.readouterr().out
+    code, out = run("append", "decision", "msg=use sqlite", "thread_ids=t1,t2", "junk")
+    assert code == 0 and '"event_id":"evt_1"' in out.replace(" ", "")
+    run("append", "concept_formed", "concept_id=cpt_x", "agent=coder", "evidence=evt_1")
+    assert '"evt_2"' in run("audit")[1]
+    assert "built" in run("build")[1] and "up to date" in run("build")[1]
+    assert '"thread_id":"t1"' in run("threads")[1]
+    assert "use sqlite" in run("search", "sqlite")[1]
+    assert run("home")[1].strip() == str(tmp_path / "home")
+    assert "coder" in run("roles")[1]
+    assert run("append")[0] == 2
