@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -126,7 +128,6 @@ def dense_search(spark: SparkSession, path: str, facts: DataFrame, query: str, e
 def fact_text(number: int, concept: str, statement: str, tags: list[str], confidence: str,
               source: str, date: str) -> tuple[str, str]:
     """(file name, text) of a new fact."""
-    import re
     name = f"FACT-{number:03d}"
     tail = re.sub(r"[^a-z0-9]+", "-", concept.lower())[:40]
     return f"{name}_{tail}.md", FACT_TEMPLATE.format(
