@@ -6,13 +6,28 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from mnemograph.llm import bpe_codec, token_counts
-from mnemograph.llm.common import documents, tokenizer_path
+from mnemograph.llm import bpe_codec, impact_search, packing, preference, token_counts
+from mnemograph.llm.common import documents, stage, table, tokenizer_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
 
 
+def op4_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preference.format_preferences(
+        preference.stale_reply_pairs(table(spark, sf_dir, "conversations")))
+
+
+def op5_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(documents(spark, sf_dir), tokenizer_path(WORD_BPE), digest=True)
+
+
+def op8_impact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = stage(impact_search.quantised(table(spark, sf_dir, "embeddings")), "vectors")
+    index = stage(impact_search.build_index(vectors), "impact-index")
+    return impact_search.search(index, vectors.where(F.col("id") % 100 == 0), 10)
+
+
 def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = bpe_codec.encode(documents(spark, sf_dir), tokenizer_path(WORD_BPE), decoded=True)
     return done.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
@@ -25,8 +40,58 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op4_preferences": op4_preferences,
+    "op5_best_fit": op5_best_fit,
+    "op8_impact_search": op8_impact_search,
     "op9_bpe_codec": op9_bpe_codec,
     "op10_token_counts": op10_token_counts,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_preferences": """
+WITH reply AS (
+    SELECT conv_id, min(turn) AS f, max(turn) AS l FROM conversations
+    WHERE role = 'assistant' GROUP BY conv_id),
+stale AS (
+    SELECT c.conv_id, min(c.text) AS text FROM conversations c JOIN reply r
+    ON c.conv_id = r.conv_id AND c.turn = r.f AND c.role = 'assistant' GROUP BY c.conv_id),
+rejected AS (
+    SELECT c.conv_id, c.turn, c.role,
+           CASE WHEN c.role = 'assistant' AND c.turn = r.l THEN s.text ELSE c.text END AS text
+    FROM conversations c LEFT JOIN reply r ON c.conv_id = r.conv_id
+    LEFT JOIN stale s ON c.conv_id = s.conv_id
+    WHERE r.l IS NULL OR NOT (c.role = 'assistant' AND c.turn = r.l AND r.f = r.l)),
+side AS (
+    SELECT 'chosen' AS part, conv_id, turn, role, text FROM conversations
+    UNION ALL SELECT 'rejected', conv_id, turn, role, text FROM rejected),
+split AS (
+    SELECT conv_id, min(turn) AS split FROM (
+        SELECT conv_id, turn FROM side GROUP BY conv_id, turn
+        HAVING count(*) < 2 OR count(DISTINCT role || chr(0) || text) > 1) GROUP BY conv_id),
+placed AS (
+    SELECT s.conv_id AS pair_id,
+           CASE WHEN p.split IS NULL OR s.turn < p.split THEN 'prompt' ELSE s.part END AS part,
+           s.turn AS position, s.role,
+           '<|' || s.role || '|>' || chr(10) || s.text || '<|end|>' || chr(10) AS rendered
+    FROM side s LEFT JOIN split p ON s.conv_id = p.conv_id
+    WHERE s.part = 'chosen' OR s.turn >= p.split)
+SELECT pair_id, part, position, role, rendered,
+       CAST(sum(length(rendered)) OVER (PARTITION BY pair_id, part ORDER BY position)
+            - length(rendered) AS BIGINT) AS start,
+       part <> 'prompt' AND role = 'assistant' AS trained,
+       CASE WHEN part <> 'prompt' AND role = 'assistant'
+            THEN CAST(length(role) + 5 AS BIGINT) END AS trained_from
+FROM placed""",
+    "op8_impact_search": """
+WITH v AS (
+    SELECT vec_id, list_transform(embedding, x -> CAST(floor(CAST(x AS DOUBLE) * 1024) AS BIGINT)) AS q
+    FROM embeddings
+    WHERE len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+    SELECT a.vec_id AS query_id, b.vec_id,
+           CAST(list_sum(list_transform(range(1, len(a.q) + 1), i -> a.q[i] * b.q[i])) AS BIGINT) AS score
+    FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0)
+SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM s)
+WHERE r <= 10""",
+}
