@@ -84,12 +84,12 @@ SELECT pair_id, part, position, role, rendered,
 FROM placed""",
     "op8_impact_search": """
 WITH v AS (
-    SELECT vec_id, list_transform(embedding, x -> CAST(floor(CAST(x AS DOUBLE) * 1024) AS BIGINT)) AS q
+    SELECT vec_id, [CAST(floor(CAST(x AS DOUBLE) * 1024) AS BIGINT) FOR x IN embedding] AS q
     FROM embeddings
-    WHERE len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+    WHERE len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
 s AS (
     SELECT a.vec_id AS query_id, b.vec_id,
-           CAST(list_sum(list_transform(range(1, len(a.q) + 1), i -> a.q[i] * b.q[i])) AS BIGINT) AS score
+           CAST(list_dot_product(CAST(a.q AS DOUBLE[]), CAST(b.q AS DOUBLE[])) AS BIGINT) AS score
     FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0)
 SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM (
     SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM s)
