@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from mnemograph.llm import bpe_codec, impact_search, packing, preference, token_counts
+from mnemograph.llm import bpe_codec, impact_search, packing, preference, quality, token_counts
 from mnemograph.llm.common import documents, stage, table, tokenizer_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judged(*quality.fitted(documents(spark, sf_dir), table(spark, sf_dir, "labels")))
+
+
 def op4_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preference.format_preferences(
         preference.stale_reply_pairs(table(spark, sf_dir, "conversations")))
@@ -40,6 +44,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op2_quality_rules": op2_quality_rules,
     "op4_preferences": op4_preferences,
     "op5_best_fit": op5_best_fit,
     "op8_impact_search": op8_impact_search,
