@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from mnemograph.llm import bpe_codec, impact_search, packing, preference, quality, token_counts
+from mnemograph.llm import bpe_codec, impact_search, packing, pii, preference, quality, token_counts
 from mnemograph.llm.common import documents, stage, table, tokenizer_path
 
 Query = Callable[[SparkSession, str], DataFrame]
+#: Only a stand-in: whoever runs this on real data passes a secret of their own.
+PII_KEY = b"pseudonyms of the registered query"
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
 
 
@@ -26,6 +28,12 @@ def op5_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), tokenizer_path(WORD_BPE), digest=True)
 
 
+def op6_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = pii.pseudonymized(documents(spark, sf_dir).select("doc_id", "text"), PII_KEY,
+                             spans_col="found")
+    return done.select("doc_id", "text", "found", F.size("found").alias("n_found"))
+
+
 def op8_impact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = stage(impact_search.quantised(table(spark, sf_dir, "embeddings")), "vectors")
     index = stage(impact_search.build_index(vectors), "impact-index")
@@ -47,6 +55,7 @@ QUERIES: dict[str, Query] = {
     "op2_quality_rules": op2_quality_rules,
     "op4_preferences": op4_preferences,
     "op5_best_fit": op5_best_fit,
+    "op6_pseudonyms": op6_pseudonyms,
     "op8_impact_search": op8_impact_search,
     "op9_bpe_codec": op9_bpe_codec,
     "op10_token_counts": op10_token_counts,
