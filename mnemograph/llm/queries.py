@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from mnemograph.llm import bpe_codec, impact_search, packing, pii, preference, quality, token_counts
+from mnemograph.llm import bpe_codec, impact_search, line_dedup, packing, pii, preference, quality, token_counts
 from mnemograph.llm.common import documents, stage, table, tokenizer_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -15,6 +15,12 @@ PII_KEY = b"pseudonyms of the registered query"
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = line_dedup.matched_lines(documents(spark, sf_dir))
+    return lines.select(F.col("doc").alias("doc_id"), F.col("line").alias("line_no"),
+                        "class_doc", "class_line", "to_doc", "to_line", "kept")
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(*quality.fitted(documents(spark, sf_dir), table(spark, sf_dir, "labels")))
 
@@ -52,6 +58,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_quality_rules": op2_quality_rules,
     "op4_preferences": op4_preferences,
     "op5_best_fit": op5_best_fit,
