@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from mnemograph.llm import bpe_codec, impact_search, line_dedup, packing, pii, preference, quality, token_counts
+from mnemograph.llm import (
+    bpe_codec, impact_search, line_dedup, near_dedup, packing, pii, preference, quality,
+    token_counts)
 from mnemograph.llm.common import documents, stage, table, tokenizer_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +42,11 @@ def op6_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "text", "found", F.size("found").alias("n_found"))
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    classes = near_dedup.near_classes(documents(spark, sf_dir))
+    return near_dedup.class_ids(classes).withColumnRenamed("doc", "doc_id")
+
+
 def op8_impact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = stage(impact_search.quantised(table(spark, sf_dir, "embeddings")), "vectors")
     index = stage(impact_search.build_index(vectors), "impact-index")
@@ -63,6 +70,7 @@ QUERIES: dict[str, Query] = {
     "op4_preferences": op4_preferences,
     "op5_best_fit": op5_best_fit,
     "op6_pseudonyms": op6_pseudonyms,
+    "op7_near_dedup": op7_near_dedup,
     "op8_impact_search": op8_impact_search,
     "op9_bpe_codec": op9_bpe_codec,
     "op10_token_counts": op10_token_counts,
