@@ -379,11 +379,21 @@ def without_lines(docs: DataFrame, removed: DataFrame, id_col: str = "doc_id",
     """``docs`` without the removed (doc, line); other columns and rows stay as they are."""
     doc, gone = "_ld_doc", "_ld_gone"
     lists = removed.groupBy(F.col("doc").alias(doc)).agg(
-        F.collect_set("line").alias(gone))     # lines of one document, fewer than it has
-    split = F.split(F.col(text_col), "\n", -1)
-    text = F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(F.array_join(F.filter(
-        F.transform(split, lambda x, i: F.when(~F.array_contains(F.col(gone), i), x)),
-        lambda x: x.isNotNull()), "\n"))
+        F.collect_set("line").alias(gone))     # lines of one document, no more than it has
     mine = F.coalesce(F.col(id_col).cast("bigint"), F.lit(NULL_ID))
-    return docs.join(lists, mine == F.col(doc), "left").select(
-        *[text.alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    joined = docs.join(lists, mine == F.col(doc), "left").select(*docs.columns, gone)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in text_slices(batches, text_col, SLICE_BYTES):
+            at = part.schema.get_field_index(text_col)
+            texts = part.column(at).to_pylist()
+            for i, lines in enumerate(part.column(part.num_columns - 1).to_pylist()):
+                if lines and texts[i] is not None:
+                    lost = set(lines)
+                    texts[i] = "\n".join(x for n, x in enumerate(texts[i].split("\n"))
+                                         if n not in lost)
+            cols = list(part.columns)[:-1]
+            cols[at] = pa.array(texts, cols[at].type)
+            yield pa.RecordBatch.from_arrays(cols, part.schema.names[:-1])
+
+    return arrow_map(joined, run, docs.schema)

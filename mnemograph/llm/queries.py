@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from mnemograph.llm import (
-    bpe_codec, impact_search, line_dedup, near_dedup, packing, pii, preference, quality,
+    bpe_codec, ctw, impact_search, line_dedup, near_dedup, packing, pii, preference, quality,
     token_counts)
 from mnemograph.llm.common import documents, stage, table, tokenizer_path
 
@@ -27,6 +27,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(*quality.fitted(documents(spark, sf_dir), table(spark, sf_dir, "labels")))
 
 
+def op3_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.scored(documents(spark, sf_dir))
+
+
 def op4_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preference.format_preferences(
         preference.stale_reply_pairs(table(spark, sf_dir, "conversations")))
@@ -67,6 +71,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_quality_rules": op2_quality_rules,
+    "op3_context_tree": op3_context_tree,
     "op4_preferences": op4_preferences,
     "op5_best_fit": op5_best_fit,
     "op6_pseudonyms": op6_pseudonyms,
