@@ -365,7 +365,7 @@ def scored(docs: DataFrame, held: Column | None = None, id_col: str = "doc_id",
             logs = np.log10((c + SMOOTH) / whole)
             code, owner = code[real], owner[real]
             known = np.bincount(owner, hit[code], n).astype(np.int64)
-            base = np.bincount(owner, np.where(hit, logs, 0.0)[code], n)
+            base = np.bincount(owner, np.where(hit, logs, 0.0)[code], n).astype(np.float64)
             tokens = np.bincount(owner, minlength=n) + 1
             # Other words of each text once, with their number, to be looked up in a join.
             rare = ~hit[code]

@@ -1,0 +1,400 @@
+"""Quality rules, pseudonyms, line and near dedup and scoring against brute force."""
+
+import collections
+import math
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from mnemograph.llm import ctw, line_dedup, near_dedup, pii, quality
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def invented(rng, n, vocabulary=300):
+    return " ".join(f"w{rng.randrange(vocabulary)}" for _ in range(n))
+
+
+# quality rules
+
+def plain_counts(text):
+    words = WORD.findall(text)
+    lines, seen = 0, set()
+    for line in text.split("\n"):
+        if WORD.search(line):
+            lines += line in seen
+            seen.add(line)
+    windows = collections.defaultdict(list)
+    for i in range(len(words) - 4):
+        windows[tuple(words[i:i + 5])].append(i)
+    inside = {i + k for v in windows.values() if len(v) > 1 for i in v for k in range(5)}
+    return (len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), lines, len(inside))
+
+
+def test_rule_statistics(docs_of, odd_texts):
+    rng = random.Random(1)
+    texts = odd_texts + [invented(rng, rng.randrange(80), 6) for _ in range(60)] + \
+        ["a b c d e a b c d e", "x\nx\n\n \ny\nx", "é#*<b>|é  é", "a\x1cb c\xa0d"]
+    for r in quality.rule_statistics(docs_of(texts)).collect():
+        assert tuple(r)[1:] == plain_counts(texts[r.doc_id] or "")
+    assert quality.rule_statistics(docs_of([])).count() == 0
+
+
+def quality_case(spark, docs_of):
+    rng = random.Random(2)
+    good = [invented(rng, 60) for _ in range(150)]
+    bad = [" ### ".join(invented(rng, 3) for _ in range(20)) for _ in range(25)]
+    docs = docs_of(good + bad + ["too short", None, "a b c d e f g h i j " * 9])
+    labels = spark.createDataFrame(
+        [(i, 1) for i in range(120)] + [(150 + i, 0) for i in range(15)] + [(None, 0), (5, None), (5, 1)],
+        "doc_id bigint, quality int")
+    return docs, labels
+
+
+def test_forests_learn_from_labels(spark, docs_of):
+    docs, labels = quality_case(spark, docs_of)
+    stats, model = quality.fitted(docs, labels)
+    rows = {r.doc_id: r for r in quality.judged(stats, model).collect()}
+    assert all(rows[i].kept for i in range(150))
+    assert not any(rows[i].kept for i in range(150, 175))
+    assert not rows[150].base_failed
+    assert all(rows[i].base_failed and not rows[i].kept for i in (175, 176, 177))
+    kept = quality.kept_documents(docs, model)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == set(range(150))
+
+
+def test_without_labels_only_plain_rules_reject(spark, docs_of):
+    docs, labels = quality_case(spark, docs_of)
+    _, model = quality.fitted(docs, labels.limit(0))
+    assert quality.kept_documents(docs, model).count() == 175
+    assert quality.kept_documents(docs.limit(0), model).count() == 0
+
+
+def test_isolation_finds_the_outlier():
+    rng = np.random.default_rng(1)
+    x = np.vstack([rng.normal(0, 1, (500, 4)), [[9, 9, 9, 9]]])
+    scores = quality.Forest.fitted(x, [0, 1, 2, 3], 0).scores(x)
+    assert scores.argmax() == 500
+
+
+# pseudonyms
+
+VALUES = ["4111 1111 1111 1111", "4111111111111111", "+1 (017) 555-7713", "97.51.17.173", "2024-02-29",
+          "31/12/1999", "123-45-6789", "DE89 3704 0044 0532 0130 00", "jo.34@mail7.example.com"]
+LOOKALIKES = ["4111 1111 1111 1112", "300.1.1.1", "2023-02-29", "000-12-1234", "version 1.2.3", "x = 5",
+              "DE88 3704 0044 0532 0130 00"]
+
+
+def test_pseudonyms_keep_format_link_and_turn_back(docs_of):
+    texts = [f"on {v} and again {v}." for v in VALUES] + LOOKALIKES + [None, "", "a " * 9000 + VALUES[0]]
+    docs = docs_of(texts)
+    done = pii.pseudonymized(docs, b"key", spans_col="found")
+    rows = {r.doc_id: r for r in done.collect()}
+    for i, v in enumerate(VALUES):
+        new = rows[i].text
+        first, second = (new[s["start"]:s["end"]] for s in rows[i].found)
+        assert v not in new and first == second and len(rows[i].found) == 2
+        assert len(first) == len(v.split("@")[0]) or rows[i].found[0]["kind"] == "ipv4"
+        again = pii.Permuter(b"key").replaced(new)[1]
+        assert [k for k, *_ in again] == [s["kind"] for s in rows[i].found]     # still valid
+    for i, v in enumerate(LOOKALIKES, len(VALUES)):
+        assert rows[i].text == v and rows[i].found == []
+    assert rows[len(texts) - 3].text is None
+    assert VALUES[0] not in rows[len(texts) - 1].text
+    cards = [rows[0].text, rows[1].text, rows[len(texts) - 1].text]
+    assert len({re.sub(r"\D", "", re.search(r"\d[\d ]+\d", t)[0]) for t in cards}) == 1   # linked
+    assert [r.text for r in pii.reveal(done, b"key").orderBy("doc_id").collect()] == texts
+    assert pii.pseudonymized(docs, b"key").columns == docs.columns
+    assert pii.pseudonymized(docs.limit(0), b"key").count() == 0
+    assert pii.Permuter(b"other").replaced(texts[0])[0] != rows[0].text
+
+
+def test_feistel_is_a_permutation():
+    for radix, width in ((10, 3), (10, 1), (26, 2), (2, 9)):
+        f = pii.Feistel(b"k" * 32, "t", radix, width)
+        image = [f.forth(x) for x in range(radix ** width)]
+        assert sorted(image) == list(range(radix ** width))
+        assert all(f.back(y) == x for x, y in enumerate(image))
+
+
+# line dedup
+
+def plain_matches(texts):
+    sets = [(i, n, frozenset(line.encode().split())) for i, t in texts
+            for n, line in enumerate((t or "").split("\n"))]
+    sets = sorted((x for x in sets if x[2]), key=lambda x: x[:2])
+    first = {}
+    for i, n, s in sets:
+        first.setdefault(s, (i, n))
+    kinds = list(first)
+    linked = {s: any(10 * len(s & o) >= 8 * len(s | o) for o in kinds[:k]) for k, s in enumerate(kinds)}
+    return {(i, n): (*first[s], linked[s], (i, n) == first[s] and not linked[s]) for i, n, s in sets}
+
+
+def line_texts():
+    rng = random.Random(4)
+    base = [invented(rng, rng.randrange(1, 40)).split() for _ in range(12)]
+    texts = []
+    for i in range(70):
+        lines = []
+        for _ in range(rng.randrange(1, 6)):
+            words = list(rng.choice(base))
+            for _ in range(rng.randrange(3)):
+                words[rng.randrange(len(words))] = f"w{rng.randrange(300)}"
+            rng.shuffle(words)
+            lines.append(" ".join(words[:rng.randrange(1, len(words) + 1)] if rng.random() < .2 else words))
+        texts.append("\n".join(lines))
+    return texts
+
+
+@pytest.mark.parametrize("hot,named", [(20_000, 3), (40, 1)])
+def test_line_matches(docs_of, odd_texts, monkeypatch, hot, named):
+    monkeypatch.setattr(line_dedup, "HOT", hot)        # also with pairs of words as keys
+    monkeypatch.setattr(line_dedup, "NAMED", named)    # and where all candidates are needed
+    texts = [t for t in odd_texts if t is None or len(t) < 10_000] + line_texts()
+    rows = line_dedup.matched_lines(docs_of(texts)).collect()
+    got = {(r.doc, r.line): (r.class_doc, r.class_line, r.to_doc is not None, r.kept) for r in rows}
+    assert len(rows) == len(got) and got == plain_matches(list(enumerate(texts)))
+
+
+def test_all_candidates_of_open_lines(spark, docs_of):
+    texts = line_texts()
+    docs = line_dedup._pairs(docs_of(texts), "doc_id", "text")
+    classes = line_dedup.classes_of(line_dedup.line_sets(docs, line_dedup.rarity(docs)))
+    post = line_dedup.postings_of(classes)
+    every = line_dedup.stage(line_dedup.all_candidates(post, classes.select("doc", "line")), "t")
+    found = {(r.doc, r.line) for r in line_dedup.verified(docs, every).collect()}
+    want = plain_matches(list(enumerate(texts)))
+    assert found == {k for k, (a, b, linked, _) in want.items() if linked and k == (a, b)}
+
+
+def test_lines_are_removed(docs_of):
+    texts = ["a b c d e\nkeep me", "a b c d e\n\nother words here", None, ""]
+    docs = docs_of(texts, [3, 5, None, 7])
+    lines = line_dedup.matched_lines(docs)
+    out = line_dedup.without_lines(docs, lines.where("NOT kept").select("doc", "line"))
+    assert out.columns == docs.columns
+    assert {r.doc_id: r.text for r in out.collect()} == {
+        3: texts[0], 5: "\nother words here", None: None, 7: ""}
+    empty = docs.limit(0)
+    assert line_dedup.matched_lines(empty).count() == 0
+    assert line_dedup.without_lines(empty, lines.select("doc", "line")).count() == 0
+
+
+# near dedup
+
+def plain_weighted(a, b, weight):
+    def bag(text):
+        w = text.encode().split()
+        out = collections.Counter()
+        for i in range(max(len(w) - 4, 1) if w else 0):
+            out[tuple(w[i:i + 5])] += 1
+        return out
+    a, b = bag(a), bag(b)
+    both = sum(min(a[x], b[x]) * weight for x in a)
+    return both / max(sum(a.values()) + sum(b.values()) - both, 1e-9)
+
+
+def near_texts():
+    rng = random.Random(6)
+    texts = []
+    for _ in range(12):
+        base = invented(rng, rng.randrange(60, 200), 5000).split()
+        texts.append(" ".join(base))
+        for _ in range(rng.randrange(8)):
+            copy = list(base)
+            for _ in range(rng.randrange(4)):
+                copy[rng.randrange(len(copy))] = f"e{rng.randrange(10 ** 6)}"
+            texts.append(" ".join(copy))
+    return texts
+
+
+def test_near_classes(docs_of, odd_texts):
+    texts = odd_texts + near_texts() + ["a b c", "a b c", "d"]
+    docs = docs_of(texts)
+    ids = {r.doc: r.class_id for r in near_dedup.class_ids(near_dedup.near_classes(docs)).collect()}
+    assert len(ids) == len(texts)
+    for i, a in enumerate(texts):
+        for j in range(i):
+            b, a_ = texts[j] or "", a or ""
+            if a_ == b:
+                assert ids[i] == ids[j]
+                continue
+            # Weights lie between 1 and 1 + DAMP, which moves similarities near 0.8 a little.
+            s = plain_weighted(a_, b, 1)
+            if s >= 0.83:
+                assert ids[i] == ids[j], s
+            if ids[i] == ids[j]:
+                assert a_.split() and b.split()
+    assert all(c <= i for i, c in ids.items())
+    assert ids[len(texts) - 1] == len(texts) - 1 and ids[len(texts) - 2] == ids[len(texts) - 3]
+    kept = near_dedup.one_of_each(docs, near_dedup.near_classes(docs))
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(ids.values()))
+
+
+def test_near_classes_of_repeated_rows_and_null_ids(docs_of):
+    docs = docs_of(["x y z", "x y z", "x y z", "other text", "other text"], [4, 4, None, 9, 9])
+    kept = near_dedup.one_of_each(docs, near_dedup.near_classes(docs)).collect()
+    assert sorted(r.text for r in kept) == ["other text", "x y z"]
+    assert near_dedup.class_ids(near_dedup.near_classes(docs)).count() == 5
+    empty = docs.limit(0)
+    assert near_dedup.one_of_each(empty, near_dedup.near_classes(empty)).count() == 0
+
+
+def test_second_round_finds_links_that_the_centre_misses(docs_of):
+    # A chain: each text is near the next, but its ends are far apart.
+    words = [f"c{i}" for i in range(400)]
+    chain = [" ".join(words[k * 12:k * 12 + 200]) for k in range(10)]
+    ids = near_dedup.class_ids(near_dedup.near_classes(docs_of(chain)))
+    assert ids.select("class_id").distinct().count() == 1
+
+
+def test_samples_agree_as_often_as_texts_are_similar():
+    rng = random.Random(8)
+    import pyarrow as pa
+    base = invented(rng, 300, 9000).split()
+    other = base[:240] + invented(rng, 60, 9000).split()
+    weight = np.ones(near_dedup.CELLS, np.float32)
+    old = near_dedup.BANDS, near_dedup.ROWS
+    near_dedup.BANDS, near_dedup.ROWS = 400, 1
+    try:
+        a, b = near_dedup.band_keys(near_dedup.Shingled(pa.array([" ".join(base), " ".join(other)])), weight)
+    finally:
+        near_dedup.BANDS, near_dedup.ROWS = old
+    want = plain_weighted(" ".join(base), " ".join(other), 1)
+    assert abs((a == b).mean() - want) < 0.08
+
+
+def test_components(spark):
+    rng = random.Random(9)
+    edges = [(rng.randrange(90), rng.randrange(90)) for _ in range(60)] + [(i, i + 1) for i in range(100, 140)]
+    code = lambda x: bytearray(f"{x:04}".encode())
+    rows = near_dedup.components(spark.createDataFrame(
+        [(code(a), code(b)) for a, b in edges], "a binary, b binary")).collect()
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+    for a, b in edges:
+        if a != b:
+            a, b = sorted((find(a), find(b)))
+            parent[b] = a
+    assert {int(bytes(r.node)): int(bytes(r.label)) for r in rows} == {x: find(x) for x in parent}
+
+
+# context trees
+
+class PlainTree:
+    """Context-tree weighting, node by node."""
+
+    def __init__(self, depth):
+        self.depth, self.nodes = depth, {}
+
+    def keys(self, context, prefix):
+        return [(context[len(context) - d:], prefix) for d in range(self.depth + 1)]
+
+    def learn(self, context, byte):
+        prefix = ""
+        for bit in f"{byte:08b}":
+            for k in self.keys(context, prefix):
+                self.nodes.setdefault(k, [0, 0])[int(bit)] += 1
+            prefix += bit
+
+    @staticmethod
+    def kt(z, o):
+        return math.lgamma(z + .5) + math.lgamma(o + .5) - math.lgamma(z + o + 1) - math.log(math.pi)
+
+    def weighted(self, context, prefix):
+        own = self.kt(*self.nodes[(context, prefix)])
+        if len(context) == self.depth:
+            return own
+        below = sum(self.weighted(c, p) for c, p in self.nodes
+                    if p == prefix and len(c) == len(context) + 1 and c[1:] == context)
+        return np.logaddexp(own, below) - math.log(2)
+
+    def one(self, context, prefix, d=0):
+        key = (context[len(context) - d:], prefix)
+        if key not in self.nodes:
+            return 0.5
+        z, o = self.nodes[key]
+        if d == self.depth:
+            return (o + .5) / (z + o + 1)
+        rho = math.exp(self.kt(z, o) - math.log(2) - self.weighted(*key))
+        return rho * (o + .5) / (z + o + 1) + (1 - rho) * self.one(context, prefix, d + 1)
+
+    def log10(self, context, byte):
+        total, prefix = 0.0, ""
+        for bit in f"{byte:08b}":
+            p = self.one(context, prefix)
+            total += math.log10(p if bit == "1" else 1 - p)
+            prefix += bit
+        return total
+
+
+def byte_steps(text):
+    data = bytes([255] * 3) + (text or "").encode().lower() + b"\xff"
+    return [(data[i - 3:i], data[i]) for i in range(3, len(data))]
+
+
+def test_scores_equal_plain_tree_and_unigrams(docs_of):
+    texts = ["abab abba", "ABA é", None, "", "baab zq", "ab ab ab", "abc\x1cq  zz", "ab"]
+    ids = [*range(len(texts) - 1), None]
+    held = {i: zlib.crc32(str(i).encode()) % 5 == 1 if i is not None else False for i in ids}
+    assert any(held.values())
+    tree, words = PlainTree(3), collections.Counter()
+
+    def tokens(t):
+        return re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower()) + ["end"]
+    for i, t in zip(ids, texts):
+        if not held[i]:
+            words.update(tokens(t))
+            for c, b in byte_steps(t):
+                tree.learn(c, b)
+    total, kinds = sum(words.values()), len(words)
+    for r in ctw.scored(docs_of(texts, ids)).collect():
+        t = texts[ids.index(r.doc_id)]
+        assert r.held_out == held[r.doc_id] and r.train_tokens == total
+        assert r.n_tokens == len(tokens(t)) and r.n_known == sum(words[w] > 0 for w in tokens(t))
+        base = sum(math.log10((words[w] + .5) / (total + .5 * (kinds + 1))) for w in tokens(t))
+        assert r.base_score == pytest.approx(base, abs=1e-9)
+        want = sum(tree.log10(c, b) for c, b in byte_steps(t))
+        assert r.score == pytest.approx(want, rel=1e-4)
+        assert r.bits_per_byte == pytest.approx(-want * math.log2(10) / (len((t or "").encode()) + 1), rel=1e-4)
+
+
+def test_rare_words_and_pruned_contexts(docs_of, monkeypatch):
+    rng = random.Random(3)
+    texts = [invented(rng, 50, 40) for _ in range(30)]
+    whole = {r.doc_id: r for r in ctw.scored(docs_of(texts)).collect()}
+    monkeypatch.setattr(ctw, "FREQUENT", 5)
+    monkeypatch.setattr(ctw, "CONTEXTS", 20)
+    small = {r.doc_id: r for r in ctw.scored(docs_of(texts)).collect()}
+    for i, r in whole.items():
+        assert small[i].base_score == pytest.approx(r.base_score, abs=1e-9)
+        assert small[i].n_known == r.n_known
+        assert 0 < small[i].bits_per_byte < 8
+
+
+def test_model_gives_probabilities_and_learns(spark, docs_of):
+    rng = random.Random(3)
+    docs = docs_of([invented(rng, 80, 50) for _ in range(40)] + [None])
+    rows = ctw.scored(docs).collect()
+    unseen = [r.bits_per_byte for r in rows if r.held_out and r.n_bytes]
+    assert unseen and max(unseen) < 3
+    model = ctw.fit(docs.select(F.col("text")))
+    for r in model.collect():
+        assert np.sum(10.0 ** np.frombuffer(bytes(r.logs), np.float32)) == pytest.approx(1, rel=1e-4)
+
+
+def test_scoring_without_rows(docs_of):
+    assert ctw.scored(docs_of([])).count() == 0
+    lone = ctw.scored(docs_of(["some words"], [5])).collect()     # 5 is held out: nothing to learn
+    assert lone[0].held_out and lone[0].n_known == 0
+    assert lone[0].bits_per_byte == pytest.approx(8)
