@@ -7,7 +7,7 @@ import json
 import os
 import sys
 
-from pyspark.sql import SparkSession
+from pyspark.sql import SparkSession, functions as F
 
 from mnemograph import params as P
 from mnemograph.plans.store import Store
@@ -63,10 +63,14 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
-def show(df, n: int = 50) -> None:
-    """Print up to ``n`` rows as JSON lines."""
-    for row in df.limit(n).toJSON().collect():
-        print(row)
+def show(df, n: int | None = None) -> None:
+    """Print rows as JSON lines, all of them unless ``n`` is asked for.
+
+    Rows come one partition at a time, so the driver never holds them all.
+    """
+    lines = (df if n is None else df.limit(n)).select(F.to_json(F.struct("*")).alias("line"))
+    for row in lines.toLocalIterator():
+        print(row["line"])
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -108,7 +112,7 @@ def run(a: argparse.Namespace) -> int:
     elif a.verb == "build":
         print("built" if s.build(a.branch, a.force) else "up to date")
     elif a.verb == "tail":
-        show(s.tail(int(a.args or 10)), 10_000)
+        show(s.tail(int(a.args or 10)))
     elif a.verb == "attend":
         att = s.attend(words, a.agent, lane, a.oscillate)
         show(att.nodes.orderBy("activation", ascending=False), a.n)
@@ -118,7 +122,7 @@ def run(a: argparse.Namespace) -> int:
         if a.write:
             sinks.write_text(spark, text, f"{s.root}/runtime/working_context")
     elif a.verb == "subgraph":
-        show(s.subgraph(words, a.n, a.agent, lane, a.oscillate), 10_000)
+        show(s.subgraph(words, a.n, a.agent, lane, a.oscillate))
     elif a.verb == "search":
         show(s.search(words, a.k), a.k)
     elif a.verb == "drift":
@@ -137,13 +141,13 @@ def run(a: argparse.Namespace) -> int:
     elif a.verb == "stats":
         show(s.index_stats())
     elif a.verb == "loops":
-        show(s.ranked_loops().orderBy("salience", ascending=False), 10_000)
+        show(s.ranked_loops().orderBy("salience", ascending=False))
     elif a.verb == "refresh":
         print(json.dumps(s.refresh(), ensure_ascii=False))
     elif a.verb == "reflect":
         print(s.reflect()["summary"])
     elif a.verb == "compress":
-        show(s.compress(), 10_000)
+        show(s.compress())
     elif a.verb == "digest":
         for row in s.digest(a.args).toLocalIterator():
             print(row["line"])
@@ -163,13 +167,13 @@ def run(a: argparse.Namespace) -> int:
             for row in rows.filter(rows["id"] == a.show).limit(1).collect():
                 print(row["raw"])
         elif a.list or not words:
-            show(rows.select("id", "confidence", "tags", "concept").orderBy("path"), 10_000)
+            show(rows.select("id", "confidence", "tags", "concept").orderBy("path"))
         else:
             show(facts.search(rows, words, a.top), a.top)
     else:
         name = a.verb.replace("-", "_")
         method = getattr(s, name)
-        show(method(a.apply) if hasattr(a, "apply") else method(), 10_000)
+        show(method(a.apply) if hasattr(a, "apply") else method())
     return 0
 
 

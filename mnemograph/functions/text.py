@@ -3,15 +3,27 @@
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from mnemograph import params as P
 
-# Fixed value: letters whose diacritics the full-text tokenizer drops.
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
+
+def _accents() -> dict[str, str]:
+    """Every letter that is a plain letter with combining marks, and that letter."""
+    out = {}
+    for code in range(128, sys.maxunicode + 1):
+        base, *marks = unicodedata.normalize("NFD", chr(code))
+        if marks and all(unicodedata.category(m) == "Mn" for m in marks) and code < 0x10000:
+            out[chr(code)] = base
+    return out
+
+
+ACCENTS = _accents()
+ACCENTED, PLAIN = "".join(ACCENTS), "".join(ACCENTS.values())
 
 
 def tokenize(text: Column) -> Column:
@@ -43,8 +55,9 @@ def slug(text: Column) -> Column:
 
 
 def folded(text: Column) -> Column:
-    """Lower case without diacritics."""
-    return F.translate(F.lower(F.coalesce(text, F.lit(""))), ACCENTED, PLAIN)
+    """Lower case without diacritics, composed or combining."""
+    low = F.translate(F.lower(F.coalesce(text, F.lit(""))), ACCENTED, PLAIN)
+    return F.regexp_replace(low, r"\p{Mn}+", "")
 
 
 def fts_tokens(text: Column) -> Column:
@@ -64,8 +77,9 @@ def fts_hits(text: Column, prefix: str) -> Column:
 
 def fts_prefixes(query: str) -> list[str]:
     """Prefix terms of a user query, one per alphanumeric run, duplicates kept."""
-    table = str.maketrans(ACCENTED, PLAIN)
-    return [t.lower().translate(table) for t in re.findall(r"[^\W_]+", query)]
+    plain = unicodedata.normalize("NFD", query.lower())
+    plain = "".join(c for c in plain if unicodedata.category(c) != "Mn")
+    return re.findall(r"[^\W_]+", unicodedata.normalize("NFC", plain))
 
 
 def tokenize_text(text: str) -> list[str]:

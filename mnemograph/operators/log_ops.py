@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from mnemograph import params as P
 from mnemograph.functions import scoring as S
 from mnemograph.functions.scoring import truthy
+from mnemograph.sources import schema
 
 
 def body(df_type: str = "type") -> Column:
@@ -113,12 +114,36 @@ def topic_shift_churn(log: DataFrame, window: int = P.META_CHURN_WINDOW) -> Data
             .filter(F.col("events") > 0))
 
 
+def event_text(log: DataFrame) -> Column:
+    """One event as text: every field in a fixed order, nulls as empty.
+
+    Real numbers are taken to a millionth, so that any engine writes them alike.
+    """
+    def whole(x: Column) -> Column:
+        return F.round(x * 1_000_000).cast("bigint").cast("string")
+
+    parts = []
+    for name, kind in schema.COLUMNS.items():
+        col = F.col(name)
+        if kind == "timestamp":
+            col = F.unix_micros(col).cast("string")
+        elif kind == "array<string>":
+            col = F.array_join(col, ",")
+        elif kind == "double":
+            col = whole(col)
+        elif kind.startswith("map"):
+            entries = F.transform(F.array_sort(F.map_entries(col)),
+                                  lambda e: F.concat(e["key"], F.lit("="), whole(e["value"])))
+            col = F.array_join(entries, ",")
+        parts.append(F.coalesce(col.cast("string"), F.lit("")))
+    return F.concat_ws("|", *parts)
+
+
 def content_digest(log: DataFrame) -> DataFrame:
-    """Order-free digest of the log: combines per-row hashes, collects nothing."""
-    cols = [F.to_json(c) if c == "metrics" else F.col(c) for c in log.columns]
-    h1 = F.xxhash64(*cols)
-    h2 = F.xxhash64(F.lit("second"), *cols)
-    return log.agg(
-        F.count(F.lit(1)).alias("events"),
-        F.sha2(F.concat_ws(":", F.bit_xor(h1).cast("string"), F.bit_xor(h2).cast("string"),
-                           F.count(F.lit(1)).cast("string")), 256).alias("digest"))
+    """Order-free digest of the log: the sum of its events' digests.
+
+    A sum sees repeated events, combines before the shuffle and collects nothing.
+    """
+    number = F.conv(F.substring(F.md5(event_text(log)), 1, 15), 16, 10).cast("decimal(38,0)")
+    return log.agg(F.count(F.lit(1)).alias("events"),
+                   F.coalesce(F.sum(number), F.lit(0)).cast("string").alias("digest"))

@@ -9,7 +9,6 @@ from __future__ import annotations
 import re
 
 from mnemograph import params as P
-from mnemograph.functions.text import ACCENTED, PLAIN
 from mnemograph.plans.queries import LANE, QUERY, TEXT_QUERY
 from mnemograph.sources.tables import NOUNS, TYPE_BANDS, VERBS
 
@@ -66,8 +65,8 @@ def type_case() -> str:
     out = []
     for ev, bands in TYPE_BANDS.items():
         for high, name in bands:
-            out.append(f"WHEN ev = '{ev}' AND k < {high} THEN '{name}'")
-    return "CASE " + " ".join(out) + " END"
+            out.append(f"WHEN ev = '{ev}' AND k >= 0 AND k < {high} THEN '{name}'")
+    return "CASE " + " ".join(out) + " ELSE ev END"
 
 
 def layer(ty: str) -> str:
@@ -95,8 +94,8 @@ def slug(text: str) -> str:
 
 
 def fts(text: str) -> str:
-    return (f"list_filter(regexp_split_to_array(translate(lower({text}), '{ACCENTED}', "
-            f"'{PLAIN}'), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')")
+    return (f"list_filter(regexp_split_to_array(strip_accents(lower({text})), "
+            f"'[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')")
 
 
 BODY = ("coalesce(nullif(concat_ws(' ', nullif(msg, ''), nullif(title, ''), nullif(path, ''), "
@@ -1073,5 +1072,34 @@ LEFT JOIN (SELECT event_id, count(*) AS n FROM mem JOIN w_woken USING (thread_id
  ON u.event_id = o.event_id"""
 
 
+# What the digest reads of an event, in order; fields the events never have are empty.
+DIGEST_FIELDS = {
+    "text": ["t", "type", "event_id", "", "session", "project", "branch", "base", "", "agent", "id",
+             "status", "action", "msg", "title", "path", "reason", "resolution", "", "", "label",
+             "kind", "outcome", "thread_id", "into_", "spawn", "target", "concept_id",
+             "procedure_id", "pattern_id"],
+    "list": ["thread_ids", "causes", "between_", "evidence", "trigger_", "steps", "recommended",
+             "links", "topics", "", ""],
+    "whole": ["support", "frequency", "snapshot_seq", ""],
+    "real": ["salience", "confidence", "outcome_score", "", ""],
+    "rest": [""],
+}
+
+
+def digest_text() -> str:
+    form = {"text": "{}", "list": "array_to_string({}, ',')", "whole": "CAST({} AS VARCHAR)",
+            "real": "CAST(CAST(round({} * 1000000) AS BIGINT) AS VARCHAR)", "rest": "{}"}
+    parts = ["CAST(seq AS VARCHAR)", "CAST(epoch_us(ts) AS VARCHAR)"]
+    for kind, names in DIGEST_FIELDS.items():
+        parts += [f"coalesce({form[kind].format(n)}, '')" if n else "''" for n in names]
+    return " || '|' || ".join(parts)
+
+
+_SELECTS["log_content_digest"] = f"""SELECT count(*) AS events, CAST(coalesce(sum(CAST(
+ '0x' || substr(md5({digest_text()}), 1, 15) AS BIGINT)), 0) AS VARCHAR) AS digest FROM log"""
+_SELECTS["fts_tokens"] = f"""SELECT doc_id, token, count(*) AS n FROM (
+ SELECT doc_id, unnest({fts('text')}) AS token FROM documents) GROUP BY ALL"""
+
+
 def statements() -> dict[str, str]:
     return {name: sql(text) for name, text in _SELECTS.items()}

@@ -15,7 +15,7 @@ from mnemograph.operators import attention as A
 from mnemograph.operators import digest, folds, log_ops, mining, retrieval
 from mnemograph.operators import graph as G
 from mnemograph.operators import relational as R
-from mnemograph.session import stage, stage_all, stage_folder, widened
+from mnemograph.session import stage, stage_all, stage_folder
 from mnemograph.sources import tables as T
 from mnemograph.sources.schema import conform
 from mnemograph.streaming import incremental as inc
@@ -65,7 +65,7 @@ def attention_of(spark, sf_dir) -> A.Attention:
 
 
 def documents(spark, sf_dir) -> DataFrame:
-    return widened(T.table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    return T.table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
 def _flag(col: str):
@@ -447,6 +447,13 @@ def attend_agent_window(spark, sf):
 
 # -- text and retrieval -----------------------------------------------------------
 
+@query
+def fts_tokens(spark, sf):
+    words = documents(spark, sf).select("doc_id", F.explode(
+        X.fts_tokens(F.col("text"))).alias("token"))
+    return words.groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query
 def tokenize_bag(spark, sf):
     return retrieval.token_bag(documents(spark, sf), F.col("text"))

@@ -83,16 +83,25 @@ class Store:
             raise ValueError("an event needs a type")
         first = self.next_position()
         row, kinds = {"seq": first, "type": type_}, {"seq": "bigint", "type": "string"}
+        rest = {}
         for name, value in fields.items():
             name = "base" if name == "from" else name
             kind = schema.COLUMNS.get(name)
-            if kind is None or value is None or value == "":
+            if value is None or value == "":
+                continue
+            if kind is None or name == "rest":
+                rest[name] = value
                 continue
             if kind == "array<string>" and isinstance(value, str):
                 value = [value] if name == "steps" else [
                     s.strip() for s in value.split(",") if s.strip()]
-            row[name] = {"bigint": int, "double": float}.get(kind, lambda v: v)(value)
-            kinds[name] = kind
+            try:
+                row[name] = {"bigint": int, "double": float}.get(kind, lambda v: v)(value)
+                kinds[name] = kind
+            except ValueError:      # stored as it came; readers take it for null
+                rest[name] = value
+        if rest:
+            row["rest"], kinds["rest"] = json.dumps(rest, ensure_ascii=False, default=str), "string"
         frame = self.spark.createDataFrame(
             [tuple(row.values())], ", ".join(f"`{n}` {k}" for n, k in kinds.items()))
         lines = sinks.to_lines(frame, self.now())

@@ -73,15 +73,3 @@ def stage_all(**frames: DataFrame) -> list[DataFrame]:
     with ThreadPoolExecutor(max_workers=len(frames)) as pool:
         jobs = [pool.submit(stage, df, name) for name, df in frames.items()]
         return [job.result() for job in jobs]
-
-
-def widened(df: DataFrame, key: str) -> DataFrame:
-    """Spread a scan with fewer splits than cores, such as one small file.
-
-    An input large enough to fill the cluster is returned as it is, so nothing
-    is shuffled at scale.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() * 2 > cores:
-        return df
-    return df.repartition(cores, key)

@@ -72,6 +72,10 @@ def fields(v: Column) -> dict[str, Column]:
         out["type"] == "snapshot", _number(v, "$.seq", "bigint")))
     out["metrics"] = F.try_variant_get(v, "$.metrics", "map<string,double>")
     out["ts"] = F.try_to_timestamp(out["t"])
+    known = [JSON_NAMES.get(n, n) for n in schema.COLUMNS if n not in ("ts", "rest")]
+    rest = F.map_filter(F.try_variant_get(v, "$", "map<string,variant>"),
+                        lambda k, _: ~k.isin(known))
+    out["rest"] = F.when(F.size(rest) > 0, F.to_json(rest))
     return out
 
 

@@ -23,6 +23,8 @@ COLUMNS: dict[str, str] = {
     **{f: "bigint" for f in INT_FIELDS},
     **{f: "double" for f in REAL_FIELDS},
     "metrics": "map<string,double>",
+    # JSON object of all fields that have no column of their own.
+    "rest": "string",
 }
 
 

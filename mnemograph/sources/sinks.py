@@ -20,6 +20,9 @@ LINE_ORDER = ["t", "type", *[f for f in schema.TEXT_FIELDS if f not in ("t", "ty
               *schema.LIST_FIELDS, *schema.INT_FIELDS, *schema.REAL_FIELDS, "metrics"]
 
 
+# Columns that only order a batch and are no fields of its events.
+OWN_COLUMNS = ["ord", "split", "local", "pos"]
+
 # Fixed value: an appended folder is named by its first position.
 FOLDER = re.compile(r"/part-(\d{20})-")
 
@@ -50,7 +53,18 @@ def to_lines(events: DataFrame, now: str) -> DataFrame:
         branch = given["branch"]
         given["branch"] = F.when(~branch.isin("", P.MAIN), branch)
     fields = [given[c].alias("from" if c == "base" else c) for c in LINE_ORDER if c in given]
-    return rows.select("seq", F.to_json(F.struct(*fields)).alias("value"))
+    line = F.to_json(F.struct(*fields))
+    # Fields without a column of their own follow: other columns of the batch, and the
+    # JSON object in ``rest``.
+    other = [c for c in events.columns if c not in (*schema.COLUMNS, *OWN_COLUMNS)]
+    more = [F.to_json(F.struct(*other))] if other else []
+    more += [F.col("rest")] if "rest" in have else []
+    for extra in more:
+        inner = F.substring(F.trim(extra), F.lit(2), F.length(F.trim(extra)) - 2)
+        line = F.when(F.trim(inner) != "", F.concat(
+            F.substring(line, F.lit(1), F.length(line) - 1), F.lit(","), inner, F.lit("}"))) \
+            .otherwise(line)
+    return rows.select("seq", line.alias("value"))
 
 
 def append(lines: DataFrame, log_path: str, first_seq: int) -> None:

@@ -19,7 +19,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _pick(words: list[str], index: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(w) for w in words]), index.cast("int") + 1)
+    return F.get(F.array(*[F.lit(w) for w in words]), index.cast("int"))
 
 
 def _evt(seq: Column) -> Column:
@@ -80,7 +80,10 @@ def normalized_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.get_json_object("props", "$.k").cast("bigint").alias("k"))
     # Joining the fixed 500-row table keeps the type a column; as an expression
     # it would be repeated in every field below.
-    e = raw.join(F.broadcast(type_table(spark)), ["ev", "k"]).withColumn(
+    # A row of another kind, or with another k, keeps its own type.
+    known = raw.join(F.broadcast(type_table(spark)), ["ev", "k"], "left").withColumn(
+        "type", F.coalesce("type", "ev"))
+    e = known.withColumn(
         "week", F.floor((F.unix_micros("ts") - F.lit(1704067200000000)) / F.lit(604800000000)))
     seq, k, u, ty = F.col("seq"), F.col("k"), F.col("u"), F.col("type")
 
@@ -105,8 +108,8 @@ def normalized_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(of("branch_open"), F.concat(F.lit("exp"), k % 4))
         .when((k % 5 == 0) & ~of("session_start"), F.concat(F.lit("exp"), k % 4)),
         base=F.when(of("branch_open") & (k % 2 == 0), F.lit("exp1")),
-        agent=F.element_at(F.array(*[F.lit(a) for a in (
-            None, "memory", "coder", "planner", "researcher")]), (k % 5).cast("int") + 1),
+        agent=F.get(F.array(*[F.lit(a) for a in (
+            None, "memory", "coder", "planner", "researcher")]), (k % 5).cast("int")),
         id=F.when(of("open_loop", "loop_closed") & (k % 29 != 0),
                   F.concat(u.cast("string"), F.lit(":"), k % 7)),
         msg=F.when(~of("session_start", "session_end", "artifact", "attended", "checkpoint")
