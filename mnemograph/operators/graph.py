@@ -133,50 +133,60 @@ def compacted(nodes: DataFrame, members: DataFrame, thread_rows: DataFrame,
         .drop("_snap", "hot"))
 
 
-def resonance(evidence: DataFrame, members: DataFrame) -> DataFrame:
-    """Concept pairs whose evidence shares at least two threads.
-
-    Pairs come from a prefix-filtered set join. Threads are ordered from rare to
-    common, and each concept leaves its commonest thread out when candidates
-    form: two sets sharing two threads still meet in a rarer one. So a thread
-    that touches most concepts never emits its pairs. What the left-out threads
-    add to a candidate is then looked up with an equi-join.
+def resonance(evidence: DataFrame, members: DataFrame, hub: int = P.RESONANCE_HUB) -> DataFrame:
+    """The strongest concept pairs whose evidence shares at least two threads.
+
+    A thread of more than ``hub`` concepts forms no pairs. Concepts with the same hubs
+    are one class, and what two concepts share in hubs depends on their classes
+    alone. So of the pairs that meet only in hubs, a concept needs no more than the
+    last few concepts of the classes it shares most with: the cut at
+    ``RESONANCE_MAX_PER`` partners takes larger counts first and then later ids. Pairs
+    that meet in another thread are joined, and get what their classes add.
     """
+    keep = P.RESONANCE_MAX_PER
     sets = stage(evidence.join(members, "event_id").select("concept_id", "thread_id").distinct(),
                  "concept-threads")
     width = sets.groupBy("thread_id").agg(F.count(F.lit(1)).alias("df"))
-    widest = stage(
-        sets.join(width, "thread_id").groupBy("concept_id")
-        .agg(F.max(F.struct("df", "thread_id")).alias("top"))
-        .select("concept_id", F.col("top.thread_id").alias("thread_id")), "widest-threads")
-    prefix = sets.join(widest, ["concept_id", "thread_id"], "left_anti")
-    pairs = (
-        prefix.select(F.col("concept_id").alias("a"), "thread_id")
-        .join(prefix.select(F.col("concept_id").alias("b"), "thread_id"), "thread_id")
-        .filter(F.col("a") < F.col("b"))
-        .groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")))
-    top_a = widest.select(F.col("concept_id").alias("a"), F.col("thread_id").alias("ta"))
-    top_b = widest.select(F.col("concept_id").alias("b"), F.col("thread_id").alias("tb"))
-    has_b = sets.select(F.col("concept_id").alias("b"), F.col("thread_id").alias("ta"),
-                        F.lit(1).alias("b_has_ta"))
-    has_a = sets.select(F.col("concept_id").alias("a"), F.col("thread_id").alias("tb"),
-                        F.lit(1).alias("a_has_tb"))
-    shared = (
-        F.col("n") + F.coalesce("b_has_ta", F.lit(0)) + F.coalesce("a_has_tb", F.lit(0))
-        - F.when(F.col("ta") == F.col("tb"), 1).otherwise(0))
-    strong = stage(
-        pairs.join(top_a, "a").join(top_b, "b")
-        .join(has_b, ["b", "ta"], "left").join(has_a, ["a", "tb"], "left")
-        .select("a", "b", shared.alias("shared"))
-        .filter(F.col("shared") >= P.RESONANCE_MIN_SHARED), "concept-pairs")
-    ends = strong.select(F.col("a").alias("c"), F.col("b").alias("other"), "shared", "a", "b"
+    marked = sets.join(width, "thread_id")
+    hubs = marked.filter(F.col("df") > hub).groupBy("concept_id").agg(
+        F.array_sort(F.collect_set("thread_id")).alias("hubs"))
+    classed = stage(sets.select("concept_id").distinct().join(hubs, "concept_id", "left").select(
+        "concept_id", F.coalesce("hubs", F.array().cast("array<string>")).alias("hubs")),
+        "concept-hubs")
+    rare = marked.filter(F.col("df") <= hub)
+    met = (
+        rare.select(F.col("concept_id").alias("a"), "thread_id")
+        .join(rare.select(F.col("concept_id").alias("b"), "thread_id"), "thread_id")
+        .filter(F.col("a") < F.col("b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")))
+    side = [classed.select(F.col("concept_id").alias(c), F.col("hubs").alias(f"h{c}")) for c in "ab"]
+    met = met.join(side[0], "a").join(side[1], "b").select(
+        "a", "b", (F.col("n") + F.size(F.array_intersect("ha", "hb"))).alias("shared"))
+    # Classes, the last concepts of each, and for every class its best partners.
+    last = Window.partitionBy("hubs").orderBy(F.desc("concept_id"))
+    ends = classed.filter(F.size("hubs") > 1).withColumn("place", F.row_number().over(last)) \
+        .filter(F.col("place") <= keep + 1).select(F.col("hubs").alias("to"),
+                                                   F.col("concept_id").alias("other"))
+    kinds = classed.filter(F.size("hubs") > 1).select("hubs").distinct()
+    spread = kinds.select("hubs", F.explode("hubs").alias("thread"))
+    common = spread.join(spread.select(F.col("hubs").alias("to"), "thread"), "thread") \
+        .groupBy("hubs", "to").agg(F.count(F.lit(1)).alias("shared")) \
+        .filter(F.col("shared") >= P.RESONANCE_MIN_SHARED)
+    first = Window.partitionBy("hubs").orderBy(F.desc("shared"), F.desc("other"))
+    partners = common.join(ends, "to").withColumn("place", F.row_number().over(first)) \
+        .filter(F.col("place") <= keep + 1).select("hubs", "other", "shared")
+    in_hubs = classed.join(partners, "hubs").filter(F.col("concept_id") != F.col("other")).select(
+        F.least("concept_id", "other").alias("a"), F.greatest("concept_id", "other").alias("b"),
+        "shared")
+    strong = stage(met.unionByName(in_hubs).groupBy("a", "b").agg(F.max("shared").alias("shared"))
+                   .filter(F.col("shared") >= P.RESONANCE_MIN_SHARED), "concept-pairs")
+    ways = strong.select(F.col("a").alias("c"), F.col("b").alias("other"), "shared", "a", "b"
                          ).unionByName(strong.select(F.col("b").alias("c"),
                                                      F.col("a").alias("other"), "shared", "a", "b"))
     best = Window.partitionBy("c").orderBy(F.desc("shared"), F.desc("other"))
     weight = P.EDGE_WEIGHT["resonance"] * F.least(F.lit(1.0), F.col("shared") / P.RESONANCE_NORM)
     return (
-        ends.withColumn("rank", F.row_number().over(best))
-        .filter(F.col("rank") <= P.RESONANCE_MAX_PER)
+        ways.withColumn("rank", F.row_number().over(best))
+        .filter(F.col("rank") <= keep)
         .select("a", "b", "shared").distinct()
         .select(F.col("a").alias("src"), F.col("b").alias("dst"), "shared",
                 S.rounded(weight).alias("weight")))

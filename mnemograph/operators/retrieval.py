@@ -227,23 +227,25 @@ def embed(docs: DataFrame, key: str, text: Column, encoder) -> DataFrame:
 
 # -- substring matches --------------------------------------------------------------
 
-def substring_hits(needles: DataFrame, hay: DataFrame) -> DataFrame:
+def substring_hits(needles: DataFrame, hay: DataFrame, most: int = 6) -> DataFrame:
     """Needles found inside some hay string, both sides lower-cased.
 
-    An equi-join on the first three characters of a needle finds the candidates,
-    so neither side is broadcast or crossed with the other.
+    A needle's first ``most`` characters find its candidates by an equi-join. The
+    pieces of a text come from one pass for each length, so their cost is linear in
+    it; they travel with the text's digest, and the text itself moves once.
     """
-    width = F.least(F.lit(3), F.length("needle"))
+    width = F.least(F.lit(most), F.length("needle"))
     keyed = (needles.select("needle").filter(F.length("needle") > 0).distinct()
              .withColumn("gram", F.substring("needle", F.lit(1), width)))
-    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("hay")))
-    grams = F.flatten(F.transform(starts, lambda i: F.array(*[
-        F.substring(F.col("hay"), i, F.lit(w)) for w in (1, 2, 3)])))
-    # Only grams some needle starts with leave the scan of the hay.
+    texts = hay.select("hay", F.md5("hay").alias("text")).filter(F.col("hay").isNotNull())
+    grams = F.array_distinct(F.concat(*[
+        F.regexp_extract_all("hay", F.lit(f"(?s)(?=(.{{{w}}}))"), 1) for w in range(1, most + 1)]))
+    # Only pieces some needle starts with leave the scan of the hay.
     wanted = keyed.select("gram").distinct()
-    pieces = (hay.select("hay", F.explode(F.array_distinct(grams)).alias("gram"))
+    pieces = (texts.select("text", F.explode(grams).alias("gram"))
               .join(wanted, "gram", "left_semi"))
-    return (keyed.join(pieces, "gram").filter(F.col("hay").contains(F.col("needle")))
+    found = keyed.join(pieces, "gram").select("text", "needle").distinct()
+    return (texts.join(found, "text").filter(F.col("hay").contains(F.col("needle")))
             .select("needle").distinct())
 
 

@@ -61,6 +61,8 @@ EDGE_WEIGHT = {
 }
 DORMANT_DAYS = 14.0
 RESONANCE_MIN_SHARED, RESONANCE_NORM, RESONANCE_MAX_PER = 2, 4.0, 6
+# Concepts of a thread above which it forms no pairs; any value gives the same result.
+RESONANCE_HUB = 64
 
 # -- attention -------------------------------------------------------------------
 HOPS = 2

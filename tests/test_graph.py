@@ -1,3 +1,4 @@
+import pytest
 import itertools
 import random
 
@@ -171,3 +172,23 @@ def test_digest_lists_sections_in_order(make_log):
     assert lines[1:] == ["- ship", "- [open] open one", "- [closed] closed one",
                          "- r2", "- r3", "- r4"]
     assert "status: active" in lines[0] and "n_events: 8" in lines[0]
+
+
+@pytest.mark.parametrize("hub", [2, 64])
+def test_resonance_with_three_hubs_over_all_concepts(spark, hub):
+    import itertools
+    import random
+    rng = random.Random(7)
+    sets = {f"c{i:02}": {"h1", "h2", "h3"} - ({rng.choice(["h1", "h2", "h3"])} if i % 4 == 0 else set())
+            | {f"t{rng.randrange(12)}" for _ in range(rng.randrange(4))} for i in range(40)}
+    ev = spark.createDataFrame([(c, f"e-{t}") for c, ts in sets.items() for t in ts],
+                               "concept_id string, event_id string")
+    mem = spark.createDataFrame(sorted({(f"e-{t}", t) for ts in sets.values() for t in ts}),
+                                "event_id string, thread_id string")
+    shared = {(a, b): len(sets[a] & sets[b]) for a, b in itertools.combinations(sorted(sets), 2)}
+    want = set()
+    for c in sets:
+        mine = [(n, a if b == c else b, (a, b)) for (a, b), n in shared.items() if c in (a, b) and n >= 2]
+        want |= {(p[0], p[1], n) for n, _, p in sorted(mine, reverse=True)[:6]}
+    got = rows(G.resonance(ev, mem, hub=hub), "src", "dst", "shared")
+    assert got == sorted(want)

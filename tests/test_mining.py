@@ -171,3 +171,12 @@ def test_drift_spikes_on_a_turn_only(make_log):
     r = retrieval.drift(make_log(turn)).collect()[0]
     assert 0.5 < r.drift < 1.0
     assert retrieval.drift(make_log(same[:5])).collect()[0].drift == 0.0
+
+
+def test_substring_hits_in_a_long_text(spark):
+    words = " ".join(f"wordy{i % 977}x" for i in range(12_000))
+    needles = spark.createDataFrame([("wordy976x wordy0x",), ("dy5x w",), ("absent words",), ("wordy977",)],
+                                    "needle string")
+    hay = spark.createDataFrame([(words,)], "hay string")
+    assert rows(retrieval.substring_hits(needles, hay), "needle") == [
+        ("dy5x w",), ("wordy976x wordy0x",)]
