@@ -1,25 +1,28 @@
-"""Text lenses over derived state: the working context and working memory.
+"""Text lenses over derived state: the working context and the workspace.
 
 A lens is short by design. Spark ranks and limits; only the few rows a lens can
-show reach the driver.
+show reach the driver. Tensions, which have no limit, come as a stream.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from collections.abc import Iterator
+from dataclasses import dataclass, replace
 
-from pyspark.sql import Row, Window
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from mnemograph import params as P
+from mnemograph.functions import scoring as S
 from mnemograph.operators import attention as A
 from mnemograph.operators.graph import Graph
+from mnemograph.session import stage
 
 # How many rows each section shows, and how many characters of each.
 SHOWN = {"threads": 5, "focus": 5, "concepts": 5, "procedures": 3, "steps": 5}
 # Each loop line takes over 20 characters, so this many lines pass any budget.
 LOOP_LINES = P.LENS_BUDGET_CHARS // 20
-RANKED_NODES = 500
+TENSION = "## Live tension (competing hypotheses)"
 TRUNCATED = "\n_[truncated to budget]_\n"
 
 
@@ -52,128 +55,182 @@ def working_context(state: Row, loops: list[Row], decision: Row | None, artifact
     return text
 
 
-@dataclass
-class WorkingMemory:
-    """A budgeted view of an active subgraph, updatable event by event."""
+NODE = ["event_id", "type", "layer", "body", "activation", "seq", "born"]
+LAST = (1 << 63) - 1
 
-    budget: int = P.LENS_BUDGET_CHARS
-    nodes: dict[str, dict] = field(default_factory=dict)
-    size: int = 0                       # nodes of the subgraph, shown or not
-    threads: dict[str, dict] = field(default_factory=dict)
-    live_threads: int = 0
-    concepts: list[dict] = field(default_factory=list)
-    procedures: list[dict] = field(default_factory=list)
-    tensions: list[tuple] = field(default_factory=list)
+
+def _place() -> list[Column]:
+    """What nodes are ordered by, all ascending: folded events follow equal graph nodes."""
+    return [-F.col("activation"), F.col("born"), F.coalesce("seq", F.lit(LAST)), F.col("event_id")]
+
+
+@dataclass(frozen=True)
+class Workspace:
+    """A view of an active subgraph; ``nodes`` and ``threads`` stay tables of any size.
+
+    ``limit`` is how many of the first nodes count, all if it is None.
+    """
+
+    nodes: DataFrame
+    threads: DataFrame
+    concepts: DataFrame
+    procedures: DataFrame
+    tensions: DataFrame
+    limit: int | None = None
 
     @classmethod
-    def from_graph(cls, graph: Graph, att: A.Attention, query: str = "", top_n: int = 8,
-                   budget: int = P.LENS_BUDGET_CHARS) -> "WorkingMemory":
-        sub = A.active_subgraph(graph, att.nodes, top_n)
-        order = [F.desc("activation"), F.asc_nulls_last("seq"), F.col("event_id")]
-        kind = (F.when((F.col("layer") == "cognitive") & (F.col("type") == "open_loop"), "loop")
-                .when(F.col("layer") == "cognitive", "cognitive").otherwise("other"))
-        # The best nodes overall, and enough of each kind a section needs.
-        place = F.row_number().over(Window.partitionBy("kind").orderBy(*order))
-        ranked = sub.withColumn("kind", kind).withColumn("place", place)
-        rows = ranked.filter(F.col("place") <= RANKED_NODES).collect()
-        concepts = (
-            graph.concepts.join(sub.filter(F.col("layer") == "semantic")
-                                .select(F.col("event_id").alias("concept_id"), "activation"),
-                                "concept_id")
-            .orderBy(F.desc("activation"), "concept_id").limit(SHOWN["concepts"]).collect())
+    def of(cls, graph: Graph, att: A.Attention, query: str = "", top_n: int = 8) -> "Workspace":
+        sub = stage(A.active_subgraph(graph, att.nodes, top_n), "workspace-nodes")
+
+        def active(layer: str, name: str) -> DataFrame:
+            return sub.filter(F.col("layer") == layer).select(
+                F.col("event_id").alias(name), "activation")
         due = A.triggered_procedures(graph, query).select("procedure_id")
-        procedures = (
-            graph.procedures.join(due, "procedure_id", "left_semi")
-            .join(sub.filter(F.col("layer") == "procedural")
-                  .select(F.col("event_id").alias("procedure_id"), "activation"), "procedure_id")
-            .orderBy(F.desc("activation"), "procedure_id").limit(SHOWN["procedures"]).collect())
-        threads = (
-            att.threads.select("thread_id", "status", "activation", "resurfaced")
-            .join(graph.threads.select("thread_id", "title"), "thread_id")
-            .filter(F.col("activation") > 0)
-            .orderBy(F.desc("activation"), "thread_id").limit(SHOWN["threads"]).collect())
-        tensions = (att.contradictions.orderBy("src", "dst").limit(P.LENS_BUDGET_CHARS // 20)
-                    .collect())
-        sizes = sub.agg(F.count(F.lit(1))).collect()[0][0]
-        live = att.threads.filter(F.col("activation") > 0).count()
         return cls(
-            budget=budget, nodes={r["event_id"]: r.asDict() for r in rows}, size=sizes,
-            threads={r["thread_id"]: r.asDict() for r in threads}, live_threads=live,
-            concepts=[r.asDict() for r in concepts], procedures=[r.asDict() for r in procedures],
-            tensions=[tuple(r) for r in tensions])
-
-    def mutate(self, event: dict) -> "WorkingMemory":
-        """Fold in one new event at the current peak, without a rebuild."""
-        eid = event.get("event_id")
-        if not eid:
+            nodes=sub.withColumn("born", F.lit(0)).select(*NODE),
+            threads=att.threads.select("thread_id", "status", "activation", "resurfaced").join(
+                graph.threads.select("thread_id", "title"), "thread_id"),
+            concepts=graph.concepts.join(active("semantic", "concept_id"), "concept_id"),
+            procedures=graph.procedures.join(due, "procedure_id", "left_semi")
+            .join(active("procedural", "procedure_id"), "procedure_id"),
+            tensions=att.contradictions)
+
+    def folded(self, events: list[dict]) -> "Workspace":
+        """The workspace after new events, each at the peak of what was active before."""
+        new = {e["event_id"]: e for e in events if e.get("event_id")}
+        if not new:
             return self
-        peak = max([1.0, *(n["activation"] for n in self.nodes.values())])
-        text = " ".join(event[k] for k in ("msg", "title", "path", "reason", "resolution")
-                        if event.get(k))
-        kind = event.get("type", "")
-        layer = event.get("layer") or (
-            "cognitive" if kind in P.COGNITIVE_TYPES
-            else "execution" if kind in P.EXECUTION_TYPES else "meta")
-        self.size += eid not in self.nodes
-        self.nodes[eid] = {"event_id": eid, "type": kind, "layer": layer, "body": text or kind,
-                           "t": event.get("t"), "activation": peak, "seq": None}
-        for tid in event.get("thread_ids") or []:
-            known = self.threads.setdefault(
-                tid, {"thread_id": tid, "title": tid, "status": None, "activation": 0.0,
-                      "resurfaced": 0})
-            self.live_threads += known["activation"] <= 0
-            known["activation"] = max(known["activation"], peak)
-        return self
-
-    def ranked(self) -> list[dict]:
-        return sorted(self.nodes.values(), key=lambda n: -n["activation"])
-
-    def reprioritize(self) -> "WorkingMemory":
-        """Drop the least active nodes until the text fits the budget."""
-        kept = self.ranked()
-        while kept and len(self._render(kept, len(kept))) > self.budget:
-            kept.pop()
-        if len(kept) < len(self.nodes):
-            self.size = len(kept)
-        self.nodes = {n["event_id"]: n for n in kept}
-        return self
+        spark = self.nodes.sparkSession
+        top = self.nodes.agg(F.max("activation")).collect()[0][0] or 0.0
+        peak = max(1.0, float(top))
+        given = spark.createDataFrame(
+            [(i, *(e.get(k) for k in ("event_id", "type", "layer", "msg", "title", "path", "reason",
+                                      "resolution")), list(e.get("thread_ids") or []))
+             for i, e in enumerate(new.values(), 1)],
+            "born int, event_id string, type string, layer string, msg string, title string, "
+            "path string, reason string, resolution string, thread_ids array<string>")
+        kind = F.coalesce("type", F.lit(""))
+        said = F.concat_ws(" ", *[F.when(F.col(c) != "", F.col(c))
+                                  for c in ("msg", "title", "path", "reason", "resolution")])
+        rows = given.select(
+            "event_id", kind.alias("type"), S.layer(kind, F.col("layer")).alias("layer"),
+            F.when(said != "", said).otherwise(kind).alias("body"),
+            F.lit(peak).alias("activation"), F.lit(None).cast("bigint").alias("seq"), "born")
+        touched = given.select(F.explode("thread_ids").alias("thread_id")).distinct().select(
+            "thread_id", F.lit(peak).alias("bump"))
+        threads = self.threads.join(touched, "thread_id", "full").select(
+            "thread_id", "status",
+            F.greatest(F.coalesce("activation", F.lit(0.0)), F.coalesce("bump", F.lit(0.0)))
+            .alias("activation"), F.coalesce("resurfaced", F.lit(0)).alias("resurfaced"),
+            F.coalesce("title", "thread_id").alias("title"))
+        kept = self.nodes.join(rows.select("event_id"), "event_id", "left_anti")
+        return replace(self, nodes=kept.select(*NODE).unionByName(rows), threads=threads)
+
+    def focus(self, n: int) -> list[Row]:
+        """The first cognitive nodes."""
+        return self.nodes.filter("layer = 'cognitive'").orderBy(*_place()).limit(n).collect()
+
+    def view(self) -> "View":
+        """What the text needs of the tables: a few rows, and where they stand in the order."""
+        shown = self.focus(SHOWN["focus"])
+        loops = self.nodes.filter("layer = 'cognitive' AND type = 'open_loop'").orderBy(
+            *_place()).limit(1).collect()
+        before = [F.count_if(F.struct(*_place()) < F.struct(
+            F.lit(-r["activation"]), F.lit(r["born"]),
+            F.lit(LAST if r["seq"] is None else r["seq"]).cast("bigint"), F.lit(r["event_id"])))
+            for r in [*shown, *loops]]
+        sizes = self.nodes.agg(F.count(F.lit(1)), *before).collect()[0]
+        top = [F.desc("activation")]
+        live = self.threads.filter(F.col("activation") > 0)
+        text = F.concat_ws("", F.lit("- "), "src", F.lit(" vs "), "dst", F.lit(" - leaning "),
+                           F.when(F.col("src_score") >= F.col("dst_score"), F.col("src"))
+                           .otherwise(F.col("dst")), F.lit(" ("), F.format_string("%.2f", "src_score"),
+                           F.lit(" vs "), F.format_string("%.2f", "dst_score"), F.lit(")"))
+        lines = self.tensions.toDF("src", "dst", "src_score", "dst_score").select(
+            "src", "dst", text.alias("line"))
+        return View(
+            total=sizes[0], limit=self.limit, focus=shown, loop=loops[0] if loops else None,
+            ranks=[n + 1 for n in sizes[1:]], live=live.count(),
+            threads=live.orderBy(*top, "thread_id").limit(SHOWN["threads"]).collect(),
+            concepts=self.concepts.orderBy(*top, "concept_id").limit(SHOWN["concepts"]).collect(),
+            procedures=self.procedures.orderBy(*top, "procedure_id").limit(SHOWN["procedures"])
+            .collect(),
+            tensions=lines, tension_chars=lines.agg(
+                F.coalesce(F.sum(F.length("line") + 1), F.lit(0))).collect()[0][0])
+
+    def within(self, budget: int, now: str) -> "Workspace":
+        """Only as many of the first nodes as a text of ``budget`` characters allows."""
+        return replace(self, limit=self.view().longest(budget, now))
 
     def render(self, now: str) -> str:
-        return self._render(self.ranked(), self.size, now)
-
-    def _render(self, nodes: list[dict], size: int, now: str = "") -> str:
-        cognitive = [n for n in nodes if n["layer"] == "cognitive"]
-        loops = [n for n in cognitive if n["type"] == "open_loop"]
-        order = sorted(self.threads.values(), key=lambda t: -t["activation"])[:SHOWN["threads"]]
-        lines = []
-        for i, t in enumerate(order, 1):
-            state = f" [{t['status']}]" if t["status"] else ""
-            mark = " ^resurfaced" if t["resurfaced"] else ""
-            lines.append(f"{i}. [{t['activation']:.2f}] {t['thread_id']} - {t['title']}"
-                         f"{state}{mark}")
-        blocks = [
-            [f"# Workspace @ {now} (active subgraph: {size} nodes / {self.live_threads} threads)"],
-            ["## Active threads", *(lines or ["(no threads yet - events are unthreaded)"])],
-            ["## Focus (highest activation)",
-             *([f"- {n['type']} {n['event_id']}: {n['body'][:110]} [{n['activation']:.2f}]"
-                for n in cognitive[:SHOWN["focus"]]] or ["(no cognitive nodes active)"])]]
-        if self.concepts:
-            blocks.append(["## Concepts in scope (semantic memory)", *[
-                f"- {c['concept_id']}: {c['summary'][:90]} (support {c['support']}, "
-                f"salience {c['salience']:.2f})" for c in self.concepts]])
-        if self.procedures:
-            block = ["## Procedures (applicable how-to)"]
-            for p in self.procedures:
-                block.append(f"- {p['procedure_id']}: {p['label'][:90]} "
-                             f"(outcome {p['outcome_score']:.2f}, uses {p['uses']})")
-                block += [f"    • {s[:100]}" for s in p["steps"][:SHOWN["steps"]]]
-            blocks.append(block)
-        if self.tensions:
-            blocks.append(["## Live tension (competing hypotheses)", *[
-                f"- {a} vs {b} - leaning {a if sa >= sb else b} ({sa:.2f} vs {sb:.2f})"
-                for a, b, sa, sb in self.tensions]])
-        blocks.append(["## Next concrete action",
-                       loops[0]["body"][:140] if loops
-                       else "(no open loops - define next objective)"])
-        blocks.append(["_Projection of the active subgraph; the log is the truth_"])
-        return "\n\n".join("\n".join(b) for b in blocks) + "\n"
+        return "".join(self.view().lines(now))
+
+
+@dataclass(frozen=True)
+class View:
+    """The rows a workspace shows. ``ranks`` are those of the focus rows and of the loop."""
+
+    total: int
+    limit: int | None
+    focus: list[Row]
+    loop: Row | None
+    ranks: list[int]
+    live: int
+    threads: list[Row]
+    concepts: list[Row]
+    procedures: list[Row]
+    tensions: DataFrame
+    tension_chars: int
+
+    def sections(self, now: str, size: int) -> list[tuple[str, list[str]]]:
+        """(title, lines) of each section for ``size`` nodes, with tensions left out.
+
+        Fixed values: the texts of titles and lines.
+        """
+        focus = [r for r, at in zip(self.focus, self.ranks) if at <= size]
+        loop = self.loop if self.loop and self.ranks[-1] <= size else None
+        out = [(f"# Workspace @ {now} (active subgraph: {size} nodes / {self.live} threads)", [])]
+        out.append(("## Active threads", [
+            f"{i}. [{t['activation']:.2f}] {t['thread_id']} - {t['title']}"
+            + (f" [{t['status']}]" if t["status"] else "")
+            + (" ^resurfaced" if t["resurfaced"] else "")
+            for i, t in enumerate(self.threads, 1)] or ["(no threads yet - events are unthreaded)"]))
+        out.append(("## Focus (highest activation)", [
+            f"- {n['type']} {n['event_id']}: {n['body'][:110]} [{n['activation']:.2f}]"
+            for n in focus] or ["(no cognitive nodes active)"]))
+        out.append(("## Concepts in scope (semantic memory)", [
+            f"- {c['concept_id']}: {c['summary'][:90]} (support {c['support']}, "
+            f"salience {c['salience']:.2f})" for c in self.concepts]))
+        out.append(("## Procedures (applicable how-to)", [
+            line for p in self.procedures for line in (
+                f"- {p['procedure_id']}: {p['label'][:90]} "
+                f"(outcome {p['outcome_score']:.2f}, uses {p['uses']})",
+                *(f"    • {x[:100]}" for x in p["steps"][:SHOWN["steps"]]))]))
+        out.append((TENSION, []))
+        out.append(("## Next concrete action", [
+            loop["body"][:140] if loop else "(no open loops - define next objective)"]))
+        out.append(("_Projection of the active subgraph; the log is the truth_", []))
+        bare = {out[0][0], out[-1][0], *([TENSION] if self.tension_chars else [])}
+        return [(title, lines) for title, lines in out if lines or title in bare]
+
+    def chars(self, now: str, size: int) -> int:
+        """Length of the text, without making it."""
+        parts = self.sections(now, size)
+        return (sum(len(t) + sum(len(x) + 1 for x in lines) for t, lines in parts)
+                + self.tension_chars + 2 * (len(parts) - 1) + 1)
+
+    def longest(self, budget: int, now: str) -> int:
+        """The most nodes whose text fits; it changes only where a shown row or a digit comes in."""
+        most = self.total if self.limit is None else min(self.limit, self.total)
+        steps = {r - 1 for r in self.ranks} | {10 ** d - 1 for d in range(1, 19)} | {most}
+        return max([n for n in steps if n <= most and self.chars(now, n) <= budget], default=0)
+
+    def lines(self, now: str) -> Iterator[str]:
+        """Pieces of the text in order; tensions come partition by partition."""
+        size = self.total if self.limit is None else min(self.limit, self.total)
+        for i, (title, rows) in enumerate(self.sections(now, size)):
+            yield ("\n\n" if i else "") + title + "".join(f"\n{x}" for x in rows)
+            if title == TENSION:
+                for row in self.tensions.orderBy("src", "dst").toLocalIterator():
+                    yield "\n" + row["line"]
+        yield "\n"

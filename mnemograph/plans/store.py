@@ -289,12 +289,11 @@ class Store:
         return A.active_subgraph(self.graph(), att.nodes, top_n).orderBy(F.desc("activation"))
 
     def working_memory(self, query: str = "", top_n: int = 8, agent: str = "",
-                       threads: list[str] | None = None,
-                       budget: int = P.LENS_BUDGET_CHARS) -> lens.WorkingMemory:
+                       threads: list[str] | None = None) -> lens.Workspace:
         att = self.attend(query, agent, threads)
-        return lens.WorkingMemory.from_graph(self.graph(), att, query, top_n, budget)
+        return lens.Workspace.of(self.graph(), att, query, top_n)
 
-    def for_agent(self, agent: str, query: str = "") -> lens.WorkingMemory:
+    def for_agent(self, agent: str, query: str = "") -> lens.Workspace:
         return self.working_memory(query, agent=agent,
                                    threads=self.lane(agent) if agent else None)
 
@@ -302,8 +301,7 @@ class Store:
                   agent: str = "", threads: list[str] | None = None) -> str:
         memory = self.working_memory(query, top_n, agent, threads)
         if reinforce:
-            focus = [n for n in memory.ranked() if n["layer"] == "cognitive"][:P.REINFORCE_TOP]
-            for node in focus:
+            for node in memory.focus(P.REINFORCE_TOP):
                 self.append("attended", target=node["event_id"], agent=agent or None)
         return memory.render(self.now())
 

@@ -1,3 +1,4 @@
+import dataclasses
 import os
 
 from mnemograph.operators import lens
@@ -56,14 +57,24 @@ def test_build_skips_when_fresh_and_lens_agrees(spark, tmp_path):
     text = memory.render(NOW)
     assert "## Active threads" in text and "t-core" in text and "finish the lens" in text
     # A fresh event enters on top without a rebuild, and the budget trims from below.
-    memory.mutate({"event_id": "evt_9", "type": "decision", "msg": "brand new",
-                   "thread_ids": ["t-new"]})
-    assert memory.ranked()[0]["activation"] == max(n["activation"] for n in memory.ranked())
+    memory = memory.folded([{"event_id": "evt_9", "type": "decision", "msg": "brand new",
+                             "thread_ids": ["t-new"]}])
+    peak = memory.nodes.agg({"activation": "max"}).collect()[0][0]
+    assert {r.event_id: r.activation for r in memory.nodes.collect()}["evt_9"] == peak
     assert "brand new" in memory.render(NOW) and "t-new" in memory.render(NOW)
-    for i in range(40):
-        memory.mutate({"event_id": f"x{i}", "type": "decision", "msg": "filler " * 20})
-    memory.budget = 700
-    assert len(memory.reprioritize().render("")) <= 700
+    full = memory.folded([{"event_id": f"x{i}", "type": "decision", "msg": "filler " * 20}
+                          for i in range(40)])
+    text = full.render(NOW)
+    assert full.view().chars(NOW, full.view().total) == len(text)
+    small = full.within(700, NOW)
+    assert len(small.render(NOW)) <= 700 and small.limit < full.view().total
+    # Every tension is shown.
+    pairs = spark.createDataFrame([(f"a{i}", f"b{i}", 0.5, 0.25) for i in range(400)],
+                                  "src string, dst string, src_score double, dst_score double")
+    tense = dataclasses.replace(memory, tensions=pairs)
+    text = tense.render(NOW)
+    assert text.count(" - leaning a") == 400
+    assert tense.view().chars(NOW, tense.view().total) == len(text)
     s.append("decision", msg="log grew")
     assert s.build() is True
 
