@@ -1097,6 +1097,11 @@ def digest_text() -> str:
 
 _SELECTS["log_content_digest"] = f"""SELECT count(*) AS events, CAST(coalesce(sum(CAST(
  '0x' || substr(md5({digest_text()}), 1, 15) AS BIGINT)), 0) AS VARCHAR) AS digest FROM log"""
+_SELECTS["jsonl_round_trip"] = """SELECT seq, t, type, event_id, session, branch, id, msg, path,
+ CAST(support AS BIGINT) AS support, CAST(frequency AS BIGINT) AS frequency, confidence,
+ array_to_string(thread_ids, ',') AS thread_ids, array_to_string(causes, ',') AS causes,
+ array_to_string(evidence, ',') AS evidence, array_to_string(steps, ',') AS steps,
+ array_to_string(topics, ',') AS topics FROM log"""
 _SELECTS["fts_tokens"] = f"""SELECT doc_id, token, count(*) AS n FROM (
  SELECT doc_id, unnest({fts('text')}) AS token FROM documents) GROUP BY ALL"""
 

@@ -16,6 +16,7 @@ from mnemograph.operators import digest, folds, log_ops, mining, retrieval
 from mnemograph.operators import graph as G
 from mnemograph.operators import relational as R
 from mnemograph.session import stage, stage_all, stage_folder
+from mnemograph.sources import jsonl, sinks
 from mnemograph.sources import tables as T
 from mnemograph.sources.schema import conform
 from mnemograph.streaming import incremental as inc
@@ -97,6 +98,18 @@ def log_tail(spark, sf):
     return log_ops.tail(log_of(spark, sf)).select("seq", "t", "type", "event_id", "msg")
 
 
+@query
+def jsonl_round_trip(spark, sf):
+    """The events written as JSON lines, as appends write them, and read back."""
+    path = f"{stage_folder(spark)}/jsonl-{uuid.uuid4().hex}"
+    sinks.append(sinks.to_lines(log_of(spark, sf), AS_OF), path, 1)
+    log = jsonl.read_log(spark, path)
+    lists = ["thread_ids", "causes", "evidence", "steps", "topics"]
+    return log.select(
+        "seq", "t", "type", "event_id", "session", "branch", "id", "msg", "path", "support",
+        "frequency", "confidence", *[F.array_join(c, ",").alias(c) for c in lists])
+
+
 @query
 def log_content_digest(spark, sf):
     return log_ops.content_digest(log_of(spark, sf))

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import dataclasses
 import json
+import time
 import uuid
 from datetime import datetime, timezone
 
@@ -24,6 +25,7 @@ from mnemograph.session import stage
 from mnemograph.sources import jsonl, schema, sinks
 
 SCHEMA_VERSION = 1
+KEPT_VERSIONS = 3      # of a branch's graph, the newest included
 
 
 class Store:
@@ -193,12 +195,17 @@ class Store:
 
     # -- graph --------------------------------------------------------------------
 
-    def _watermark(self, branch: str) -> dict | None:
+    def _marks(self, branch: str) -> list[dict]:
+        """Marks of the branch's versions, newest first; a build keeps only the last few."""
         try:
-            rows = self.spark.read.json(f"{self.root}/graph/{branch}/mark").collect()
-            return rows[0].asDict() if rows else None
+            rows = self.spark.read.option("recursiveFileLookup", True).json(
+                f"{self.root}/graph/{branch}/marks").collect()
         except AnalysisException:
-            return None
+            return []
+        return sorted((r.asDict() for r in rows), key=lambda m: m["built"], reverse=True)
+
+    def _watermark(self, branch: str) -> dict | None:
+        return next(iter(self._marks(branch)), None)
 
     def build(self, branch: str = P.MAIN, force: bool = False) -> bool:
         """Bring a branch's graph up to date; False when it already was.
@@ -213,14 +220,20 @@ class Store:
             return False
         main = stage(log_ops.for_branch(log, branch), "branch-log")
         graph = G.build(main, self.now())
-        # A new folder per build; replacing the mark is what publishes it.
-        mark["home"] = f"{self.root}/graph/{branch}/v-{uuid.uuid4().hex}"
+        # A new folder per build. Its own mark publishes it, so there is always a newest one.
+        name = uuid.uuid4().hex
+        mark |= {"home": f"{self.root}/graph/{branch}/v-{name}", "built": time.time_ns(),
+                 "mark": f"{self.root}/graph/{branch}/marks/{name}"}
         for field in dataclasses.fields(graph):
             sinks.write_table(getattr(graph, field.name), f"{mark['home']}/{field.name}")
         sinks.write_json(
             self.spark.createDataFrame([tuple(mark.values())],
-                                       "events bigint, schema bigint, as_of string, home string"),
-            f"{self.root}/graph/{branch}/mark")
+                                       "events bigint, schema bigint, as_of string, home string, "
+                                       "built bigint, mark string"), mark["mark"])
+        # Readers of the versions before may still be at work; older ones go.
+        for old in self._marks(branch)[KEPT_VERSIONS:]:
+            sinks.remove(self.spark, old["mark"])
+            sinks.remove(self.spark, old["home"])
         if branch == P.MAIN:
             sinks.export_threads(graph.threads, f"{self.root}/runtime/threads")
         return True

@@ -117,6 +117,12 @@ def write_text(spark: SparkSession, text: str, path: str) -> None:
     spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a derived folder."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def export_threads(threads: DataFrame, path: str) -> None:
     """Thread state, newest activity first."""
     write_json(threads.drop("last_ts").orderBy(F.desc("last_activity_t"), "thread_id"), path)
