@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from mnemograph.llm.common import arrow_map, row_key, stage, text_slices
 from mnemograph.llm.line_dedup import word_hashes
 
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 BLOCK = 1 << 19               # bytes whose probabilities are looked up at a time
 END = 0xFF                    # never a byte of UTF-8
 CONTEXTS = 1 << 16            # contexts of three bytes in the model
@@ -146,35 +146,24 @@ def root(weighted: np.ndarray, zeros: np.ndarray, ones: np.ndarray) -> tuple[np.
 class Scorer:
     """Lookup tables of a model: a row for each context, log10 probabilities of 256 bytes."""
 
-    def __init__(self, rows: list):
-        self.table = np.full((1, 256), -8 * math.log10(2), np.float32)
+    def __init__(self, depth: np.ndarray, code: np.ndarray, table: np.ndarray):
+        self.table = table
         self.of = np.zeros(1 << 24, np.int32)
-        if rows:
-            logs = np.frombuffer(b"".join(r["logs"] for r in rows), np.float32).reshape(-1, 256)
-            self.table = np.concatenate([self.table, logs])
-            place = {d: [] for d in (0, 1, 2, 3)}
-            for i, r in enumerate(rows):
-                place[r["depth"]].append((r["code"], i + 1))
-            by_last = self.of.reshape(1 << 16, 256)
-            by_two = self.of.reshape(256, 1 << 16)
-            for _, i in place[0]:
-                self.of[:] = i
-            for code, i in place[1]:
-                by_last[:, code] = i
-            for code, i in place[2]:
-                by_two[:, code] = i
-            if place[3]:
-                code, i = np.array(place[3]).T
-                self.of[code] = i
+        rows = np.arange(len(depth), dtype=np.int32)
+        # From short contexts to long ones, so the longest one that the model has stays.
+        self.of[:] = rows[depth == 0][0]
+        self.of.reshape(1 << 16, 256)[:, code[depth == 1]] = rows[depth == 1]
+        self.of.reshape(256, 1 << 16)[:, code[depth == 2]] = rows[depth == 2]
+        self.of[code[depth == 3]] = rows[depth == 3]
 
     def scores(self, text: np.ndarray, context: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """log10 probability of each text: bytes with their contexts, and the texts' bounds."""
-        total = np.concatenate(([0.0], np.zeros(len(text))))
+        total = np.zeros(len(text) + 1)
         for lo in range(0, len(text), BLOCK):
             hi = min(lo + BLOCK, len(text))
             row = self.of[context[lo:hi]].astype(np.int64)
             total[lo + 1:hi + 1] = self.table.ravel()[row * 256 + text[lo:hi]]
-        sums = np.cumsum(total)
+        sums = np.cumsum(total, out=total)
         return sums[bounds[1:]] - sums[bounds[:-1]]
 
 
@@ -191,7 +180,7 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     mark = np.zeros(bounds[-1], bool)
     mark[bounds[1:] - 1] = True
     text[~mark] = raw
-    padded = np.concatenate((np.full(3, END, np.uint8), text)).astype(np.int64)
+    padded = np.concatenate((np.full(3, END, np.uint8), text)).astype(np.int32)
     context = padded[:-3] << 16 | padded[1:-2] << 8 | padded[2:-1]
     # The first bytes of a text do not see the text before it.
     first = bounds[:-1]
@@ -208,7 +197,7 @@ def follow_counts(train: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches, "text", SLICE_BYTES):
             text, context, _ = text_bytes(part.column("text").fill_null(""))
-            code = (context << 8 | text).astype(np.uint32)
+            code = context.astype(np.uint32) << np.uint32(8) | text
             code.sort()
             first = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1]))) if len(code) \
                 else np.zeros(0, int)
@@ -283,10 +272,21 @@ def fit(train: DataFrame) -> DataFrame:
         train.sparkSession.createDataFrame(top, schema)), "ctw-model")
 
 
-def scorer_of(name: str, rows: list) -> Scorer:
+def arrays_of(model: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Depths, codes and tables of a stored model; one uniform table for an empty one."""
+    found = model.toArrow()
+    logs = [np.frombuffer(x.buffers()[2], np.uint8)[np.frombuffer(x.buffers()[1], np.int32)[x.offset]:][
+        :1024 * len(x)] for x in found.column("logs").cast(pa.binary()).chunks if len(x)]
+    if not logs:
+        return np.zeros(1, int), np.zeros(1, int), np.full((1, 256), -8 * math.log10(2), np.float32)
+    return (found.column("depth").to_numpy(), found.column("code").to_numpy(),
+            np.concatenate(logs).view(np.float32).reshape(-1, 256))
+
+
+def scorer_of(name: str, arrays: tuple) -> Scorer:
     if name not in _models:
         _models.clear()
-        _models[name] = Scorer(rows)
+        _models[name] = Scorer(*arrays)
     return _models[name]
 
 
@@ -344,11 +344,11 @@ def scored(docs: DataFrame, held: Column | None = None, id_col: str = "doc_id",
         if seen > FREQUENT:
             least = row["step"] + 1
             break
-    common = counts.where(step >= least).toPandas().sort_values("word")
+    common = counts.where(step >= least).toArrow().sort_by("word")
     name = uuid.uuid4().hex
     shared = spark.sparkContext.broadcast((
-        common["word"].to_numpy(np.int64), common["c"].to_numpy(np.int64),
-        model.orderBy("depth").collect()))
+        common.column("word").to_numpy(), common.column("c").to_numpy(), arrays_of(model)))
+    del common
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, counted, table = shared.value
