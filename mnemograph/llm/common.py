@@ -4,24 +4,41 @@ from __future__ import annotations
 
 import gc
 import os
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
-from mnemograph.session import stage, stage_all
+from mnemograph.session import stage_folder
 
-__all__ = ["Folder", "arrow_map", "documents", "hash64", "no_cycles",
-           "quiet_tokenizers", "row_key", "stage", "stage_all",
-           "table", "text_slices", "tokenizer_path"]
+__all__ = ["Folder", "arrow_map", "documents", "free_shuffles", "no_cycles",
+           "quiet_tokenizers", "row_key", "stage",
+           "table", "text_slices", "tokenizer_path", "unstage"]
 
 Folder = str
 
 
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as a table in the shared stage folder and read it back."""
+    spark = df.sparkSession
+    path = f"{stage_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stage_path = path
+    return out
+
+
+def unstage(*tables: DataFrame) -> None:
+    """Delete stage tables that no later plan reads."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._stage_path)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def table(spark: SparkSession, sf_dir: Folder, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -43,12 +60,6 @@ def row_key(*cols: Column | str) -> Column:
     return F.xxhash64(*[p for c in cols for p in (c.isNull(), c)])
 
 
-def hash64(word: bytes) -> int:
-    """64-bit hash of a word as a signed number, the same in every process."""
-    h = xxhash.xxh3_64_intdigest(word)
-    return h - (1 << 64) if h >> 63 else h
-
-
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]],
               schema: StructType | str) -> DataFrame:
     """``mapInArrow`` under a name that says what the operators need of it."""
@@ -75,6 +86,16 @@ def text_slices(batches: Iterable[pa.RecordBatch], column: str, most: int
             start, done = stop, int(ends[stop - 1])
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that nothing refers to any more.
+
+    Its cleaner follows the driver's garbage collector, which may not run for hours on a
+    quiet driver, while the files of finished steps fill the executors' disks.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 @contextmanager
 def no_cycles() -> Iterator[None]:
     """Holds the cycle collector off while many small objects are made.

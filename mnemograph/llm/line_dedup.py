@@ -34,20 +34,23 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from mnemograph.llm.common import arrow_map, hash64, no_cycles, stage, text_slices
+from mnemograph.llm.common import (
+    arrow_map, free_shuffles, stage, text_slices, unstage)
 
 SLICE_BYTES = 12 << 20
 CELLS = 1 << 18           # of the sketch of word counts: 2 MB, whatever the corpus
 PARTS = 8, 10             # similarity of two sets: 8 / 10
 HOT = 20_000              # words at least so common are posted in pairs
-NAMED = 3                 # candidates that one posting names
-FILTER_CELLS = 1 << 18    # rows at most in the table that preselects documents
+CHUNK_ROWS = 200_000      # postings that are compared together, whole keys
+NAMED = 5                 # candidates that one posting names
+FILTER_CELLS = 1 << 22    # of the bit map of lines that are read again: 512 KB
 NULL_ID = -(1 << 63)
 
 U = np.uint64
-LINE = "doc bigint, line int, s1 bigint, s2 bigint, size int, bits bigint, keys array<bigint>"
+LINE = ("doc bigint, line int, s1 bigint, s2 bigint, size int, bits bigint, bits2 bigint, "
+        "keys array<bigint>")
 
 
 def mixed(x: np.ndarray, seed: int) -> np.ndarray:
@@ -57,6 +60,12 @@ def mixed(x: np.ndarray, seed: int) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct numbers; on long arrays a sort is faster than np.unique's hashing."""
+    x = np.sort(x)
+    return x[np.concatenate(([True], x[1:] != x[:-1]))] if len(x) else x
+
+
 def prefix_length(size: np.ndarray) -> np.ndarray:
     """Two sets of similarity 8/10 share one of so many first words."""
     return size - -(-PARTS[0] * size // PARTS[1]) + 1
@@ -67,8 +76,18 @@ def least_overlap(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(words: pa.Array) -> np.ndarray:
-    with no_cycles():
-        return np.fromiter(map(hash64, words.cast(pa.binary()).to_pylist()), np.int64, len(words))
+    """64-bit hashes of words, the same in every process: sums over places and bytes, mixed."""
+    if not len(words):
+        return np.zeros(0, np.int64)
+    words = words.cast(pa.large_binary())
+    ends = np.frombuffer(words.buffers()[1], np.int64)[words.offset:words.offset + len(words) + 1]
+    size = np.diff(ends)
+    if ends[-1] == ends[0]:
+        return mixed(mixed(size, 6), 7).view(np.int64)
+    data = np.frombuffer(words.buffers()[2], np.uint8)[ends[0]:ends[-1]]
+    place = np.arange(len(data)) - np.repeat(ends[:-1] - ends[0], size)
+    sums = np.concatenate((np.zeros(1, U), np.cumsum(mixed(place << 8 | data, 5))))
+    return mixed((sums[ends[1:] - ends[0]] - sums[ends[:-1] - ends[0]]) ^ mixed(size, 6), 7).view(np.int64)
 
 
 def cells_of(hashes: np.ndarray) -> np.ndarray:
@@ -102,11 +121,13 @@ def rarity(docs: DataFrame) -> np.ndarray:
 class LineSets:
     """The lines of a slice as sets of words in order of rarity."""
 
-    def __init__(self, doc: np.ndarray, texts: pa.Array, counts: np.ndarray):
-        split = pc.split_pattern(texts, "\n")
-        bounds = split.offsets.to_numpy().astype(np.int64)
-        per_text = np.diff(bounds)
-        lines = split.flatten()
+    def __init__(self, doc: np.ndarray, texts: pa.Array, counts: np.ndarray, whole: bool = True):
+        """``texts`` are whole texts, or already lines."""
+        if whole:
+            split = pc.split_pattern(texts, "\n")
+            per_text, lines = np.diff(split.offsets.to_numpy().astype(np.int64)), split.flatten()
+        else:
+            per_text, lines = np.ones(len(texts), np.int64), texts
         self.doc = np.repeat(doc, per_text)
         self.line = np.arange(len(lines)) - np.repeat(np.cumsum(per_text) - per_text, per_text)
         words = pc.ascii_split_whitespace(lines)
@@ -121,7 +142,7 @@ class LineSets:
         code = coded.indices.to_numpy()
         real = ~empty[code] if len(code) else np.zeros(0, bool)
         width = max(len(hashes), 1)
-        key = np.unique(owner[real] * width + rank[code[real]])
+        key = distinct(owner[real] * width + rank[code[real]])
         self.of, self.word = key // width, key % width
         self.hash, self.seen = hashes[self.order], seen[self.order]
         self.size = np.bincount(self.of, minlength=len(lines))
@@ -129,13 +150,17 @@ class LineSets:
         self.start = np.cumsum(self.size) - self.size
 
     def signatures(self) -> list[np.ndarray]:
-        """Two hashes and a parity bitmap of each line with words, from unordered sums."""
+        """Two hashes and two words of a parity bitmap of each line with words, from unordered sums."""
         h, at = self.hash[self.word].view(U), self.start[self.full]
         if not len(at):
-            return [np.zeros(0, np.int64)] * 3
+            return [np.zeros(0, np.int64)] * 4
+        place = mixed(h, 3)
+        bit = U(1) << (place & U(63))
+        low = place >> U(63) == 0
         return [np.add.reduceat(mixed(h, 1), at).view(np.int64),
                 np.add.reduceat(mixed(h, 2), at).view(np.int64),
-                np.bitwise_xor.reduceat(U(1) << (mixed(h, 3) >> U(58)), at).view(np.int64)]
+                np.bitwise_xor.reduceat(np.where(low, bit, U(0)), at).view(np.int64),
+                np.bitwise_xor.reduceat(np.where(low, U(0), bit), at).view(np.int64)]
 
     def keys(self, lines: np.ndarray) -> pa.Array:
         """The keys that each of some lines is posted under, by position."""
@@ -143,21 +168,26 @@ class LineSets:
         length = np.where(size > 0, prefix_length(size), 0)
         # Sets of so few words are similar only if equal, and equal sets are one class.
         length[PARTS[1] * size < PARTS[0] * (size + 1)] = 0
-        out, cuts = [], [0]
+        start = self.start[lines]
         hot = self.seen >= HOT
-        for s, n, total in zip(self.start[lines].tolist(), length.tolist(), size.tolist()):
-            word = self.word[s:s + min(n + 1, total)]
-            own = self.hash[word]
-            key = own[:n]
-            if n and hot[word[n - 1]]:
-                first = int(np.argmax(hot[word[:n]]))
-                pairs = [mixed(own[i + 1:] ^ own[i:i + 1], 4).view(np.int64)
-                         for i in range(first, n)]
-                key = np.concatenate([own[:first], *pairs])
-            out.append(key)
-            cuts.append(cuts[-1] + len(key))
-        flat = np.concatenate(out) if out else np.zeros(0, np.int64)
-        return pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(flat, pa.int64()))
+        # The last word of a prefix is the most common one: only there pairs can begin.
+        paired = (length > 0) & hot[self.word[start + np.maximum(length, 1) - 1]] \
+            if len(lines) else np.zeros(0, bool)
+        plain = np.where(paired, 0, length)
+        ends = np.cumsum(plain)
+        flat = self.hash[self.word[np.repeat(start - (ends - plain), plain) + np.arange(plain.sum())]]
+        if not paired.any():
+            return pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(flat))
+        parts = np.split(flat, ends[:-1])
+        for i in np.flatnonzero(paired).tolist():
+            word = self.word[start[i]:start[i] + min(length[i] + 1, size[i])]
+            own, first = self.hash[word], int(np.argmax(hot[word]))
+            parts[i] = np.concatenate([own[:first], *(
+                mixed(own[j + 1:] ^ own[j:j + 1], 4).view(np.int64)
+                for j in range(first, length[i]))])
+        ends = np.cumsum([len(x) for x in parts])
+        return pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()),
+                                        pa.array(np.concatenate(parts)))
 
 
 def line_sets(docs: DataFrame, counts: np.ndarray) -> DataFrame:
@@ -165,7 +195,7 @@ def line_sets(docs: DataFrame, counts: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches, "text", SLICE_BYTES):
             sets = LineSets(part.column("doc").to_numpy(), part.column("text").fill_null(""), counts)
-            s1, s2, bits = sets.signatures()
+            s1, s2, bits, bits2 = sets.signatures()
             full = sets.full
             order = np.lexsort((np.arange(len(full)), s2, s1))
             first = np.ones(len(full), bool)
@@ -175,8 +205,9 @@ def line_sets(docs: DataFrame, counts: np.ndarray) -> DataFrame:
             keys = keys.take(pa.array(at, mask=~first))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(sets.doc[full]), pa.array(sets.line[full].astype(np.int32)), pa.array(s1),
-                 pa.array(s2), pa.array(sets.size[full].astype(np.int32)), pa.array(bits), keys],
-                ["doc", "line", "s1", "s2", "size", "bits", "keys"])
+                 pa.array(s2), pa.array(sets.size[full].astype(np.int32)), pa.array(bits),
+                 pa.array(bits2), keys],
+                ["doc", "line", "s1", "s2", "size", "bits", "bits2", "keys"])
 
     return arrow_map(docs, run, LINE)
 
@@ -185,26 +216,27 @@ def classes_of(lines: DataFrame) -> DataFrame:
     """One row for each set: its first line, and what it is posted under."""
     return lines.groupBy("s1", "s2").agg(
         F.min(F.struct("doc", "line")).alias("first"), F.max("size").alias("size"),
-        F.max("bits").alias("bits"), F.max("keys").alias("keys")) \
-        .select("s1", "s2", "first.doc", "first.line", "size", "bits", "keys")
+        F.max("bits").alias("bits"), F.max("bits2").alias("bits2"), F.max("keys").alias("keys")) \
+        .select("s1", "s2", "first.doc", "first.line", "size", "bits", "bits2", "keys")
 
 
-POSTING = ["key", "doc", "line", "size", "pos", "bits"]
+POSTING = ["key", "doc", "line", "size", "pos", "bits", "bits2"]
 
 
 def postings_of(classes: DataFrame) -> DataFrame:
     # With pairs a key's place in the list is no position; 0 claims nothing.
     pos = F.when(F.size("keys") <= F.floor(F.col("size") * 2 / 10) + 1, F.col("pos")).otherwise(0)
-    return classes.select("doc", "line", "size", "bits", "keys",
+    return classes.select("doc", "line", "size", "bits", "bits2", "keys",
                           F.posexplode("keys").alias("pos", "key")) \
-        .select("key", "doc", "line", "size", pos.cast("int").alias("pos"), "bits")
+        .select("key", "doc", "line", "size", pos.cast("int").alias("pos"), "bits", "bits2")
 
 
 def may_match(a: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Whether rows i and j pass the filters, and how many bits of their maps differ."""
     sa, sb = a["size"][i], a["size"][j]
     need = least_overlap(sa, sb)
-    apart = np.bitwise_count((a["bits"][i] ^ a["bits"][j]).view(U)).astype(np.int64)
+    apart = sum(np.bitwise_count((a[c][i] ^ a[c][j]).view(U)).astype(np.int64)
+                for c in ("bits", "bits2"))
     most = np.minimum(sa - a["pos"][i], sb - a["pos"][j])
     ok = (PARTS[1] * np.minimum(sa, sb) >= PARTS[0] * np.maximum(sa, sb)) \
         & (most >= need) & (apart <= sa + sb - 2 * need)
@@ -248,7 +280,7 @@ def candidates(postings: DataFrame) -> DataFrame:
                 new = {c: batch.column(c).to_numpy().astype(np.int64) for c in POSTING}
                 held = new if held is None else {c: np.concatenate((held[c], new[c]))
                                                  for c in POSTING}
-                if not len(held["key"]):
+                if len(held["key"]) < CHUNK_ROWS:
                     continue
                 # The last key may go on in the next batch.
                 cut = int(np.searchsorted(held["key"], held["key"][-1]))
@@ -275,57 +307,114 @@ def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | No
     yield None
 
 
-def all_candidates(postings: DataFrame, targets: DataFrame) -> DataFrame:
-    """Every earlier class that each of some targets may match."""
-    mine = postings.join(targets.select(F.col("doc").alias("d"), F.col("line").alias("l")),
-                         (F.col("doc") == F.col("d")) & (F.col("line") == F.col("l"))) \
+def postings_near(classes: DataFrame, keys: DataFrame) -> DataFrame:
+    """Postings whose key is, or shares a cell with, one of some keys."""
+    cells = marked_cells(keys, F.pmod("key", F.lit(FILTER_CELLS)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            lists = part.column("keys")
+            starts = lists.offsets.to_numpy().astype(np.int64)
+            flat = lists.flatten().to_numpy()
+            owner = np.repeat(np.arange(part.num_rows), np.diff(starts))
+            pos = np.arange(len(flat)) - (starts[:-1] - starts[0])[owner]
+            near = np.flatnonzero(cells[flat % FILTER_CELLS])
+            owner, size = owner[near], part.column("size").to_numpy().astype(np.int64)
+            length = np.diff(starts)
+            # With pairs a key's place in the list is no position; 0 claims nothing.
+            pos = np.where(length[owner] <= size[owner] * 2 // 10 + 1, pos[near], 0)
+            rows = part.take(pa.array(owner))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(flat[near]), rows.column("doc"), rows.column("line"), rows.column("size"),
+                 pa.array(pos.astype(np.int32)), rows.column("bits"), rows.column("bits2")], POSTING)
+
+    return arrow_map(
+        classes.select("doc", "line", "size", "bits", "bits2", "keys").where("keys IS NOT NULL"),
+        run, "key bigint, doc bigint, line int, size int, pos int, bits bigint, bits2 bigint")
+
+
+def all_candidates(classes: DataFrame, targets: DataFrame) -> DataFrame:
+    """Every earlier class that each of some targets, a stored table, may match."""
+    named = targets.select(F.col("doc").alias("d"), F.col("line").alias("l"))
+    own = classes.join(named, (F.col("doc") == F.col("d")) & (F.col("line") == F.col("l"))) \
         .drop("d", "l")
-    other = postings.select(*[F.col(c).alias(f"to_{c}") for c in POSTING])
+    mine = stage(postings_of(own), "line-targets")
+    # Only postings that can meet the targets' are shuffled.
+    other = postings_near(classes, mine.select("key"))
+    other = other.select(*[F.col(c).alias(f"to_{c}") for c in POSTING])
     a, b = F.col("size"), F.col("to_size")
     need = F.ceil((a + b) * PARTS[0] / (PARTS[0] + PARTS[1]))
     earlier = F.struct("to_doc", "to_line") < F.struct("doc", "line")
     return mine.join(other, (F.col("key") == F.col("to_key")) & earlier
                      & (F.least(a, b) * PARTS[1] >= F.greatest(a, b) * PARTS[0])
                      & (F.least(a - F.col("pos"), b - F.col("to_pos")) >= need)
-                     & (F.bit_count(F.col("bits").bitwiseXOR(F.col("to_bits"))) <= a + b - 2 * need)) \
+                     & (F.bit_count(F.col("bits").bitwiseXOR(F.col("to_bits")))
+                        + F.bit_count(F.col("bits2").bitwiseXOR(F.col("to_bits2")))
+                        <= a + b - 2 * need)) \
         .select("doc", "line", "to_doc", "to_line").distinct()
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(doc, line, words): hashed sets of the wanted lines, read from the texts again."""
-    # A table of FILTER_CELLS rows at most keeps most other documents from being split.
-    cell = F.pmod(F.xxhash64("doc"), F.lit(FILTER_CELLS))
-    cells = F.broadcast(wanted.select(cell.alias("cell")).distinct())
-    near = docs.withColumn("cell", cell).join(cells, "cell", "left_semi").select("doc", "text")
+def line_cell(doc, line):
+    """Cell of a line in the filter of wanted lines, for columns as for arrays."""
+    return (doc % FILTER_CELLS * 1009 + line * 31) % FILTER_CELLS
+
+
+def marked_cells(rows: DataFrame, cell: Column) -> np.ndarray:
+    """Marks the cells of some rows: FILTER_CELLS bits reach the driver, however many rows."""
+    cell = cell + 1
+    rows = rows.groupBy(F.bitmap_bucket_number(cell).alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(cell)).alias("bits")).collect()
+    marks = np.zeros(FILTER_CELLS + 1, bool)
+    for bucket, bits in rows:
+        part = np.unpackbits(np.frombuffer(bytes(bits), np.uint8), bitorder="little")
+        at = (bucket - 1) * len(part)
+        part = part[:max(0, min(len(part), FILTER_CELLS - at))]
+        marks[at:at + len(part)] = part
+    return marks[:-1]
+
+
+def wanted_cells(lines: DataFrame) -> np.ndarray:
+    m = F.lit(FILTER_CELLS)
+    return marked_cells(lines, F.pmod(F.pmod("doc", m) * 1009 + F.col("line") * 31, m))
+
+
+def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The (doc, line, to_doc, to_line) of ``pairs``, a stored table, that are similar.
+
+    The texts are read again. Only lines in a wanted cell are kept, so little more than
+    the wanted sets is shuffled: to the pairs they belong to, where two meet.
+    """
+    ends = pairs.select("doc", "line", F.struct("doc", "line", "to_doc", "to_line").alias("pair")) \
+        .unionByName(pairs.select(F.col("to_doc").alias("doc"), F.col("to_line").alias("line"),
+                                  F.struct("doc", "line", "to_doc", "to_line").alias("pair")))
+    cells = wanted_cells(ends)
     none = np.zeros(CELLS, np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in text_slices(batches, "text", SLICE_BYTES // 2):
-            sets = LineSets(part.column("doc").to_numpy(), part.column("text").fill_null(""), none)
+        for part in text_slices(batches, "text", SLICE_BYTES):
+            doc, texts = part.column("doc").to_numpy(), part.column("text").fill_null("")
+            split = pc.split_pattern(texts, "\n")
+            sizes = np.diff(split.offsets.to_numpy().astype(np.int64))
+            owner = np.repeat(doc, sizes)
+            number = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            near = np.flatnonzero(cells[line_cell(owner, number)])
+            sets = LineSets(owner[near], split.flatten().take(pa.array(near)), none, whole=False)
             full = sets.full
             cuts = np.append(sets.start[full], len(sets.word)).astype(np.int32)
             words = pa.ListArray.from_arrays(pa.array(cuts), pa.array(sets.hash[sets.word]))
-            s1 = sets.signatures()[0]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(sets.doc[full]), pa.array(sets.line[full].astype(np.int32)),
-                 pa.array(s1), words], ["doc", "line", "s1", "words"])
-
-    found = arrow_map(near, run, "doc bigint, line int, s1 bigint, words array<bigint>")
-    return found.join(wanted, ["doc", "line"], "left_semi").groupBy("doc", "line").agg(
-        F.min_by("words", "s1").alias("words"))
+                [pa.array(owner[near][full]), pa.array(number[near][full].astype(np.int32)),
+                 pa.array(sets.signatures()[0]), words], ["doc", "line", "s1", "words"])
 
-
-def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The (doc, line, to_doc, to_line) of ``pairs``, a stored table, that are similar."""
-    mine = pairs.select("doc", "line")
-    other = pairs.select(F.col("to_doc").alias("doc"), F.col("to_line").alias("line"))
-    sets = stage(sets_of(docs, mine.union(other).distinct()), "line-sets")
-    there = sets.select(F.col("doc").alias("to_doc"), F.col("line").alias("to_line"),
-                        F.col("words").alias("to_words"))
-    both = F.size(F.array_intersect("words", "to_words"))
-    union = F.size("words") + F.size("to_words") - both
-    return pairs.join(sets, ["doc", "line"]).join(there, ["to_doc", "to_line"]) \
-        .where(both * PARTS[1] >= union * PARTS[0]).select("doc", "line", "to_doc", "to_line")
+    sets = arrow_map(docs, run, "doc bigint, line int, s1 bigint, words array<bigint>")
+    met = sets.join(ends, ["doc", "line"]).groupBy("pair").agg(
+        F.max(F.when((F.col("doc") == F.col("pair.doc")) & (F.col("line") == F.col("pair.line")),
+                     F.struct("s1", "words"))).alias("a"),
+        F.max(F.when((F.col("doc") == F.col("pair.to_doc")) & (F.col("line") == F.col("pair.to_line")),
+                     F.struct("s1", "words"))).alias("b"))
+    both = F.size(F.array_intersect("a.words", "b.words"))
+    union = F.size("a.words") + F.size("b.words") - both
+    return met.where(both * PARTS[1] >= union * PARTS[0]).select("pair.*")
 
 
 def matched_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -340,12 +429,14 @@ def matched_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     classes = classes_of(lines)
     found = stage(candidates(postings_of(classes)).groupBy("doc", "line", "to_doc", "to_line").agg(
         F.min("apart").alias("apart"), F.max("more").alias("more")), "line-candidates")
+    free_shuffles(docs.sparkSession)
     # The candidate whose bits differ least is tried first, the others where it fails.
     best = stage(found.groupBy("doc", "line").agg(
         F.min(F.struct("apart", "to_doc", "to_line")).alias("b"), F.max("more").alias("more"),
         F.count("*").alias("n")).select("doc", "line", "b.to_doc", "b.to_line", "more", "n"),
         "line-best")
     links = stage(verified(pairs, best.select("doc", "line", "to_doc", "to_line")), "line-links")
+    free_shuffles(docs.sparkSession)
     failed = best.join(links.select("doc", "line"), ["doc", "line"], "left_anti")
     rest = stage(found.join(failed.where("n > 1").select("doc", "line"), ["doc", "line"], "left_semi")
                  .select("doc", "line", "to_doc", "to_line"), "line-rest")
@@ -357,8 +448,10 @@ def matched_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         still = still.join(part.select("doc", "line"), ["doc", "line"], "left_anti")
     still = stage(still, "line-open")
     if not still.isEmpty():
-        left = stage(all_candidates(postings_of(classes), still), "line-all")
+        left = stage(all_candidates(classes, still), "line-all")
         parts.append(stage(verified(pairs, left), "line-links"))
+        unstage(left)
+    unstage(found, best, rest, still)
     linked = parts[0]
     for part in parts[1:]:
         linked = linked.unionByName(part)

@@ -95,9 +95,10 @@ def statistics(texts: pa.Array) -> dict[str, np.ndarray]:
     line_of = np.repeat(np.arange(len(texts)), np.diff(lines.offsets.to_numpy()))
     code = coded.indices.to_numpy()
     line_of, code = line_of[full[code]], code[full[code]].astype(np.int64)
-    distinct = np.unique(line_of * (len(coded.dictionary) + 1) + code)
+    key = np.sort(line_of * (len(coded.dictionary) + 1) + code)
+    key = key[np.concatenate(([True], key[1:] != key[:-1]))] if len(key) else key
     n_lines = np.bincount(line_of, minlength=len(texts))
-    kinds = np.bincount(distinct // (len(coded.dictionary) + 1), minlength=len(texts))
+    kinds = np.bincount(key // (len(coded.dictionary) + 1), minlength=len(texts))
     symbols = pc.count_substring_regex(texts, SYMBOLS).to_numpy(zero_copy_only=False)
     return {"n_words": words.astype(np.int64), "word_chars": chars.astype(np.int64),
             "n_symbols": symbols.astype(np.int64),

@@ -165,8 +165,8 @@ def test_all_candidates_of_open_lines(spark, docs_of):
     texts = line_texts()
     docs = line_dedup._pairs(docs_of(texts), "doc_id", "text")
     classes = line_dedup.classes_of(line_dedup.line_sets(docs, line_dedup.rarity(docs)))
-    post = line_dedup.postings_of(classes)
-    every = line_dedup.stage(line_dedup.all_candidates(post, classes.select("doc", "line")), "t")
+    targets = line_dedup.stage(classes.select("doc", "line"), "t")
+    every = line_dedup.stage(line_dedup.all_candidates(classes, targets), "t")
     found = {(r.doc, r.line) for r in line_dedup.verified(docs, every).collect()}
     want = plain_matches(list(enumerate(texts)))
     assert found == {k for k, (a, b, linked, _) in want.items() if linked and k == (a, b)}
