@@ -33,10 +33,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from mnemograph.llm.common import arrow_map, stage, text_slices
+from mnemograph.llm.common import arrow_map, free_shuffles, stage, text_slices, unstage
 from mnemograph.llm.line_dedup import mixed, word_hashes
 
-SLICE_BYTES = 10 << 20
+SLICE_BYTES = 4 << 20
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 10, 3        # 0.08 % of pairs at the threshold share no band
@@ -45,6 +45,7 @@ CELLS = 1 << 18            # of the sketch of document frequencies
 FILTER_CELLS = 1 << 18     # rows at most in the table that preselects documents
 CACHED = 1 << 16           # shingles sampled at a time
 TABLE = 1 << 16            # draws of each distribution
+MAP_WORDS = 8              # 64-bit words of a text's parity map
 
 U = np.uint64
 _rng = np.random.default_rng(20_240_229)
@@ -149,19 +150,37 @@ def band_keys(found: Shingled, weight: np.ndarray) -> list[np.ndarray | None]:
     return out
 
 
+def parity_maps(found: Shingled) -> np.ndarray:
+    """A bit map for each text, in which each of its shingles flips one bit.
+
+    Each bit in which two maps differ stands for a shingle that only one text has. As no
+    shingle weighs less than 1, that bounds the similarity from above.
+    """
+    place = mixed(found.hash, 15)
+    word = (place >> U(32)) % U(MAP_WORDS)
+    maps = np.zeros((len(found.bounds) - 1, MAP_WORDS), U)
+    np.bitwise_xor.at(maps, (found.owner, word.astype(np.intp)), U(1) << (place & U(63)))
+    return maps
+
+
 def nodes_of(docs: DataFrame, weight: np.ndarray) -> DataFrame:
-    """(doc, node, bands): the text's hash and band keys of every row."""
+    """(doc, node, bands, total, map): hash, band keys, weight and parity map of every row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches, "text", SLICE_BYTES):
             texts = part.column("text")
-            keys = band_keys(Shingled(texts), weight)
+            found = Shingled(texts)
+            keys = band_keys(found, weight)
+            total = np.bincount(found.owner, weight[cells_of(found.hash)] * found.count,
+                                len(texts)).astype(np.float64)
+            maps = parity_maps(found).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc"), part.column("node"),
-                 pa.array(keys, pa.list_(pa.int64()))], ["doc", "node", "bands"])
+                [part.column("doc"), part.column("node"), pa.array(keys, pa.list_(pa.int64())),
+                 pa.array(total), pa.array(list(maps), pa.list_(pa.int64()))],
+                ["doc", "node", "bands", "total", "map"])
 
     kind = docs.schema["doc"].dataType.simpleString()
     return arrow_map(docs.select("doc", "node", "text"), run,
-                     f"doc {kind}, node binary, bands array<bigint>")
+                     f"doc {kind}, node binary, bands array<bigint>, total double, map array<bigint>")
 
 
 def shingles_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -194,7 +213,7 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 def compared(texts: DataFrame, pairs: DataFrame, weight: np.ndarray) -> DataFrame:
-    """``pairs`` (a, b), a stored table, with their similarity."""
+    """``pairs`` (a, b), a stored table, with their similarity, stored as well."""
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     sets = stage(shingles_of(texts, wanted), "shingles")
     left = sets.select(F.col("node").alias("a"), F.col("hashes").alias("ha"), F.col("counts").alias("na"))
@@ -212,11 +231,14 @@ def compared(texts: DataFrame, pairs: DataFrame, weight: np.ndarray) -> DataFram
                 ["a", "b", "similarity"])
 
     both = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "ha", "na", "hb", "nb")
-    return arrow_map(both, run, "a binary, b binary, similarity double")
+    tested = stage(arrow_map(both, run, "a binary, b binary, similarity double"), "near-tested")
+    unstage(sets)
+    free_shuffles(pairs.sparkSession)
+    return tested
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, label) of linked nodes: the least node that links reach.
+    """(node, label) of linked nodes, stored: the least node that links reach.
 
     Large and small stars in turn until nothing changes; the number of rounds grows
     with the logarithm of a component's size. Every round is a stored table.
@@ -240,8 +262,12 @@ def components(links: DataFrame) -> DataFrame:
         many = new.groupBy("x").count().where("count > 1")
         inner = new.select(F.col("x").alias("c")).join(new, F.col("c") == F.col("y"), "left_semi")
         if many.isEmpty() and inner.isEmpty():
-            return new.select(F.col("x").alias("node"), F.col("y").alias("label")).unionByName(
+            done = new.select(F.col("x").alias("node"), F.col("y").alias("label")).unionByName(
                 new.select(F.col("y").alias("node"), F.col("y").alias("label"))).distinct()
+            done = stage(done, "near-labels")
+            unstage(edges, large, new)
+            return done
+        unstage(edges, large)
         edges = new
 
 
@@ -263,9 +289,10 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     texts = rows.select("node", "text")
     first = stage(starred.where("node <> head").select(
         F.col("head").alias("a"), F.col("node").alias("b")).distinct(), "near-pairs")
-    tested = stage(compared(texts, first, weight), "near-tested")
+    unstage(bands, groups)
+    tested = compared(texts, first, weight)
     links = tested.where(F.col("similarity") >= SIMILARITY)
-    label = stage(components(links), "near-labels")
+    label = components(links)
     # Bands whose nodes are still apart: members of different components, if the
     # distances to the head leave room for a link.
     apart = starred.join(label, "node", "left").withColumn("label", F.coalesce("label", "node")) \
@@ -274,19 +301,29 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         "far", 1 - F.when(F.col("head") == F.col("node"), 1.0).otherwise(F.col("similarity")))
     split = apart.groupBy("band").agg(F.min("label").alias("l0"), F.max("label").alias("l1")) \
         .where("l0 <> l1").select("band")
-    apart = stage(apart.join(split, "band", "left_semi").where("node <> head")
-                  .select("band", "node", "label", "far"), "near-apart")
-    other = apart.select("band", F.col("node").alias("b"), F.col("label").alias("label_b"),
-                         F.col("far").alias("far_b"))
+    apart = apart.join(split, "band", "left_semi").where("node <> head") \
+        .select("band", "node", "label", "far")
+    maps = members.groupBy("node").agg(F.first("total").alias("total"), F.first("map").alias("map"))
+    apart = stage(apart.join(maps, "node"), "near-apart")
+    other = apart.select(*[F.col(c).alias(f"{c}_b") for c in apart.columns])
     near = F.lit(1 - SIMILARITY + 1e-9)
-    second = apart.join(other, "band").where(
-        (F.col("node") < F.col("b")) & (F.col("label") != F.col("label_b"))
-        & (F.abs(F.col("far") - F.col("far_b")) <= near)).select(F.col("node").alias("a"), "b").distinct()
+    # (S - D) / (S + D) is the similarity, S the sum of both weights and D that of
+    # what they do not share; bits in which the maps differ are a lower bound of D.
+    differ = sum((F.bit_count(F.col("map")[i].bitwiseXOR(F.col("map_b")[i]))
+                  for i in range(MAP_WORDS)), F.lit(0))
+    most = (F.col("total") + F.col("total_b")) * ((1 - SIMILARITY) / (1 + SIMILARITY)) + 1e-6
+    second = apart.join(other, F.col("band") == F.col("band_b")).where(
+        (F.col("node") < F.col("node_b")) & (F.col("label") != F.col("label_b"))
+        & (F.abs(F.col("far") - F.col("far_b")) <= near)
+        & (F.abs(F.col("total") - F.col("total_b")) <= most) & (differ <= most)) \
+        .select(F.col("node").alias("a"), F.col("node_b").alias("b")).distinct()
     second = stage(second.join(first, ["a", "b"], "left_anti"), "near-pairs")
-    more = compared(texts, second, weight).where(F.col("similarity") >= SIMILARITY)
-    more = stage(more, "near-tested")
+    again = compared(texts, second, weight)
+    more = again.where(F.col("similarity") >= SIMILARITY)
     if not more.isEmpty():
-        label = stage(components(links.unionByName(more)), "near-labels")
+        unstage(label)
+        label = components(links.unionByName(more))
+    unstage(starred, first, tested, apart, second, again)
     return members.select("doc", "node").join(label, "node", "left").select(
         "doc", "node", F.coalesce("label", "node").alias("label"))
 
