@@ -45,7 +45,7 @@ CELLS = 1 << 18            # of the sketch of document frequencies
 FILTER_CELLS = 1 << 18     # rows at most in the table that preselects documents
 CACHED = 1 << 16           # shingles sampled at a time
 TABLE = 1 << 16            # draws of each distribution
-MAP_WORDS = 8              # 64-bit words of a text's parity map
+MAP_WORDS = 32            # 64-bit words of a text's parity map
 
 U = np.uint64
 _rng = np.random.default_rng(20_240_229)
@@ -150,14 +150,21 @@ def band_keys(found: Shingled, weight: np.ndarray) -> list[np.ndarray | None]:
     return out
 
 
-def parity_maps(found: Shingled) -> np.ndarray:
+def heavy_weight(weight: np.ndarray) -> float:
+    """What most shingles that few documents have weigh at least."""
+    return float(np.quantile(weight, 0.2))
+
+
+def parity_maps(found: Shingled, weight: np.ndarray) -> np.ndarray:
     """A bit map for each text, in which each of its shingles flips one bit.
 
-    Each bit in which two maps differ stands for a shingle that only one text has. As no
-    shingle weighs less than 1, that bounds the similarity from above.
+    Each bit in which two maps differ stands for a shingle that only one text has. In
+    the second half of the map such a shingle weighs ``heavy_weight`` at least, in
+    the first half 1. That bounds the similarity from above.
     """
     place = mixed(found.hash, 15)
-    word = (place >> U(32)) % U(MAP_WORDS)
+    heavy = weight[cells_of(found.hash)] >= np.float32(heavy_weight(weight))
+    word = (place >> U(32)) % U(MAP_WORDS // 2) + np.where(heavy, U(MAP_WORDS // 2), U(0))
     maps = np.zeros((len(found.bounds) - 1, MAP_WORDS), U)
     np.bitwise_xor.at(maps, (found.owner, word.astype(np.intp)), U(1) << (place & U(63)))
     return maps
@@ -172,7 +179,7 @@ def nodes_of(docs: DataFrame, weight: np.ndarray) -> DataFrame:
             keys = band_keys(found, weight)
             total = np.bincount(found.owner, weight[cells_of(found.hash)] * found.count,
                                 len(texts)).astype(np.float64)
-            maps = parity_maps(found).view(np.int64)
+            maps = parity_maps(found, weight).view(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc"), part.column("node"), pa.array(keys, pa.list_(pa.int64())),
                  pa.array(total), pa.array(list(maps), pa.list_(pa.int64()))],
@@ -309,13 +316,16 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     near = F.lit(1 - SIMILARITY + 1e-9)
     # (S - D) / (S + D) is the similarity, S the sum of both weights and D that of
     # what they do not share; bits in which the maps differ are a lower bound of D.
-    differ = sum((F.bit_count(F.col("map")[i].bitwiseXOR(F.col("map_b")[i]))
-                  for i in range(MAP_WORDS)), F.lit(0))
+    def differ(words: range) -> Column:
+        return sum((F.bit_count(F.col("map")[i].bitwiseXOR(F.col("map_b")[i])) for i in words), F.lit(0))
+
+    light, heavy = differ(range(MAP_WORDS // 2)), differ(range(MAP_WORDS // 2, MAP_WORDS))
+    least = light + heavy * (heavy_weight(weight) - 1e-6)
     most = (F.col("total") + F.col("total_b")) * ((1 - SIMILARITY) / (1 + SIMILARITY)) + 1e-6
     second = apart.join(other, F.col("band") == F.col("band_b")).where(
         (F.col("node") < F.col("node_b")) & (F.col("label") != F.col("label_b"))
         & (F.abs(F.col("far") - F.col("far_b")) <= near)
-        & (F.abs(F.col("total") - F.col("total_b")) <= most) & (differ <= most)) \
+        & (F.abs(F.col("total") - F.col("total_b")) <= most) & (least <= most)) \
         .select(F.col("node").alias("a"), F.col("node_b").alias("b")).distinct()
     second = stage(second.join(first, ["a", "b"], "left_anti"), "near-pairs")
     again = compared(texts, second, weight)
