@@ -11,7 +11,7 @@ the digits allow, the permutation is repeated until it lands on a member, which
 a permutation.
 
 Defined results: a null text stays null, text without such values stays as it is,
-invalid look-alikes stay. Rows are independent; repeated rows give equal results, null ids
+invalid look-alikes stay, and what they cover is searched again. Rows are independent; repeated rows give equal results, null ids
 stay, other columns pass through whatever their names, an empty table gives an empty
 result. Whole texts are searched, however long. A value of one character or a format of few
 members may map to itself.
@@ -39,20 +39,32 @@ FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099,
 # A cheap first look (RE2 syntax): a text without any of these cannot match.
 MAYBE = r"[0-9]{2}|[0-9]\.[0-9]|@|[=:]\s*[\"']?[A-Za-z0-9_+/-]{16}|AKIA|ASIA"
 
-PATTERN = re.compile(r"""
+FORMS = r"""
     (?P<secret>(?<=[=:])\s*["']?(?P<secret_value>[A-Za-z0-9_+/-]{16,})(?![\w]))
   | (?P<access>(?<!\w)A[KS]IA(?P<access_value>[A-Z0-9]{16})(?!\w))
   | (?P<email>(?<![\w.+-])(?P<email_value>[\w.+-]+)@(?=[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}))
   | (?P<iban>(?<!\w)[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,4})?(?!\w))
   | (?P<ipv4>(?<![\w.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\w|\.[0-9]))
-  | (?P<date>(?<![\w./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![\w/-]|\.[0-9]))
+  | (?P<date>(?<![\w./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?!(?!T[0-9])[\w/-]|\.[0-9]))
   | (?P<ssn>(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-]))
   | (?P<phone>(?<![\w+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}
       |\([0-9]{3}\)[ ]?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?!\w))
   | (?P<card>(?<![\w+])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?!\w))
-""", re.X)
+"""
+PATTERN = re.compile(FORMS, re.X)
+#: Each kind alone, in the order in which they are tried at one place.
+KINDS = {re.match(r"\s*(?:\| )?\(\?P<(\w+)>", x)[1]: re.compile(x.lstrip(" |"), re.X)
+         for x in re.split(r"\n(?=  \| )", FORMS.strip("\n"))}
 ASSIGNED = re.compile(r"(?:token|secret|password|passwd|api[_-]?key|access[_-]?key|auth)\w*[\"']?\s*[=:]\Z", re.I)
 
+#: Characters of an IBAN by country.
+IBAN_LENGTH = {c[:2]: int(c[2:]) for c in """
+    AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28
+    EE20 EG29 ES24 FI18 FK18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HN28 HR21 HU28 IE22 IL23 IQ23 IS26
+    IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28
+    NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25
+    SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20 YE30""".split()}
+
 SPAN = StructType([StructField("kind", StringType()), StructField("start", IntegerType()),
                    StructField("end", IntegerType())])
 
@@ -100,6 +112,21 @@ def iban_number(text: str) -> int:
     return int("".join(str(int(c, 36)) for c in text))
 
 
+def iban_valid(text: str) -> bool:
+    flat = text.replace(" ", "")
+    return 15 <= len(flat) <= 34 and iban_number(flat[4:] + flat[:4]) % 97 == 1
+
+
+def iban_end(text: str) -> int:
+    """Where the IBAN at the start of a match ends: the match may go on into the next words."""
+    left = IBAN_LENGTH.get(text[:2], 0)
+    for end, c in enumerate(text, 1):
+        left -= c != " "
+        if left == 0:
+            return end if text[end:end + 1] in ("", " ") and iban_valid(text[:end]) else len(text)
+    return len(text)
+
+
 class Permuter:
     """Pseudonyms of one key, or the way back to the values."""
 
@@ -213,13 +240,17 @@ class Permuter:
         return None
 
     def iban(self, text: str) -> str | None:
-        flat = text.replace(" ", "")
-        if not 15 <= len(flat) <= 34 or iban_number(flat[4:] + flat[:4]) % 97 != 1:
+        if not iban_valid(text):
             return None
-        body = self.characters(flat[4:], "iban" + flat[:2])
-        check = 98 - iban_number(body + flat[:2] + "00") % 97
-        new = iter(flat[:2] + f"{check:02}" + body)
-        return "".join(c if c == " " else next(new) for c in text)
+        flat = text.replace(" ", "")
+        body = flat[4:]
+        while True:
+            body = self.characters(body, "iban" + flat[:2])
+            check = 98 - iban_number(body + flat[:2] + "00") % 97
+            new = iter(flat[:2] + f"{check:02}" + body)
+            out = "".join(c if c == " " else next(new) for c in text)
+            if iban_end(out) == len(out):       # else the way back would find a shorter one
+                return out
 
     def email(self, text: str) -> str:
         return self.characters(text, "email")
@@ -230,22 +261,48 @@ class Permuter:
     def access(self, text: str) -> str:
         return self.characters(text, "access")
 
+    def valid_at(self, kind: str, m: re.Match) -> tuple[str, int, int] | None:
+        """Pseudonym, start and end of the value of a match; None if it is not valid."""
+        text = m.string
+        start, end = m.span(f"{kind}_value" if kind in ("secret", "access", "email") else kind)
+        if kind == "secret" and not ASSIGNED.search(text, max(0, m.start() - 60), m.start()):
+            return None
+        if kind == "iban":
+            end = start + iban_end(text[start:end])
+        new = self.value(kind, text[start:end])
+        # A phone number of too many digits may be one that runs into a date or the next number.
+        if kind == "phone" and new is None and (date := KINDS["date"].search(text, start, end)):
+            end = date.start()
+        while kind == "phone" and new is None and end > start + 8:
+            end -= 1
+            if not re.match(r"\w", text[end]) and KINDS[kind].fullmatch(text[start:end]):
+                new = self.value(kind, text[start:end])
+        return None if new is None else (new, start, end)
+
     def replaced(self, text: str) -> tuple[str, list[tuple[str, int, int]]]:
         """The text with pseudonyms, and where they stand in it."""
         out, spans, done, size = [], [], 0, 0
-        for m in PATTERN.finditer(text):
+        m = PATTERN.search(text)
+        while m:
             kind = m.lastgroup.removesuffix("_value")
-            name = f"{kind}_value" if kind in ("secret", "access", "email") else kind
-            start, end = m.span(name)
-            if kind == "secret" and not ASSIGNED.search(text, max(0, m.start() - 60), m.start()):
-                continue
-            new = self.value(kind, text[start:end])
-            if new is None:
+            found = self.valid_at(kind, m)
+            if found is None:
+                # What a rejected candidate covers may still hold values of other kinds.
+                for other, form in KINDS.items():
+                    own = form.match(text, m.start()) if other != kind else None
+                    found = self.valid_at(other, own) if own else None
+                    if found:
+                        kind = other
+                        break
+            if found is None:
+                m = PATTERN.search(text, m.start() + 1)
                 continue
+            new, start, end = found
             out += [text[done:start], new]
             size += start - done
             spans.append((kind, size, size + len(new)))
             size, done = size + len(new), end
+            m = PATTERN.search(text, end)
         return "".join([*out, text[done:]]), spans
 
 
