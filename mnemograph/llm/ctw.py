@@ -389,7 +389,8 @@ def scored(docs: DataFrame, held: Column | None = None, id_col: str = "doc_id",
         keyed, run, f"doc {kind}, held boolean, row bigint, tokens bigint, known bigint, "
         "base double, score double, n_bytes bigint, words array<bigint>, times array<int>"),
         "ctw-scored")
-    rare = parts.select("row", F.explode(F.arrays_zip("words", "times")).alias("w")) \
+    # Equal rows ask once: each takes the same answer from the join.
+    rare = parts.dropDuplicates(["row"]).select("row", F.explode(F.arrays_zip("words", "times")).alias("w")) \
         .select("row", F.col("w.words").alias("word"), F.col("w.times").alias("times"))
     looked = rare.join(counts.where(step < least), "word", "left").groupBy("row").agg(
         F.sum(F.when(F.col("c").isNotNull(), F.col("times")).otherwise(0)).alias("more"),

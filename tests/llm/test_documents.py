@@ -404,6 +404,20 @@ def test_rare_words_and_pruned_contexts(docs_of, monkeypatch):
         assert 0 < small[i].bits_per_byte < 8
 
 
+def test_repeated_rows_look_their_words_up_once(docs_of, monkeypatch):
+    monkeypatch.setattr(ctw, "FREQUENT", 2)      # so that known words travel, too
+    texts = ["aa bb cc dd aa", "bb cc zz", "cc yy xx yy", "cc yy xx yy", "cc yy xx yy", "bb cc zz"]
+    ids = [0, 1, 5, 5, 5, 1]                     # 5 is held out
+    words = collections.Counter(w for i, t in zip(ids, texts) if i != 5 for w in [*t.split(), "end"])
+    whole = sum(words.values()) + .5 * (len(words) + 1)
+    rows = ctw.scored(docs_of(texts, ids)).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(ids)
+    for r in rows:
+        tokens = [*texts[ids.index(r.doc_id)].split(), "end"]
+        assert r.held_out == (r.doc_id == 5) and r.n_known == sum(words[w] > 0 for w in tokens)
+        assert r.base_score == pytest.approx(sum(math.log10((words[w] + .5) / whole) for w in tokens))
+
+
 def test_model_gives_probabilities_and_learns(spark, docs_of):
     rng = random.Random(3)
     docs = docs_of([invented(rng, 80, 50) for _ in range(40)] + [None])
