@@ -31,7 +31,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without lines that match an earlier one."""
     lines = line_dedup.matched_lines(docs)
-    return _sized(line_dedup.without_lines(docs, lines.where(~F.col("kept")).select("doc", "line")))
+    return _sized(line_dedup.without_lines(
+        docs, lines.where(~F.col("kept")).select(line_dedup.PLACE)))
 
 
 def near_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -21,9 +21,10 @@ decision is lost.
 
 Defined results: words are runs of characters outside ASCII white space; words are compared
 by 64-bit and sets by 128-bit hashes. A line without words always stays and is no row
-of the result. Null and empty texts have no lines. Rows that share an id
-count as one text if equal, and else as texts whose equal line numbers tie; ties fall to
-the set's hash. A null id sorts first. Other columns pass through ``without_lines`` whatever
+of the result. Null and empty texts have no lines. Rows that share an id, or have none,
+count as one text if equal, and else as texts of their own, told apart by 127 bits of the
+text's hash (``t1``, ``t2``; 0 for an id with one text): lines come in the order of id, line
+number, and hash. A null id sorts as the smallest number. Other columns pass through ``without_lines`` whatever
 their names. An empty table gives an empty result.
 """
 
@@ -32,6 +33,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
@@ -47,9 +49,13 @@ CHUNK_ROWS = 200_000      # postings that are compared together, whole keys
 NAMED = 5                 # candidates that one posting names
 FILTER_CELLS = 1 << 22    # of the bit map of lines that are read again: 512 KB
 NULL_ID = -(1 << 63)
+ROW = ["doc", "t1", "t2"]
+PLACE = ["doc", "line", "t1", "t2"]     # of a line, in the order of lines
+TO = [f"to_{c}" for c in PLACE]
 
 U = np.uint64
-LINE = ("doc bigint, line int, s1 bigint, s2 bigint, size int, bits bigint, bits2 bigint, "
+ROW_TYPE = "doc bigint, t1 bigint, t2 bigint"
+LINE = (f"{ROW_TYPE}, line int, s1 bigint, s2 bigint, size int, bits bigint, bits2 bigint, "
         "keys array<bigint>")
 
 
@@ -94,9 +100,45 @@ def cells_of(hashes: np.ndarray) -> np.ndarray:
     return (hashes.view(U) >> U(64 - (CELLS.bit_length() - 1))).astype(np.int64)
 
 
+def shared_cells(docs: DataFrame, id_col: str, text_col: str) -> np.ndarray:
+    """Marks the cells of ids that stand for several texts."""
+    h1, h2 = text_hashes(text_col)
+    ids = docs.select(F.col(id_col).cast("bigint").alias("doc"), h1.alias("h1"), h2.alias("h2"))
+    ids = ids.where("doc IS NOT NULL").groupBy("doc").agg(
+        F.min("h1").alias("a1"), F.max("h1").alias("b1"), F.min("h2").alias("a2"),
+        F.max("h2").alias("b2"))
+    return marked_cells(ids.where("a1 <> b1 OR a2 <> b2"), F.pmod("doc", F.lit(FILTER_CELLS)))
+
+
+def text_hashes(text_col: str) -> tuple[Column, Column]:
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return F.xxhash64(text), F.xxhash64(F.lit(1), text)
+
+
+def row_of(docs: DataFrame, id_col: str, text_col: str) -> list[Column]:
+    """The columns ROW. Only rows without an id of their own carry hashes, others zeros."""
+    doc = F.col(id_col).cast("bigint")
+    cells = shared_cells(docs, id_col, text_col)
+    tied = doc.isNull()
+    if cells.any():
+        packed = np.packbits(cells)
+
+        @F.pandas_udf("boolean")
+        def shared(ids: pd.Series) -> pd.Series:
+            cell = ids.to_numpy(np.int64) % FILTER_CELLS
+            return pd.Series((packed[cell >> 3] >> (7 - (cell & 7)) & 1).astype(bool))
+
+        tied = tied | shared(F.coalesce(doc, F.lit(NULL_ID)))
+    h1, h2 = text_hashes(text_col)
+    # The sign tells a null id from the number that stands for it.
+    t1 = F.when(doc.isNull(), h1.bitwiseOR(F.lit(NULL_ID))).otherwise(h1.bitwiseAND(F.lit(~NULL_ID)))
+    return [F.coalesce(doc, F.lit(NULL_ID)).alias("doc"),
+            F.when(tied, t1).otherwise(F.lit(0).cast("bigint")).alias("t1"),
+            F.when(tied, h2).otherwise(F.lit(0).cast("bigint")).alias("t2")]
+
+
 def _pairs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    doc = F.coalesce(F.col(id_col).cast("bigint"), F.lit(NULL_ID))
-    return docs.select(doc.alias("doc"), F.col(text_col).alias("text"))
+    return docs.select(*row_of(docs, id_col, text_col), F.col(text_col).alias("text"))
 
 
 def rarity(docs: DataFrame) -> np.ndarray:
@@ -121,14 +163,14 @@ def rarity(docs: DataFrame) -> np.ndarray:
 class LineSets:
     """The lines of a slice as sets of words in order of rarity."""
 
-    def __init__(self, doc: np.ndarray, texts: pa.Array, counts: np.ndarray, whole: bool = True):
-        """``texts`` are whole texts, or already lines."""
+    def __init__(self, texts: pa.Array, counts: np.ndarray, whole: bool = True):
+        """``texts`` are whole texts, or already lines; ``row`` is the text of each line."""
         if whole:
             split = pc.split_pattern(texts, "\n")
             per_text, lines = np.diff(split.offsets.to_numpy().astype(np.int64)), split.flatten()
         else:
             per_text, lines = np.ones(len(texts), np.int64), texts
-        self.doc = np.repeat(doc, per_text)
+        self.row = np.repeat(np.arange(len(texts)), per_text)
         self.line = np.arange(len(lines)) - np.repeat(np.cumsum(per_text) - per_text, per_text)
         words = pc.ascii_split_whitespace(lines)
         coded = words.flatten().dictionary_encode()
@@ -194,7 +236,7 @@ def line_sets(docs: DataFrame, counts: np.ndarray) -> DataFrame:
     """A row for each line with words; the first of equal sets in a slice has the keys."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches, "text", SLICE_BYTES):
-            sets = LineSets(part.column("doc").to_numpy(), part.column("text").fill_null(""), counts)
+            sets = LineSets(part.column("text").fill_null(""), counts)
             s1, s2, bits, bits2 = sets.signatures()
             full = sets.full
             order = np.lexsort((np.arange(len(full)), s2, s1))
@@ -203,11 +245,12 @@ def line_sets(docs: DataFrame, counts: np.ndarray) -> DataFrame:
             keys = sets.keys(full[first])
             at = np.where(first, np.cumsum(first) - 1, -1)
             keys = keys.take(pa.array(at, mask=~first))
+            of = pa.array(sets.row[full])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(sets.doc[full]), pa.array(sets.line[full].astype(np.int32)), pa.array(s1),
+                [*(part.column(c).take(of) for c in ROW), pa.array(sets.line[full].astype(np.int32)), pa.array(s1),
                  pa.array(s2), pa.array(sets.size[full].astype(np.int32)), pa.array(bits),
                  pa.array(bits2), keys],
-                ["doc", "line", "s1", "s2", "size", "bits", "bits2", "keys"])
+                [*ROW, "line", "s1", "s2", "size", "bits", "bits2", "keys"])
 
     return arrow_map(docs, run, LINE)
 
@@ -215,20 +258,20 @@ def line_sets(docs: DataFrame, counts: np.ndarray) -> DataFrame:
 def classes_of(lines: DataFrame) -> DataFrame:
     """One row for each set: its first line, and what it is posted under."""
     return lines.groupBy("s1", "s2").agg(
-        F.min(F.struct("doc", "line")).alias("first"), F.max("size").alias("size"),
+        F.min(F.struct(*PLACE)).alias("first"), F.max("size").alias("size"),
         F.max("bits").alias("bits"), F.max("bits2").alias("bits2"), F.max("keys").alias("keys")) \
-        .select("s1", "s2", "first.doc", "first.line", "size", "bits", "bits2", "keys")
+        .select("s1", "s2", "first.*", "size", "bits", "bits2", "keys")
 
 
-POSTING = ["key", "doc", "line", "size", "pos", "bits", "bits2"]
+POSTING = ["key", *PLACE, "size", "pos", "bits", "bits2"]
 
 
 def postings_of(classes: DataFrame) -> DataFrame:
     # With pairs a key's place in the list is no position; 0 claims nothing.
     pos = F.when(F.size("keys") <= F.floor(F.col("size") * 2 / 10) + 1, F.col("pos")).otherwise(0)
-    return classes.select("doc", "line", "size", "bits", "bits2", "keys",
+    return classes.select(*PLACE, "size", "bits", "bits2", "keys",
                           F.posexplode("keys").alias("pos", "key")) \
-        .select("key", "doc", "line", "size", pos.cast("int").alias("pos"), "bits", "bits2")
+        .select("key", *PLACE, "size", pos.cast("int").alias("pos"), "bits", "bits2")
 
 
 def may_match(a: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -240,7 +283,8 @@ def may_match(a: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> tuple[n
     most = np.minimum(sa - a["pos"][i], sb - a["pos"][j])
     ok = (PARTS[1] * np.minimum(sa, sb) >= PARTS[0] * np.maximum(sa, sb)) \
         & (most >= need) & (apart <= sa + sb - 2 * need)
-    return ok, apart
+    # A key may hold a class twice.
+    return ok & np.logical_or.reduce([a[c][i] != a[c][j] for c in PLACE]), apart
 
 
 def named(a: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -266,12 +310,14 @@ def named(a: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return target, source, apart, count[target] >= NAMED
 
 
-CANDIDATE = "doc bigint, line int, to_doc bigint, to_line int, apart int, more boolean"
+PAIR = ("doc bigint, line int, t1 bigint, t2 bigint, to_doc bigint, to_line int, to_t1 bigint, "
+        "to_t2 bigint")
+CANDIDATE = f"{PAIR}, apart int, more boolean"
 
 
 def candidates(postings: DataFrame) -> DataFrame:
     """Earlier classes that a class may match, a few for each of its postings."""
-    dealt = postings.repartition("key").sortWithinPartitions("key", "doc", "line")
+    dealt = postings.repartition("key").sortWithinPartitions("key", *PLACE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] | None = None
@@ -294,10 +340,9 @@ def candidates(postings: DataFrame) -> DataFrame:
                 ready = held
             t, s, apart, more = named(ready)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ready["doc"][t]), pa.array(ready["line"][t].astype(np.int32)),
-                 pa.array(ready["doc"][s]), pa.array(ready["line"][s].astype(np.int32)),
-                 pa.array(apart.astype(np.int32)), pa.array(more)],
-                ["doc", "line", "to_doc", "to_line", "apart", "more"])
+                [*(pa.array(ready[c][at].astype(np.int32 if c == "line" else np.int64))
+                   for at in (t, s) for c in PLACE), pa.array(apart.astype(np.int32)), pa.array(more)],
+                [*PLACE, *TO, "apart", "more"])
 
     return arrow_map(dealt, run, CANDIDATE)
 
@@ -325,33 +370,33 @@ def postings_near(classes: DataFrame, keys: DataFrame) -> DataFrame:
             pos = np.where(length[owner] <= size[owner] * 2 // 10 + 1, pos[near], 0)
             rows = part.take(pa.array(owner))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(flat[near]), rows.column("doc"), rows.column("line"), rows.column("size"),
+                [pa.array(flat[near]), *(rows.column(c) for c in PLACE), rows.column("size"),
                  pa.array(pos.astype(np.int32)), rows.column("bits"), rows.column("bits2")], POSTING)
 
     return arrow_map(
-        classes.select("doc", "line", "size", "bits", "bits2", "keys").where("keys IS NOT NULL"),
-        run, "key bigint, doc bigint, line int, size int, pos int, bits bigint, bits2 bigint")
+        classes.select(*PLACE, "size", "bits", "bits2", "keys").where("keys IS NOT NULL"),
+        run, "key bigint, doc bigint, line int, t1 bigint, t2 bigint, size int, pos int, bits bigint, "
+        "bits2 bigint")
 
 
 def all_candidates(classes: DataFrame, targets: DataFrame) -> DataFrame:
     """Every earlier class that each of some targets, a stored table, may match."""
-    named = targets.select(F.col("doc").alias("d"), F.col("line").alias("l"))
-    own = classes.join(named, (F.col("doc") == F.col("d")) & (F.col("line") == F.col("l"))) \
-        .drop("d", "l")
+    place = [c for c in PLACE if c in targets.columns]
+    own = classes.join(targets.select(place), place, "left_semi")
     mine = stage(postings_of(own), "line-targets")
     # Only postings that can meet the targets' are shuffled.
     other = postings_near(classes, mine.select("key"))
     other = other.select(*[F.col(c).alias(f"to_{c}") for c in POSTING])
     a, b = F.col("size"), F.col("to_size")
     need = F.ceil((a + b) * PARTS[0] / (PARTS[0] + PARTS[1]))
-    earlier = F.struct("to_doc", "to_line") < F.struct("doc", "line")
+    earlier = F.struct(*TO) < F.struct(*PLACE)
     return mine.join(other, (F.col("key") == F.col("to_key")) & earlier
                      & (F.least(a, b) * PARTS[1] >= F.greatest(a, b) * PARTS[0])
                      & (F.least(a - F.col("pos"), b - F.col("to_pos")) >= need)
                      & (F.bit_count(F.col("bits").bitwiseXOR(F.col("to_bits")))
                         + F.bit_count(F.col("bits2").bitwiseXOR(F.col("to_bits2")))
                         <= a + b - 2 * need)) \
-        .select("doc", "line", "to_doc", "to_line").distinct()
+        .select(*PLACE, *TO).distinct()
 
 
 def line_cell(doc, line):
@@ -379,39 +424,39 @@ def wanted_cells(lines: DataFrame) -> np.ndarray:
 
 
 def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The (doc, line, to_doc, to_line) of ``pairs``, a stored table, that are similar.
+    """The places in ``pairs``, a stored table, that are similar.
 
     The texts are read again. Only lines in a wanted cell are kept, so little more than
     the wanted sets is shuffled: to the pairs they belong to, where two meet.
     """
-    ends = pairs.select("doc", "line", F.struct("doc", "line", "to_doc", "to_line").alias("pair")) \
-        .unionByName(pairs.select(F.col("to_doc").alias("doc"), F.col("to_line").alias("line"),
-                                  F.struct("doc", "line", "to_doc", "to_line").alias("pair")))
+    pair = F.struct(*PLACE, *TO).alias("pair")
+    ends = pairs.select(*PLACE, F.lit(False).alias("target"), pair).unionByName(
+        pairs.select(*(F.col(t).alias(c) for c, t in zip(PLACE, TO)), F.lit(True).alias("target"), pair))
     cells = wanted_cells(ends)
     none = np.zeros(CELLS, np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches, "text", SLICE_BYTES):
-            doc, texts = part.column("doc").to_numpy(), part.column("text").fill_null("")
+            texts = part.column("text").fill_null("")
             split = pc.split_pattern(texts, "\n")
             sizes = np.diff(split.offsets.to_numpy().astype(np.int64))
-            owner = np.repeat(doc, sizes)
+            owner = np.repeat(np.arange(len(texts)), sizes)
+            doc = part.column("doc").to_numpy()[owner]
             number = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            near = np.flatnonzero(cells[line_cell(owner, number)])
-            sets = LineSets(owner[near], split.flatten().take(pa.array(near)), none, whole=False)
+            near = np.flatnonzero(cells[line_cell(doc, number)])
+            sets = LineSets(split.flatten().take(pa.array(near)), none, whole=False)
             full = sets.full
             cuts = np.append(sets.start[full], len(sets.word)).astype(np.int32)
             words = pa.ListArray.from_arrays(pa.array(cuts), pa.array(sets.hash[sets.word]))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(owner[near][full]), pa.array(number[near][full].astype(np.int32)),
-                 pa.array(sets.signatures()[0]), words], ["doc", "line", "s1", "words"])
-
-    sets = arrow_map(docs, run, "doc bigint, line int, s1 bigint, words array<bigint>")
-    met = sets.join(ends, ["doc", "line"]).groupBy("pair").agg(
-        F.max(F.when((F.col("doc") == F.col("pair.doc")) & (F.col("line") == F.col("pair.line")),
-                     F.struct("s1", "words"))).alias("a"),
-        F.max(F.when((F.col("doc") == F.col("pair.to_doc")) & (F.col("line") == F.col("pair.to_line")),
-                     F.struct("s1", "words"))).alias("b"))
+                [*(part.column(c).take(pa.array(owner[near][full])) for c in ROW),
+                 pa.array(number[near][full].astype(np.int32)), pa.array(sets.signatures()[0]), words],
+                [*ROW, "line", "s1", "words"])
+
+    sets = arrow_map(docs, run, f"{ROW_TYPE}, line int, s1 bigint, words array<bigint>")
+    met = sets.join(ends, PLACE).groupBy("pair").agg(
+        F.max(F.when(~F.col("target"), F.struct("s1", "words"))).alias("a"),
+        F.max(F.when(F.col("target"), F.struct("s1", "words"))).alias("b"))
     both = F.size(F.array_intersect("a.words", "b.words"))
     union = F.size("a.words") + F.size("b.words") - both
     return met.where(both * PARTS[1] >= union * PARTS[0]).select("pair.*")
@@ -420,32 +465,32 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 def matched_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each line with words.
 
-    (doc, line, class_doc, class_line, to_doc, to_line, kept): the first line with the same
+    (doc, line, class_doc, class_line, to_doc, to_line, kept), and t1, t2 beside each doc: the first line with the same
     set of words, an earlier line of another set that this class is similar to (null if
     there is none), and whether the line stays. A null id is ``NULL_ID`` here.
     """
     pairs = _pairs(docs, id_col, text_col)
     lines = stage(line_sets(pairs, rarity(pairs)), "line-rows")
     classes = classes_of(lines)
-    found = stage(candidates(postings_of(classes)).groupBy("doc", "line", "to_doc", "to_line").agg(
+    found = stage(candidates(postings_of(classes)).groupBy(*PLACE, *TO).agg(
         F.min("apart").alias("apart"), F.max("more").alias("more")), "line-candidates")
     free_shuffles(docs.sparkSession)
     # The candidate whose bits differ least is tried first, the others where it fails.
-    best = stage(found.groupBy("doc", "line").agg(
-        F.min(F.struct("apart", "to_doc", "to_line")).alias("b"), F.max("more").alias("more"),
-        F.count("*").alias("n")).select("doc", "line", "b.to_doc", "b.to_line", "more", "n"),
+    best = stage(found.groupBy(*PLACE).agg(
+        F.min(F.struct("apart", *TO)).alias("b"), F.max("more").alias("more"),
+        F.count("*").alias("n")).select(*PLACE, *(f"b.{c}" for c in TO), "more", "n"),
         "line-best")
-    links = stage(verified(pairs, best.select("doc", "line", "to_doc", "to_line")), "line-links")
+    links = stage(verified(pairs, best.select(*PLACE, *TO)), "line-links")
     free_shuffles(docs.sparkSession)
-    failed = best.join(links.select("doc", "line"), ["doc", "line"], "left_anti")
-    rest = stage(found.join(failed.where("n > 1").select("doc", "line"), ["doc", "line"], "left_semi")
-                 .select("doc", "line", "to_doc", "to_line"), "line-rest")
+    failed = best.join(links.select(PLACE), PLACE, "left_anti")
+    rest = stage(found.join(failed.where("n > 1").select(PLACE), PLACE, "left_semi")
+                 .select(*PLACE, *TO), "line-rest")
     parts = [links]
     if not rest.isEmpty():
         parts.append(stage(verified(pairs, rest), "line-links"))
-    still = failed.where("more").select("doc", "line")
+    still = failed.where("more").select(PLACE)
     for part in parts[1:]:
-        still = still.join(part.select("doc", "line"), ["doc", "line"], "left_anti")
+        still = still.join(part.select(PLACE), PLACE, "left_anti")
     still = stage(still, "line-open")
     if not still.isEmpty():
         left = stage(all_candidates(classes, still), "line-all")
@@ -455,26 +500,35 @@ def matched_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     linked = parts[0]
     for part in parts[1:]:
         linked = linked.unionByName(part)
-    linked = linked.groupBy("doc", "line").agg(F.min(F.struct("to_doc", "to_line")).alias("to")) \
-        .select(F.col("doc").alias("class_doc"), F.col("line").alias("class_line"), "to.to_doc",
-                "to.to_line")
-    names = lines.groupBy("s1", "s2").agg(F.min(F.struct("doc", "line")).alias("c")) \
-        .select("s1", "s2", F.col("c.doc").alias("class_doc"), F.col("c.line").alias("class_line"))
-    verdict = names.join(linked, ["class_doc", "class_line"], "left")
-    first = (F.col("doc") == F.col("class_doc")) & (F.col("line") == F.col("class_line"))
-    return lines.select("doc", "line", "s1", "s2").join(verdict, ["s1", "s2"]).select(
-        "doc", "line", "class_doc", "class_line", "to_doc", "to_line",
-        (first & F.col("to_doc").isNull()).alias("kept"))
+    of = [f"class_{c}" for c in PLACE]
+    linked = linked.groupBy(*PLACE).agg(F.min(F.struct(*TO)).alias("to")) \
+        .select(*(F.col(c).alias(n) for c, n in zip(PLACE, of)), "to.*")
+    names = lines.groupBy("s1", "s2").agg(F.min(F.struct(*PLACE)).alias("c")) \
+        .select("s1", "s2", *(F.col(f"c.{c}").alias(n) for c, n in zip(PLACE, of)))
+    verdict = names.join(linked, of, "left")
+    first = F.struct(*PLACE) == F.struct(*(F.col(n).alias(c) for c, n in zip(PLACE, of)))
+    return lines.select(*PLACE, "s1", "s2").join(verdict, ["s1", "s2"]).select(
+        *PLACE, *of, *TO, (first & F.col("to_doc").isNull()).alias("kept"))
 
 
 def without_lines(docs: DataFrame, removed: DataFrame, id_col: str = "doc_id",
                   text_col: str = "text") -> DataFrame:
-    """``docs`` without the removed (doc, line); other columns and rows stay as they are."""
-    doc, gone = "_ld_doc", "_ld_gone"
-    lists = removed.groupBy(F.col("doc").alias(doc)).agg(
+    """``docs`` without the removed (doc, line); other columns and rows stay as they are.
+
+    With t1 and t2 beside them, as ``matched_lines`` gives them, rows that share an id lose
+    their own lines only.
+    """
+    gone = "_ld_gone"
+    row = [c for c in ROW if c in removed.columns]
+    lists = removed.groupBy(*(F.col(c).alias(f"_ld_{c}") for c in row)).agg(
         F.collect_set("line").alias(gone))     # lines of one document, no more than it has
-    mine = F.coalesce(F.col(id_col).cast("bigint"), F.lit(NULL_ID))
-    joined = docs.join(lists, mine == F.col(doc), "left").select(*docs.columns, gone)
+    if len(row) > 1:
+        mine = row_of(docs, id_col, text_col)
+    else:
+        mine = [F.coalesce(F.col(id_col).cast("bigint"), F.lit(NULL_ID)).alias("doc")]
+    mine = docs.select("*", *(x.alias(f"_ld_my_{c}") for c, x in zip(row, mine)))
+    same = [F.col(f"_ld_my_{c}") == F.col(f"_ld_{c}") for c in row]
+    joined = mine.join(lists, same, "left").select(*docs.columns, gone)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches, text_col, SLICE_BYTES):

@@ -207,6 +207,25 @@ def test_lines_are_removed(docs_of):
     assert line_dedup.without_lines(empty, lines.select("doc", "line")).count() == 0
 
 
+@pytest.mark.parametrize("ids", [[None] * 5, [4] * 5, [None, -(1 << 63), 4, 4, 5]])
+def test_texts_that_share_an_id_keep_their_own_lines(docs_of, ids):
+    same, near = "p q r s t u v w x y", "p q r s t u v w x z"
+    texts = ["alpha beta gamma delta\n" + same, "one two three four\n" + near,
+             "alpha beta gamma delta epsilon\nown", "five six seven eight nine\n" + same, "own\nlast"]
+    docs = docs_of(texts + texts[:1], ids + ids[:1])      # and a repeated row
+    lines = line_dedup.matched_lines(docs)
+    rows = lines.collect()
+    assert len(rows) == 12 and all(r.to_doc is None or (r.to_doc, r.to_line, r.to_t1, r.to_t2) <
+                                   (r.class_doc, r.class_line, r.class_t1, r.class_t2) for r in rows)
+    out = line_dedup.without_lines(docs, lines.where("NOT kept").select(line_dedup.PLACE)).collect()
+    left = collections.Counter(x for t in {(r.doc_id, r.text) for r in out} for x in t[1].split("\n"))
+    for line in ("one two three four", "five six seven eight nine", "own", "last"):
+        assert left[line] == 1
+    assert left["alpha beta gamma delta"] + left["alpha beta gamma delta epsilon"] == 1
+    assert left[same] + left[near] == 1
+    assert len(out) == 6
+
+
 # near dedup
 
 def plain_weighted(a, b, weight):
