@@ -8,11 +8,10 @@ by its share in the weighted probability of all it has seen. The result is the m
 log10 probability of a text, and its code length per byte.
 
 Spark counts what follows every context of three bytes, over all training documents; the
-counts of shorter contexts are their sums. The weights are built in one pass over groups
-of contexts with the same last byte, which are subtrees. Contexts of three bytes are
-kept in order of their visits as far as ``CONTEXTS`` reaches, rarer ones end at two bytes,
-so the model has a fixed size; a context tree with leaves at different depths is still one.
-The tables that tasks need are rebuilt from it once per worker.
+counts of shorter contexts are their sums. Weights are built from groups of contexts with the
+same last two bytes, then from one row for each such pair. All contexts of three bytes are in
+the model, a stored table that grows with them. The ``CONTEXTS`` most visited ones and all
+shorter ones go to every task; texts travel to the others in a join.
 
 The baseline is a smoothed unigram model of words. Counts of words are exact. The most
 frequent words, at most ``FREQUENT``, are looked up in the task; the others travel to
@@ -43,7 +42,7 @@ from mnemograph.llm.line_dedup import word_hashes
 SLICE_BYTES = 4 << 20
 BLOCK = 1 << 19               # bytes whose probabilities are looked up at a time
 END = 0xFF                    # never a byte of UTF-8
-CONTEXTS = 1 << 16            # contexts of three bytes in the model
+CONTEXTS = 1 << 16            # contexts of three bytes whose tables go to every task
 FREQUENT = 1 << 19            # words whose counts go to every task
 SMOOTH = 0.5
 
@@ -91,49 +90,25 @@ def byte_logs(one: np.ndarray) -> np.ndarray:
     return total
 
 
-class Subtree:
-    """The contexts that end in one byte: counts and weights of all depths below it."""
+class Pair:
+    """The contexts that end in two bytes: counts and weights of depths three and two."""
 
-    def __init__(self, codes: np.ndarray, kept: np.ndarray, follows: np.ndarray):
-        self.codes, self.kept = codes, kept
+    def __init__(self, code: np.ndarray, n: np.ndarray):
+        self.codes, of = np.unique(code >> 8, return_inverse=True)
+        follows = np.zeros((len(self.codes), 256))
+        np.add.at(follows, (of, code & 255), n)
+        self.visits = follows.sum(axis=1).astype(np.int64)
         z3, o3 = bit_counts(follows)
-        two, of = np.unique(codes & 0xFFFF, return_inverse=True)
-        self.two, self.of = two, of
-        z2, o2 = (np.zeros((len(two), 255)) for _ in range(2))
-        np.add.at(z2, of, z3)
-        np.add.at(o2, of, o3)
-        z1, o1 = z2.sum(axis=0), o2.sum(axis=0)
-        # A leaf's weighted probability is its estimate. Contexts the model leaves out
-        # make their parent one child poorer, and their counts stay in the parent.
-        below3 = np.zeros((len(two), 255))
-        np.add.at(below3, of[kept], log_kt(z3, o3)[kept])
-        leaf = np.bincount(of[kept], minlength=len(two)) == 0
-        own2 = log_kt(z2, o2)
-        lost_z, lost_o = (np.zeros((len(two), 255)) for _ in range(2))
-        np.add.at(lost_z, of[~kept], z3[~kept])
-        np.add.at(lost_o, of[~kept], o3[~kept])
-        deep2 = below3 + log_kt(lost_z, lost_o)       # what is left out acts as one child
-        w2 = np.where(leaf[:, None], own2, np.logaddexp(own2, deep2) - LOG2)
-        self.rho2 = np.where(leaf[:, None], 1.0, np.exp(own2 - LOG2 - w2))
-        own1 = log_kt(z1, o1)
-        w1 = np.logaddexp(own1, w2.sum(axis=0)) - LOG2
-        self.rho1 = np.exp(own1 - LOG2 - w1)
-        self.weighted, self.zeros, self.ones = w1, z1, o1
+        self.zeros, self.ones = z3.sum(axis=0), o3.sum(axis=0)
+        own = log_kt(self.zeros, self.ones)
+        self.weighted = np.logaddexp(own, log_kt(z3, o3).sum(axis=0)) - LOG2
+        self.rho = np.exp(own - LOG2 - self.weighted)
         self.p3 = (o3 + 0.5) / (z3 + o3 + 1)
-        self.p2 = (o2 + 0.5) / (z2 + o2 + 1)
-        self.p1 = (o1 + 0.5) / (z1 + o1 + 1)
-        self.rest = (lost_o + 0.5) / (lost_z + lost_o + 1)
+        self.p2 = (self.ones + 0.5) / (self.zeros + self.ones + 1)
 
-    def one(self, rho0: np.ndarray, p0: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Probability of a one: kept contexts, others of a known pair, unknown pairs."""
-        def mix(below: np.ndarray, depth2: bool) -> np.ndarray:
-            p = self.rho1 * self.p1 + (1 - self.rho1) * below
-            return rho0 * p0 + (1 - rho0) * p
-
-        of = self.of[self.kept]
-        kept = mix(self.rho2[of] * self.p2[of] + (1 - self.rho2[of]) * self.p3[self.kept], True)
-        other = mix(self.rho2 * self.p2 + (1 - self.rho2) * self.rest, True)
-        return kept, other, mix(np.full((1, 255), 0.5), False)
+    def one(self) -> np.ndarray:
+        """Probability of a one below depth one: known contexts, and last an unknown one."""
+        return self.rho * self.p2 + (1 - self.rho) * np.vstack([self.p3, np.full((1, 255), 0.5)])
 
 
 def root(weighted: np.ndarray, zeros: np.ndarray, ones: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -147,7 +122,7 @@ class Scorer:
     """Lookup tables of a model: a row for each context, log10 probabilities of 256 bytes."""
 
     def __init__(self, depth: np.ndarray, code: np.ndarray, table: np.ndarray):
-        self.table = table
+        self.table, self.depth = table, depth
         self.of = np.zeros(1 << 24, np.int32)
         rows = np.arange(len(depth), dtype=np.int32)
         # From short contexts to long ones, so the longest one that the model has stays.
@@ -156,15 +131,28 @@ class Scorer:
         self.of.reshape(256, 1 << 16)[:, code[depth == 2]] = rows[depth == 2]
         self.of[code[depth == 3]] = rows[depth == 3]
 
-    def scores(self, text: np.ndarray, context: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        """log10 probability of each text: bytes with their contexts, and the texts' bounds."""
-        total = np.zeros(len(text) + 1)
+    def scores(self, text: np.ndarray, context: np.ndarray, bounds: np.ndarray, whole: bool
+               ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """log10 probability of each text: bytes with their contexts, and the texts' bounds.
+
+        If the tables are not ``whole``, bytes whose context may have one elsewhere are left
+        out: their places, and their log10 probabilities if it has none.
+        """
+        total, places, logs = np.zeros(len(text) + 1), [], []
         for lo in range(0, len(text), BLOCK):
             hi = min(lo + BLOCK, len(text))
             row = self.of[context[lo:hi]].astype(np.int64)
-            total[lo + 1:hi + 1] = self.table.ravel()[row * 256 + text[lo:hi]]
+            found = self.table.ravel()[row * 256 + text[lo:hi]]
+            if not whole:
+                # Every pair of last bytes has a table, so a context without one is unknown.
+                at = np.flatnonzero(self.depth[row] == 2)
+                places.append(at + lo)
+                logs.append(found[at])
+                found[at] = 0
+            total[lo + 1:hi + 1] = found
         sums = np.cumsum(total, out=total)
-        return sums[bounds[1:]] - sums[bounds[:-1]]
+        return (sums[bounds[1:]] - sums[bounds[:-1]], np.concatenate([np.zeros(0, np.int64), *places]),
+                np.concatenate([np.zeros(0, np.float32), *logs]))
 
 
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -209,67 +197,86 @@ def follow_counts(train: DataFrame) -> DataFrame:
         .groupBy("code").agg(F.sum("n").alias("n"))
 
 
+MODEL = "depth int, code bigint, visits bigint, logs binary"
+TOP = "weighted binary, zeros binary, ones binary"
+
+
 def fit(train: DataFrame) -> DataFrame:
-    """The model, a stored table (depth, code, logs) of at most CONTEXTS + 2^16 + 257 rows."""
+    """The model, a stored table (depth, code, visits, logs) of all contexts."""
     counts = stage(follow_counts(train), "ctw-counts")
-    visits = counts.groupBy(F.shiftright("code", 8).alias("context")).agg(F.sum("n").alias("visits"))
-    # Visits from which on at most CONTEXTS contexts are kept: a histogram in steps of
-    # an eighth of an octave reaches the driver.
-    step = F.floor(F.log2("visits") * 8)
-    least, held = 0, 0
-    for row in sorted(visits.groupBy(step.alias("step")).count().collect(), reverse=True):
-        held += row["count"]
-        if held > CONTEXTS:
-            least = row["step"] + 1
-            break
-    last = F.col("context").bitwiseAND(255)
-    grouped = counts.select(F.shiftright("code", 8).alias("context"),
-                            F.col("code").bitwiseAND(255).alias("byte"), "n") \
-        .join(visits.select("context", (step >= least).alias("kept")), "context")
-    # A context the model leaves out stands for all such contexts of its last two bytes,
-    # so a group holds at most CONTEXTS + 256 contexts whatever the corpus.
-    slim = stage(grouped.groupBy(
-        F.when(F.col("kept"), F.col("context")).otherwise(last + F.col("context").bitwiseAND(0xFF00))
-        .alias("context"), "kept", "byte").agg(F.sum("n").alias("n")), "ctw-contexts")
-
-    def subtree(rows: pd.DataFrame) -> Subtree:
-        keys, of = np.unique(rows["context"].to_numpy(np.int64) * 2 + rows["kept"].to_numpy(np.int64),
-                             return_inverse=True)
-        follows = np.zeros((len(keys), 256))
-        np.add.at(follows, (of, rows["byte"].to_numpy(np.int64)), rows["n"].to_numpy(np.float64))
-        return Subtree(keys >> 1, (keys & 1).astype(bool), follows)
+    # No more than 256 contexts, whatever the corpus.
+    by_pair = counts.groupBy(F.shiftright("code", 8).bitwiseAND(0xFFFF).alias("pair"))
 
-    def weights(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        s = subtree(rows)
-        return pd.DataFrame({"last": [key[0]], "weighted": [s.weighted.tobytes()],
+    def of(rows: pd.DataFrame) -> Pair:
+        return Pair(rows["code"].to_numpy(np.int64), rows["n"].to_numpy(np.float64))
+
+    def pair_weights(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        s = of(rows)
+        return pd.DataFrame({"pair": [key[0]], "weighted": [s.weighted.tobytes()],
                              "zeros": [s.zeros.tobytes()], "ones": [s.ones.tobytes()]})
 
-    by_last = slim.groupBy(last.alias("last"))
+    def weights(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        w, z, o = (np.array([np.frombuffer(x) for x in rows[c]]) for c in ("weighted", "zeros", "ones"))
+        z, o = z.sum(axis=0), o.sum(axis=0)
+        w = np.logaddexp(log_kt(z, o), w.sum(axis=0)) - LOG2
+        return pd.DataFrame({"last": [key[0]], "weighted": [w.tobytes()], "zeros": [z.tobytes()],
+                             "ones": [o.tobytes()]})
+
     # 256 rows of 255 numbers.
-    tops = by_last.applyInPandas(weights, "last bigint, weighted binary, zeros binary, ones binary") \
-        .collect()
+    tops = by_pair.applyInPandas(pair_weights, f"pair bigint, {TOP}") \
+        .groupBy(F.col("pair").bitwiseAND(255).alias("last")) \
+        .applyInPandas(weights, f"last bigint, {TOP}").collect()
+    empty = train.sparkSession.createDataFrame([], MODEL)
     if not tops:
-        return slim.select(F.lit(0).alias("depth"), "context", F.lit(b"").alias("logs")) \
-            .select("depth", F.col("context").alias("code"), "logs").limit(0)
+        return empty
     tops = sorted(tops)
-    stacked = [np.array([np.frombuffer(r[c]) for r in tops]) for c in ("weighted", "zeros", "ones")]
-    rho0, p0 = root(*stacked)
+    w1, z1, o1 = (np.array([np.frombuffer(r[c]) for r in tops]) for c in ("weighted", "zeros", "ones"))
+    rho0, p0 = root(w1, z1, o1)
+    rho1, p1 = np.exp(log_kt(z1, o1) - LOG2 - w1), (o1 + 0.5) / (z1 + o1 + 1)
+    at = {r["last"]: i for i, r in enumerate(tops)}
+
+    def mix(i: int | slice, below: np.ndarray) -> np.ndarray:
+        return byte_logs(rho0 * p0 + (1 - rho0) * (rho1[i] * p1[i] + (1 - rho1[i]) * below)) \
+            .astype(np.float32)
 
     def tables(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        s = subtree(rows)
-        out = []
-        codes = s.codes[s.kept], s.two, np.array([key[0]])
-        for depth, code, one in zip((3, 2, 1), codes, s.one(rho0, p0)):
-            logs = byte_logs(one).astype(np.float32)
-            out += [(depth, int(c), x.tobytes()) for c, x in zip(code, logs)]
-        return pd.DataFrame(out, columns=["depth", "code", "logs"])
+        s = of(rows)
+        logs = mix(at[key[0] & 255], s.one())
+        return pd.DataFrame({"depth": [3] * len(s.codes) + [2], "code": [*s.codes, key[0]],
+                             "visits": [*s.visits, s.visits.sum()], "logs": [x.tobytes() for x in logs]})
 
     # The context of a byte never seen has only the root.
+    short = [(1, r["last"], 0, bytearray(x.tobytes())) for r, x in zip(tops, mix(slice(None), 0.5))]
     one = (rho0 * p0 + (1 - rho0) * 0.5)[None, :]
-    top = [(0, 0, bytearray(byte_logs(one).astype(np.float32).tobytes()))]
-    schema = "depth int, code bigint, logs binary"
-    return stage(by_last.applyInPandas(tables, schema).unionByName(
-        train.sparkSession.createDataFrame(top, schema)), "ctw-model")
+    short.append((0, 0, 0, bytearray(byte_logs(one).astype(np.float32).tobytes())))
+    return stage(by_pair.applyInPandas(tables, MODEL).unionByName(
+        train.sparkSession.createDataFrame(short, MODEL)), "ctw-model")
+
+
+def hot_part(model: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """What every task gets, and the (context, logs) of the contexts it leaves out, if any."""
+    step = F.floor(F.log2("visits") * 8)
+    deep = F.col("depth") == 3
+    # A histogram of visits in steps of an eighth of an octave reaches the driver.
+    least, held = None, 0
+    for row in sorted(model.where(deep).groupBy(step.alias("step")).count().collect(), reverse=True):
+        held += row["count"]
+        if held > CONTEXTS:
+            least = row["step"] + 1
+            break
+    if least is None:
+        return model, None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            raw = b"".join(part.column("logs").to_pylist())
+            logs = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * 256),
+                                            pa.array(np.frombuffer(raw, np.float32)))
+            yield pa.RecordBatch.from_arrays([part.column("code"), logs], ["context", "logs"])
+
+    cold = arrow_map(model.where(deep & (step < least)).select("code", "logs"), run,
+                     "context bigint, logs array<float>")
+    return model.where(~deep | (step >= least)), cold
 
 
 def arrays_of(model: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -327,7 +334,8 @@ def scored(docs: DataFrame, held: Column | None = None, id_col: str = "doc_id",
     rows = docs.select(F.col(id_col).alias("doc"), F.coalesce(text_col, F.lit("")).alias("text"),
                        held.alias("held"))
     train = rows.where(~F.col("held"))
-    model = fit(train)
+    hot, cold = hot_part(fit(train))
+    whole_model = cold is None
     counts = stage(word_counts(train), "word-counts")
     sums = counts.agg(F.sum("c"), F.count("*")).first()
     docs_trained = train.count()       # each has one end token
@@ -347,7 +355,7 @@ def scored(docs: DataFrame, held: Column | None = None, id_col: str = "doc_id",
     common = counts.where(step >= least).toArrow().sort_by("word")
     name = uuid.uuid4().hex
     shared = spark.sparkContext.broadcast((
-        common.column("word").to_numpy(), common.column("c").to_numpy(), arrays_of(model)))
+        common.column("word").to_numpy(), common.column("c").to_numpy(), arrays_of(hot)))
     del common
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -357,7 +365,14 @@ def scored(docs: DataFrame, held: Column | None = None, id_col: str = "doc_id",
             texts = part.column("text")
             n = len(texts)
             text, context, bounds = text_bytes(texts)
-            score = scorer.scores(text, context, bounds)
+            score, place, logs_there = scorer.scores(text, context, bounds, whole_model)
+            # Bytes in other contexts, each kind once a text.
+            kind = np.searchsorted(bounds, place, side="right") - 1 << 32 \
+                | context[place].astype(np.int64) << 8 | text[place]
+            kind, first, times = np.unique(kind, return_index=True, return_counts=True)
+            ends = pa.array(np.searchsorted(kind >> 32, np.arange(n + 1)).astype(np.int32))
+            far = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (
+                kind & 0xFFFFFFFF, times.astype(np.int32), logs_there[first])]
             word, code, real, owner = words_of(texts)
             at = np.minimum(np.searchsorted(words, word), max(len(words) - 1, 0))
             hit = words[at] == word if len(words) else np.zeros(len(word), bool)
@@ -379,15 +394,16 @@ def scored(docs: DataFrame, held: Column | None = None, id_col: str = "doc_id",
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc"), part.column("held"), part.column("row"), pa.array(tokens),
                  pa.array(known), pa.array(base), pa.array(score),
-                 pa.array(np.diff(bounds) - 1), rare_words, rare_times],
+                 pa.array(np.diff(bounds) - 1), rare_words, rare_times, *far],
                 ["doc", "held", "row", "tokens", "known", "base", "score", "n_bytes", "words",
-                 "times"])
+                 "times", "codes", "code_times", "code_logs"])
 
     kind = rows.schema["doc"].dataType.simpleString()
     keyed = rows.withColumn("row", row_key("doc", "text"))
     parts = stage(arrow_map(
         keyed, run, f"doc {kind}, held boolean, row bigint, tokens bigint, known bigint, "
-        "base double, score double, n_bytes bigint, words array<bigint>, times array<int>"),
+        "base double, score double, n_bytes bigint, words array<bigint>, times array<int>, "
+        "codes array<bigint>, code_times array<int>, code_logs array<float>"),
         "ctw-scored")
     # Equal rows ask once: each takes the same answer from the join.
     rare = parts.dropDuplicates(["row"]).select("row", F.explode(F.arrays_zip("words", "times")).alias("w")) \
@@ -395,8 +411,17 @@ def scored(docs: DataFrame, held: Column | None = None, id_col: str = "doc_id",
     looked = rare.join(counts.where(step < least), "word", "left").groupBy("row").agg(
         F.sum(F.when(F.col("c").isNotNull(), F.col("times")).otherwise(0)).alias("more"),
         F.sum(F.col("times") * F.log10((F.coalesce("c", F.lit(0)) + SMOOTH) / whole)).alias("rest"))
+    once = parts.dropDuplicates(["row"])
+    if not whole_model:
+        far = once.select("row", F.explode(F.arrays_zip("codes", "code_times", "code_logs")).alias("w")) \
+            .select("row", F.shiftright("w.codes", 8).alias("context"), "w.*") \
+            .join(cold, "context", "left")
+        log = F.coalesce(F.get("logs", F.col("codes").bitwiseAND(255).cast("int")), "code_logs")
+        far = far.groupBy("row").agg(F.sum(F.col("code_times") * log.cast("double")).alias("far"))
+        parts = parts.join(far, "row", "left").withColumn(
+            "score", F.col("score") + F.coalesce("far", F.lit(0.0))).drop("far")
     bits = -F.col("score") * (LOG10 / LOG2)
-    return parts.drop("words", "times").join(looked, "row", "left").select(
+    return parts.drop("words", "times", "codes", "code_times", "code_logs").join(looked, "row", "left").select(
         F.col("doc").alias(id_col), F.col("held").alias("held_out"),
         F.col("tokens").alias("n_tokens"),
         (F.col("known") + F.coalesce("more", F.lit(0)) + (1 if docs_trained else 0)).alias("n_known"),

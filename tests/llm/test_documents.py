@@ -437,6 +437,18 @@ def test_repeated_rows_look_their_words_up_once(docs_of, monkeypatch):
         assert r.base_score == pytest.approx(sum(math.log10((words[w] + .5) / whole) for w in tokens))
 
 
+def test_contexts_beyond_the_shared_ones_keep_their_own_estimates(docs_of, monkeypatch):
+    rng = random.Random(3)
+    texts = [invented(rng, 50, 40) for _ in range(20)] + ["日本 ΑΣ É", "", "zz top", "zz top"]
+    whole = {r.doc_id: r for r in ctw.scored(docs_of(texts)).collect()}
+    monkeypatch.setattr(ctw, "CONTEXTS", 20)
+    small = ctw.scored(docs_of(texts)).collect()
+    assert len(small) == len(texts)
+    for r in small:
+        assert r.score == pytest.approx(whole[r.doc_id].score, rel=1e-6)
+        assert r.bits_per_byte == pytest.approx(whole[r.doc_id].bits_per_byte, rel=1e-6)
+
+
 def test_model_gives_probabilities_and_learns(spark, docs_of):
     rng = random.Random(3)
     docs = docs_of([invented(rng, 80, 50) for _ in range(40)] + [None])
