@@ -17,7 +17,8 @@ has a Jaccard similarity of ``SIMILARITY`` or more with it, whether that one sta
 A class in a group of many similar ones needs one match, not all: a posting names the
 earliest candidate and the nearest ones before it. Only if these fail and others were
 left out, all candidates of the class are tried. So no group emits all its pairs, and no
-decision is lost.
+decision is lost. This is the way of the removal; with ``links`` every candidate of every
+class is verified, and the links of each class are counted.
 
 Defined results: words are runs of characters outside ASCII white space; words are compared
 by 64-bit and sets by 128-bit hashes. A line without words always stays and is no row
@@ -379,24 +380,32 @@ def postings_near(classes: DataFrame, keys: DataFrame) -> DataFrame:
         "bits2 bigint")
 
 
-def all_candidates(classes: DataFrame, targets: DataFrame) -> DataFrame:
-    """Every earlier class that each of some targets, a stored table, may match."""
+def all_candidates(classes: DataFrame, targets: DataFrame | None = None) -> DataFrame:
+    """Every earlier class that each of some targets, a stored table, or each class may match."""
+    if targets is None:
+        return _met(postings_of(classes), postings_of(classes))
     place = [c for c in PLACE if c in targets.columns]
     own = classes.join(targets.select(place), place, "left_semi")
     mine = stage(postings_of(own), "line-targets")
     # Only postings that can meet the targets' are shuffled.
-    other = postings_near(classes, mine.select("key"))
+    return _met(mine, postings_near(classes, mine.select("key")))
+
+
+def _met(mine: DataFrame, other: DataFrame) -> DataFrame:
+    """Pairs of postings of one key that pass the filters; AQE splits a hot key into blocks."""
+    # New names on both sides: where both are the same postings, they are shuffled once.
+    mine = mine.select(*[F.col(c).alias(f"my_{c}") for c in POSTING])
     other = other.select(*[F.col(c).alias(f"to_{c}") for c in POSTING])
-    a, b = F.col("size"), F.col("to_size")
+    a, b = F.col("my_size"), F.col("to_size")
     need = F.ceil((a + b) * PARTS[0] / (PARTS[0] + PARTS[1]))
-    earlier = F.struct(*TO) < F.struct(*PLACE)
-    return mine.join(other, (F.col("key") == F.col("to_key")) & earlier
+    earlier = F.struct(*TO) < F.struct(*(F.col(f"my_{c}").alias(t) for c, t in zip(PLACE, TO)))
+    return mine.join(other, (F.col("my_key") == F.col("to_key")) & earlier
                      & (F.least(a, b) * PARTS[1] >= F.greatest(a, b) * PARTS[0])
-                     & (F.least(a - F.col("pos"), b - F.col("to_pos")) >= need)
-                     & (F.bit_count(F.col("bits").bitwiseXOR(F.col("to_bits")))
-                        + F.bit_count(F.col("bits2").bitwiseXOR(F.col("to_bits2")))
+                     & (F.least(a - F.col("my_pos"), b - F.col("to_pos")) >= need)
+                     & (F.bit_count(F.col("my_bits").bitwiseXOR(F.col("to_bits")))
+                        + F.bit_count(F.col("my_bits2").bitwiseXOR(F.col("to_bits2")))
                         <= a + b - 2 * need)) \
-        .select(*PLACE, *TO).distinct()
+        .select(*(F.col(f"my_{c}").alias(c) for c in PLACE), *TO).distinct()
 
 
 def line_cell(doc, line):
@@ -462,26 +471,31 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return met.where(both * PARTS[1] >= union * PARTS[0]).select("pair.*")
 
 
-def matched_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each line with words.
+def counted_links(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(doc, line, t1, t2, to, n_links) of each class with links: its first earlier one, and all."""
+    found = stage(all_candidates(classes), "line-all")
+    free_shuffles(pairs.sparkSession)
+    links = stage(verified(pairs, found), "line-links")
+    unstage(found)
+    to = F.struct(*TO)
+    ends = links.select(*PLACE, to.alias("to")).unionByName(links.select(
+        *(F.col(t).alias(c) for c, t in zip(PLACE, TO)),
+        F.lit(None).cast(links.select(to.alias("to")).schema["to"].dataType).alias("to")))
+    return ends.groupBy(*PLACE).agg(F.min("to").alias("to"), F.count("*").alias("n_links"))
 
-    (doc, line, class_doc, class_line, to_doc, to_line, kept), and t1, t2 beside each doc: the first line with the same
-    set of words, an earlier line of another set that this class is similar to (null if
-    there is none), and whether the line stays. A null id is ``NULL_ID`` here.
-    """
-    pairs = _pairs(docs, id_col, text_col)
-    lines = stage(line_sets(pairs, rarity(pairs)), "line-rows")
-    classes = classes_of(lines)
+
+def earlier_links(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(doc, line, t1, t2, to) of each class that has an earlier link, and one of them."""
     found = stage(candidates(postings_of(classes)).groupBy(*PLACE, *TO).agg(
         F.min("apart").alias("apart"), F.max("more").alias("more")), "line-candidates")
-    free_shuffles(docs.sparkSession)
+    free_shuffles(pairs.sparkSession)
     # The candidate whose bits differ least is tried first, the others where it fails.
     best = stage(found.groupBy(*PLACE).agg(
         F.min(F.struct("apart", *TO)).alias("b"), F.max("more").alias("more"),
         F.count("*").alias("n")).select(*PLACE, *(f"b.{c}" for c in TO), "more", "n"),
         "line-best")
     links = stage(verified(pairs, best.select(*PLACE, *TO)), "line-links")
-    free_shuffles(docs.sparkSession)
+    free_shuffles(pairs.sparkSession)
     failed = best.join(links.select(PLACE), PLACE, "left_anti")
     rest = stage(found.join(failed.where("n > 1").select(PLACE), PLACE, "left_semi")
                  .select(*PLACE, *TO), "line-rest")
@@ -500,15 +514,31 @@ def matched_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     linked = parts[0]
     for part in parts[1:]:
         linked = linked.unionByName(part)
+    return linked.groupBy(*PLACE).agg(F.min(F.struct(*TO)).alias("to"))
+
+
+def matched_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                  links: bool = False) -> DataFrame:
+    """A row for each line with words.
+
+    (doc, line, class_doc, class_line, to_doc, to_line, kept), and t1, t2 beside each doc: the first line with the same
+    set of words, an earlier line of another set that this class is similar to (null if
+    there is none), and whether the line stays. A null id is ``NULL_ID`` here. ``links`` adds
+    n_links: how many other classes, earlier and later, the class is similar to.
+    """
+    pairs = _pairs(docs, id_col, text_col)
+    lines = stage(line_sets(pairs, rarity(pairs)), "line-rows")
+    classes = classes_of(lines)
+    linked = counted_links(pairs, classes) if links else earlier_links(pairs, classes)
     of = [f"class_{c}" for c in PLACE]
-    linked = linked.groupBy(*PLACE).agg(F.min(F.struct(*TO)).alias("to")) \
-        .select(*(F.col(c).alias(n) for c, n in zip(PLACE, of)), "to.*")
+    linked = linked.select(*(F.col(c).alias(n) for c, n in zip(PLACE, of)), "to.*",
+                           *["n_links"] * links)
     names = lines.groupBy("s1", "s2").agg(F.min(F.struct(*PLACE)).alias("c")) \
         .select("s1", "s2", *(F.col(f"c.{c}").alias(n) for c, n in zip(PLACE, of)))
     verdict = names.join(linked, of, "left")
     first = F.struct(*PLACE) == F.struct(*(F.col(n).alias(c) for c, n in zip(PLACE, of)))
     return lines.select(*PLACE, "s1", "s2").join(verdict, ["s1", "s2"]).select(
-        *PLACE, *of, *TO, (first & F.col("to_doc").isNull()).alias("kept"))
+        *PLACE, *of, *TO, *[F.coalesce("n_links", F.lit(0)).alias("n_links")] * links, (first & F.col("to_doc").isNull()).alias("kept"))
 
 
 def without_lines(docs: DataFrame, removed: DataFrame, id_col: str = "doc_id",

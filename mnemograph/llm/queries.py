@@ -18,9 +18,10 @@ WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = line_dedup.matched_lines(documents(spark, sf_dir))
+    lines = line_dedup.matched_lines(documents(spark, sf_dir), links=True)
     return lines.select(F.col("doc").alias("doc_id"), F.col("line").alias("line_no"),
-                        "class_doc", "class_line", "to_doc", "to_line", "kept")
+                        "class_doc", "class_line", "class_t1", "class_t2", "to_doc", "to_line", "n_links",
+                        "kept")
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

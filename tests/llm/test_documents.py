@@ -183,6 +183,22 @@ def test_line_matches(docs_of, odd_texts, monkeypatch, hot, named):
     assert len(rows) == len(got) and got == plain_matches(list(enumerate(texts)))
 
 
+@pytest.mark.parametrize("hot", [20_000, 40])
+def test_links_are_counted(docs_of, monkeypatch, hot):
+    monkeypatch.setattr(line_dedup, "HOT", hot)
+    texts = line_texts() + ["", None]
+    sets = {(i, n): frozenset(line.split()) for i, t in enumerate(texts)
+            for n, line in enumerate((t or "").split("\n")) if line.split()}
+    kinds = set(sets.values())
+    links = {s: sum(10 * len(s & o) >= 8 * len(s | o) for o in kinds) - 1 for s in kinds}
+    assert max(links.values()) > 1
+    rows = line_dedup.matched_lines(docs_of(texts), links=True).collect()
+    assert {(r.doc, r.line): r.n_links for r in rows} == {k: links[s] for k, s in sets.items()}
+    want = plain_matches(list(enumerate(texts)))
+    assert {(r.doc, r.line): (r.class_doc, r.class_line, r.to_doc is not None, r.kept)
+            for r in rows} == want
+
+
 def test_all_candidates_of_open_lines(spark, docs_of):
     texts = line_texts()
     docs = line_dedup._pairs(docs_of(texts), "doc_id", "text")
