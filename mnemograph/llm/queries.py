@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from mnemograph.llm import (
-    bpe_codec, ctw, impact_search, line_dedup, near_dedup, packing, pii, preference, quality,
+    bpe_codec, ctw, fim, impact_search, line_dedup, near_dedup, packing, pii, preference, quality,
     token_counts)
 from mnemograph.llm.common import documents, stage, table, tokenizer_path
 
@@ -69,6 +69,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         token_counts.count_tokens(documents(spark, sf_dir), tokenizer_path(BYTE_BPE)))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(fim.fill_in_middle(documents(spark, sf_dir)))
+
+
 QUERIES: dict[str, Query] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_quality_rules": op2_quality_rules,
@@ -80,6 +84,7 @@ QUERIES: dict[str, Query] = {
     "op8_impact_search": op8_impact_search,
     "op9_bpe_codec": op9_bpe_codec,
     "op10_token_counts": op10_token_counts,
+    "op11_fill_in_middle": op11_fill_in_middle,
 }
 
 ORACLES: dict[str, str] = {
@@ -129,4 +134,27 @@ s AS (
 SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM (
     SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM s)
 WHERE r <= 10""",
+    "op11_fill_in_middle": """
+WITH d AS (
+    SELECT doc_id, coalesce(text, '') AS t,
+           sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS s FROM documents),
+u AS (
+    SELECT doc_id, t, length(t) AS n, CAST('0x' || s[1:8] AS BIGINT) AS h1,
+           CAST('0x' || s[9:16] AS BIGINT) AS h2, CAST('0x' || s[17:24] AS BIGINT) AS h3,
+           CAST('0x' || s[25:32] AS BIGINT) AS h4 FROM d),
+f AS (
+    SELECT doc_id, t, n, least(h1 % (n + 1), h2 % (n + 1)) AS a,
+           greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+           CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>')
+                     OR h3 % 100 >= 90 THEN 'plain'
+                WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM u),
+p AS (
+    SELECT *, substring(t, 1, a) AS pre, substring(t, a + 1, b - a) AS mid,
+           substring(t, b + 1) AS suf FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+              ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM p""",
 }
