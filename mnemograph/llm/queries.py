@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from mnemograph.llm import (
-    bpe_codec, ctw, fim, impact_search, line_dedup, near_dedup, packing, pii, preference, quality,
+    bpe_codec, ctw, fim, hard_negatives, impact_search, line_dedup, near_dedup, packing, pii, preference, quality,
     token_counts)
 from mnemograph.llm.common import documents, stage, table, tokenizer_path
 
@@ -73,6 +73,12 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.digests(fim.fill_in_middle(documents(spark, sf_dir)))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = hard_negatives.fixed_rows(table(spark, sf_dir, "embeddings"), label)
+    return hard_negatives.mined(rows, F.col("id") % 50 == 0)
+
+
 QUERIES: dict[str, Query] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_quality_rules": op2_quality_rules,
@@ -85,6 +91,7 @@ QUERIES: dict[str, Query] = {
     "op9_bpe_codec": op9_bpe_codec,
     "op10_token_counts": op10_token_counts,
     "op11_fill_in_middle": op11_fill_in_middle,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 ORACLES: dict[str, str] = {
@@ -157,4 +164,25 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars,
               ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
        sha256(t) AS restored_sha256
 FROM p""",
+    "op13_hard_negatives": """
+WITH v AS (
+    SELECT row_number() OVER () AS row, vec_id,
+           CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+           [CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT) FOR x IN embedding] AS q
+    FROM embeddings
+    WHERE label IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (
+    SELECT a.row, a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same,
+           CAST(list_dot_product(CAST(a.q AS DOUBLE[]), CAST(b.q AS DOUBLE[])) AS BIGINT) AS score
+    FROM v a JOIN v b ON a.row <> b.row AND len(a.q) = len(b.q) WHERE a.vec_id % 50 = 0),
+p AS (
+    SELECT row, anchor_id, vec_id AS positive_id, score AS positive_score,
+           row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id) AS place
+    FROM s WHERE same QUALIFY place <= 5)
+SELECT anchor_id, positive_id, CAST(r AS INTEGER) AS rank, negative_id, positive_score, negative_score
+FROM (SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score,
+             row_number() OVER (PARTITION BY p.row, place ORDER BY s.score DESC, s.vec_id) AS r
+      FROM p JOIN s ON p.row = s.row AND NOT s.same
+           AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score)
+WHERE r <= 3""",
 }
