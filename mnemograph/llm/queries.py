@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from mnemograph.llm import (
-    bpe_codec, ctw, fim, hard_negatives, impact_search, line_dedup, near_dedup, packing, pii, preference, quality,
-    token_counts)
+    bpe_codec, ctw, fim, hard_negatives, html_text, impact_search, line_dedup, near_dedup, packing,
+    pii, preference, quality, token_counts)
 from mnemograph.llm.common import documents, stage, table, tokenizer_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -73,6 +73,11 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.digests(fim.fill_in_middle(documents(spark, sf_dir)))
 
 
+def op12_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(table(spark, sf_dir, "pages")).withColumn(
+        "n_chars", F.length("text").cast("bigint"))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     rows = hard_negatives.fixed_rows(table(spark, sf_dir, "embeddings"), label)
@@ -91,6 +96,7 @@ QUERIES: dict[str, Query] = {
     "op9_bpe_codec": op9_bpe_codec,
     "op10_token_counts": op10_token_counts,
     "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_main_text": op12_main_text,
     "op13_hard_negatives": op13_hard_negatives,
 }
 
