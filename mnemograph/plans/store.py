@@ -17,12 +17,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnemograph import params as P
+from mnemograph.functions.scoring import truthy
 from mnemograph.operators import attention as A
 from mnemograph.operators import digest, lens, log_ops, mining, retrieval
 from mnemograph.operators import graph as G
 from mnemograph.operators import relational as R
 from mnemograph.session import stage
-from mnemograph.sources import jsonl, schema, sinks
+from mnemograph.sources import schema, sinks
+from mnemograph.sources.event_log import EventLog, parsed
 
 SCHEMA_VERSION = 1
 KEPT_VERSIONS = 3      # of a branch's graph, the newest included
@@ -31,7 +33,7 @@ KEPT_VERSIONS = 3      # of a branch's graph, the newest included
 class Store:
     def __init__(self, spark: SparkSession, root: str, as_of: str | None = None):
         self.spark, self.root, self._as_of = spark, root.rstrip("/"), as_of
-        self.log_path = f"{self.root}/log"
+        self.events = EventLog(spark, f"{self.root}/log")
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 
     # -- log --------------------------------------------------------------------
@@ -40,51 +42,34 @@ class Store:
         return self._as_of or datetime.now(timezone.utc).isoformat(timespec="seconds")
 
     def exists(self) -> bool:
-        try:
-            self.spark.read.option("recursiveFileLookup", True).text(self.log_path)
-            return True
-        except AnalysisException:
-            return False
+        return self.events.state() is not None
 
     def log(self) -> DataFrame:
         """The whole log; an absent one is empty and nothing is created."""
-        if not self.exists():
-            return self.spark.createDataFrame(
-                [], ", ".join(f"`{n}` {k}" for n, k in schema.COLUMNS.items()))
-        return jsonl.read_log(self.spark, self.log_path)
+        return self.events.read()
 
     def line_count(self) -> int:
-        return jsonl.line_count(self.spark, self.log_path) if self.exists() else 0
-
-    def next_position(self) -> int:
-        """One past the last line, counting only the newest appended folder.
-
-        A folder's name holds its first position. A log without such folders,
-        as when files were copied in, is counted whole.
-        """
-        if not self.exists():
-            return 1
-        files = (self.spark.read.option("recursiveFileLookup", True).text(self.log_path)
-                 .inputFiles())
-        named = [(int(m.group(1)), f) for f in files if (m := sinks.FOLDER.search(f))]
-        if not named:
-            return self.line_count() + 1
-        first = max(n for n, _ in named)
-        newest = [f for n, f in named if n == first]
-        return first + jsonl.line_count(self.spark, *newest)
-
-    def append_frame(self, events: DataFrame) -> None:
-        """Append a batch; positions continue after the lines the log holds."""
-        first = self.next_position()
-        batch = sinks.placed(events, first)
-        sinks.append(sinks.to_lines(batch, self.now()), self.log_path, first)
+        """Events and malformed lines taken so far."""
+        state = self.events.state()
+        return state["count"] + state["malformed"] if state else 0
+
+    def ingest(self, *paths: str) -> int:
+        """Append JSON-lines files; returns how many events they held."""
+        return self.events.ingest(*paths)
+
+    def append_frame(self, events: DataFrame) -> DataFrame:
+        """Append a batch in the order of ``ord``; returns what its events are flagged for."""
+        batch = sinks.placed(events.filter(truthy(F.col("type")).isNotNull()), 1)
+        lines = sinks.to_lines(batch.withColumn("pos", F.col("seq")).withColumn(
+            "seq", F.lit(None).cast("bigint")), self.now(), "pos")
+        self.events.append_batch(parsed(lines, seq=F.col("pos")).withColumnRenamed("seq", "pos"))
+        return sinks.notes(events)
 
     def append(self, type_: str, **fields) -> dict:
         """Append one event; lists may be given as comma-separated strings."""
         if not type_ or not isinstance(type_, str):
             raise ValueError("an event needs a type")
-        first = self.next_position()
-        row, kinds = {"seq": first, "type": type_}, {"seq": "bigint", "type": "string"}
+        row, kinds = {"seq": None, "type": type_}, {"seq": "bigint", "type": "string"}
         rest = {}
         for name, value in fields.items():
             name = "base" if name == "from" else name
@@ -106,10 +91,11 @@ class Store:
             row["rest"], kinds["rest"] = json.dumps(rest, ensure_ascii=False, default=str), "string"
         frame = self.spark.createDataFrame(
             [tuple(row.values())], ", ".join(f"`{n}` {k}" for n, k in kinds.items()))
-        lines = sinks.to_lines(frame, self.now())
-        out = json.loads(lines.collect()[0]["value"])  # the one event just made
-        sinks.append(lines, self.log_path, first)
-        return out
+        line = sinks.to_lines(frame, self.now()).collect()[0]["value"]  # the one event just made
+        first = self.events.append_lines(line)
+        out = json.loads(line)
+        head = {k: out.pop(k) for k in ("t", "type")}
+        return {**head, "event_id": out.pop("event_id", None) or f"evt_{first}", **out}
 
     # -- relational state ---------------------------------------------------------
 
@@ -214,7 +200,7 @@ class Store:
         ``as_of`` when one is fixed, under this schema.
         """
         log = self.log()
-        mark = {"events": self.next_position() - 1, "schema": SCHEMA_VERSION, "as_of": self._as_of or ""}
+        mark = {"events": self.events.count(), "schema": SCHEMA_VERSION, "as_of": self._as_of or ""}
         old = self._watermark(branch)
         if not force and old and {k: old[k] for k in mark} == mark:
             return False

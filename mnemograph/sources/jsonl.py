@@ -89,24 +89,30 @@ def raw_lines(spark: SparkSession, *paths: str) -> DataFrame:
         .filter(F.trim("value") != ""))
 
 
+def placed_events(spark: SparkSession, *paths: str) -> DataFrame:
+    """Well-formed events with a dense ``seq``; ids stay null unless given."""
+    parsed = raw_lines(spark, *paths).withColumn("v", F.try_parse_json("value"))
+    good = parsed.filter(F.schema_of_variant("v").startswith("OBJECT")).withColumn(
+        "local", F.monotonically_increasing_id())
+    placed = ordinals(good, ("file", "start"), "local", "seq")
+    cols = fields(F.col("v"))
+    cols["event_id"] = truthy(cols["event_id"])
+    return schema.conform(placed, seq=F.col("seq"), **cols)
+
+
 def read_log(spark: SparkSession, path: str) -> DataFrame:
     """Well-formed events in log order with a dense ``seq``.
 
     Files sort by name, so a log that grows by files needs growing names.
     Malformed lines carry no position; ``malformed_lines`` shows them.
     """
-    parsed = raw_lines(spark, path).withColumn("v", F.try_parse_json("value"))
-    good = parsed.filter(F.schema_of_variant("v").startswith("OBJECT")).withColumn(
-        "local", F.monotonically_increasing_id())
-    placed = ordinals(good, ("file", "start"), "local", "seq")
-    cols = fields(F.col("v"))
-    cols["event_id"] = F.coalesce(truthy(cols["event_id"]), F.concat(F.lit("evt_"), "seq"))
-    return schema.conform(placed, seq=F.col("seq"), **cols)
+    return placed_events(spark, path).withColumn(
+        "event_id", F.coalesce("event_id", F.concat(F.lit("evt_"), "seq")))
 
 
-def malformed_lines(spark: SparkSession, path: str) -> DataFrame:
+def malformed_lines(spark: SparkSession, *paths: str) -> DataFrame:
     v = F.try_parse_json("value")
-    return raw_lines(spark, path).filter(
+    return raw_lines(spark, *paths).filter(
         ~F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))).select("value")
 
 

@@ -40,8 +40,8 @@ def placed(events: DataFrame, first_seq: int) -> DataFrame:
         "seq", F.col("pos") + F.lit(first_seq - 1))
 
 
-def to_lines(events: DataFrame, now: str) -> DataFrame:
-    """(seq, value): one JSON line per event with a ``seq``, ready to append."""
+def to_lines(events: DataFrame, now: str, key: str = "seq") -> DataFrame:
+    """(key, value): one JSON line per event; an event without ``seq`` gets no id."""
     have = set(events.columns)
     rows = events.filter(truthy(F.col("type")).isNotNull())
     given = {c: F.col(c) for c in LINE_ORDER if c in have}
@@ -64,7 +64,7 @@ def to_lines(events: DataFrame, now: str) -> DataFrame:
         line = F.when(F.trim(inner) != "", F.concat(
             F.substring(line, F.lit(1), F.length(line) - 1), F.lit(","), inner, F.lit("}"))) \
             .otherwise(line)
-    return rows.select("seq", line.alias("value"))
+    return rows.select(key, line.alias("value"))
 
 
 def append(lines: DataFrame, log_path: str, first_seq: int) -> None:
@@ -81,7 +81,8 @@ def notes(events: DataFrame) -> DataFrame:
     """What an append should warn about: unknown types and arbitration."""
     ty = F.col("type")
     unknown = F.when(~ty.isin(P.KNOWN_TYPES), F.lit("unknown type, stored but not modelled"))
-    owned = F.when(S.arbitration_violation(ty, F.col("agent")),
+    agent = F.col("agent") if "agent" in events.columns else F.lit(None).cast("string")
+    owned = F.when(S.arbitration_violation(ty, agent),
                    F.lit("curator-owned type from another agent, flagged for audit"))
     return events.select("type", F.coalesce(unknown, owned).alias("note")).filter(
         F.col("note").isNotNull())
