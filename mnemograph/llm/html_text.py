@@ -49,12 +49,15 @@ SUPPORT = 0.1               # share of a host's pages that a template token occu
 FIXED = 0.5                 # ... and a fixed text, on three different pages at least
 BAD = 0.01                  # share of a class's pages on which it may overlap another
 
-VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style title textarea xmp iframe noembed noframes noscript template svg math "
-          "object select button audio video canvas".split())
-INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q "
-             "rp rt ruby s samp small span strike strong sub sup time tt u var wbr img input br "
-             "nobr".split())
+VOID, RAW, INLINE, BLOCK = 1, 2, 3, 4
+#: What is not a block: elements without content, with content that is no text, within lines.
+KINDS = {
+    **dict.fromkeys("area base col embed hr link meta param source track".split(), VOID),
+    **dict.fromkeys("script style title textarea xmp iframe noembed noframes noscript template svg "
+                    "math object select button audio video canvas".split(), RAW),
+    **dict.fromkeys("a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd "
+                    "label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u "
+                    "var wbr".split(), INLINE)}
 #: What an opening tag ends when it is the innermost open element.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"},
         "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -80,7 +83,7 @@ ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]
 HEADING = re.compile(r"h[1-6]\Z")
 
 _names: dict[tuple, tuple[int, int, str]] = {}
-_paths: dict[tuple, int] = {}
+_paths: dict[tuple, tuple[int, int, int]] = {}
 
 
 class Block(NamedTuple):
@@ -128,15 +131,6 @@ def named(tag: str, attributes: str) -> tuple[int, int, str]:
     return found
 
 
-def path_key(parent: int, tag: str, sign: str) -> int:
-    key = _paths.get((parent, tag, sign))
-    if key is None:
-        if len(_paths) > 200_000:
-            _paths.clear()
-        key = _paths[parent, tag, sign] = hash64(str(parent), tag, sign)
-    return key
-
-
 def parsed(html: str) -> list[int | Block]:
     """Tag tokens and blocks of text of a page, in page order."""
     out: list[int | Block] = []
@@ -162,58 +156,66 @@ def parsed(html: str) -> list[int | Block]:
 
     def said(part: str) -> None:
         nonlocal linked
-        if part:
-            part = unescape(part) if "&" in part else part
-            text.append(part)
-            if in_link:
-                linked += len(part.strip())
-
-    size = len(html)
-    while True:
-        m = TAG.search(html, at)
-        if m is None:
-            said(html[at:])
-            break
-        said(html[at:m.start()])
+        part = unescape(part) if "&" in part else part
+        text.append(part)
+        if in_link:
+            linked += len(part.strip())
+
+    found = TAG.finditer(html)
+    while (m := next(found, None)) is not None:
+        start = m.start()
+        if start > at:
+            said(html[at:start])
         at = m.end()
-        tag = m.group(2)
+        end, tag, attributes = m.groups()
         if tag is None:
             continue
-        tag, end = tag.lower(), m.group(1)
-        if tag in RAW and not end:
-            if not m.group(3).endswith("/") or tag in ("script", "style"):
-                stop = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(html, at)
-                at = size if stop is None else html.find(">", stop.end() - 1) + 1 or size
-            continue
-        if tag in INLINE:
+        kind = KINDS.get(tag)
+        if kind is None:
+            tag = tag.lower()
+            kind = KINDS.get(tag, BLOCK)
+        if kind == INLINE:
             if tag == "br":
                 text.append(" ")
             elif tag == "a":
                 in_link = not end
             continue
-        if tag in RAW:
+        if kind == RAW:
+            if not end and (not attributes.endswith("/") or tag in ("script", "style")):
+                stop = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(html, at)
+                at = len(html) if stop is None else html.find(">", stop.end() - 1) + 1 or len(html)
+                found = TAG.finditer(html, at)
             continue
-        flush()
+        if text:
+            flush()
         if end:
-            if any(e[0] == tag for e in stack):
+            if stack[-1][0] == tag:
+                close()
+            elif any(e[0] == tag for e in stack):
                 while stack[-1][0] != tag:
                     close()
                 close()
             continue
         while stack[-1][0] == "p" or stack[-1][0] in ENDS.get(tag, ()):
             close()
-        noise, rank, sign = named(tag, m.group(3))
         _, path, was, above, _, place = stack[-1]
+        made = _paths.get((path, tag, attributes))
+        if made is None:
+            if len(_paths) > 100_000:
+                _paths.clear()
+            noise, rank, sign = named(tag, attributes)
+            made = _paths[path, tag, attributes] = hash64(str(path), tag, sign), noise, rank
+        path, noise, rank = made
         if noise == 2 and above < 2:
             noise = 1           # a page's header, not an article's
-        noise = 1 if 1 in (noise, was) else max(noise, was)
-        path = path_key(path, tag, sign)
         out.append(path)
-        if tag in VOID:
+        if kind == VOID:
             continue
         number += 1
-        stack.append((tag, path, noise, max(rank, above), number,
-                      place if tag in LEAVES else number))
+        stack.append((tag, path, 1 if noise == 1 or was == 1 else max(noise, was), max(rank, above),
+                      number, place if tag in LEAVES else number))
+    if at < len(html):
+        said(html[at:])
     flush()
     while len(stack) > 1:
         close()
@@ -491,10 +493,13 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     first = stage(classes(found).withColumn("main", F.lit(None).cast("array<struct<class:bigint,gap:int>>"))
                   .withColumn("drops", F.lit(False)), "html-classes")
     unstage(found)
-    # Classes that fail go, and the slots are measured again between those that are left.
+    # Classes that fail go; the slots of their hosts are measured again between what is left.
     checked = stage(judged(first, slots(rows, first)), "html-valid")
-    templates = stage(judged(checked, slots(rows, checked)), "html-templates")
-    unstage(first, checked)
+    smaller = stage(checked.join(first.select("host", F.size("keys").alias("n")), "host")
+                    .where(F.size("keys") < F.col("n")).drop("n"), "html-smaller")
+    templates = stage(checked.join(smaller.select("host"), "host", "left_anti").unionByName(
+        judged(smaller, slots(rows, smaller))), "html-templates") if smaller.count() else checked
+    unstage(first, smaller)
     kinds = rows.schema
 
     def work(parts: Iterator[pa.RecordBatch], lookup: Callable) -> Iterator[pa.RecordBatch]:
