@@ -45,33 +45,44 @@ def triggered_procedures(graph: Graph, query: str = "") -> DataFrame:
             .join(graph.procedures.select("procedure_id", "outcome_score"), "procedure_id"))
 
 
-def query_hits(graph: Graph, query: str, as_of, log: DataFrame | None = None) -> DataFrame:
+def vector_hits(bodies: DataFrame, query: str, index=None) -> DataFrame:
+    """Nodes by TF-IDF, out of a stored index of their bodies if there is one."""
+    found = index.tfidf_top(query) if index else retrieval.tfidf_search(
+        bodies, "event_id", F.col("body"), query)
+    return found.select("event_id", (P.QUERY_FLOOR + P.QUERY_GAIN * F.col("similarity")).alias("q"))
+
+
+def bm25_hits(graph: Graph, query: str, as_of, log: DataFrame, index=None) -> DataFrame:
+    """Nodes of the events that a search of the log ranks first."""
+    found = retrieval.search(log, query, as_of, k=8, index=index)
+    weight = P.QUERY_FLOOR + P.QUERY_GAIN * F.col("relevance")
+    return (found.select("seq", weight.alias("q"))
+            .join(graph.nodes.select("seq", "event_id"), "seq").select("event_id", "q"))
+
+
+def body_hits(bodies: DataFrame, query: str) -> DataFrame:
+    """Nodes whose text contains the query."""
+    return (bodies.filter(F.lower("body").contains(query.lower()))
+            .select("event_id", F.lit(P.SUBSTRING_SEED).alias("q")))
+
+
+def query_hits(graph: Graph, query: str, as_of, log: DataFrame | None = None,
+               body_index=None, log_index=None) -> DataFrame:
     """Node hits of a query: TF-IDF vectors, else BM25, else substring.
 
     Each tier yields at most eight rows but the last, so asking whether one is
     empty is cheap.
     """
     bodies = graph.nodes.select("event_id", "body")
-    vector = retrieval.tfidf_search(bodies, "event_id", F.col("body"), query)
-    weight = P.QUERY_FLOOR + P.QUERY_GAIN * F.col("similarity")
-    hits = stage(vector.select("event_id", weight.alias("q")), "query-hits")
-    if not hits.isEmpty():
-        return hits
-    if log is not None:
-        found = retrieval.search(log, query, as_of, k=8)
-        weight = P.QUERY_FLOOR + P.QUERY_GAIN * F.col("relevance")
-        hits = stage(found.select("seq", weight.alias("q"))
-                     .join(graph.nodes.select("seq", "event_id"), "seq")
-                     .select("event_id", "q"), "query-hits")
-        if not hits.isEmpty():
-            return hits
-    return (bodies.filter(F.lower("body").contains(query.lower()))
-            .select("event_id", F.lit(P.SUBSTRING_SEED).alias("q")))
+    hits = stage(vector_hits(bodies, query, body_index), "query-hits")
+    if hits.isEmpty() and log is not None:
+        hits = stage(bm25_hits(graph, query, as_of, log, log_index), "query-hits")
+    return body_hits(bodies, query) if hits.isEmpty() else hits
 
 
 def seeds(graph: Graph, as_of, query: str = "", agent: str = "",
           threads: list[str] | None = None, incubation: DataFrame | None = None,
-          log: DataFrame | None = None) -> DataFrame:
+          log: DataFrame | None = None, body_index=None, log_index=None) -> DataFrame:
     """Every node with its base and seed activation.
 
     Floors combine by maximum, role and lane boosts add on top, query hits raise
@@ -90,7 +101,8 @@ def seeds(graph: Graph, as_of, query: str = "", agent: str = "",
         parts = parts.unionByName(
             lane.select("event_id", F.lit(P.ASSIGNED_SEED).alias("boost")), allowMissingColumns=True)
     if query:
-        parts = parts.unionByName(query_hits(graph, query, as_of, log), allowMissingColumns=True)
+        parts = parts.unionByName(
+            query_hits(graph, query, as_of, log, body_index, log_index), allowMissingColumns=True)
     if incubation is not None:
         parts = parts.unionByName(
             incubation.select("event_id", (P.INCUBATION_WEIGHT * F.col("lift")).alias("lift")),
@@ -244,10 +256,10 @@ def resurface(act: DataFrame, members: DataFrame, threads: DataFrame):
 def attend(graph: Graph, as_of, query: str = "", agent: str = "",
            threads: list[str] | None = None, previous: DataFrame | None = None,
            incubation: DataFrame | None = None, rotate: bool = False,
-           log: DataFrame | None = None) -> Attention:
+           log: DataFrame | None = None, body_index=None, log_index=None) -> Attention:
     """The full attention pass of one agent window."""
     nodes, adj = stage_all(
-        seeds=seeds(graph, as_of, query, agent, threads, incubation, log),
+        seeds=seeds(graph, as_of, query, agent, threads, incubation, log, body_index, log_index),
         adjacency=adjacency(graph.edges))
     act = stage(spread(nodes, adj), "spread")
     act = stage(inhibit(act, graph.contradictions), "inhibited")

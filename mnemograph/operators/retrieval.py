@@ -86,10 +86,10 @@ def tfidf_search(docs: DataFrame, key: str, text: Column, query: str,
     counts = (near.select(key, F.size("toks").alias("total"), F.explode("toks").alias("token"))
               .groupBy(key, "token", "total").agg(F.count(F.lit(1)).alias("tf")))
     vectors = _weighed(counts, df, n, key)
-    return _top_similar(vectors.join(query_vector(query, df, n), "token"), key, k)
+    return top_similar(vectors.join(query_vector(query, df, n), "token"), key, k)
 
 
-def _top_similar(matched: DataFrame, key: str, k: int) -> DataFrame:
+def top_similar(matched: DataFrame, key: str, k: int) -> DataFrame:
     return (
         matched.groupBy(key).agg(F.sum(F.col("q") * F.col("weight")).alias("s"))
         .select(key, S.rounded(S.clamp01(F.col("s"))).alias("similarity"))
@@ -97,12 +97,6 @@ def _top_similar(matched: DataFrame, key: str, k: int) -> DataFrame:
         .orderBy(F.desc("similarity"), key).limit(k))
 
 
-def search_vectors(vectors: DataFrame, df: DataFrame, n_docs: Column, key: str, query: str,
-                   k: int = P.VECTOR_K) -> DataFrame:
-    """The same search over stored vectors and document frequencies."""
-    return _top_similar(vectors.join(query_vector(query, df, n_docs), "token"), key, k)
-
-
 def fact_search(facts: DataFrame, key: str, text: Column, query: str, top_n: int = 5) -> DataFrame:
     """Facts by summed tf-idf; a repeated query token counts each time."""
     counts = term_counts(facts, key, text)
@@ -135,21 +129,25 @@ def bm25_scores(docs: DataFrame, key: str, text: Column, query: str,
     counted = stage(docs.select(
         key, *keep, X.fts_length(text).alias("len"),
         *[X.fts_hits(text, p).alias(f"f{i}") for i, p in enumerate(prefixes)]), "bm25-counts")
-    totals = counted.agg(
-        F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len"),
-        *[F.count_if(F.col(f"f{i}") > 0).alias(f"n{i}") for i in range(len(prefixes))])
-    stats = totals.select(F.struct("*").alias("s")).scalar()
-    scored = counted.filter(F.greatest(F.lit(0), *[
-        F.col(f"f{i}") for i in range(len(prefixes))]) > 0).withColumn("s", stats)
+    totals = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len"))
+    return bm25_rank(counted, (key, *keep), len(prefixes),
+                     totals.select(F.struct("*").alias("s")).scalar())
+
+
+def bm25_rank(counted: DataFrame, keep: tuple[str, ...], prefixes: int, totals: Column) -> DataFrame:
+    """Ranks from hits ``f0`` ... of each prefix, ``len`` and the collection's (n, avg_len)."""
+    found = counted.filter(F.greatest(F.lit(0), *[F.col(f"f{i}") for i in range(prefixes)]) > 0)
+    held = counted.agg(*[F.count_if(F.col(f"f{i}") > 0).alias(f"n{i}") for i in range(prefixes)])
+    scored = found.withColumn("s", totals).withColumn("h", held.select(F.struct("*").alias("h")).scalar())
     score = F.lit(0.0)
-    for i in range(len(prefixes)):
-        n_i = F.col(f"s.n{i}")
+    for i in range(prefixes):
+        n_i = F.col(f"h.n{i}")
         raw = F.ln((F.col("s.n") - n_i + 0.5) / (n_i + 0.5))
         weight = F.when(raw <= 0, 1e-6).otherwise(raw)
         f = F.col(f"f{i}").cast("double")
         score = score + weight * (f * (P.BM25_K1 + 1)) / (
             f + P.BM25_K1 * (1 - P.BM25_B + P.BM25_B * F.col("len") / F.col("s.avg_len")))
-    return scored.select(key, *keep, S.rounded(-score, 6).alias("rank"))
+    return scored.select(*keep, S.rounded(-score, 6).alias("rank"))
 
 
 def postings(docs: DataFrame, key: str, text: Column) -> DataFrame:
@@ -164,15 +162,20 @@ def bm25_top(docs: DataFrame, key: str, text: Column, query: str, k: int) -> Dat
 
 
 def search(log: DataFrame, query: str, as_of, k: int = P.SEARCH_K, gate: bool = True,
-           linked: DataFrame | None = None, rerank=None) -> DataFrame:
+           linked: DataFrame | None = None, rerank=None, index=None) -> DataFrame:
     """BM25 candidates blended with salience; ``rerank`` may rescore the head.
 
+    The candidates come from a stored ``index`` of the log if there is one, else the log
+    is scanned.
     ``rerank`` takes and returns a DataFrame of at most twelve candidates with
     a ``relevance`` column, for example through a pandas UDF.
     """
     pool = max(k * 5, 25)
-    docs = log.withColumn("text", log_ops.search_body())
-    ranked = bm25_scores(docs, "seq", F.col("text"), query).orderBy("rank", "seq").limit(pool)
+    if index:
+        ranked = index.bm25_top(query, pool)
+    else:
+        docs = log.withColumn("text", log_ops.search_body())
+        ranked = bm25_scores(docs, "seq", F.col("text"), query).orderBy("rank", "seq").limit(pool)
     span = Window.partitionBy()  # at most ``pool`` rows
     lo, hi = F.min("rank").over(span), F.max("rank").over(span)
     width = F.when(hi == lo, 1.0).otherwise(hi - lo)

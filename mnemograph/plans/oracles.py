@@ -1106,5 +1106,23 @@ _SELECTS["fts_tokens"] = f"""SELECT doc_id, token, count(*) AS n FROM (
  SELECT doc_id, unnest({fts('text')}) AS token FROM documents) GROUP BY ALL"""
 
 
+_SELECTS["jsonl_ingest"] = _SELECTS["jsonl_round_trip"]
+_SELECTS["bm25_scan"] = _SELECTS["bm25_search"]
+_SELECTS["index_in_steps"] = f"""
+SELECT 'bm25' AS search, doc_id, rank AS score FROM ({_SELECTS['bm25_search']})
+UNION ALL SELECT 'fact', doc_id, score FROM ({_SELECTS['fact_tfidf_search']})
+UNION ALL SELECT 'tfidf', doc_id, similarity FROM ({_SELECTS['tfidf_search']})"""
+_SELECTS["query_hits_bm25"] = f"""SELECT n.event_id, {rnd('0.6::DOUBLE + 0.4::DOUBLE * relevance')} AS q FROM (
+ SELECT seq, {rnd('rel')} AS relevance
+ FROM (SELECT s.* REPLACE (0 AS linked), 1.0 - (c.rank - c.lo) / CASE WHEN c.hi = c.lo THEN 1.0
+    ELSE c.hi - c.lo END AS rel
+  FROM (SELECT *, min(rank) OVER () AS lo, max(rank) OVER () AS hi FROM (
+    SELECT seq, rank FROM ebm ORDER BY rank, seq LIMIT 40)) c
+  JOIN scored_log s ON s.seq = c.seq WHERE s.type NOT IN ({strings(P.GATED_TYPES)}))
+ ORDER BY {salience(importance('type'), 'rel')} DESC, seq LIMIT 8) h JOIN nodes n ON n.seq = h.seq"""
+_SELECTS["query_hits_substring"] = f"""SELECT event_id, {P.SUBSTRING_SEED}::DOUBLE AS q FROM nodes
+WHERE contains(lower(body), 'deploy')"""
+
+
 def statements() -> dict[str, str]:
     return {name: sql(text) for name, text in _SELECTS.items()}

@@ -15,8 +15,10 @@ from mnemograph.operators import attention as A
 from mnemograph.operators import digest, folds, log_ops, mining, retrieval
 from mnemograph.operators import graph as G
 from mnemograph.operators import relational as R
+from mnemograph.plans.text_index import TextIndex
 from mnemograph.session import stage, stage_all, stage_folder
 from mnemograph.sources import jsonl, sinks
+from mnemograph.sources.event_log import EventLog, parsed
 from mnemograph.sources import tables as T
 from mnemograph.sources.schema import conform
 from mnemograph.streaming import incremental as inc
@@ -25,6 +27,7 @@ AS_OF = T.AS_OF
 QUERY = "deploy cache"
 TEXT_QUERY = "hation tionen enheit hation"
 LANE = ["thr_k1", "thr_k2"]
+APPENDS = 1000      # single appends of ``jsonl_ingest``
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -65,6 +68,30 @@ def attention_of(spark, sf_dir) -> A.Attention:
     return _once("attention", spark, sf_dir, make)
 
 
+def _indexed(spark, docs: DataFrame, key: str, text: str, steps: int = 1) -> TextIndex:
+    """A stored index of documents, added in so many steps."""
+    index = TextIndex(spark, f"{stage_folder(spark)}/index-{uuid.uuid4().hex}", key)
+    for i in range(steps):
+        part = docs if steps == 1 else docs.where(F.pmod(F.xxhash64(key), F.lit(steps)) == i)
+        index.add(part, text)
+    return index
+
+
+def document_index(spark, sf_dir) -> TextIndex:
+    return _once("document-index", spark, sf_dir,
+                 lambda: _indexed(spark, documents(spark, sf_dir), "doc_id", "text"))
+
+
+def event_index(spark, sf_dir) -> TextIndex:
+    return _once("event-index", spark, sf_dir, lambda: _indexed(
+        spark, log_of(spark, sf_dir).withColumn("text", log_ops.search_body()), "seq", "text"))
+
+
+def body_index(spark, sf_dir) -> TextIndex:
+    return _once("body-index", spark, sf_dir, lambda: _indexed(
+        spark, graph_of(spark, sf_dir).nodes.select("event_id", "body"), "event_id", "body"))
+
+
 def documents(spark, sf_dir) -> DataFrame:
     return T.table(spark, sf_dir, "documents").select("doc_id", "text")
 
@@ -110,6 +137,21 @@ def jsonl_round_trip(spark, sf):
         "frequency", "confidence", *[F.array_join(c, ",").alias(c) for c in lists])
 
 
+@query
+def jsonl_ingest(spark, sf):
+    """The log arriving in a columnar store: a thousand appends of one event, then the rest at once."""
+    events = EventLog(spark, f"{stage_folder(spark)}/log-{uuid.uuid4().hex}")
+    lines = stage(sinks.to_lines(log_of(spark, sf), AS_OF), "lines")
+    for r in lines.where(F.col("seq") <= APPENDS).orderBy("seq").collect():     # APPENDS rows
+        events.append_lines(r["value"])
+    rest = lines.where(F.col("seq") > APPENDS).withColumn("pos", F.col("seq") - APPENDS)
+    events.append_batch(parsed(rest, seq=F.col("pos")).withColumnRenamed("seq", "pos"))
+    return events.read().select(
+        "seq", "t", "type", "event_id", "session", "branch", "id", "msg", "path", "support",
+        "frequency", "confidence", *[F.array_join(c, ",").alias(c) for c in
+                                     ("thread_ids", "causes", "evidence", "steps", "topics")])
+
+
 @query
 def log_content_digest(spark, sf):
     return log_ops.content_digest(log_of(spark, sf))
@@ -357,10 +399,21 @@ def seed_vector_role(spark, sf):
 
 @query
 def seed_query_hits(spark, sf):
-    return A.query_hits(graph_of(spark, sf), QUERY, AS_OF).select(
+    return A.query_hits(graph_of(spark, sf), QUERY, AS_OF, body_index=body_index(spark, sf)).select(
         "event_id", S.rounded(F.col("q")).alias("q"))
 
 
+@query
+def query_hits_bm25(spark, sf):
+    return A.bm25_hits(graph_of(spark, sf), QUERY, AS_OF, log_of(spark, sf), event_index(spark, sf)).select(
+        "event_id", S.rounded(F.col("q")).alias("q"))
+
+
+@query
+def query_hits_substring(spark, sf):
+    return A.body_hits(graph_of(spark, sf).nodes, "Deploy").select("event_id", "q")
+
+
 @query
 def triggered_procedures(spark, sf):
     return A.triggered_procedures(graph_of(spark, sf)).select(
@@ -495,23 +548,41 @@ def tfidf_vectors(spark, sf):
 
 @query
 def tfidf_search(spark, sf):
-    return retrieval.tfidf_search(documents(spark, sf), "doc_id", F.col("text"), TEXT_QUERY)
+    return document_index(spark, sf).tfidf_top(TEXT_QUERY)
 
 
 @query
 def fact_tfidf_search(spark, sf):
-    return retrieval.fact_search(documents(spark, sf), "doc_id", F.col("text"), TEXT_QUERY)
+    return document_index(spark, sf).fact_top(TEXT_QUERY)
 
 
 @query
 def bm25_search(spark, sf):
+    return document_index(spark, sf).bm25_top(TEXT_QUERY, 25)
+
+
+@query
+def bm25_scan(spark, sf):
+    """The same search without an index."""
     return retrieval.bm25_top(documents(spark, sf), "doc_id", F.col("text"), TEXT_QUERY, 25)
 
 
+@query
+def index_in_steps(spark, sf):
+    """All three searches over an index that grew in four steps."""
+    index = _indexed(spark, documents(spark, sf), "doc_id", "text", SLICES)
+    parts = {"bm25": index.bm25_top(TEXT_QUERY, 25).select("doc_id", F.col("rank").alias("score")),
+             "fact": index.fact_top(TEXT_QUERY), "tfidf": index.tfidf_top(TEXT_QUERY)}
+    out = [df.select(F.lit(name).alias("search"), "doc_id", F.col(df.columns[1]).alias("score"))
+           for name, df in parts.items()]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
 @query
 def event_search(spark, sf):
     log = log_of(spark, sf)
-    return retrieval.search(log, QUERY, AS_OF, linked=retrieval.linked_degree(log))
+    return retrieval.search(log, QUERY, AS_OF, linked=retrieval.linked_degree(log),
+                            index=event_index(spark, sf))
 
 
 @query

@@ -22,6 +22,7 @@ from mnemograph.operators import attention as A
 from mnemograph.operators import digest, lens, log_ops, mining, retrieval
 from mnemograph.operators import graph as G
 from mnemograph.operators import relational as R
+from mnemograph.plans.text_index import TextIndex
 from mnemograph.session import stage
 from mnemograph.sources import schema, sinks
 from mnemograph.sources.event_log import EventLog, parsed
@@ -212,6 +213,10 @@ class Store:
                  "mark": f"{self.root}/graph/{branch}/marks/{name}"}
         for field in dataclasses.fields(graph):
             sinks.write_table(getattr(graph, field.name), f"{mark['home']}/{field.name}")
+        bodies = self.spark.read.parquet(f"{mark['home']}/nodes").select("event_id", "body")
+        index = TextIndex(self.spark, f"{mark['home']}/bodies", "event_id")
+        index.add(bodies, "body")
+        index.vectors()
         sinks.write_json(
             self.spark.createDataFrame([tuple(mark.values())],
                                        "events bigint, schema bigint, as_of string, home string, "
@@ -226,7 +231,9 @@ class Store:
 
     def graph(self, branch: str = P.MAIN) -> G.Graph:
         self.build(branch)
-        home = self._watermark(branch)["home"]
+        return self._graph_at(self._watermark(branch)["home"])
+
+    def _graph_at(self, home: str) -> G.Graph:
         return G.Graph(**{f.name: self.spark.read.parquet(f"{home}/{f.name}")
                           for f in dataclasses.fields(G.Graph)})
 
@@ -264,10 +271,13 @@ class Store:
 
     def attend(self, query: str = "", agent: str = "", threads: list[str] | None = None,
                rotate: bool = False, persist: bool = True) -> A.Attention:
-        g = self.graph()
-        att = A.attend(g, self.now(), query, agent, threads,
+        self.build()
+        home = self._watermark(P.MAIN)["home"]
+        att = A.attend(self._graph_at(home), self.now(), query, agent, threads,
                        previous=self._stored("activation", agent) if persist else None,
-                       incubation=self._stored("incubation"), rotate=rotate, log=self.log())
+                       incubation=self._stored("incubation"), rotate=rotate, log=self.log(),
+                       body_index=TextIndex(self.spark, f"{home}/bodies", "event_id"),
+                       log_index=self.index() if query else None)
         att = A.Attention(stage(att.nodes, "act"), stage(att.threads, "thread-act"),
                           stage(att.contradictions, "tensions"))
         key = F.lit(agent or "-").alias("agent")  # partition names cannot be empty
@@ -311,10 +321,21 @@ class Store:
 
     # -- retrieval ----------------------------------------------------------------
 
+    def index(self) -> TextIndex | None:
+        """The stored index of the log, with the events appended since it was last used."""
+        state = self.events.state()
+        if state is None:
+            return None
+        index = TextIndex(self.spark, f"{self.root}/index/events", "seq")
+        while (after := index.upto()) < state["count"]:
+            new = self.events.read(after, state).withColumn("text", log_ops.search_body())
+            index.add(new, "text", state["count"], after)
+        return index
+
     def search(self, query: str, k: int = P.SEARCH_K, rerank=None) -> DataFrame:
         log = self.log()
-        return retrieval.search(log, query, self.now(), k,
-                                linked=retrieval.linked_degree(log), rerank=rerank)
+        return retrieval.search(log, query, self.now(), k, linked=retrieval.linked_degree(log),
+                                rerank=rerank, index=self.index())
 
     def drift(self, window: int = P.DRIFT_WINDOW, emit: bool = False) -> dict:
         log = self.log()
