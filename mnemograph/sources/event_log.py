@@ -19,7 +19,7 @@ from mnemograph.functions.scoring import truthy
 from mnemograph.sources import jsonl, schema, sinks
 from mnemograph.sources.versions import Versions
 
-TAIL_LINES, TAIL_CHARS = 256, 1 << 18   # of the tail, before it becomes a batch
+TAIL_LINES, TAIL_CHARS = 100, 1 << 17   # of the tail, before it becomes a batch
 MERGE_FROM = 8                          # batches from which the newest are merged
 KEPT_MERGES = 3                         # merges whose input files stay for readers
 
