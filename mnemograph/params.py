@@ -11,10 +11,9 @@ KNOWN_TYPES = [
     "error", "assumption", "assumption_invalidated", "observation",
     "hypothesis", "contradiction", "output", "api_call", "command",
     "thread_open", "thread_merge", "thread_split", "attended",
-    "concept_formed", "concept_retired", "procedure_learned",
-    "procedure_retired", "proc_executed", "pattern_detected",
-    "pattern_promoted", "meta_assessment", "snapshot", "branch_open",
-    "branch_merge",
+    "concept_formed", "procedure_learned", "snapshot", "concept_retired",
+    "branch_open", "branch_merge", "pattern_detected", "proc_executed",
+    "procedure_retired", "meta_assessment", "pattern_promoted",
 ]
 COGNITIVE_TYPES = [
     "objective", "decision", "observation", "reflection", "hypothesis",
@@ -109,16 +108,19 @@ META_POLLUTION_FLOOR, META_CHURN_WINDOW = 0.05, 40
 FAILED_OUTCOMES = ["failure", "fail", "error", "0"]
 
 # -- word lists --------------------------------------------------------------------
-TOKEN_STOPS = (
-    "the a an is it in on at to for of and or but not with this that are "
-    "was be by from as into about used can will has have had its which when how what"
-).split()
-TERM_STOPS = (
-    "the and for with that this from into have has was are were will would "
-    "should could than then them they their what when where which while about "
-    "after before over under your you our but not all any can out via use used "
-    "using per its"
-).split()
+TOKEN_STOPS = [
+    "the", "a", "an", "is", "it", "in", "on", "at", "to", "for", "of", "and",
+    "or", "but", "not", "with", "this", "that", "are", "was", "be", "by",
+    "from", "as", "into", "about", "used", "can", "will", "has", "have", "had",
+    "its", "which", "when", "how", "what",
+]
+TERM_STOPS = [
+    "the", "and", "for", "with", "that", "this", "from", "into", "have", "has",
+    "was", "are", "were", "will", "would", "should", "could", "than", "then",
+    "them", "they", "their", "what", "when", "where", "which", "while", "about",
+    "after", "before", "over", "under", "your", "you", "our", "but", "not",
+    "all", "any", "can", "out", "via", "use", "used", "using", "per", "its",
+]
 
 # Seqs per block in two-level ordered scans: a block is one bounded task-side
 # window, and the per-block summaries of 2**40 events still fit one task.
