@@ -42,12 +42,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 from mnemograph.llm.common import (
     arrow_map, free_shuffles, stage, text_slices, unstage)
 
-SLICE_BYTES = 12 << 20
+SLICE_BYTES = 6 << 20
 CELLS = 1 << 18           # of the sketch of word counts: 2 MB, whatever the corpus
 PARTS = 8, 10             # similarity of two sets: 8 / 10
 HOT = 20_000              # words at least so common are posted in pairs
-CHUNK_ROWS = 200_000      # postings that are compared together, whole keys
+CHUNK_ROWS = 100_000      # postings that are compared together
+WINDOW = 4096             # postings of a key, besides its first, that one is compared with
 NAMED = 5                 # candidates that one posting names
+MARK = 1 << 20            # bits apart of no real candidate
 FILTER_CELLS = 1 << 22    # of the bit map of lines that are read again: 512 KB
 NULL_ID = -(1 << 63)
 ROW = ["doc", "t1", "t2"]
@@ -288,27 +290,37 @@ def may_match(a: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> tuple[n
     return ok & np.logical_or.reduce([a[c][i] != a[c][j] for c in PLACE]), apart
 
 
-def named(a: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(target, source, bits apart, whether others may be left) of postings sorted by key."""
+def named(a: dict[str, np.ndarray], old: int, few: int, window: int
+          ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(target, source, bits apart, whether others may be left) of postings sorted by key.
+
+    Each is compared with the first of its key and up to ``window`` rows before it, until
+    ``few`` are found. The first ``old`` rows are no targets, and ``nth`` numbers the rows
+    of a key. A target that others are left for comes with the source -1 as well.
+    """
     n = len(a["key"])
     fresh = np.concatenate(([True], a["key"][1:] != a["key"][:-1]))
     head = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
     count, out = np.zeros(n, np.int64), []
     i = np.flatnonzero(~fresh)
+    i = i[i >= old]
     ok, apart = may_match(a, i, head[i])
     out.append((i[ok], head[i][ok], apart[ok]))
     count[i[ok]] += 1
     d = 1
     i = i[i - d > head[i]]
-    while len(i):
+    while len(i) and d <= window:
         ok, apart = may_match(a, i, i - d)
         out.append((i[ok], i[ok] - d, apart[ok]))
         count[i[ok]] += 1
         d += 1
         more = i - d > head[i]
-        i = i[more & (count[i] < NAMED)]
+        i = i[more & (count[i] < few)]
+    cut = np.flatnonzero((a["nth"] > window + 1) & (count < few))
+    cut = cut[cut >= old]
+    out.append((cut, np.full(len(cut), -1), np.full(len(cut), MARK)))
     target, source, apart = (np.concatenate(x) for x in zip(*out))
-    return target, source, apart, count[target] >= NAMED
+    return target, source, apart, (count[target] >= few) | (source < 0)
 
 
 PAIR = ("doc bigint, line int, t1 bigint, t2 bigint, to_doc bigint, to_line int, to_t1 bigint, "
@@ -317,32 +329,46 @@ CANDIDATE = f"{PAIR}, apart int, more boolean"
 
 
 def candidates(postings: DataFrame) -> DataFrame:
-    """Earlier classes that a class may match, a few for each of its postings."""
+    """Earlier classes that a class may match, a few for each of its postings.
+
+    A task holds a chunk of postings and, of a key that began before it, the first and
+    the last WINDOW. A posting that found too few among these has a row without a
+    candidate, so that what it may match elsewhere is looked up.
+    """
     dealt = postings.repartition("key").sortWithinPartitions("key", *PLACE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, np.ndarray] | None = None
+        # Of a key that goes on: its first row and the last ones, all numbered within it.
+        kept: dict[str, np.ndarray] | None = None
+        held: list[pa.RecordBatch] = []
         for batch in _with_end(batches):
             if batch is not None:
-                new = {c: batch.column(c).to_numpy().astype(np.int64) for c in POSTING}
-                held = new if held is None else {c: np.concatenate((held[c], new[c]))
-                                                 for c in POSTING}
-                if len(held["key"]) < CHUNK_ROWS:
-                    continue
-                # The last key may go on in the next batch.
-                cut = int(np.searchsorted(held["key"], held["key"][-1]))
-                if cut == 0:
+                held.append(batch)
+                if sum(x.num_rows for x in held) < CHUNK_ROWS:
                     continue
-                ready = {c: v[:cut] for c, v in held.items()}
-                held = {c: v[cut:] for c, v in held.items()}
-            elif held is None or not len(held["key"]):
+            if not held:
                 return
-            else:
-                ready = held
-            t, s, apart, more = named(ready)
+            new = {c: np.concatenate([x.column(c).to_numpy() for x in held]).astype(np.int64)
+                   for c in POSTING}
+            held, old = [], 0
+            fresh = np.concatenate(([True], new["key"][1:] != new["key"][:-1]))
+            place = np.arange(len(fresh))
+            new["nth"] = place - np.maximum.accumulate(np.where(fresh, place, 0))
+            if kept is not None and kept["key"][-1] == new["key"][0]:
+                new["nth"][new["key"] == new["key"][0]] += kept["nth"][-1] + 1
+                old = len(kept["key"])
+                new = {c: np.concatenate((kept[c], v)) for c, v in new.items()}
+            t, s, apart, more = named(new, old, NAMED, WINDOW)
+            first = int(np.searchsorted(new["key"][old:], new["key"][-1])) + old
+            if first == old and old:
+                first = 0
+            last = np.arange(max(first + 1, len(new["key"]) - WINDOW), len(new["key"]))
+            kept = {c: v[np.append(first, last)] for c, v in new.items()}
+            none = s < 0
             yield pa.RecordBatch.from_arrays(
-                [*(pa.array(ready[c][at].astype(np.int32 if c == "line" else np.int64))
-                   for at in (t, s) for c in PLACE), pa.array(apart.astype(np.int32)), pa.array(more)],
+                [*(pa.array(new[c][t].astype(np.int32 if c == "line" else np.int64)) for c in PLACE),
+                 *(pa.array(new[c][s].astype(np.int32 if c == "line" else np.int64), mask=none)
+                   for c in PLACE), pa.array(apart.astype(np.int32)), pa.array(more)],
                 [*PLACE, *TO, "apart", "more"])
 
     return arrow_map(dealt, run, CANDIDATE)
@@ -492,12 +518,13 @@ def earlier_links(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     # The candidate whose bits differ least is tried first, the others where it fails.
     best = stage(found.groupBy(*PLACE).agg(
         F.min(F.struct("apart", *TO)).alias("b"), F.max("more").alias("more"),
-        F.count("*").alias("n")).select(*PLACE, *(f"b.{c}" for c in TO), "more", "n"),
+        F.count("to_doc").alias("n")).select(*PLACE, *(f"b.{c}" for c in TO), "more", "n"),
         "line-best")
-    links = stage(verified(pairs, best.select(*PLACE, *TO)), "line-links")
+    links = stage(verified(pairs, best.where("n > 0").select(*PLACE, *TO)), "line-links")
     free_shuffles(pairs.sparkSession)
     failed = best.join(links.select(PLACE), PLACE, "left_anti")
-    rest = stage(found.join(failed.where("n > 1").select(PLACE), PLACE, "left_semi")
+    rest = stage(found.where("to_doc IS NOT NULL")
+                 .join(failed.where("n > 1").select(PLACE), PLACE, "left_semi")
                  .select(*PLACE, *TO), "line-rest")
     parts = [links]
     if not rest.isEmpty():
