@@ -37,7 +37,9 @@ ROUNDS = 10
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 
 # A cheap first look (RE2 syntax): a text without any of these cannot match.
-MAYBE = r"[0-9]{2}|[0-9]\.[0-9]|@|[=:]\s*[\"']?[A-Za-z0-9_+/-]{16}|AKIA|ASIA"
+# Its white space is Python's, which is more than RE2's \s.
+MAYBE = (r"[0-9]{2}|[0-9]\.[0-9]|@|AKIA|ASIA|"
+         r"[=:][\t-\r\x1c-\x20\x{85}\p{Z}]*[\"']?[A-Za-z0-9_+/-]{16}")
 
 FORMS = r"""
     (?P<secret>(?<=[=:])\s*["']?(?P<secret_value>[A-Za-z0-9_+/-]{16,})(?![\w]))
