@@ -13,9 +13,8 @@ blocks are merged by a window that prunes before its shuffle.
 
 Defined results: vectors that are null or hold a null or non-finite component take no
 part, as query or candidate. Only vectors with as many components meet. Components
-saturate at 2^40. Rows that repeat an id are candidates each for itself, and none of them
-is a candidate for a query with that id; a repeated query id gives the result of one
-query per row. An empty table gives no rows. Columns with other names are not read.
+saturate at 2^40. Rows that repeat an id are rows of their own: each
+is a query, with its own ranks, and a candidate for the others. An empty table gives no rows. Columns with other names are not read.
 """
 
 from __future__ import annotations
@@ -24,15 +23,17 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
+from mnemograph.llm.common import stage
+
 BLOCK_ROWS = 2048       # vectors of a block of the index
 QUERY_ROWS = 8192       # queries of a block
 STEP = 16               # width of a quantised impact
-STOPS = (0.5, 0.7, 0.8, 0.88, 0.94)    # shares of a block's postings after which to try a proof
+STOPS = (0.5, 0.7, 0.8, 0.88, 0.94, 1.0)   # shares of a block's postings after which to try a proof
 FEW = 0.05              # share of members that is worth scoring exactly
 MOST = float(1 << 40)
 
 INDEX = ("dims int, block bigint, dim int, impacts array<bigint>, ends array<int>, "
-         "members binary, vec_ids array<bigint>, exact binary")
+         "members binary, vec_ids array<bigint>, rows array<bigint>, exact binary")
 
 
 def quantised(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
@@ -47,6 +48,11 @@ def quantised(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedd
         .select("id", fixed.alias("q"))
 
 
+def numbered(vectors: DataFrame) -> DataFrame:
+    """Vectors with a ``row`` of their own, written once so that it never changes."""
+    return stage(vectors.withColumn("row", F.monotonically_increasing_id()), "vectors")
+
+
 def blocks_of(rows: int, size: int) -> int:
     return max(1, -(-rows // size))
 
@@ -55,7 +61,7 @@ def build_index(vectors: DataFrame) -> DataFrame:
     """Rows of a block: one with its exact vectors, and one for each component."""
     n = blocks_of(vectors.count(), BLOCK_ROWS)
     keyed = vectors.withColumn("dims", F.size("q")).withColumn(
-        "block", F.pmod(F.xxhash64("id", "q"), F.lit(n)))
+        "block", F.pmod(F.xxhash64("row"), F.lit(n)))
     return keyed.groupBy("dims", "block").applyInPandas(index_block, INDEX)
 
 
@@ -63,7 +69,8 @@ def index_block(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     dims, block = key
     rows = rows.sort_values("id", kind="stable")
     exact = np.array(rows["q"].tolist(), dtype=np.int64).reshape(len(rows), dims)
-    out = [(dims, block, -1, None, None, None, rows["id"].tolist(), exact.tobytes())]
+    out = [(dims, block, -1, None, None, None, rows["id"].tolist(), rows["row"].tolist(),
+            exact.tobytes())]
     for d in range(dims):
         impact = exact[:, d] // STEP
         members = np.argsort(-impact, kind="stable").astype(np.int32)
@@ -71,9 +78,9 @@ def index_block(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         cuts = np.flatnonzero(impact[1:] != impact[:-1]) + 1
         firsts = np.concatenate(([0], cuts))
         out.append((dims, block, d, impact[firsts].tolist(),
-                    np.append(cuts, len(impact)).tolist(), members.tobytes(), None, None))
+                    np.append(cuts, len(impact)).tolist(), members.tobytes(), None, None, None))
     return pd.DataFrame(out, columns=["dims", "block", "dim", "impacts", "ends", "members",
-                                      "vec_ids", "exact"])
+                                      "vec_ids", "rows", "exact"])
 
 
 class Block:
@@ -82,6 +89,7 @@ class Block:
     def __init__(self, rows: pd.DataFrame):
         head = rows[rows["dim"] == -1].iloc[0]
         self.ids = np.array(head["vec_ids"], dtype=np.int64)
+        self.rows = np.array(head["rows"], dtype=np.int64)
         self.exact = np.frombuffer(head["exact"], dtype=np.int64).reshape(len(self.ids), -1)
         self.n, self.dims = self.exact.shape
         dim, impact, sizes, slots = [], [], [], []
@@ -102,8 +110,8 @@ class Block:
         return self.exact[members] @ query
 
     def search(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and exact scores of the k best members besides those with the id ``own``."""
-        others = self.ids != own
+        """Ids and exact scores of the k best members besides the row ``own``."""
+        others = self.rows != own
         safe = self.top * int(np.abs(query).max(initial=0)) * max(1, self.dims) < 1 << 53
         may = self.possible(query, others, k) if safe else others
         members = np.flatnonzero(may)
@@ -152,17 +160,15 @@ class Block:
             may = others & (bound >= proven)
             if may.sum() <= max(2 * k, FEW * self.n):
                 return may
-            if start >= len(order):
-                break
-        return others
+        return may
 
 
 def search(index: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """(query_id, rank, vec_id, score) of every query over all blocks of the index."""
     nq = blocks_of(queries.count(), QUERY_ROWS)
     heads = index.where("dim = -1").select(F.col("dims").alias("to_dims"), F.col("block").alias("to_block"))
-    asked = queries.select(F.col("id").alias("query_id"), "q", F.size("q").alias("to_dims")) \
-        .withColumn("to_part", F.pmod(F.xxhash64("query_id", "q"), F.lit(nq)))
+    asked = queries.select(F.col("id").alias("query_id"), "row", "q", F.size("q").alias("to_dims")) \
+        .withColumn("to_part", F.pmod(F.xxhash64("row"), F.lit(nq)))
     # Every block of queries meets every block of vectors once.
     left = index.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(nq - 1)).cast("array<bigint>")))
     right = asked.join(heads, "to_dims")
@@ -171,15 +177,15 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
         out = []
         if len(block) and len(asking):
             own = Block(block)
-            for qid, q in zip(asking["query_id"], asking["q"]):
-                ids, scores = own.search(np.array(q, dtype=np.int64), qid, k)
-                out += [(qid, i, s) for i, s in zip(ids.tolist(), scores.tolist())]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
+            for qid, row, q in zip(asking["query_id"], asking["row"], asking["q"]):
+                ids, scores = own.search(np.array(q, dtype=np.int64), row, k)
+                out += [(qid, row, i, s) for i, s in zip(ids.tolist(), scores.tolist())]
+        return pd.DataFrame(out, columns=["query_id", "row", "vec_id", "score"]).astype("int64")
 
     found = left.groupBy("dims", "block", "part").cogroup(
         right.groupBy("to_dims", "to_block", "to_part")).applyInPandas(
-        meet, "query_id bigint, vec_id bigint, score bigint")
+        meet, "query_id bigint, row bigint, vec_id bigint, score bigint")
     rank = F.row_number().over(
-        Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        Window.partitionBy("row").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k) \
         .select("query_id", "rank", "vec_id", "score")

@@ -53,7 +53,7 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_impact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = stage(impact_search.quantised(table(spark, sf_dir, "embeddings")), "vectors")
+    vectors = impact_search.numbered(impact_search.quantised(table(spark, sf_dir, "embeddings")))
     index = stage(impact_search.build_index(vectors), "impact-index")
     return impact_search.search(index, vectors.where(F.col("id") % 100 == 0), 10)
 
@@ -137,15 +137,15 @@ SELECT pair_id, part, position, role, rendered,
 FROM placed""",
     "op8_impact_search": """
 WITH v AS (
-    SELECT vec_id, [CAST(floor(CAST(x AS DOUBLE) * 1024) AS BIGINT) FOR x IN embedding] AS q
+    SELECT row_number() OVER () AS row, vec_id, [CAST(floor(CAST(x AS DOUBLE) * 1024) AS BIGINT) FOR x IN embedding] AS q
     FROM embeddings
     WHERE len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
 s AS (
-    SELECT a.vec_id AS query_id, b.vec_id,
+    SELECT a.row, a.vec_id AS query_id, b.vec_id,
            CAST(list_dot_product(CAST(a.q AS DOUBLE[]), CAST(b.q AS DOUBLE[])) AS BIGINT) AS score
-    FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0)
+    FROM v a JOIN v b ON a.row <> b.row WHERE a.vec_id % 100 = 0)
 SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM (
-    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM s)
+    SELECT *, row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id) AS r FROM s)
 WHERE r <= 10""",
     "op11_fill_in_middle": """
 WITH d AS (

@@ -135,6 +135,12 @@ def test_rejected_candidates_hide_no_values(docs_of):
     assert [pii.Permuter(b"key").replaced(t)[0] for t in plain] == plain
 
 
+def test_any_white_space_before_a_secret(docs_of):
+    texts = [f"token:{w}abcdefghijklmnopq" for w in ("", " ", "\u00a0", "\x1c", "\u2003", "\x85")]
+    done = [r.text for r in pii.pseudonymized(docs_of(texts), b"k").orderBy("doc_id").collect()]
+    assert all("abcdefghijklmnopq" not in t for t in done)
+
+
 def test_feistel_is_a_permutation():
     for radix, width in ((10, 3), (10, 1), (26, 2), (2, 9)):
         f = pii.Feistel(b"k" * 32, "t", radix, width)
@@ -173,10 +179,13 @@ def line_texts():
     return texts
 
 
-@pytest.mark.parametrize("hot,named", [(20_000, 3), (40, 1)])
-def test_line_matches(docs_of, odd_texts, monkeypatch, hot, named):
+@pytest.mark.parametrize("hot,named,window", [(20_000, 3, 4096), (40, 1, 4096), (20_000, 2, 1)])
+def test_line_matches(docs_of, odd_texts, monkeypatch, hot, named, window):
     monkeypatch.setattr(line_dedup, "HOT", hot)        # also with pairs of words as keys
     monkeypatch.setattr(line_dedup, "NAMED", named)    # and where all candidates are needed
+    if window == 1:                                    # and keys that go on over many chunks
+        monkeypatch.setattr(line_dedup, "WINDOW", window)
+        monkeypatch.setattr(line_dedup, "CHUNK_ROWS", 1)
     texts = [t for t in odd_texts if t is None or len(t) < 10_000] + line_texts()
     rows = line_dedup.matched_lines(docs_of(texts)).collect()
     got = {(r.doc, r.line): (r.class_doc, r.class_line, r.to_doc is not None, r.kept) for r in rows}
@@ -199,6 +208,28 @@ def test_links_are_counted(docs_of, monkeypatch, hot):
             for r in rows} == want
 
 
+def test_carried_rows_name_what_whole_keys_name():
+    """A key in chunks, with its head and window carried, against the key in one piece."""
+    rng = np.random.default_rng(8)
+    n = 400
+    a = {c: np.zeros(n, np.int64) for c in ("t1", "t2", "line", "pos")}
+    a |= {"key": np.sort(rng.integers(0, 3, n)), "doc": np.arange(n), "size": rng.integers(8, 12, n),
+          "bits": 1 << rng.integers(0, 3, n), "bits2": np.zeros(n, np.int64)}
+    a["nth"] = np.concatenate([np.arange((a["key"] == k).sum()) for k in range(3)])
+    t, s, apart, more = line_dedup.named(a, 0, 2, n)
+    assert set(s[s < 0]) == set() and len(t)
+    found = {k: set() for k in range(n)}
+    for i, j in zip(t.tolist(), s.tolist()):
+        found[i].add(j)
+    t, s, apart, more = line_dedup.named(a, 0, 2, 5)
+    short = {k: set() for k in range(n)}
+    for i, j, m in zip(t.tolist(), s.tolist(), more.tolist()):
+        short[i].add(j)
+        assert m == (len(short[i] - {-1}) >= 2 or -1 in short[i]) or j >= 0
+    for i in range(n):          # fewer only where the row says that others are left
+        assert short[i] == found[i] or -1 in short[i]
+
+
 def test_all_candidates_of_open_lines(spark, docs_of):
     texts = line_texts()
     docs = line_dedup._pairs(docs_of(texts), "doc_id", "text")
