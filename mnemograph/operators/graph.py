@@ -78,8 +78,8 @@ def thread_lifecycle_edges(log: DataFrame) -> DataFrame:
             .filter(F.col("dst").isNotNull()))
 
 
-def threads(log: DataFrame, as_of) -> DataFrame:
-    """Thread rollup and status, in one aggregation over all contributions."""
+def thread_state(log: DataFrame) -> DataFrame:
+    """What each thread's rollup needs, in one aggregation; states of two logs combine."""
     tid = F.coalesce(truthy(F.col("thread_id")), truthy(F.col("id")))
 
     def part(df: DataFrame, kind: str, key: Column) -> DataFrame:
@@ -95,22 +95,34 @@ def threads(log: DataFrame, as_of) -> DataFrame:
                           "member", F.col("m")))
         .filter(F.col("thread_id").isNotNull()))
 
-    def seq_of(kind: str) -> Column:
-        return F.when(F.col("part") == kind, F.col("seq"))
+    def newest(kind: str, *fields: str, given: str | None = None) -> Column:
+        is_kind = F.col("part") == kind
+        return F.max(F.when(is_kind & F.col(given).isNotNull() if given else is_kind,
+                            F.struct(*fields)))
+
+    return rows.groupBy("thread_id").agg(
+        newest("open", "seq", "title", given="title").alias("titled"),
+        newest("open", "seq", "t").alias("opened"),
+        newest("member", "ts", "seq", "t", given="ts").alias("last"),
+        F.count_if(F.col("part") == "merge").alias("merges"),
+        newest("merge", "seq", "into").alias("merged"),
+        F.count_if(F.col("part") == "member").alias("n_events"))
+
 
-    member_ts = F.when(F.col("part") == "member", F.col("ts"))
-    rolled = rows.groupBy("thread_id").agg(
-        F.max_by("title", F.when(F.col("title").isNotNull(), seq_of("open"))).alias("title"),
-        F.max_by("t", seq_of("open")).alias("opened_t"),
-        F.max(member_ts).alias("last_ts"), F.max_by("t", member_ts).alias("last_activity_t"),
-        F.count(seq_of("merge")).alias("merges"), F.max_by("into", seq_of("merge")).alias("into"),
-        F.count(seq_of("member")).alias("n_events"))
+def thread_rows(state: DataFrame, as_of) -> DataFrame:
+    """Thread rollup and status out of the states."""
     status = (F.when(F.col("merges") > 0, "merged")
-              .when(S.is_dormant(F.col("last_ts"), as_of), "dormant").otherwise("active"))
-    return rolled.select(
-        "thread_id", F.coalesce("title", "thread_id").alias("title"), "opened_t",
-        "last_activity_t", "last_ts", status.alias("status"), F.col("into").alias("merged_into"),
-        "n_events")
+              .when(S.is_dormant(F.col("last.ts"), as_of), "dormant").otherwise("active"))
+    return state.select(
+        "thread_id", F.coalesce("titled.title", "thread_id").alias("title"),
+        F.col("opened.t").alias("opened_t"), F.col("last.t").alias("last_activity_t"),
+        F.col("last.ts").alias("last_ts"), status.alias("status"),
+        F.col("merged.into").alias("merged_into"), "n_events")
+
+
+def threads(log: DataFrame, as_of) -> DataFrame:
+    """Thread rollup and status."""
+    return thread_rows(thread_state(log), as_of)
 
 
 def snapshot_horizon(log: DataFrame) -> DataFrame:
@@ -218,19 +230,29 @@ class Graph:
                  n(self.patterns).alias("patterns"))
 
 
-def edge_rows(log: DataFrame) -> DataFrame:
-    """Edges that follow from the log alone, contradictions apart."""
+def stated_edges(log: DataFrame) -> DataFrame:
+    """Edges that single events state: causes, and merges and splits of threads."""
     def kind(df: DataFrame, name: str, weight: Column | None = None) -> DataFrame:
         w = F.lit(P.EDGE_WEIGHT[name]) if weight is None else weight
         return df.select("src", "dst", F.lit(name).alias("kind"), w.alias("weight"))
 
-    pairs = thread_pairs(log).withColumnsRenamed({"a": "src", "b": "dst"})
-    return (
-        kind(membership(log).withColumnsRenamed({"event_id": "src", "thread_id": "dst"}),
-             "membership")
-        .unionByName(kind(causal_edges(log), "causal"))
-        .unionByName(kind(thread_lifecycle_edges(log), "thread_rel", F.lit(1.0)))
-        .unionByName(kind(pairs, "thread_rel", P.EDGE_WEIGHT["thread_rel"] * F.col("shared"))))
+    return kind(causal_edges(log), "causal").unionByName(
+        kind(thread_lifecycle_edges(log), "thread_rel", F.lit(1.0)))
+
+
+def edge_rows(log: DataFrame) -> DataFrame:
+    """Edges that follow from the log alone, contradictions apart."""
+    return derived_edges(membership(log), thread_pairs(log), stated_edges(log))
+
+
+def derived_edges(members: DataFrame, pairs: DataFrame, stated: DataFrame) -> DataFrame:
+    """Edges that events state, with those of membership and shared threads."""
+    return stated.unionByName(members.select(
+        F.col("event_id").alias("src"), F.col("thread_id").alias("dst"),
+        F.lit("membership").alias("kind"), F.lit(P.EDGE_WEIGHT["membership"]).alias("weight"))) \
+        .unionByName(pairs.select(
+            F.col("a").alias("src"), F.col("b").alias("dst"), F.lit("thread_rel").alias("kind"),
+            (P.EDGE_WEIGHT["thread_rel"] * F.col("shared")).alias("weight")))
 
 
 def _memory_nodes(df: DataFrame, key: str, type_: str, layer: str, body: str, t: str,
@@ -245,10 +267,17 @@ def _memory_nodes(df: DataFrame, key: str, type_: str, layer: str, body: str, t:
 
 def build(log: DataFrame, as_of, block: int | None = None) -> Graph:
     """Project a branch-filtered log; what several outputs share is staged once."""
+    return assembled(event_nodes(log), membership(log), threads(log, as_of), contradictions(log),
+                     edge_rows(log), log, as_of, block)
+
+
+def assembled(events: DataFrame, members: DataFrame, thread_rows: DataFrame, rivals: DataFrame,
+              log_edges: DataFrame, log: DataFrame, as_of, block: int | None = None) -> Graph:
+    """A graph of tables that follow from the log, and of a log with all memory events."""
     events, members, thread_rows, concept_ev, procedures, patterns, rivals = stage_all(
-        events=event_nodes(log), membership=membership(log), threads=threads(log, as_of),
+        events=events, membership=members, threads=thread_rows,
         concept_evidence=folds.concept_evidence(log), procedures=folds.procedures(log, block),
-        patterns=folds.patterns(log), contradictions=contradictions(log))
+        patterns=folds.patterns(log), contradictions=rivals)
     concepts, proc_ev, pattern_ev = stage_all(
         concepts=folds.concepts(log, events, concept_ev, as_of, block),
         procedure_evidence=folds.procedure_evidence(log, procedures),
@@ -271,7 +300,7 @@ def build(log: DataFrame, as_of, block: int | None = None) -> Graph:
 
     bonds = resonance(concept_ev, members)
     edges = (
-        edge_rows(log)
+        log_edges
         .unionByName(edge(concept_ev, "concept_id", "event_id", "concept"))
         .unionByName(edge(proc_ev, "procedure_id", "event_id", "procedure"))
         .unionByName(edge(pattern_ev, "pattern_id", "ref_id", "pattern"))

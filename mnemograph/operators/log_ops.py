@@ -52,15 +52,18 @@ def merged_branches(log: DataFrame) -> DataFrame:
             .filter(F.col("branch") != P.MAIN).distinct())
 
 
-def for_branch(log: DataFrame, branch: str = P.MAIN) -> DataFrame:
+def for_branch(log: DataFrame, branch: str = P.MAIN, merged: DataFrame | None = None) -> DataFrame:
     """Mainline, merged branches and the requested one.
 
+    ``merged`` names the merged branches where ``log`` is only a part of the log.
+
     Mainline rows, most of the log, pass without a join; only labelled rows
     meet the merged names.
     """
     main_row = branch_of() == P.MAIN
     labelled = log.filter(~main_row)
-    kept = labelled.join(merged_branches(log), "branch", "left_semi").select(*log.columns)
+    names = merged_branches(log) if merged is None else merged
+    kept = labelled.join(names, "branch", "left_semi").select(*log.columns)
     if branch and branch != P.MAIN:
         mine = F.col("branch") == branch
         kept = kept.filter(~mine).unionByName(labelled.filter(mine))

@@ -1120,6 +1120,9 @@ _SELECTS["query_hits_bm25"] = f"""SELECT n.event_id, {rnd('0.6::DOUBLE + 0.4::DO
     SELECT seq, rank FROM ebm ORDER BY rank, seq LIMIT 40)) c
   JOIN scored_log s ON s.seq = c.seq WHERE s.type NOT IN ({strings(P.GATED_TYPES)}))
  ORDER BY {salience(importance('type'), 'rel')} DESC, seq LIMIT 8) h JOIN nodes n ON n.seq = h.seq"""
+_SELECTS["incremental_graph_build"] = f"""{_SELECTS['graph_build']}
+UNION ALL SELECT 'nodes', count(*), sum(cold + 2 * unresolved + 4 * reinforced)::DOUBLE FROM nodes
+UNION ALL SELECT 'threads ' || status, count(*), sum(n_events)::DOUBLE FROM thr GROUP BY 1"""
 _SELECTS["query_hits_substring"] = f"""SELECT event_id, {P.SUBSTRING_SEED}::DOUBLE AS q FROM nodes
 WHERE contains(lower(body), 'deploy')"""
 

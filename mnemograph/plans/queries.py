@@ -12,7 +12,7 @@ from mnemograph import params as P
 from mnemograph.functions import scoring as S
 from mnemograph.functions import text as X
 from mnemograph.operators import attention as A
-from mnemograph.operators import digest, folds, log_ops, mining, retrieval
+from mnemograph.operators import digest, folds, increments, log_ops, mining, retrieval
 from mnemograph.operators import graph as G
 from mnemograph.operators import relational as R
 from mnemograph.plans.text_index import TextIndex
@@ -363,6 +363,27 @@ def graph_build(spark, sf):
         F.count(F.lit(1)).alias("n"), S.rounded(F.sum("weight")).alias("weight"))
 
 
+@query
+def incremental_graph_build(spark, sf):
+    """The graph brought up to date as the log arrives in four parts; nodes and edges by kind."""
+    log, tables = main_log(spark, sf), None
+    top = log.agg(F.max("seq")).collect()[0][0] or 0  # one number
+    for i in range(SLICES):
+        low, high = top * i // SLICES, top * (i + 1) // SLICES
+        new = increments.base(log.filter((F.col("seq") > low) & (F.col("seq") <= high)))
+        parts = vars(new if tables is None else increments.merged(tables, new))
+        tables = increments.Base(**dict(zip(parts, stage_all(**parts))))
+    g = increments.graph(tables, AS_OF)
+    edges = g.edges.groupBy("kind").agg(
+        F.count(F.lit(1)).alias("n"), S.rounded(F.sum("weight")).alias("weight"))
+    nodes = g.nodes.agg(
+        F.lit("nodes").alias("kind"), F.count(F.lit(1)).alias("n"),
+        F.sum(F.col("cold") + 2 * F.col("unresolved") + 4 * F.col("reinforced")).cast("double").alias("weight"))
+    threads = g.threads.groupBy(F.concat(F.lit("threads "), "status").alias("kind")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("n_events").cast("double").alias("weight"))
+    return edges.unionByName(nodes).unionByName(threads)
+
+
 @query
 def pattern_list(spark, sf):
     return graph_of(spark, sf).patterns.orderBy(

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from mnemograph import params as P
 from mnemograph.functions.scoring import truthy
 from mnemograph.operators import attention as A
-from mnemograph.operators import digest, lens, log_ops, mining, retrieval
+from mnemograph.operators import digest, increments, lens, log_ops, mining, retrieval
 from mnemograph.operators import graph as G
 from mnemograph.operators import relational as R
 from mnemograph.plans.text_index import TextIndex
@@ -27,7 +27,7 @@ from mnemograph.session import stage
 from mnemograph.sources import schema, sinks
 from mnemograph.sources.event_log import EventLog, parsed
 
-SCHEMA_VERSION = 1
+SCHEMA_VERSION = 2
 KEPT_VERSIONS = 3      # of a branch's graph, the newest included
 
 
@@ -200,19 +200,19 @@ class Store:
         A graph is fresh when it was built from as many events, at the same
         ``as_of`` when one is fixed, under this schema.
         """
-        log = self.log()
-        mark = {"events": self.events.count(), "schema": SCHEMA_VERSION, "as_of": self._as_of or ""}
+        state = self.events.state()
+        mark = {"events": state["count"] if state else 0, "schema": SCHEMA_VERSION, "as_of": self._as_of or ""}
         old = self._watermark(branch)
         if not force and old and {k: old[k] for k in mark} == mark:
             return False
-        main = stage(log_ops.for_branch(log, branch), "branch-log")
-        graph = G.build(main, self.now())
         # A new folder per build. Its own mark publishes it, so there is always a newest one.
         name = uuid.uuid4().hex
         mark |= {"home": f"{self.root}/graph/{branch}/v-{name}", "built": time.time_ns(),
                  "mark": f"{self.root}/graph/{branch}/marks/{name}"}
-        for field in dataclasses.fields(graph):
-            sinks.write_table(getattr(graph, field.name), f"{mark['home']}/{field.name}")
+        tables = self._new_base(branch, None if force else old, state)
+        sinks.write_tables(vars(tables), f"{mark['home']}/base")
+        graph = increments.graph(self._base_at(mark["home"]), self.now())
+        sinks.write_tables(vars(graph), mark["home"])
         bodies = self.spark.read.parquet(f"{mark['home']}/nodes").select("event_id", "body")
         index = TextIndex(self.spark, f"{mark['home']}/bodies", "event_id")
         index.add(bodies, "body")
@@ -229,6 +229,25 @@ class Store:
             sinks.export_threads(graph.threads, f"{self.root}/runtime/threads")
         return True
 
+    def _base_at(self, home: str) -> increments.Base:
+        return increments.Base(**{f.name: self.spark.read.parquet(f"{home}/base/{f.name}")
+                                  for f in dataclasses.fields(increments.Base)})
+
+    def _new_base(self, branch: str, old: dict | None, state: dict | None) -> increments.Base:
+        """The tables behind the graph: those of the last build, with what came since.
+
+        A merge of branches lets older events in; then, and without an earlier build of
+        this schema, the whole log is read.
+        """
+        if old and old["schema"] == SCHEMA_VERSION and state:
+            new = self.events.read(old["events"], state)
+            if new.filter(F.col("type") == "branch_merge").isEmpty():
+                log = self.events.read(0, state)
+                part = stage(log_ops.for_branch(new, branch, log_ops.merged_branches(log)), "new-events")
+                return increments.merged(self._base_at(old["home"]), increments.base(part))
+        log = self.events.read(0, state) if state else self.log()
+        return increments.base(stage(log_ops.for_branch(log, branch), "branch-log"))
+
     def graph(self, branch: str = P.MAIN) -> G.Graph:
         self.build(branch)
         return self._graph_at(self._watermark(branch)["home"])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -109,6 +110,12 @@ def write_table(df: DataFrame, path: str, partition_by: str | None = None) -> No
     writer.parquet(path)
 
 
+def write_tables(tables: dict[str, DataFrame], home: str) -> None:
+    """Write independent tables at the same time, so their jobs share the cluster."""
+    with ThreadPoolExecutor(max_workers=len(tables)) as pool:
+        list(pool.map(lambda t: write_table(t[1], f"{home}/{t[0]}"), tables.items()))
+
+
 def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
