@@ -31,6 +31,7 @@ def parser() -> argparse.ArgumentParser:
         return v
 
     verb("append", args="type pairs*")
+    verb("ingest", args="paths*")
     verb("restore")
     verb("checkpoint", "keep-open").add_argument("--reason", default="manual")
     verb("session-start", args="pairs*")
@@ -101,8 +102,12 @@ def run(a: argparse.Namespace) -> int:
         if not a.args:
             print("append needs a type", file=sys.stderr)
             return 2
-        print(json.dumps(s.append(a.args[0], **sinks.parse_pairs(a.args[1:])),
-                         ensure_ascii=False))
+        event = s.append(a.args[0], **sinks.parse_pairs(a.args[1:]))
+        for note in s.notes(event):
+            print(f"note: {note}", file=sys.stderr)
+        print(json.dumps(event, ensure_ascii=False))
+    elif a.verb == "ingest":
+        print(s.ingest(*a.args) if a.args else 0)
     elif a.verb == "session-start":
         print(json.dumps(s.session_start(**sinks.parse_pairs(a.args)), ensure_ascii=False))
     elif a.verb == "restore":

@@ -98,6 +98,11 @@ class Store:
         head = {k: out.pop(k) for k in ("t", "type")}
         return {**head, "event_id": out.pop("event_id", None) or f"evt_{first}", **out}
 
+    def notes(self, event: dict) -> list[str]:
+        """What an appended event is flagged for."""
+        row = self.spark.createDataFrame([(event["type"], event.get("agent"))], "type string, agent string")
+        return [r["note"] for r in sinks.notes(row).collect()]
+
     # -- relational state ---------------------------------------------------------
 
     def state(self) -> DataFrame:

@@ -123,7 +123,9 @@ def test_command_line_round_trip(spark, tmp_path, capsys):
         return code, capsys.readouterr().out
     code, out = run("append", "decision", "msg=use sqlite", "thread_ids=t1,t2", "junk")
     assert code == 0 and '"event_id":"evt_1"' in out.replace(" ", "")
-    run("append", "concept_formed", "concept_id=cpt_x", "agent=coder", "evidence=evt_1")
+    code = cli.run(cli.parser().parse_args(["--root", str(tmp_path / "home"), "--as-of", NOW, "append",
+                                            "concept_formed", "concept_id=cpt_x", "agent=coder", "evidence=evt_1"]))
+    assert code == 0 and "curator-owned" in capsys.readouterr().err
     assert '"evt_2"' in run("audit")[1]
     assert "built" in run("build")[1] and "up to date" in run("build")[1]
     assert '"thread_id":"t1"' in run("threads")[1]
@@ -131,3 +133,6 @@ def test_command_line_round_trip(spark, tmp_path, capsys):
     assert run("home")[1].strip() == str(tmp_path / "home")
     assert "coder" in run("roles")[1]
     assert run("append")[0] == 2
+    more = tmp_path / "more.jsonl"
+    more.write_text('{"type":"decision","msg":"from a file"}\n')
+    assert run("ingest", str(more))[1].strip() == "1" and "from a file" in run("tail", "1")[1]
