@@ -13,7 +13,7 @@ from mnemograph.session import get_spark  # noqa: E402
 HEADLINES = [
     "log_state_fold", "session_rollup", "loops_fold_order", "branch_listing",
     "event_nodes", "thread_rollup_status", "thread_cooccurrence", "concept_fold",
-    "procedure_fold", "resonance_edges", "graph_build", "seed_vector", "spread_2hop",
+    "procedure_fold", "resonance_edges", "graph_build", "incremental_graph_build", "seed_vector", "spread_2hop",
     "attend_nodes", "active_subgraph_2hop", "incubation", "tfidf_vectors", "tfidf_search",
     "bm25_search", "event_search", "dense_topk", "drift_per_session", "abstract_concepts",
     "learn_procedures", "mine_patterns", "introspect_metrics", "streaming_late_close",
@@ -40,6 +40,8 @@ def main() -> None:
         run("ingest_log", lambda: registry.log_of(spark, folder))
         run("project_graph", lambda: registry.graph_of(spark, folder))
         run("settle_attention", lambda: registry.attention_of(spark, folder))
+        run("index_documents", lambda: registry.document_index(spark, folder).vectors())
+        run("index_events", lambda: registry.event_index(spark, folder))
         for name in HEADLINES:
             run(name, lambda: registry.REGISTRY[name](spark, folder)
                 .write.format("noop").mode("overwrite").save())
