@@ -997,6 +997,13 @@ CTES["x_fold"] = """
  JOIN x_run l ON l.pid = f.pid AND l.j = f.j + 1"""
 _SELECTS["streaming_ema"] = f"""SELECT pid AS procedure_id, {rnd('arg_max(s, j)')} AS score,
  max(j) AS uses FROM x_fold GROUP BY 1"""
+_SELECTS["streaming_procedures"] = f"""SELECT procedure_id, {rnd('outcome_score')} AS outcome_score,
+ uses, last_used_t FROM proc"""
+_SELECTS["streaming_dormancy"] = """SELECT thread_id, count(*) AS n_events,
+ CASE WHEN (SELECT max(epoch_ms(ts)) FROM log) - max(epoch_ms(ts)) > 14 * 86400000
+  THEN 'dormant' ELSE 'active' END AS status
+FROM (SELECT ts, unnest(list_distinct(thread_ids)) AS thread_id FROM log) GROUP BY 1"""
+_SELECTS["streaming_drift"] = _SELECTS["drift_per_session"]
 
 
 # Query hits over node bodies, and the full window of one agent built on them.

@@ -22,6 +22,7 @@ from mnemograph.sources.event_log import EventLog, parsed
 from mnemograph.sources import tables as T
 from mnemograph.sources.schema import conform
 from mnemograph.streaming import incremental as inc
+from mnemograph.streaming import stateful
 
 AS_OF = T.AS_OF
 QUERY = "deploy cache"
@@ -758,10 +759,10 @@ def thread_digest_lines(spark, sf):
 SLICES = 4
 
 
-def _streamed(spark, sf, job, name: str) -> str:
+def _streamed(spark, sf, job, name: str, log: DataFrame | None = None) -> str:
     """Let the log arrive in four parts and resume the stream after each one."""
     home = f"{stage_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    log = log_of(spark, sf)
+    log = log_of(spark, sf) if log is None else log
     top = log.agg(F.max("seq")).collect()[0][0]  # one number
     for i in range(SLICES):
         low, high = top * i // SLICES, top * (i + 1) // SLICES
@@ -796,6 +797,27 @@ def streaming_thread_activity(spark, sf):
 
 @query
 def streaming_ema(spark, sf):
-    out = _streamed(spark, sf, inc.learn_scores, "scores")
-    return inc.latest_scores(spark, out).select(
+    out = _streamed(spark, sf, stateful.learn_procedures, "scores")
+    return stateful.learned_scores(spark, out).select(
         "procedure_id", S.rounded(F.col("score")).alias("score"), "uses")
+
+
+@query
+def streaming_procedures(spark, sf):
+    """The whole procedure fold: learnings, promotions, retirements and executions."""
+    out = _streamed(spark, sf, stateful.learn_procedures, "procedures", main_log(spark, sf))
+    return stateful.learned_procedures(spark, out).withColumn(
+        "outcome_score", S.rounded(F.col("outcome_score")))
+
+
+@query
+def streaming_dormancy(spark, sf):
+    """Threads dormant by the log's own clock, marked by timers."""
+    out = _streamed(spark, sf, stateful.watch_threads, "dormancy")
+    return inc.newest(spark, out, "thread_id").select("thread_id", "n_events", "status")
+
+
+@query
+def streaming_drift(spark, sf):
+    out = _streamed(spark, sf, stateful.watch_drift, "drift", stage(T.turn_log(spark, sf), "turns"))
+    return stateful.session_drift(spark, out)

@@ -11,9 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemograph import params as P
 from mnemograph.operators import log_ops, retrieval
-from mnemograph.operators.ordered import running_sums
 from mnemograph.sources import schema
 
 
@@ -34,7 +32,7 @@ def run(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], Non
     query.awaitTermination()
 
 
-def _batch_sink(out: str) -> Callable[[DataFrame, int], None]:
+def batch_sink(out: str) -> Callable[[DataFrame, int], None]:
     def each(df: DataFrame, batch: int) -> None:
         df.write.mode("overwrite").parquet(f"{out}/batch={batch}")
     return each
@@ -61,7 +59,7 @@ def track_loops(stream: DataFrame, out: str, checkpoint: str) -> None:
                            F.count_if(F.col("type") == "loop_closed").alias("closes"),
                            F.max(F.when(F.col("type") == "open_loop", F.col("seq")))
                            .alias("last_open")))
-    run(counts, checkpoint, _batch_sink(out), "update")
+    run(counts, checkpoint, batch_sink(out), "update")
 
 
 def track_threads(stream: DataFrame, out: str, checkpoint: str) -> None:
@@ -70,7 +68,7 @@ def track_threads(stream: DataFrame, out: str, checkpoint: str) -> None:
         stream.select("ts", F.explode(F.array_distinct("thread_ids")).alias("thread_id"))
         .groupBy("thread_id").agg(F.count(F.lit(1)).alias("n_events"),
                                   F.max("ts").alias("last_ts")))
-    run(rolled, checkpoint, _batch_sink(out), "update")
+    run(rolled, checkpoint, batch_sink(out), "update")
 
 
 def newest(spark: SparkSession, out: str, key: str) -> DataFrame:
@@ -79,46 +77,3 @@ def newest(spark: SparkSession, out: str, key: str) -> DataFrame:
     fields = [c for c in rows.columns if c not in (key, "batch")]
     return (rows.groupBy(key).agg(F.max_by(F.struct(*fields), "batch").alias("r"))
             .select(key, *[F.col(f"r.{f}") for f in fields]))
-
-
-def learn_scores(stream: DataFrame, out: str, checkpoint: str) -> None:
-    """Outcome scores per procedure, updated by every batch of executions.
-
-    A batch moves a score by one affine step, score * .75^n plus a geometric
-    sum, which aggregates like any sum. So a procedure executed a million times
-    in a batch is not folded row by row.
-    """
-    keep = 1.0 - P.PROC_LEARN_RATE
-
-    def each(df: DataFrame, batch: int) -> None:
-        spark = df.sparkSession
-        runs = df.filter((F.col("type") == "proc_executed")
-                         & F.col("procedure_id").isNotNull()).select(
-            "procedure_id", "seq",
-            F.when(F.lower(F.coalesce("outcome", F.lit("success"))).isin(P.FAILED_OUTCOMES), 0.0)
-            .otherwise(1.0).alias("target"))
-        placed = running_sums(runs, "seq", {"i": F.lit(1)}, ("procedure_id",))
-        sizes = runs.groupBy("procedure_id").agg(F.count(F.lit(1)).alias("n"))
-        gain = P.PROC_LEARN_RATE * F.pow(F.lit(keep), F.col("n") - F.col("i")) * F.col("target")
-        steps = placed.join(sizes, "procedure_id").groupBy("procedure_id", "n").agg(
-            F.sum(gain).alias("gain"))
-        if batch > 0:
-            before = spark.read.parquet(f"{out}/batch={batch - 1}")
-        else:
-            before = spark.createDataFrame([], "procedure_id string, score double, uses bigint")
-        joined = before.join(steps, "procedure_id", "full")
-        n = F.coalesce("n", F.lit(0))
-        joined.select(
-            "procedure_id",
-            (F.coalesce("score", F.lit(0.5)) * F.pow(F.lit(keep), n)
-             + F.coalesce("gain", F.lit(0.0))).alias("score"),
-            (F.coalesce("uses", F.lit(0)) + n).alias("uses"),
-        ).write.mode("overwrite").parquet(f"{out}/batch={batch}")
-
-    run(stream, checkpoint, each)
-
-
-def latest_scores(spark: SparkSession, out: str) -> DataFrame:
-    rows = spark.read.parquet(out)
-    last = rows.agg(F.max("batch")).scalar()
-    return rows.filter(F.col("batch") == last).drop("batch")
