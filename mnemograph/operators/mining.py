@@ -99,9 +99,10 @@ SIGNATURE = ["steps", "sig1", "sig2"]
 
 
 def recurring_paths(rows: DataFrame, min_threads: int, block: int | None = None):
-    """(paths, path_threads): signatures shared by threads, with their text.
+    """(paths, path_threads): signatures shared by threads, with their terms.
 
-    Only a recurring signature gets its sequence spelled out, from one thread.
+    Only a recurring signature gets its terms spelled out, from one thread; the step
+    texts are read for the paths that are proposed (``step_texts``).
     """
     signed = stage(thread_signatures(rows, block), "signatures")
     groups = (signed.groupBy(*SIGNATURE)
@@ -112,15 +113,24 @@ def recurring_paths(rows: DataFrame, min_threads: int, block: int | None = None)
         .join(groups, "thread_id")
         .groupBy(*SIGNATURE, "support", "thread_id")
         .agg(F.array_sort(F.collect_list(F.struct(
-            "seq", X.lead_term(F.col("body")).alias("term"),
-            F.concat("type", F.lit(": "), F.substring("body", 1, 80)).alias("step")))).alias("s")))
+            "seq", X.lead_term(F.col("body")).alias("term")))).alias("s")))
     paths = stage(spelled.select(
-        *SIGNATURE, "support", "thread_id", F.col("s.term").alias("terms"),
-        F.col("s.step").alias("step_texts")), "paths")
+        *SIGNATURE, "support", "thread_id", F.col("s.term").alias("terms")), "paths")
     threads = signed.join(paths.select(*SIGNATURE), SIGNATURE, "left_semi")
     return paths, threads
 
 
+def step_texts(rows: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(thread_id, step_texts) of the threads in ``chosen``, a list already cut."""
+    return (
+        rows.filter(F.col("type").isin(P.PROC_STEP_TYPES))
+        .join(chosen.select("thread_id").distinct(), "thread_id", "left_semi")
+        .groupBy("thread_id")
+        .agg(F.array_sort(F.collect_list(F.struct("seq", F.concat(
+            "type", F.lit(": "), F.substring("body", 1, 80)).alias("step")))).alias("s"))
+        .select("thread_id", F.col("s.step").alias("step_texts")))
+
+
 def _path(terms: Column) -> Column:
     return F.array_join(terms, " → ")
 
@@ -140,7 +150,8 @@ def learn(graph: Graph, cap: int = P.PROC_MAX_NEW, block: int | None = None):
         in_paths.filter(F.col("type").isin(P.PROC_TRIGGER_TYPES))
         .select("procedure_id", F.explode(X.terms(F.col("body"))).alias("term")).distinct()
         .groupBy("procedure_id").agg(F.array_sort(F.collect_list("term")).alias("cues")))
-    proposals = top.join(cues, "procedure_id", "left").select(
+    steps = step_texts(rows, top)
+    proposals = top.join(steps, "thread_id").join(cues, "procedure_id", "left").select(
         "procedure_id", F.concat(F.lit("workflow: "), _path(F.col("terms"))).alias("label"),
         F.coalesce("cues", F.slice("terms", 1, 1)).alias("trigger"),
         F.col("step_texts").alias("steps"), "support")
