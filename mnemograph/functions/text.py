@@ -6,7 +6,7 @@ import re
 import sys
 import unicodedata
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mnemograph import params as P
@@ -86,3 +86,21 @@ def tokenize_text(text: str) -> list[str]:
     """``tokenize`` for one short driver-side string, such as a query."""
     words = re.sub(r"[^a-z0-9\s_-]", " ", text.lower()).split()
     return [w for w in words if len(w) > 1 and w not in P.TOKEN_STOPS]
+
+
+def counted(df: DataFrame, toks: str, *keep: str) -> DataFrame:
+    """(keep, len, term, tf): the tokens of each row counted inside it, without a shuffle.
+
+    Equal tokens are neighbours in the sorted list, so a count is the distance between two
+    starts of runs.
+    """
+    items = F.sort_array(F.col(toks))
+    runs = df.filter(F.size(toks) > 0).select(*keep, F.size(toks).alias("len"), items.alias("_s")).select(
+        *keep, "len", "_s", F.filter(
+            F.sequence(F.lit(0), F.size("_s") - 1),
+            lambda i: (i == 0) | (F.get("_s", i) != F.get("_s", i - 1))).alias("_at"))
+    ends = F.concat(F.slice("_at", 2, F.size("_at")), F.array("len"))
+    # No list may stand beside the terms, since each of them would get a copy of it. The outer
+    # form: of an inner one, Spark infers a filter that counts all tokens again.
+    return runs.select(*keep, "len", F.inline_outer(F.zip_with("_at", ends, lambda i, end: F.struct(
+        F.get("_s", i).alias("term"), (end - i).cast("bigint").alias("tf")))))

@@ -5,7 +5,7 @@ terms, and a table of *fences* with the first and last term of every file. A que
 the fences, and then only the files in which its terms, or the terms its prefixes start,
 can lie; within them Parquet's own statistics prune on. Scores that depend on the whole
 collection (BM25, fact scores) come from postings and totals at the time of the query, so
-adding never rewrites anything. Normalised vectors do depend on every document: they are
+adding never rewrites anything. The norms of vectors do depend on every document: they are
 derived from the postings, without any text, when they are asked for and out of date.
 
 Segments are merged when there are many, and each state of the index is published at
@@ -18,7 +18,7 @@ import uuid
 from collections import Counter
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnemograph import params as P
@@ -29,7 +29,7 @@ from mnemograph.sources import sinks
 from mnemograph.sources.versions import Versions
 
 MERGE_FROM = 8          # segments from which the newest are merged
-KEPT = 3                # merges, and vector tables, whose files stay for readers
+KEPT = 3                # merges, and tables of norms, whose files stay for readers
 LAST = "\U0010ffff"     # after every string that a prefix starts
 
 #: Kinds of postings: full-text tokens (BM25), and words (TF-IDF).
@@ -38,11 +38,11 @@ FULL_TEXT, WORDS = "f", "w"
 
 def posting_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(kind, term, key, tf, len): one row per document, kind and term."""
-    toks = docs.select(F.col(key).alias("key"), F.explode(F.array(
-        F.struct(F.lit(FULL_TEXT).alias("kind"), X.fts_tokens(F.col(text)).alias("toks")),
-        F.struct(F.lit(WORDS).alias("kind"), X.tokenize(F.col(text)).alias("toks")))).alias("k"))
-    rows = toks.select("key", "k.kind", F.size("k.toks").alias("len"), F.explode("k.toks").alias("term"))
-    return rows.groupBy("kind", "term", "key", "len").agg(F.count(F.lit(1)).alias("tf"))
+    toks = docs.select(F.col(key).alias("key"), X.fts_tokens(F.col(text)).alias("f"), X.tokenize(F.col(text)).alias("w"))
+    kinds = toks.select("key", F.inline_outer(F.array(*[
+        F.struct(F.lit(kind).alias("kind"), F.col(toks).alias("toks"))
+        for kind, toks in ((FULL_TEXT, "f"), (WORDS, "w"))])))
+    return X.counted(kinds, "toks", "key", "kind")
 
 
 class TextIndex:
@@ -60,12 +60,19 @@ class TextIndex:
 
     # -- writing ----------------------------------------------------------------
 
-    def _write(self, rows: DataFrame, order: list[str], home: str) -> None:
-        """A table in files of term ranges, and its fences."""
+    def _write(self, rows: DataFrame, home: str) -> None:
+        """A table in files of term ranges, and its fences.
+
+        The term comes first: Spark compares rows by the first bytes of the first column.
+        """
+        order = ["term", "kind", "key"]
         rows.repartitionByRange(*order).sortWithinPartitions(*order).write.parquet(f"{self.path}/{home}/rows")
-        self.spark.read.parquet(f"{self.path}/{home}/rows").groupBy(
-            F.col("_metadata.file_path").alias("file"), "kind").agg(
-            F.min("term").alias("low"), F.max("term").alias("high")).coalesce(1) \
+        # A file's rows lie in order, so its ends give the fences; places aggregate without a sort.
+        placed = self.spark.read.parquet(f"{self.path}/{home}/rows").select(
+            F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"), "kind", "term")
+        ends = placed.groupBy("file", "kind").agg(F.min("row").alias("first"), F.max("row").alias("last"))
+        placed.join(F.broadcast(ends), ["file", "kind"]).where(F.col("row").isin(F.col("first"), F.col("last"))) \
+            .groupBy("file", "kind").agg(F.min("term").alias("low"), F.max("term").alias("high")).coalesce(1) \
             .write.parquet(f"{self.path}/{home}/fences")
 
     def add(self, docs: DataFrame, text: str, upto: int = 0, after: int | None = None) -> bool:
@@ -75,7 +82,11 @@ class TextIndex:
         documents were picked.
         """
         home = f"seg-{uuid.uuid4().hex}"
-        self._write(posting_rows(docs, self.key, text), ["kind", "term", "key"], home)
+        # The bounds of the ranges are sampled in a pass of their own, so the tokens are written first.
+        draft = f"{self.path}/{home}/draft"
+        posting_rows(docs, self.key, text).write.parquet(draft)
+        self._write(self.spark.read.parquet(draft), home)
+        sinks.remove(self.spark, draft)
         # Documents without tokens count too; the long ones count by their postings.
         n = docs.count()
         length = self.spark.read.parquet(f"{self.path}/{home}/rows").where(
@@ -108,8 +119,7 @@ class TextIndex:
         if len(picked) < 2:
             return
         home = f"seg-{uuid.uuid4().hex}"
-        self._write(self.spark.read.parquet(*[f"{self.path}/{h}/rows" for h in picked]),
-                    ["kind", "term", "key"], home)
+        self._write(self.spark.read.parquet(*[f"{self.path}/{h}/rows" for h in picked]), home)
 
         def change(old: dict | None) -> dict | None:
             if not set(picked) <= {s["home"] for s in old["segments"]}:
@@ -125,19 +135,16 @@ class TextIndex:
                 sinks.remove(self.spark, f"{self.path}/{name}")
 
     def vectors(self) -> dict:
-        """The state with L2-normalised vectors of all documents, derived if out of date."""
+        """The state with the norms of all documents' vectors, derived if out of date."""
         state = self.state()
         if state["vectors"] and state["vectors"]["n"] == state["n"]:
             return state
-        rows = self._rows(state).where(F.col("kind") == WORDS)
+        rows = self._rows(state).where(F.col("kind") == WORDS).select("term", "key", "tf", "len")
         df = rows.groupBy("term").agg(F.count("tf").alias("df"))
-        raw = F.col("tf") / F.col("len") * retrieval.idf(F.lit(max(state["n"], 1)), F.col("df"))
-        weighed = rows.join(df, "term").select("kind", "term", "key", "df", raw.alias("raw"))
-        norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("key")))
-        home = f"vec-{uuid.uuid4().hex}"
-        self._write(weighed.withColumn("norm", norm).where(F.col("norm") > 0).select(
-            "kind", "term", "key", "df", S.rounded(F.col("raw") / F.col("norm"), 6).alias("weight")),
-            ["term", "key"], home)
+        squares = rows.join(df, "term").select("key", self._raw(state).alias("raw"))
+        home = f"norm-{uuid.uuid4().hex}"
+        squares.groupBy("key").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm")) \
+            .where(F.col("norm") > 0).write.parquet(f"{self.path}/{home}")
         made = {"home": home, "n": state["n"]}
         stale = []
 
@@ -156,6 +163,11 @@ class TextIndex:
             sinks.remove(self.spark, f"{self.path}/{name}")
         return done
 
+    @staticmethod
+    def _raw(state: dict) -> Column:
+        """A term's weight before it is normalised, of its ``tf``, ``len`` and ``df``."""
+        return F.col("tf") / F.col("len") * retrieval.idf(F.lit(max(state["n"], 1)), F.col("df"))
+
     # -- reading ----------------------------------------------------------------
 
     def _rows(self, state: dict) -> DataFrame:
@@ -196,16 +208,19 @@ class TextIndex:
         return self.bm25(query).orderBy("rank", self.key).limit(k)
 
     def tfidf_top(self, query: str, k: int = P.VECTOR_K) -> DataFrame:
-        """(key, similarity) by cosine over the stored vectors."""
+        """(key, similarity) by cosine, of the query's postings and the stored norms."""
         state, bag = self.vectors(), Counter(X.tokenize_text(query))
-        hits = self.lookup([state["vectors"]["home"]], WORDS, [(w, w) for w in bag] or [("", "")])
+        hits = self.postings(WORDS, [(w, w) for w in bag] or [("", "")], state)
         words = self.spark.createDataFrame(list(bag.items()), "term string, c bigint")
-        # A term's frequency is on each of its rows; the norm needs it once.
-        known = hits.groupBy("term").agg(F.max("df").alias("df")).join(words, "term").select(
-            "term", (F.col("c") * retrieval.idf(F.lit(state["n"]), F.col("df"))).alias("raw"))
+        df = hits.groupBy("term").agg(F.count("tf").alias("df"))
+        known = df.join(words, "term").select("term", "df", (
+            F.col("c") * retrieval.idf(F.lit(state["n"]), F.col("df"))).alias("raw"))
         known = known.crossJoin(known.agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))) \
-            .select("term", (F.col("raw") / F.col("norm")).alias("q"))
-        return self._named(retrieval.top_similar(hits.join(known, "term"), "key", k))
+            .select("term", "df", (F.col("raw") / F.col("norm")).alias("q"))
+        norms = self.spark.read.parquet(f"{self.path}/{state['vectors']['home']}")
+        weighed = hits.join(known, "term").join(norms, "key").select(
+            "key", "q", S.rounded(self._raw(state) / F.col("norm"), 6).alias("weight"))
+        return self._named(retrieval.top_similar(weighed, "key", k))
 
     def fact_top(self, query: str, k: int = 5) -> DataFrame:
         """(key, score) by summed tf-idf; a repeated query token counts each time."""
