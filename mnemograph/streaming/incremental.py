@@ -71,9 +71,10 @@ def track_threads(stream: DataFrame, out: str, checkpoint: str) -> None:
     run(rolled, checkpoint, batch_sink(out), "update")
 
 
-def newest(spark: SparkSession, out: str, key: str) -> DataFrame:
-    """The latest emitted row of every key."""
-    rows = spark.read.parquet(out)
+def newest(spark: SparkSession, out: str, key: str, batches: list[int] | None = None) -> DataFrame:
+    """The latest emitted row of every key, in all batches or in some."""
+    rows = spark.read.parquet(out) if batches is None else spark.read.option("basePath", out).parquet(
+        *[f"{out}/batch={b}" for b in batches])
     fields = [c for c in rows.columns if c not in (key, "batch")]
     return (rows.groupBy(key).agg(F.max_by(F.struct(*fields), "batch").alias("r"))
             .select(key, *[F.col(f"r.{f}") for f in fields]))

@@ -1,4 +1,4 @@
-"""Views of a growing log that keep state per key, on ``transformWithStateInPandas``.
+"""Views of a growing log that keep state per key, on ``transformWithStateInPandas`` or plain aggregations.
 
 State lies in RocksDB under the checkpoint, so a restarted or moved task finds it
 there, and a batch reads and writes the keys it touches only. Rows may come in any
@@ -11,6 +11,7 @@ key passes its task as Arrow batches; no batch is kept.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -35,19 +36,25 @@ EARLY_BITS = 16
 HORIZON_MS = int(P.DORMANT_DAYS * 86_400_000)
 
 
-def run_stateful(rows: DataFrame, key: str, processor: StatefulProcessor, ddl: str, out: str,
-                 checkpoint: str, time_mode: str = "none") -> None:
-    """Run a processor on what has arrived; each batch writes the keys it touched."""
-    spark = rows.sparkSession
+@contextmanager
+def rocksdb(spark: SparkSession) -> Iterator[None]:
+    """Streams started here keep their state in RocksDB."""
     before = spark.conf.get(PROVIDER)
     spark.conf.set(PROVIDER, ROCKSDB)
     try:
-        touched = rows.groupBy(key).transformWithStateInPandas(processor, ddl, "update", time_mode)
-        run(touched, checkpoint, batch_sink(out), "update")
+        yield
     finally:
         spark.conf.set(PROVIDER, before)
 
 
+def run_stateful(rows: DataFrame, key: str, processor: StatefulProcessor, ddl: str, out: str,
+                 checkpoint: str, time_mode: str = "none") -> None:
+    """Run a processor on what has arrived; each batch writes the keys it touched."""
+    with rocksdb(rows.sparkSession):
+        touched = rows.groupBy(key).transformWithStateInPandas(processor, ddl, "update", time_mode)
+        run(touched, checkpoint, batch_sink(out), "update")
+
+
 # -- procedures ---------------------------------------------------------------------
 
 _HEAD = {
@@ -212,66 +219,52 @@ def learned_scores(spark: SparkSession, out: str) -> DataFrame:
 
 # -- threads ------------------------------------------------------------------------
 
-class ThreadActivity(StatefulProcessor):
-    """Members and status of a thread; a timer marks it dormant when its time is up.
+def _marked(out: str, parts: str):
+    """Writes a batch: the threads it touched, and untouched ones whose time is up now.
 
-    The clock is the newest event time of the batches before. Late events are counted;
-    one that is newer than the thread's last wakes it or moves its timer.
+    The row without a thread holds the clock, the newest event time so far.
     """
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState("thread", "n bigint, last_ms bigint")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        n, last = self.state.get() if self.state.exists() else (0, None)
-        for old in list(self.handle.listTimers()):
-            self.handle.deleteTimer(old)
-        for frame in rows:
-            n += int(frame["n"].sum())
-            if frame["last_ms"].notna().any():
-                top = int(frame["last_ms"].max())
-                last = top if last is None else max(last, top)
-        self.state.update((n, last))
-        due = None if last is None else last + HORIZON_MS + 1
-        dormant = due is not None and due <= timerValues.getCurrentWatermarkInMs()
-        if due is not None and not dormant:
-            self.handle.registerTimer(due)
-        yield self._row(key[0], n, last, dormant)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        n, last = self.state.get()
-        yield self._row(key[0], n, last, True)
-
-    @staticmethod
-    def _row(key: str, n: int, last: int | None, dormant: bool) -> pd.DataFrame:
-        return pd.DataFrame({
-            "thread_id": [key], "n_events": [n], "last_ms": pd.array([last], dtype="Int64"),
-            "status": ["dormant" if dormant else "active"]})
-
-
-def _counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        yield frame.groupby("thread_id", as_index=False).agg(n=("n", "sum"),
-                                                             last_ms=("last_ms", "max"))
+    def each(df: DataFrame, batch: int) -> None:
+        spark = df.sparkSession
+        df.write.mode("overwrite").parquet(f"{parts}/batch={batch}")    # leaves the state once
+        rows = spark.read.parquet(f"{parts}/batch={batch}")
+        clock = rows.where(F.col("thread_id").isNull()).agg(F.max("last_ms")).scalar()
+        late = F.coalesce(F.col("last_ms") + F.lit(HORIZON_MS + 1) <= clock, F.lit(False))
+        touched = rows.where(F.col("thread_id").isNotNull()).select(
+            "thread_id", "n_events", "last_ms", F.when(late, "dormant").otherwise("active").alias("status"))
+        done = [b for b in _batches(spark, out) if b < batch]
+        if done:
+            known = newest(spark, out, "thread_id", done)
+            expired = known.where((F.col("status") == "active") & late).join(
+                touched.select("thread_id"), "thread_id", "left_anti")
+            touched = touched.unionByName(expired.withColumn("status", F.lit("dormant")))
+        touched.write.mode("overwrite").parquet(f"{out}/batch={batch}")
+    return each
+
+
+def _batches(spark: SparkSession, out: str) -> list[int]:
+    """Numbers of the batches written so far."""
+    home = spark._jvm.org.apache.hadoop.fs.Path(out)
+    fs = home.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(home)] if fs.exists(home) else []
+    return [int(n.split("=")[1]) for n in names if n.startswith("batch=")]
 
 
 def watch_threads(stream: DataFrame, out: str, checkpoint: str) -> None:
-    """Thread status over event time, in whole milliseconds.
+    """Members and status of threads by the log's own clock, in whole milliseconds.
 
-    The time reaches the processor as a number, so rows behind the watermark stay:
-    the watermark drives the timers, it drops nothing.
+    Counts and last times are a plain aggregation, combined before the shuffle, so that no
+    thread costs a call of Python. The clock is the newest event time so far: it marks
+    threads dormant when their time is up. Late events are counted; one that is newer than
+    its thread's last wakes the thread.
     """
-    rows = (
-        stream.withWatermark("ts", "0 seconds")
-        .select(F.unix_millis("ts").alias("last_ms"),
-                F.explode(F.array_distinct("thread_ids")).alias("thread_id"))
-        .filter(F.col("thread_id").isNotNull())
-        .select("thread_id", F.lit(1).cast("bigint").alias("n"), "last_ms")
-        .mapInPandas(_counted, "thread_id string, n bigint, last_ms bigint"))
-    run_stateful(rows, "thread_id", ThreadActivity(),
-                 "thread_id string, n_events bigint, last_ms bigint, status string",
-                 out, checkpoint, "eventTime")
+    ids = F.array_compact(F.array_distinct(F.coalesce("thread_ids", F.array().cast("array<string>"))))
+    # Every event also counts for the row without a thread, which is the clock.
+    rows = stream.select(F.unix_millis("ts").alias("last_ms"), F.explode(
+        F.concat(F.array(F.lit(None).cast("string")), ids)).alias("thread_id"))
+    counts = rows.groupBy("thread_id").agg(F.count(F.lit(1)).alias("n_events"), F.max("last_ms").alias("last_ms"))
+    with rocksdb(stream.sparkSession):
+        run(counts, checkpoint, _marked(out, f"{checkpoint}-touched"), "update")
 
 
 # -- drift --------------------------------------------------------------------------

@@ -103,6 +103,21 @@ def test_timers_mark_and_late_events_wake(spark, make_log, arrive):
     assert counts == {"a": 2, "b": 2, "c": 2, "no_time": 1}
 
 
+def test_thread_status_is_a_plain_aggregation(spark, make_log, arrive, monkeypatch):
+    """No thread costs a call of Python; a batch without times and an event without threads count."""
+    monkeypatch.setattr(stateful, "run_stateful", None)
+    events = [{"type": "observation", "t": "", "thread_ids": ["x", None]},
+              {"type": "observation", "t": "2024-05-01T00:00:00+00:00", "thread_ids": ["y", "x"]},
+              {"type": "observation", "t": "2024-05-15T00:00:00+00:00"},
+              {"type": "observation", "t": "2024-05-15T00:00:01+00:00"}]
+    seen = []
+    arrive(stateful.watch_threads, make_log(events), [F.col("seq") == i for i in (1, 2, 3, 4)],
+           lambda out: seen.append(rows(inc.newest(spark, out, "thread_id"), "thread_id", "n_events", "status")))
+    assert seen[0] == [("x", 1, "active")]
+    assert seen[1] == seen[2] == [("x", 2, "active"), ("y", 1, "active")]
+    assert seen[3] == [("x", 2, "dormant"), ("y", 1, "dormant")]
+
+
 def test_drift_equals_the_batch_in_any_order_of_arrival(spark, make_log, arrive):
     rng = random.Random(5)
     words = ["parser", "cache", "deploy", "token", "graph", "", "the"]
