@@ -106,8 +106,12 @@ class EventLog:
     def append_batch(self, events: DataFrame, malformed: int = 0) -> int:
         """Append events with ``pos`` from one on; returns the position of the first."""
         home = uuid.uuid4().hex
-        stored(events, F.col("pos")).repartitionByRange("pos").sortWithinPartitions("pos") \
+        # The bounds of the ranges are sampled in a pass of their own, so the lines are parsed first.
+        draft = f"{self.path}/draft-{home}"
+        stored(events, F.col("pos")).write.parquet(draft)
+        self.spark.read.parquet(draft).repartitionByRange("pos").sortWithinPartitions("pos") \
             .write.parquet(self._home(home))
+        sinks.remove(self.spark, draft)
         n = self.spark.read.parquet(self._home(home)).count()
         took = 0
 

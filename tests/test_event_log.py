@@ -3,9 +3,12 @@
 import json
 from concurrent.futures import ThreadPoolExecutor
 
+from pyspark.sql import functions as F
+
 from mnemograph.plans.store import Store
 from mnemograph.sources import event_log
 from mnemograph.sources.event_log import EventLog
+from mnemograph.sources.schema import conform
 from mnemograph.sources.versions import Versions
 from tests.conftest import rows
 
@@ -106,3 +109,19 @@ def test_empty_batch_and_absent_log(spark, tmp_path):
     assert s.log().count() == 0
     s.append("decision", msg="one")
     assert rows(s.log(), "seq", "event_id") == [(1, "evt_1")]
+
+
+def test_a_batch_is_parsed_once(spark, tmp_path):
+    """Ranges are sampled; that pass must not parse every event again."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def heard(msg):
+        seen.add(1)
+        return msg
+    events = conform(spark.range(1, 41), seq=F.col("id"), type=F.lit("decision"),
+                     msg=heard(F.col("id").cast("string"))).withColumn("pos", F.col("seq"))
+    log = EventLog(spark, str(tmp_path / "log"))
+    log.append_batch(events)
+    assert seen.value == 40
+    assert [(r.seq, r.msg) for r in log.read().orderBy("seq").collect()] == [(i, str(i)) for i in range(1, 41)]
