@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from mnemograph.llm.common import (
     arrow_map, free_shuffles, stage, text_slices, unstage)
 
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 2 << 20       # of text that a task holds at a time
 CELLS = 1 << 18           # of the sketch of word counts: 2 MB, whatever the corpus
 PARTS = 8, 10             # similarity of two sets: 8 / 10
 HOT = 20_000              # words at least so common are posted in pairs

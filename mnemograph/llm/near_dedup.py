@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from mnemograph.llm.common import arrow_map, free_shuffles, stage, text_slices, unstage
 from mnemograph.llm.line_dedup import mixed, word_hashes
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20       # of text that a task holds at a time; its arrays take 25 times that
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 10, 3        # 0.08 % of pairs at the threshold share no band

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from mnemograph.llm.common import arrow_map, stage, text_slices
 
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 2 << 20       # of text that a task holds at a time
 LEAST_WORDS = 10
 REPEATED_PERCENT = 20
 WINDOW = 5

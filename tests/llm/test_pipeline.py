@@ -2,13 +2,16 @@
 
 import collections
 import random
+import tracemalloc
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 import corpus_pipeline
 from mnemograph.llm import near_dedup, pii, quality
+from mnemograph.llm.common import text_slices
 from tests.llm.test_documents import invented, plain_counts, plain_matches, plain_weighted
 
 WORD = public_tokenizers.path("word_bpe_49k.json")
@@ -81,3 +84,19 @@ def test_stages_one_after_another(spark, tmp_path):
 def test_counts_decide_before_forests():
     s = {c: np.array([v]) for c, v in zip(quality.COUNTS, plain_counts("a b c d e f g h i"))}
     assert quality.base_failed(s).all()
+
+
+def test_shingling_holds_little_beside_a_slice():
+    """The arrays of a slice, which a task holds at a time, take 20 MB at most."""
+    rng = random.Random(3)
+    words = [f"word{i}" for i in range(5000)]
+    texts = [" ".join(rng.choice(words) for _ in range(2000)) for _ in range(500)]
+    batch = pa.RecordBatch.from_pydict({"text": texts})
+    weight = np.ones(near_dedup.CELLS, np.float32)
+    tracemalloc.start()
+    for part in text_slices([batch], "text", near_dedup.SLICE_BYTES):
+        found = near_dedup.Shingled(part.column("text"))
+        near_dedup.band_keys(found, weight)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20 << 20
