@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from mnemograph import params as P
 from mnemograph.functions import scoring as S
-from mnemograph.operators import retrieval
+from mnemograph.operators import log_ops, retrieval
 from mnemograph.operators.graph import Graph
 from mnemograph.session import stage, stage_all
 
@@ -334,8 +334,9 @@ def resolve(graph: Graph, attention: Attention, log: DataFrame) -> DataFrame:
         F.when(wins, F.col("src")).otherwise(F.col("dst")).alias("winner"),
         F.when(wins, F.col("dst")).otherwise(F.col("src")).alias("loser"))
     meta = graph.nodes.select("event_id", "type", "body")
-    loop_ids = log.filter(F.col("type") == "open_loop").select(
-        F.col("event_id").alias("loser"), "id")
+    # A node is the last event of its id, so the last loop names it: one row for each id.
+    loop_ids = log.filter(F.col("type") == "open_loop").groupBy(
+        log_ops.event_key().alias("loser")).agg(F.max_by("id", "seq").alias("id"))
     rows = (
         rows.join(meta.select(F.col("event_id").alias("loser"), F.col("type").alias("l_type")),
                   "loser", "left")

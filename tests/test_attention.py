@@ -184,3 +184,16 @@ def test_self_assessment_nudges_follow_thresholds(spark):
                                    "trigger_compaction", "enable_incubation"]
     assert list(got[1].nudges) == [] and got[1].confidence == pytest.approx(0.76)
     assert got[2].confidence == 0.6 and got[3].confidence is None
+
+
+def test_a_loop_id_that_recurs_gives_one_verdict(make_log):
+    """Events that repeat an id count by their last; a losing loop is named once."""
+    loop = {"type": "open_loop", "event_id": "evt_loop", "msg": "pick"}
+    log = make_log([{**loop, "id": "A"}, {**loop, "id": "B"}, {**loop, "id": "C"},
+                    {"type": "decision", "event_id": "evt_d", "msg": "done"},
+                    {"type": "contradiction", "between": ["evt_d", "evt_loop"]}])
+    g = G.build(log, AS_OF)
+    score = A.attend(g, AS_OF).contradictions.withColumn("src_score", F.lit(1.0)).withColumn(
+        "dst_score", F.lit(0.0))
+    found = A.resolve(g, A.Attention(None, None, score), log).collect()
+    assert [(r.type, r.loser, r.id) for r in found] == [("loop_closed", "evt_loop", "C")]
