@@ -20,6 +20,7 @@ __all__ = ["Folder", "arrow_map", "documents", "free_shuffles", "no_cycles",
            "table", "text_slices", "tokenizer_path", "unstage"]
 
 Folder = str
+BATCH_BYTES = 4 << 20     # of an Arrow batch between Spark and a worker
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -62,8 +63,17 @@ def row_key(*cols: Column | str) -> Column:
 
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]],
               schema: StructType | str) -> DataFrame:
-    """``mapInArrow`` under a name that says what the operators need of it."""
-    return df.mapInArrow(fn, schema)
+    """``mapInArrow`` with batches of bounded bytes, and workers that keep no free memory.
+
+    Workers outlive their tasks, and so would what Arrow's pool holds back in each of them.
+    """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from fn(batches)
+        pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(run, schema)
 
 
 def text_slices(batches: Iterable[pa.RecordBatch], column: str, most: int
@@ -83,6 +93,7 @@ def text_slices(batches: Iterable[pa.RecordBatch], column: str, most: int
             stop = int(np.searchsorted(ends, done + most, side="right"))
             stop = min(max(stop, start + 1), batch.num_rows)
             yield batch.slice(start, stop - start)
+            pa.default_memory_pool().release_unused()
             start, done = stop, int(ends[stop - 1])
 
 

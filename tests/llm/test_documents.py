@@ -7,10 +7,11 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from mnemograph.llm import ctw, line_dedup, near_dedup, pii, quality
+from mnemograph.llm import common, ctw, line_dedup, near_dedup, pii, quality
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -19,6 +20,16 @@ def invented(rng, n, vocabulary=300):
     return " ".join(f"w{rng.randrange(vocabulary)}" for _ in range(n))
 
 
+def test_batches_are_bounded_by_bytes(spark):
+    docs = spark.range(300, numPartitions=1).select(F.repeat(F.lit("x"), 100_000).alias("text"))
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"])
+    found = [r["n"] for r in common.arrow_map(docs, sizes, "n bigint").collect()]
+    assert sum(found) >= 300 * 100_000 and max(found) < common.BATCH_BYTES + 200_000
+
+
 # quality rules
 
 def plain_counts(text):
