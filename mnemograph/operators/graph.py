@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -218,6 +218,10 @@ class Graph:
     patterns: DataFrame
     pattern_evidence: DataFrame
 
+    @property
+    def causal(self) -> DataFrame:
+        return self.edges.filter(F.col("kind") == "causal")
+
     def summary(self) -> DataFrame:
         """Row counts of the projection, one row."""
         def n(df: DataFrame) -> Column:
@@ -267,44 +271,99 @@ def _memory_nodes(df: DataFrame, key: str, type_: str, layer: str, body: str, t:
 
 def build(log: DataFrame, as_of, block: int | None = None) -> Graph:
     """Project a branch-filtered log; what several outputs share is staged once."""
-    return assembled(event_nodes(log), membership(log), threads(log, as_of), contradictions(log),
-                     edge_rows(log), log, as_of, block)
+    return projection(log, as_of, block).whole()
+
+
+def projection(log: DataFrame, as_of, block: int | None = None) -> Projection:
+    """The same tables, each staged only when it is read."""
+    return Projection(event_nodes(log), membership(log), threads(log, as_of), contradictions(log),
+                      edge_rows(log), log, as_of, block)
 
 
 def assembled(events: DataFrame, members: DataFrame, thread_rows: DataFrame, rivals: DataFrame,
               log_edges: DataFrame, log: DataFrame, as_of, block: int | None = None) -> Graph:
     """A graph of tables that follow from the log, and of a log with all memory events."""
-    events, members, thread_rows, concept_ev, procedures, patterns, rivals = stage_all(
-        events=events, membership=members, threads=thread_rows,
-        concept_evidence=folds.concept_evidence(log), procedures=folds.procedures(log, block),
-        patterns=folds.patterns(log), contradictions=rivals)
-    concepts, proc_ev, pattern_ev = stage_all(
-        concepts=folds.concepts(log, events, concept_ev, as_of, block),
-        procedure_evidence=folds.procedure_evidence(log, procedures),
-        pattern_evidence=folds.pattern_evidence(log))
-
-    made = (
-        _memory_nodes(concepts, "concept_id", "concept", "semantic", "summary", "formed_t",
-                      "salience")
-        .unionByName(_memory_nodes(procedures, "procedure_id", "procedure", "procedural",
-                                   "label", "last_used_t", "outcome_score"))
-        .unionByName(_memory_nodes(patterns, "pattern_id", "pattern", "pattern", "label",
-                                   "last_seen_t", "confidence")))
-    # A memory id equal to an event id replaces that node.
-    nodes = events.join(made.select("event_id"), "event_id", "left_anti").unionByName(made)
-    nodes = compacted(nodes, members, thread_rows, snapshot_horizon(log))
-
-    def edge(df: DataFrame, src: str, dst: str, kind: str) -> DataFrame:
-        return df.select(F.col(src).alias("src"), F.col(dst).alias("dst"),
-                         F.lit(kind).alias("kind"), F.lit(P.EDGE_WEIGHT[kind]).alias("weight"))
-
-    bonds = resonance(concept_ev, members)
-    edges = (
-        log_edges
-        .unionByName(edge(concept_ev, "concept_id", "event_id", "concept"))
-        .unionByName(edge(proc_ev, "procedure_id", "event_id", "procedure"))
-        .unionByName(edge(pattern_ev, "pattern_id", "ref_id", "pattern"))
-        .unionByName(bonds.select("src", "dst", F.lit("resonance").alias("kind"), "weight")))
-    nodes, edges = stage_all(nodes=nodes, edges=edges)
-    return Graph(nodes, members, edges, rivals, thread_rows, concepts, concept_ev,
-                 procedures, proc_ev, patterns, pattern_ev)
+    return Projection(events, members, thread_rows, rivals, log_edges, log, as_of, block).whole()
+
+
+class Projection:
+    """The tables of a ``Graph``, each staged when it is first read, with what it follows from."""
+
+    FIRST = ("events", "membership", "threads", "concept_evidence", "procedures", "patterns",
+             "contradictions")
+    NEEDS = {
+        "concepts": ("events", "concept_evidence"),
+        "procedure_evidence": ("procedures",),
+        "nodes": ("events", "membership", "threads", "concepts", "procedures", "patterns"),
+        "edges": ("membership", "concept_evidence", "procedure_evidence", "pattern_evidence")}
+
+    def __init__(self, events: DataFrame, members: DataFrame, thread_rows: DataFrame,
+                 rivals: DataFrame, log_edges: DataFrame, log: DataFrame, as_of,
+                 block: int | None = None):
+        self._made: dict[str, DataFrame] = {}
+        self._plans = {
+            "events": lambda: events, "membership": lambda: members, "threads": lambda: thread_rows,
+            "contradictions": lambda: rivals,
+            "concept_evidence": lambda: folds.concept_evidence(log),
+            "procedures": lambda: folds.procedures(log, block),
+            "patterns": lambda: folds.patterns(log),
+            "concepts": lambda: folds.concepts(log, self.events, self.concept_evidence, as_of, block),
+            "procedure_evidence": lambda: folds.procedure_evidence(log, self.procedures),
+            "pattern_evidence": lambda: folds.pattern_evidence(log),
+            "nodes": lambda: self._nodes(snapshot_horizon(log)),
+            "edges": lambda: self._edges(log_edges)}
+        self._log_edges = log_edges
+
+    def read(self, *names: str) -> list[DataFrame]:
+        """Some tables; those that are missing are staged at the same time."""
+        missing = [n for n in names if n not in self._made]
+        needed = [n for m in missing for n in self.NEEDS.get(m, ())]
+        if needed:
+            self.read(*dict.fromkeys(needed))
+        if missing:
+            self._made.update(zip(missing, stage_all(**{n: self._plans[n]() for n in missing})))
+        return [self._made[n] for n in names]
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name.startswith("_") or name not in self._plans:
+            raise AttributeError(name)
+        return self.read(name)[0]
+
+    @property
+    def causal(self) -> DataFrame:
+        """Causal edges; they follow from the log alone."""
+        return self._log_edges.filter(F.col("kind") == "causal")
+
+    def whole(self) -> Graph:
+        self.read(*self.FIRST)
+        self.read("concepts", "procedure_evidence", "pattern_evidence")
+        self.read("nodes", "edges")
+        return Graph(**{f.name: self._made[f.name] for f in fields(Graph)})
+
+    def summary(self) -> DataFrame:
+        return self.whole().summary()
+
+    def _nodes(self, horizon: DataFrame) -> DataFrame:
+        made = (
+            _memory_nodes(self.concepts, "concept_id", "concept", "semantic", "summary", "formed_t",
+                          "salience")
+            .unionByName(_memory_nodes(self.procedures, "procedure_id", "procedure", "procedural",
+                                       "label", "last_used_t", "outcome_score"))
+            .unionByName(_memory_nodes(self.patterns, "pattern_id", "pattern", "pattern", "label",
+                                       "last_seen_t", "confidence")))
+        # A memory id equal to an event id replaces that node.
+        nodes = self.events.join(made.select("event_id"), "event_id", "left_anti").unionByName(made)
+        return compacted(nodes, self.membership, self.threads, horizon)
+
+    def _edges(self, log_edges: DataFrame) -> DataFrame:
+        def edge(df: DataFrame, src: str, dst: str, kind: str) -> DataFrame:
+            return df.select(F.col(src).alias("src"), F.col(dst).alias("dst"),
+                             F.lit(kind).alias("kind"), F.lit(P.EDGE_WEIGHT[kind]).alias("weight"))
+
+        bonds = resonance(self.concept_evidence, self.membership)
+        return (
+            log_edges
+            .unionByName(edge(self.concept_evidence, "concept_id", "event_id", "concept"))
+            .unionByName(edge(self.procedure_evidence, "procedure_id", "event_id", "procedure"))
+            .unionByName(edge(self.pattern_evidence, "pattern_id", "ref_id", "pattern"))
+            .unionByName(bonds.select("src", "dst", F.lit("resonance").alias("kind"), "weight")))

@@ -200,7 +200,7 @@ def mine(graph: Graph, cap: int = P.PATTERN_MAX_NEW, block: int | None = None):
     motifs = stage(reasoning_motifs(rows, block), "motifs")
     fails = failure_terms(rows)
     paths, path_threads = recurring_paths(rows, P.PATTERN_MIN_SUPPORT, block)
-    stops = stage(bottlenecks(rows, graph.edges), "bottlenecks")
+    stops = stage(bottlenecks(rows, graph.causal), "bottlenecks")
 
     def proposal(df: DataFrame, place: int, kind: str, tail: Column, label: Column,
                  order: Column, order2: Column, key: Column, advice: Column) -> DataFrame:

@@ -57,8 +57,9 @@ def main_log(spark, sf_dir) -> DataFrame:
                  lambda: stage(log_ops.for_branch(log_of(spark, sf_dir)), "main-log"))
 
 
-def graph_of(spark, sf_dir) -> G.Graph:
-    return _once("graph", spark, sf_dir, lambda: G.build(main_log(spark, sf_dir), AS_OF))
+def graph_of(spark, sf_dir) -> G.Projection:
+    """The graph; a query stages only what it reads of it, and what earlier ones have not."""
+    return _once("graph", spark, sf_dir, lambda: G.projection(main_log(spark, sf_dir), AS_OF))
 
 
 def attention_of(spark, sf_dir) -> A.Attention:
@@ -709,7 +710,7 @@ def success_paths(spark, sf):
 @query
 def bottlenecks(spark, sf):
     g = graph_of(spark, sf)
-    return mining.bottlenecks(mining.member_events(g), g.edges)
+    return mining.bottlenecks(mining.member_events(g), g.causal)
 
 
 @query

@@ -192,3 +192,18 @@ def test_resonance_with_three_hubs_over_all_concepts(spark, hub):
         want |= {(p[0], p[1], n) for n, _, p in sorted(mine, reverse=True)[:6]}
     got = rows(G.resonance(ev, mem, hub=hub), "src", "dst", "shared")
     assert got == sorted(want)
+
+
+def test_a_projection_stages_only_what_is_read(make_log):
+    log = make_log([
+        {"type": "decision", "thread_ids": ["a"], "msg": "x"},
+        {"type": "observation", "thread_ids": ["a", "b"], "causes": ["evt_1"], "msg": "y"},
+        {"type": "pattern_detected", "pattern_id": "pat_1", "evidence": ["evt_1"], "msg": "p"}])
+    parts, whole = G.projection(log, AS_OF), G.build(log, AS_OF)
+    assert rows(parts.patterns, "pattern_id") == rows(whole.patterns, "pattern_id") == [("pat_1",)]
+    assert list(parts._made) == ["patterns"]
+    assert rows(parts.causal, "src", "dst", "weight") == rows(whole.causal, "src", "dst", "weight")
+    assert list(parts._made) == ["patterns"]
+    assert rows(parts.nodes, "event_id", "cold") == rows(whole.nodes, "event_id", "cold")
+    assert "edges" not in parts._made and "procedure_evidence" not in parts._made
+    assert rows(parts.edges, "src", "dst", "kind") == rows(whole.edges, "src", "dst", "kind")
