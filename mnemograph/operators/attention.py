@@ -135,13 +135,21 @@ def adjacency(edges: DataFrame, causal_back: float = P.CAUSAL_BACK) -> DataFrame
 
     An effect gives its cause full weight; the way back is weaker.
     """
+    return links(edges, causal_back).select("v", "u", "w")
+
+
+def links(edges: DataFrame, causal_back: float = P.CAUSAL_BACK) -> DataFrame:
+    """(v, u, w, even): ``adjacency``, and beside it the weight with ways back as strong.
+
+    Windows over one graph read one such table, staged once.
+    """
     e = edges.filter(~F.col("kind").isin(THREAD_KINDS))
-    back = F.when(F.col("kind") == "causal", F.col("weight") * causal_back
-                  ).otherwise(F.col("weight"))
-    return (e.select(F.col("src").alias("v"), F.col("dst").alias("u"), F.col("weight").alias("w"))
+    w = F.col("weight")
+    back = F.when(F.col("kind") == "causal", w * causal_back).otherwise(w)
+    return (e.select(F.col("src").alias("v"), F.col("dst").alias("u"), w.alias("w"), w.alias("even"))
             .unionByName(e.select(F.col("dst").alias("v"), F.col("src").alias("u"),
-                                  back.alias("w")))
-            .groupBy("v", "u").agg(F.sum("w").alias("w")))
+                                  back.alias("w"), w.alias("even")))
+            .groupBy("v", "u").agg(F.sum("w").alias("w"), F.sum("even").alias("even")))
 
 
 def received(adj: DataFrame, act: DataFrame) -> DataFrame:
@@ -256,11 +264,15 @@ def resurface(act: DataFrame, members: DataFrame, threads: DataFrame):
 def attend(graph: Graph, as_of, query: str = "", agent: str = "",
            threads: list[str] | None = None, previous: DataFrame | None = None,
            incubation: DataFrame | None = None, rotate: bool = False,
-           log: DataFrame | None = None, body_index=None, log_index=None) -> Attention:
-    """The full attention pass of one agent window."""
-    nodes, adj = stage_all(
-        seeds=seeds(graph, as_of, query, agent, threads, incubation, log, body_index, log_index),
-        adjacency=adjacency(graph.edges))
+           log: DataFrame | None = None, body_index=None, log_index=None,
+           linked: DataFrame | None = None) -> Attention:
+    """The full attention pass of one agent window; ``linked`` are staged ``links`` of the graph."""
+    first = seeds(graph, as_of, query, agent, threads, incubation, log, body_index, log_index)
+    if linked is None:
+        nodes, linked = stage_all(seeds=first, links=adjacency(graph.edges))
+    else:
+        nodes = stage(first, "seeds")
+    adj = linked.select("v", "u", "w")
     act = stage(spread(nodes, adj), "spread")
     act = stage(inhibit(act, graph.contradictions), "inhibited")
     tensions = contradiction_scores(act, graph.contradictions)
@@ -301,8 +313,11 @@ def active_subgraph(graph: Graph, act: DataFrame, top_n: int = 8) -> DataFrame:
         "event_id", "seq", "type", "layer", "body", "t", "activation")
 
 
-def incubate(graph: Graph) -> DataFrame:
-    """Query-less low-gain diffusion from well-connected members of dormant threads."""
+def incubate(graph: Graph, linked: DataFrame | None = None) -> DataFrame:
+    """Query-less low-gain diffusion from well-connected members of dormant threads.
+
+    ``linked`` are staged ``links`` of the graph.
+    """
     ends = graph.edges.select(F.col("src").alias("event_id")).unionByName(
         graph.edges.select(F.col("dst").alias("event_id")))
     degree = ends.groupBy("event_id").agg(F.count(F.lit(1)).alias("degree"))
@@ -311,8 +326,11 @@ def incubate(graph: Graph) -> DataFrame:
                .select("event_id").distinct())
     pull = P.INCUBATE_SEED * (1.0 - F.exp(-F.coalesce("degree", F.lit(0)) / F.lit(5.0)))
     seed = dormant.join(degree, "event_id", "left").select("event_id", pull.alias("activation"))
-    seed, adj = stage_all(incubation_seed=seed,
-                          incubation_links=adjacency(graph.edges, causal_back=1.0))
+    if linked is None:
+        seed, linked = stage_all(incubation_seed=seed, incubation_links=links(graph.edges))
+    else:
+        seed = stage(seed, "incubation_seed")
+    adj = linked.select("v", "u", F.col("even").alias("w"))
     act = seed
     for _ in range(P.INCUBATE_ROUNDS):
         inflow = received(adj, act).select(

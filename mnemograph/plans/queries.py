@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,12 +63,35 @@ def graph_of(spark, sf_dir) -> G.Projection:
     return _once("graph", spark, sf_dir, lambda: G.projection(main_log(spark, sf_dir), AS_OF))
 
 
-def attention_of(spark, sf_dir) -> A.Attention:
+def links_of(spark, sf_dir) -> DataFrame:
     def make():
-        a = A.attend(graph_of(spark, sf_dir), AS_OF)
-        return A.Attention(stage(a.nodes, "act"), stage(a.threads, "thread-act"),
-                           stage(a.contradictions, "tensions"))
-    return _once("attention", spark, sf_dir, make)
+        _, edges = graph_of(spark, sf_dir).read("nodes", "edges")   # side by side: both are needed
+        return stage(A.links(edges), "links")
+    return _once("links", spark, sf_dir, make)
+
+
+class _Window:
+    """The outputs of an attention pass, each staged when it is first read."""
+
+    def __init__(self, plan: A.Attention):
+        self._plan = plan
+
+    @cached_property
+    def nodes(self) -> DataFrame:
+        return stage(self._plan.nodes, "act")
+
+    @cached_property
+    def threads(self) -> DataFrame:
+        return stage(self._plan.threads, "thread-act")
+
+    @cached_property
+    def contradictions(self) -> DataFrame:
+        return stage(self._plan.contradictions, "tensions")
+
+
+def attention_of(spark, sf_dir) -> _Window:
+    return _once("attention", spark, sf_dir, lambda: _Window(A.attend(
+        graph_of(spark, sf_dir), AS_OF, linked=links_of(spark, sf_dir))))
 
 
 def _indexed(spark, docs: DataFrame, key: str, text: str, steps: int = 1) -> TextIndex:
@@ -416,7 +440,8 @@ def seed_vector(spark, sf):
 @query
 def seed_vector_role(spark, sf):
     g = graph_of(spark, sf)
-    return A.seeds(g, AS_OF, agent="coder", threads=LANE, incubation=A.incubate(g)).select(
+    return A.seeds(g, AS_OF, agent="coder", threads=LANE,
+                   incubation=A.incubate(g, links_of(spark, sf))).select(
         "event_id", S.rounded(F.col("seed")).alias("seed"))
 
 
@@ -445,8 +470,8 @@ def triggered_procedures(spark, sf):
 
 def _spread(spark, sf, hops):
     g = graph_of(spark, sf)
-    nodes, adj = stage_all(seeds=A.seeds(g, AS_OF), adjacency=A.adjacency(g.edges))
-    act = A.spread(nodes, adj, hops)
+    nodes = stage(A.seeds(g, AS_OF), "seeds")
+    act = A.spread(nodes, links_of(spark, sf).select("v", "u", "w"), hops)
     return act.select("event_id", S.rounded(F.col("activation")).alias("activation"))
 
 
@@ -475,12 +500,12 @@ def contradiction_scores(spark, sf):
 
 @query
 def attend_nodes(spark, sf):
-    return A.attend(graph_of(spark, sf), AS_OF).nodes
+    return A.attend(graph_of(spark, sf), AS_OF, linked=links_of(spark, sf)).nodes
 
 
 @query
 def thread_activation_resurfaced(spark, sf):
-    return A.attend(graph_of(spark, sf), AS_OF).threads
+    return A.attend(graph_of(spark, sf), AS_OF, linked=links_of(spark, sf)).threads
 
 
 @query
@@ -513,7 +538,7 @@ def active_subgraph_2hop(spark, sf):
 
 @query
 def incubation(spark, sf):
-    return A.incubate(graph_of(spark, sf))
+    return A.incubate(graph_of(spark, sf), links_of(spark, sf))
 
 
 @query
@@ -531,7 +556,8 @@ def attend_agent_window(spark, sf):
     """A query-driven, rotated window of one role, blended with earlier state."""
     g, a = graph_of(spark, sf), attention_of(spark, sf)
     return A.attend(g, AS_OF, query=QUERY, agent="coder", threads=LANE, previous=a.nodes,
-                    incubation=A.incubate(g), rotate=True).nodes
+                    incubation=A.incubate(g, links_of(spark, sf)), rotate=True,
+                    linked=links_of(spark, sf)).nodes
 
 
 # -- text and retrieval -----------------------------------------------------------

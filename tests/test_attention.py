@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from mnemograph.operators import attention as A
 from mnemograph.operators import graph as G
 from mnemograph.operators import mining
+from mnemograph.session import stage
 from tests.conftest import AS_OF, rows
 
 
@@ -197,3 +198,23 @@ def test_a_loop_id_that_recurs_gives_one_verdict(make_log):
         "dst_score", F.lit(0.0))
     found = A.resolve(g, A.Attention(None, None, score), log).collect()
     assert [(r.type, r.loser, r.id) for r in found] == [("loop_closed", "evt_loop", "C")]
+
+
+def test_windows_share_the_links_of_a_graph(spark):
+    """One table gives both adjacencies: with weaker ways back, and with equal ones."""
+    e = spark.createDataFrame([("a", "b", "causal", 1.0), ("b", "a", "causal", 0.5),
+                               ("a", "c", "concept", 0.7), ("a", "t", "membership", 1.0)],
+                              "src string, dst string, kind string, weight double")
+    both = {(r.v, r.u): (r.w, r.even) for r in A.links(e).collect()}
+    for at, back in enumerate((0.6, 1.0)):
+        one = {(r.v, r.u): r.w for r in A.adjacency(e, back).collect()}
+        assert {k: w[at] for k, w in both.items()} == pytest.approx(one)
+    assert both[("a", "b")] == pytest.approx((1.0 + 0.5 * 0.6, 1.5)) and len(both) == 4
+
+
+def test_a_window_over_given_links_is_the_same(debate):
+    g = G.build(debate, AS_OF)
+    linked = stage(A.links(g.edges), "links")
+    assert act(A.attend(g, AS_OF, agent="coder", linked=linked)) == pytest.approx(
+        act(A.attend(g, AS_OF, agent="coder")))
+    assert rows(A.incubate(g, linked), "event_id", "lift") == rows(A.incubate(g), "event_id", "lift")
