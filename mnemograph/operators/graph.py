@@ -316,10 +316,10 @@ class Projection:
 
     def read(self, *names: str) -> list[DataFrame]:
         """Some tables; those that are missing are staged at the same time."""
-        missing = [n for n in names if n not in self._made]
-        needed = [n for m in missing for n in self.NEEDS.get(m, ())]
+        needed = [n for m in names if m not in self._made for n in self.NEEDS.get(m, ())]
         if needed:
             self.read(*dict.fromkeys(needed))
+        missing = [n for n in names if n not in self._made]     # without those that others needed
         if missing:
             self._made.update(zip(missing, stage_all(**{n: self._plans[n]() for n in missing})))
         return [self._made[n] for n in names]

@@ -70,6 +70,21 @@ def for_branch(log: DataFrame, branch: str = P.MAIN, merged: DataFrame | None =
     return log.filter(main_row).unionByName(kept)
 
 
+def shown_branches(log: DataFrame) -> DataFrame:
+    """Names of the mainline and of the branches merged into it."""
+    main = log.sparkSession.range(1).select(F.lit(P.MAIN).alias("branch"))
+    return merged_branches(log).unionByName(main)
+
+
+def on_branches(log: DataFrame, names: DataFrame) -> DataFrame:
+    """``for_branch`` in one pass, for names that lie in a small table.
+
+    Spark knows the size of a staged table and broadcasts it, so a reader takes the columns
+    it needs out of the log and no copy of the mainline is written.
+    """
+    return log.join(names.select(F.col("branch").alias("_shown")), branch_of() == F.col("_shown"), "left_semi")
+
+
 def branch_listing(log: DataFrame) -> DataFrame:
     """Every branch with its status, event count and base."""
     merged = merged_branches(log).select("branch", F.lit(1).alias("m"))

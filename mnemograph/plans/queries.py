@@ -54,8 +54,11 @@ def log_of(spark, sf_dir) -> DataFrame:
 
 
 def main_log(spark, sf_dir) -> DataFrame:
-    return _once("main", spark, sf_dir,
-                 lambda: stage(log_ops.for_branch(log_of(spark, sf_dir)), "main-log"))
+    """The mainline as a filter of the log; only the names of merged branches are staged."""
+    def make():
+        log = log_of(spark, sf_dir)
+        return log_ops.on_branches(log, stage(log_ops.shown_branches(log), "shown-branches"))
+    return _once("main", spark, sf_dir, make)
 
 
 def graph_of(spark, sf_dir) -> G.Projection:

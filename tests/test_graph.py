@@ -207,3 +207,26 @@ def test_a_projection_stages_only_what_is_read(make_log):
     assert rows(parts.nodes, "event_id", "cold") == rows(whole.nodes, "event_id", "cold")
     assert "edges" not in parts._made and "procedure_evidence" not in parts._made
     assert rows(parts.edges, "src", "dst", "kind") == rows(whole.edges, "src", "dst", "kind")
+
+
+def test_a_projection_stages_no_table_twice(make_log, monkeypatch):
+    log = make_log([{"type": "pattern_detected", "pattern_id": "pat_1", "evidence": ["evt_1"], "thread_ids": ["a"]}])
+    staged, real = [], G.stage_all
+    monkeypatch.setattr(G, "stage_all", lambda **frames: staged.extend(frames) or real(**frames))
+    G.projection(log, AS_OF).read("nodes", "edges")
+    assert sorted(staged) == sorted(set(staged)) and {"events", "procedures"} < set(staged)
+
+
+def test_the_mainline_is_read_out_of_the_log(spark, make_log, monkeypatch):
+    from mnemograph.plans import queries
+    from mnemograph.session import stage
+    log = make_log([{"type": "decision", "branch": b} for b in (None, "", "main", "x", "y", "z")] + [
+        {"type": "branch_merge", "branch": "x"}, {"type": "branch_merge", "branch": "", "base": "y"},
+        {"type": "branch_merge", "branch": "main"}])
+    monkeypatch.setattr(queries, "log_of", lambda spark, sf: log)
+    staged = []
+    monkeypatch.setattr(queries, "stage", lambda df, name: staged.append(name) or stage(df, name))
+    main = queries.main_log(spark, "mainline-test")
+    assert staged == ["shown-branches"]     # names alone, no copy of the events
+    assert main.columns == log.columns
+    assert rows(main, "seq") == rows(log_ops.for_branch(log), "seq") == [(i,) for i in (1, 2, 3, 4, 5, 7, 8, 9)]
