@@ -1,7 +1,8 @@
 """Views of a growing log that keep state per key, on ``transformWithStateInPandas`` or plain aggregations.
 
 State lies in RocksDB under the checkpoint, so a restarted or moved task finds it
-there, and a batch reads and writes the keys it touches only. Rows may come in any
+there, and a batch reads and writes the keys it touches only. The newest rows of a session,
+which no plain aggregation keeps, lie in a table beside the checkpoint. Rows may come in any
 order of their positions: every result is that of the whole log so far.
 
 Rows are narrowed, and where possible combined, before the shuffle. What is left of a
@@ -15,7 +16,7 @@ from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -33,6 +34,8 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 RECENT = 200
 # Executions before their procedure is first learned wait in blocks of this many positions.
 EARLY_BITS = 16
+# Every so many batches, the table of newest rows holds every session again.
+WHOLE = 8
 HORIZON_MS = int(P.DORMANT_DAYS * 86_400_000)
 
 
@@ -269,53 +272,59 @@ def watch_threads(stream: DataFrame, out: str, checkpoint: str) -> None:
 
 # -- drift --------------------------------------------------------------------------
 
-class RecentTopics(StatefulProcessor):
-    """The newest rows of a session as a list, and the overlap of its two token bags."""
+def _held(df: DataFrame, kept: str, batch: int, most: int) -> DataFrame:
+    """The newest rows of the sessions a batch touched, brought up to date in a table of versions.
 
-    def __init__(self, window: int):
-        self.window = window
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.rows = handle.getListState("rows", "seq bigint, tokens array<string>")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        before = [(seq, list(tokens)) for seq, tokens in self.rows.get()]
-        held = before
-        for frame in rows:
-            more = [(int(s), list(t)) for s, t in zip(frame["seq"], frame["tokens"])]
-            held = sorted(held + more, key=lambda r: -r[0])[:3 * self.window]
-        if held == before:
-            return
-        self.rows.put(held)
-        if len(held) > self.window:
-            recent, base = (pd.Series([t for _, tokens in part for t in tokens], dtype=object)
-                            .value_counts() for part in (held[:self.window], held[self.window:]))
-            common = recent.index.intersection(base.index)
-            yield pd.DataFrame({
-                "session": [key[0]], "dot": [int((recent[common] * base[common]).sum())],
-                "recent": [int((recent * recent).sum())], "base": [int((base * base).sum())]})
-
-
-def _newest_rows(most: int):
-    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            top = frame.sort_values("seq", ascending=False)
-            yield top.groupby("session", sort=False).head(most)
-    return cut
+    A version holds all rows a session needs, so the last one counts. Every ``WHOLE``
+    batches the table holds all sessions, and no older version is read again.
+    """
+    spark = df.sparkSession
+    session = Window.partitionBy("session")
+    place = F.row_number().over(session.orderBy(F.desc("seq")))
+    arrived = f"{kept}-new/batch={batch}"       # tokenized once; Spark cuts at the rank before the shuffle
+    df.withColumn("place", place).filter(F.col("place") <= most).drop("place").write.mode("overwrite").parquet(arrived)
+    rows = spark.read.parquet(arrived).withColumn("batch", F.lit(batch))
+    done = [b for b in _batches(spark, kept) if b < batch]
+    whole = max([b for b in done if b % WHOLE == WHOLE - 1], default=0)
+    done = [b for b in done if b >= whole]
+    if done:
+        known = spark.read.option("basePath", kept).parquet(*[f"{kept}/batch={b}" for b in done])
+        if batch % WHOLE != WHOLE - 1:
+            known = known.join(rows.select("session").distinct(), "session", "left_semi")
+        rows = known.select(*rows.columns).unionByName(rows)
+    is_new = F.col("batch") == batch
+    last = F.max(F.when(~is_new, F.col("batch"))).over(session)
+    (rows.withColumn("last", last).withColumn("touched", F.max(is_new).over(session))
+     .filter(is_new | (F.col("batch") == F.col("last")))
+     .withColumn("place", place).filter(F.col("place") <= most)
+     .select("session", "seq", "tokens", "place", "touched")
+     .write.mode("overwrite").parquet(f"{kept}/batch={batch}"))
+    return spark.read.parquet(f"{kept}/batch={batch}").filter("touched")
 
 
 def watch_drift(stream: DataFrame, out: str, checkpoint: str,
                 window: int = P.DRIFT_WINDOW) -> None:
     """Topic drift at the end of every session, from the last rows it has so far.
 
-    A task sends on only the newest rows of a session in each Arrow batch.
+    The newest rows are found by ranks and the bags compared by aggregations, so that no
+    session and no partition of a state costs a call of Python.
     """
-    rows = (
-        stream.filter(F.col("session").isNotNull() & ~F.col("type").isin(P.DRIFT_SKIP_TYPES))
-        .select("session", "seq", X.tokenize(log_ops.search_body()).alias("tokens"))
-        .mapInPandas(_newest_rows(3 * window), "session string, seq bigint, tokens array<string>"))
-    run_stateful(rows, "session", RecentTopics(window),
-                 "session string, dot bigint, recent bigint, base bigint", out, checkpoint)
+    def each(df: DataFrame, batch: int) -> None:
+        held = _held(df, f"{checkpoint}-held", batch, 3 * window)
+        longer = held.filter(F.col("place") == window + 1).select("session")
+        # The outer form: a session whose rows have no tokens any more says so.
+        bags = held.join(longer, "session", "left_semi").select(
+            "session", (F.col("place") <= window).alias("is_recent"), F.explode_outer("tokens").alias("token"))
+        given = F.col("token").isNotNull()
+        per_token = bags.groupBy("session", "token").agg(
+            F.count_if(F.col("is_recent") & given).alias("a"), F.count_if(~F.col("is_recent") & given).alias("b"))
+        per_token.groupBy("session").agg(
+            F.sum(F.col("a") * F.col("b")).alias("dot"), F.sum(F.col("a") * F.col("a")).alias("recent"),
+            F.sum(F.col("b") * F.col("b")).alias("base")).write.mode("overwrite").parquet(f"{out}/batch={batch}")
+
+    rows = stream.filter(F.col("session").isNotNull() & ~F.col("type").isin(P.DRIFT_SKIP_TYPES)).select(
+        "session", "seq", X.tokenize(log_ops.search_body()).alias("tokens"))
+    run(rows, checkpoint, each)
 
 
 def session_drift(spark: SparkSession, out: str) -> DataFrame:

@@ -130,3 +130,26 @@ def test_drift_equals_the_batch_in_any_order_of_arrival(spark, make_log, arrive)
     cols = ("session", "drift", "drifted")
     assert rows(stateful.session_drift(spark, out), *cols) == rows(
         retrieval.drift_per_session(log), *cols)
+
+
+def test_drift_calls_no_python_and_forgets_what_is_gone(spark, make_log, arrive, monkeypatch):
+    """Newest rows are found by ranks; a late batch, an untouched session and a whole table count."""
+    monkeypatch.setattr(stateful, "run_stateful", None)
+    monkeypatch.setattr(stateful, "WHOLE", 2)
+    log = make_log([{"type": "observation", "session": s, "msg": m} for s, m in (
+        [("a", "cache parser")] * 12 + [("b", "cache")] * 3 + [("a", "the")] * 4
+        + [("b", "token"), ("b", "deploy cache"), ("b", "graph")] + [("c", "parser")] * 16
+        + [("a", "")] * 20)])
+    cols = ("session", "drift", "drifted")
+    seq = F.col("seq")
+    steps, seen = [seq.between(5, 15), seq <= 4, seq.between(16, 22), seq.between(23, 38), seq > 38], []
+
+    def after(out):
+        upto = F.lit(False)
+        for s in steps[:len(seen) + 1]:
+            upto = upto | s
+        assert rows(stateful.session_drift(spark, out), *cols) == rows(
+            retrieval.drift_per_session(log.filter(upto)), *cols)
+        seen.append(inc.newest(spark, out, "session").count())
+    arrive(stateful.watch_drift, log, steps, after)
+    assert seen[0] == 1 and seen[-1] == 3       # a, then b with six rows and c
