@@ -16,7 +16,7 @@ from mnemograph.operators import attention as A
 from mnemograph.operators import digest, folds, increments, log_ops, mining, retrieval
 from mnemograph.operators import graph as G
 from mnemograph.operators import relational as R
-from mnemograph.plans.text_index import TextIndex
+from mnemograph.plans.text_index import FULL_TEXT, KINDS, WORDS, TextIndex
 from mnemograph.session import stage, stage_all, stage_folder
 from mnemograph.sources import jsonl, sinks
 from mnemograph.sources.event_log import EventLog, parsed
@@ -97,9 +97,10 @@ def attention_of(spark, sf_dir) -> _Window:
         graph_of(spark, sf_dir), AS_OF, linked=links_of(spark, sf_dir))))
 
 
-def _indexed(spark, docs: DataFrame, key: str, text: str, steps: int = 1) -> TextIndex:
+def _indexed(spark, docs: DataFrame, key: str, text: str, steps: int = 1,
+             kinds: tuple[str, ...] = tuple(KINDS)) -> TextIndex:
     """A stored index of documents, added in so many steps."""
-    index = TextIndex(spark, f"{stage_folder(spark)}/index-{uuid.uuid4().hex}", key)
+    index = TextIndex(spark, f"{stage_folder(spark)}/index-{uuid.uuid4().hex}", key, kinds)
     for i in range(steps):
         part = docs if steps == 1 else docs.where(F.pmod(F.xxhash64(key), F.lit(steps)) == i)
         index.add(part, text)
@@ -113,12 +114,14 @@ def document_index(spark, sf_dir) -> TextIndex:
 
 def event_index(spark, sf_dir) -> TextIndex:
     return _once("event-index", spark, sf_dir, lambda: _indexed(
-        spark, log_of(spark, sf_dir).withColumn("text", log_ops.search_body()), "seq", "text"))
+        spark, log_of(spark, sf_dir).withColumn("text", log_ops.search_body()), "seq", "text",
+        kinds=(FULL_TEXT,)))      # events are searched by BM25 alone
 
 
 def body_index(spark, sf_dir) -> TextIndex:
     return _once("body-index", spark, sf_dir, lambda: _indexed(
-        spark, graph_of(spark, sf_dir).nodes.select("event_id", "body"), "event_id", "body"))
+        spark, graph_of(spark, sf_dir).nodes.select("event_id", "body"), "event_id", "body",
+        kinds=(WORDS,)))          # and bodies by TF-IDF
 
 
 def documents(spark, sf_dir) -> DataFrame:

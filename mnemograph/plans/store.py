@@ -22,7 +22,7 @@ from mnemograph.operators import attention as A
 from mnemograph.operators import digest, increments, lens, log_ops, mining, retrieval
 from mnemograph.operators import graph as G
 from mnemograph.operators import relational as R
-from mnemograph.plans.text_index import TextIndex
+from mnemograph.plans.text_index import FULL_TEXT, WORDS, TextIndex
 from mnemograph.session import stage
 from mnemograph.sources import schema, sinks
 from mnemograph.sources.event_log import EventLog, parsed
@@ -219,7 +219,7 @@ class Store:
         graph = increments.graph(self._base_at(mark["home"]), self.now())
         sinks.write_tables(vars(graph), mark["home"])
         bodies = self.spark.read.parquet(f"{mark['home']}/nodes").select("event_id", "body")
-        index = TextIndex(self.spark, f"{mark['home']}/bodies", "event_id")
+        index = TextIndex(self.spark, f"{mark['home']}/bodies", "event_id", (WORDS,))
         index.add(bodies, "body")
         index.vectors()
         sinks.write_json(
@@ -300,7 +300,7 @@ class Store:
         att = A.attend(self._graph_at(home), self.now(), query, agent, threads,
                        previous=self._stored("activation", agent) if persist else None,
                        incubation=self._stored("incubation"), rotate=rotate, log=self.log(),
-                       body_index=TextIndex(self.spark, f"{home}/bodies", "event_id"),
+                       body_index=TextIndex(self.spark, f"{home}/bodies", "event_id", (WORDS,)),
                        log_index=self.index() if query else None)
         att = A.Attention(stage(att.nodes, "act"), stage(att.threads, "thread-act"),
                           stage(att.contradictions, "tensions"))
@@ -350,7 +350,7 @@ class Store:
         state = self.events.state()
         if state is None:
             return None
-        index = TextIndex(self.spark, f"{self.root}/index/events", "seq")
+        index = TextIndex(self.spark, f"{self.root}/index/events", "seq", (FULL_TEXT,))
         while (after := index.upto()) < state["count"]:
             new = self.events.read(after, state).withColumn("text", log_ops.search_body())
             index.add(new, "text", state["count"], after)

@@ -34,20 +34,22 @@ LAST = "\U0010ffff"     # after every string that a prefix starts
 
 #: Kinds of postings: full-text tokens (BM25), and words (TF-IDF).
 FULL_TEXT, WORDS = "f", "w"
+KINDS = {FULL_TEXT: X.fts_tokens, WORDS: X.tokenize}
 
 
-def posting_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
+def posting_rows(docs: DataFrame, key: str, text: str, kinds: tuple[str, ...] = tuple(KINDS)) -> DataFrame:
     """(kind, term, key, tf, len): one row per document, kind and term."""
-    toks = docs.select(F.col(key).alias("key"), X.fts_tokens(F.col(text)).alias("f"), X.tokenize(F.col(text)).alias("w"))
-    kinds = toks.select("key", F.inline_outer(F.array(*[
-        F.struct(F.lit(kind).alias("kind"), F.col(toks).alias("toks"))
-        for kind, toks in ((FULL_TEXT, "f"), (WORDS, "w"))])))
-    return X.counted(kinds, "toks", "key", "kind")
+    toks = docs.select(F.col(key).alias("key"), *[KINDS[kind](F.col(text)).alias(kind) for kind in kinds])
+    rows = toks.select("key", F.inline_outer(F.array(*[
+        F.struct(F.lit(kind).alias("kind"), F.col(kind).alias("toks")) for kind in kinds])))
+    return X.counted(rows, "toks", "key", "kind")
 
 
 class TextIndex:
-    def __init__(self, spark: SparkSession, path: str, key: str):
-        self.spark, self.path, self.key = spark, path.rstrip("/"), key
+    """``kinds`` names the postings that are stored; a search needs those of its kind."""
+
+    def __init__(self, spark: SparkSession, path: str, key: str, kinds: tuple[str, ...] = tuple(KINDS)):
+        self.spark, self.path, self.key, self.kinds = spark, path.rstrip("/"), key, kinds
         self.versions = Versions(spark, f"{self.path}/versions")
 
     def state(self) -> dict | None:
@@ -84,7 +86,7 @@ class TextIndex:
         home = f"seg-{uuid.uuid4().hex}"
         # The bounds of the ranges are sampled in a pass of their own, so the tokens are written first.
         draft = f"{self.path}/{home}/draft"
-        posting_rows(docs, self.key, text).write.parquet(draft)
+        posting_rows(docs, self.key, text, self.kinds).write.parquet(draft)
         self._write(self.spark.read.parquet(draft), home)
         sinks.remove(self.spark, draft)
         # Documents without tokens count too; the long ones count by their postings.
@@ -186,6 +188,8 @@ class TextIndex:
         return self.spark.read.parquet(*files).where(inside(F.col("term"), F.col("term")))
 
     def postings(self, kind: str, ranges: list[tuple[str, str]], state: dict | None = None) -> DataFrame:
+        if kind not in self.kinds:
+            raise ValueError(f"postings of kind {kind!r} are not stored")
         return self.lookup([s["home"] for s in (state or self.state())["segments"]], kind, ranges)
 
     def _named(self, df: DataFrame) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from mnemograph.functions import text as X
 from mnemograph.operators import retrieval
-from mnemograph.plans.text_index import TextIndex, posting_rows
+from mnemograph.plans.text_index import FULL_TEXT, WORDS, TextIndex, posting_rows
 
 from .conftest import rows
 
@@ -56,3 +57,18 @@ def test_term_counts_need_no_shuffle(spark):
     assert "Exchange" not in plan_of(retrieval.postings(docs, "doc_id", F.col("text")))
     assert rows(counts.where("doc_id in (0, 1, 5)"), "doc_id", "token", "total", "tf") == [
         (0, "alpha", 3, 2), (0, "beta", 3, 1), (5, "alpha", 51, 1), (5, "delta", 51, 50)]
+
+
+def test_an_index_stores_only_the_postings_its_searches_read(spark, tmp_path):
+    docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id bigint, text string")
+    for kinds, refused in (((FULL_TEXT,), "tfidf_top"), ((WORDS,), "bm25")):
+        index = TextIndex(spark, str(tmp_path / kinds[0]), "doc_id", kinds)
+        index.add(docs, "text")
+        home = index.state()["segments"][0]["home"]
+        assert {r.kind for r in spark.read.parquet(f"{index.path}/{home}/rows").collect()} == set(kinds)
+        with pytest.raises(ValueError):
+            getattr(index, refused)("alpha")
+        got = index.bm25_top("al bet", 5) if kinds == (FULL_TEXT,) else index.tfidf_top("alpha beta")
+        want = retrieval.bm25_top(docs, "doc_id", F.col("text"), "al bet", 5) if kinds == (FULL_TEXT,) else \
+            retrieval.tfidf_search(docs, "doc_id", F.col("text"), "alpha beta")
+        assert [tuple(r) for r in got.collect()] == [tuple(r) for r in want.collect()]
