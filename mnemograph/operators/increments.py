@@ -3,13 +3,13 @@
 Every table either takes rows on (membership, stated edges, rivals, memory events) or
 combines by key: counts add up, and the newest of two values is the newer one. So the
 tables of a log are those of its beginning merged with those of its end. Only keys that
-the end touches are aggregated again; all other rows are copied without a shuffle when
-the end is small.
+the end touches are aggregated again; events, the widest table, move through a shuffle
+only where their id recurs, and all other rows are copied, or stay where they are.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,12 +17,17 @@ from pyspark.sql import functions as F
 from mnemograph.functions import scoring as S
 from mnemograph.operators import graph as G
 from mnemograph.operators import log_ops
+from mnemograph.session import stage, stage_all
 
 #: Events that concepts, procedures, patterns and the snapshot horizon follow from.
 MEMORY_TYPES = ["concept_formed", "concept_retired", "procedure_learned", "procedure_retired",
                 "proc_executed", "pattern_detected", "pattern_promoted", "snapshot"]
 
 
+#: Tables that only take rows on.
+APPENDED = ("members", "stated", "rivals", "memory")
+
+
 @dataclass
 class Base:
     events: DataFrame       # the last event of each id, with the loop it opens
@@ -63,11 +68,18 @@ def _merged(old: DataFrame, new: DataFrame, keys: list[str], **sums: Column) ->
     return old.join(touched, keys, "left_anti").unionByName(again.select(*old.columns))
 
 
-def merged(old: Base, new: Base) -> Base:
+def _recurring(old: Base, new: Base) -> DataFrame:
+    """Ids of events that both hold, staged: Spark then knows how few they are."""
+    return stage(new.events.select("event_id").join(old.events.select("event_id"), "event_id", "left_semi"),
+                 "recurring-ids")
+
+
+def merged(old: Base, new: Base, recurring: DataFrame | None = None) -> Base:
     """The tables of a log, of those of its beginning and its end."""
-    touched = new.events.select("event_id")
-    events = old.events.join(touched, "event_id", "left_anti").unionByName(
-        _last(old.events.join(touched, "event_id", "left_semi").unionByName(new.events)))
+    again = _recurring(old, new) if recurring is None else recurring
+    rest, both = [[df.join(again, "event_id", how) for df in (old.events, new.events)]
+                  for how in ("left_anti", "left_semi")]
+    events = rest[0].unionByName(rest[1]).unionByName(_last(both[0].unionByName(both[1])))
     known = old.closed.select(F.col("id").alias("known"))
     fresh = new.closed.join(known, F.col("id").eqNullSafe(F.col("known")), "left_anti")
     newest = {c: F.max(c) for c in ("titled", "opened", "last", "merged")}
@@ -82,6 +94,20 @@ def merged(old: Base, new: Base) -> Base:
         old.memory.unionByName(new.memory))
 
 
+def advanced(old: Base | None, new: Base) -> Base:
+    """``merged`` and staged. Rows that nothing replaces stay in the files they lie in."""
+    if old is None:
+        return Base(**dict(zip(vars(new), stage_all(**vars(new)))))
+    first = ("events", *APPENDED)
+    new = replace(new, **dict(zip(first, stage_all(**{n: getattr(new, n) for n in first}))))
+    again = _recurring(old, new)
+    whole = vars(merged(old, new, again))
+    kept = first if again.isEmpty() else APPENDED
+    made = {n: getattr(old, n).unionByName(getattr(new, n)) for n in kept}
+    left = {n: df for n, df in whole.items() if n not in made}
+    return Base(**made, **dict(zip(left, stage_all(**left))))
+
+
 def graph(b: Base, as_of, block: int | None = None) -> G.Graph:
     """The graph at a time; what depends on the time is derived here."""
     closed = b.closed.select(F.col("id").alias("closed_id"), F.lit(1).alias("is_closed"))

@@ -17,7 +17,7 @@ from mnemograph.operators import digest, folds, increments, log_ops, mining, ret
 from mnemograph.operators import graph as G
 from mnemograph.operators import relational as R
 from mnemograph.plans.text_index import FULL_TEXT, KINDS, WORDS, TextIndex
-from mnemograph.session import stage, stage_all, stage_folder
+from mnemograph.session import stage, stage_folder
 from mnemograph.sources import jsonl, sinks
 from mnemograph.sources.event_log import EventLog, parsed
 from mnemograph.sources import tables as T
@@ -403,8 +403,7 @@ def incremental_graph_build(spark, sf):
     for i in range(SLICES):
         low, high = top * i // SLICES, top * (i + 1) // SLICES
         new = increments.base(log.filter((F.col("seq") > low) & (F.col("seq") <= high)))
-        parts = vars(new if tables is None else increments.merged(tables, new))
-        tables = increments.Base(**dict(zip(parts, stage_all(**parts))))
+        tables = increments.advanced(tables, new)
     g = increments.graph(tables, AS_OF)
     edges = g.edges.groupBy("kind").agg(
         F.count(F.lit(1)).alias("n"), S.rounded(F.sum("weight")).alias("weight"))

@@ -81,3 +81,25 @@ def test_store_builds_read_only_what_is_new(spark, tmp_path, monkeypatch):
     # A merge lets the branch's older events in: the whole log is read again.
     s.append("branch_merge", **{"from": "b"})
     assert s.build() and ("evt_3",) in rows(s.graph().nodes, "event_id")
+
+
+def test_advanced_tables_give_the_graph_and_leave_rows_where_they_are(spark, make_log, monkeypatch):
+    log = make_log(random_log(160, 6))
+    whole, tables = content(G.build(log, AS_OF)), None
+    for low, high in ((0, 40), (40, 110), (110, 110), (110, 160)):
+        tables = increments.advanced(tables, increments.base(log.where(f"seq > {low} AND seq <= {high}")))
+    got = content(increments.graph(tables, AS_OF))
+    for name in whole:
+        assert got[name] == whole[name], name
+    # No id recurs: the events, and tables that only take rows on, are not written again.
+    plain = make_log([{"type": "decision", "msg": str(i), "thread_ids": ["t"]} for i in range(6)])
+    first = increments.advanced(None, increments.base(plain.where("seq <= 3")))
+    then = increments.advanced(first, increments.base(plain.where("seq > 3")))
+    for name in ("events", "members", "stated", "rivals", "memory"):
+        assert set(getattr(first, name).inputFiles()) <= set(getattr(then, name).inputFiles()), name
+    assert rows(then.events, "seq") == [(i,) for i in range(1, 7)]
+    # Of ids that do not recur, no event passes a shuffle when tables are merged.
+    small = "Exchange hashpartitioning(event_id"
+    both = increments.merged(first, increments.advanced(None, increments.base(plain.where("seq > 3"))))
+    both.events.collect()
+    assert small not in both.events._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
