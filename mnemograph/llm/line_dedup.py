@@ -17,8 +17,8 @@ has a Jaccard similarity of ``SIMILARITY`` or more with it, whether that one sta
 A class in a group of many similar ones needs one match, not all: a posting names the
 earliest candidate and the nearest ones before it. Only if these fail and others were
 left out, all candidates of the class are tried. So no group emits all its pairs, and no
-decision is lost. This is the way of the removal; with ``links`` every candidate of every
-class is verified, and the links of each class are counted.
+decision is lost. This is the way of the removal; with ``links`` the links of each class are
+counted, all of them, by ``line_links``.
 
 Defined results: words are runs of characters outside ASCII white space; words are compared
 by 64-bit and sets by 128-bit hashes. A line without words always stays and is no row
@@ -406,10 +406,8 @@ def postings_near(classes: DataFrame, keys: DataFrame) -> DataFrame:
         "bits2 bigint")
 
 
-def all_candidates(classes: DataFrame, targets: DataFrame | None = None) -> DataFrame:
-    """Every earlier class that each of some targets, a stored table, or each class may match."""
-    if targets is None:
-        return _met(postings_of(classes), postings_of(classes))
+def all_candidates(classes: DataFrame, targets: DataFrame) -> DataFrame:
+    """Every earlier class that each of some targets, a stored table, may match."""
     place = [c for c in PLACE if c in targets.columns]
     own = classes.join(targets.select(place), place, "left_semi")
     mine = stage(postings_of(own), "line-targets")
@@ -439,16 +437,16 @@ def line_cell(doc, line):
     return (doc % FILTER_CELLS * 1009 + line * 31) % FILTER_CELLS
 
 
-def marked_cells(rows: DataFrame, cell: Column) -> np.ndarray:
-    """Marks the cells of some rows: FILTER_CELLS bits reach the driver, however many rows."""
+def marked_cells(rows: DataFrame, cell: Column, n: int = FILTER_CELLS) -> np.ndarray:
+    """Marks the cells of some rows: ``n`` bits reach the driver, however many rows."""
     cell = cell + 1
     rows = rows.groupBy(F.bitmap_bucket_number(cell).alias("bucket")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position(cell)).alias("bits")).collect()
-    marks = np.zeros(FILTER_CELLS + 1, bool)
+    marks = np.zeros(n + 1, bool)
     for bucket, bits in rows:
         part = np.unpackbits(np.frombuffer(bytes(bits), np.uint8), bitorder="little")
         at = (bucket - 1) * len(part)
-        part = part[:max(0, min(len(part), FILTER_CELLS - at))]
+        part = part[:max(0, min(len(part), n - at))]
         marks[at:at + len(part)] = part
     return marks[:-1]
 
@@ -497,19 +495,6 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return met.where(both * PARTS[1] >= union * PARTS[0]).select("pair.*")
 
 
-def counted_links(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(doc, line, t1, t2, to, n_links) of each class with links: its first earlier one, and all."""
-    found = stage(all_candidates(classes), "line-all")
-    free_shuffles(pairs.sparkSession)
-    links = stage(verified(pairs, found), "line-links")
-    unstage(found)
-    to = F.struct(*TO)
-    ends = links.select(*PLACE, to.alias("to")).unionByName(links.select(
-        *(F.col(t).alias(c) for c, t in zip(PLACE, TO)),
-        F.lit(None).cast(links.select(to.alias("to")).schema["to"].dataType).alias("to")))
-    return ends.groupBy(*PLACE).agg(F.min("to").alias("to"), F.count("*").alias("n_links"))
-
-
 def earlier_links(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """(doc, line, t1, t2, to) of each class that has an earlier link, and one of them."""
     found = stage(candidates(postings_of(classes)).groupBy(*PLACE, *TO).agg(
@@ -554,15 +539,27 @@ def matched_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     n_links: how many other classes, earlier and later, the class is similar to.
     """
     pairs = _pairs(docs, id_col, text_col)
-    lines = stage(line_sets(pairs, rarity(pairs)), "line-rows")
-    classes = classes_of(lines)
-    linked = counted_links(pairs, classes) if links else earlier_links(pairs, classes)
     of = [f"class_{c}" for c in PLACE]
-    linked = linked.select(*(F.col(c).alias(n) for c, n in zip(PLACE, of)), "to.*",
-                           *["n_links"] * links)
-    names = lines.groupBy("s1", "s2").agg(F.min(F.struct(*PLACE)).alias("c")) \
-        .select("s1", "s2", *(F.col(f"c.{c}").alias(n) for c, n in zip(PLACE, of)))
-    verdict = names.join(linked, of, "left")
+    if links:
+        from mnemograph.llm import line_links   # which imports this module
+
+        found = stage(line_links.found(pairs, rarity(pairs)), "line-rows")
+        free_shuffles(docs.sparkSession)
+        lines = found.where("g IS NULL").select(*PLACE, "s1", "s2")
+        classes = stage(lines.groupBy("s1", "s2").agg(F.min(F.struct(*PLACE)).alias("c"))
+                        .select("s1", "s2", "c.*"), "line-classes")
+        names = classes.select("s1", "s2", *(F.col(c).alias(n) for c, n in zip(PLACE, of)))
+        linked = line_links.links_of(pairs, found, classes)
+        key = ["s1", "s2"]
+    else:
+        lines = stage(line_sets(pairs, rarity(pairs)), "line-rows")
+        names = lines.groupBy("s1", "s2").agg(F.min(F.struct(*PLACE)).alias("c")) \
+            .select("s1", "s2", *(F.col(f"c.{c}").alias(n) for c, n in zip(PLACE, of)))
+        linked = earlier_links(pairs, classes_of(lines)).select(
+            *(F.col(c).alias(n) for c, n in zip(PLACE, of)), "to")
+        key = of
+    linked = linked.select(*key, "to.*", *["n_links"] * links)
+    verdict = names.join(linked, key, "left")
     first = F.struct(*PLACE) == F.struct(*(F.col(n).alias(c) for c, n in zip(PLACE, of)))
     return lines.select(*PLACE, "s1", "s2").join(verdict, ["s1", "s2"]).select(
         *PLACE, *of, *TO, *[F.coalesce("n_links", F.lit(0)).alias("n_links")] * links, (first & F.col("to_doc").isNull()).alias("kept"))
